@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from railyard.llm import bpe, sharding
+from railyard.llm import bpe, secrets, sharding
 from railyard.llm.frames import table
 
 #: Where the tokenizer of op1 and of the pipeline's last stage comes from; a parameter of the operator.
@@ -23,9 +23,16 @@ def op2_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [secrets.count_of("base", k).alias(f"n_{k}") for k in ("assign", "access", "hex")]
+    return found.select("doc_id", *counts, F.sha2(secrets.joined("base"), 256).alias("base_sha256"), secrets.joined("found").alias("spans"))
+
+
 QUERIES = {
     "op1_bpe_round_trip": op1_bpe_round_trip,
     "op2_ring_shards": op2_ring_shards,
+    "op9_secret_scan": op9_secret_scan,
 }
 
 #: DuckDB SQL of those that SQL can express.

@@ -13,11 +13,12 @@ in a text become their ids; repeated rows are encoded each; other columns are ca
 
 from __future__ import annotations
 
-import heapq
 import json
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +28,8 @@ from pyspark.sql import types as T
 
 from railyard.llm.frames import arrow_map
 
-#: Words whose encoding a Python worker remembers, and the longest word that it remembers.
-CACHE_WORDS, CACHE_CHARS = 200_000, 48
+#: White-space chunks and pre-tokens whose encoding a Python worker remembers, and the longest that it remembers.
+CACHED_CHUNKS, CACHED_PIECES, CACHE_CHARS = 200_000, 400_000, 48
 
 #: Control characters that str.split() takes as white space and the tokenizer's \s doesn't.
 SEPARATORS = "\x1c\x1d\x1e\x1f"
@@ -44,14 +45,14 @@ def byte_alphabet() -> list[str]:
 class _Words(dict):
     """Word -> (ids as little-endian bytes); words are encoded as they are first met."""
 
-    def __init__(self, encode):
+    def __init__(self, encode, most: int):
         super().__init__()
-        self.encode = encode
+        self.encode, self.most = encode, most
 
     def __missing__(self, word: str) -> bytes:
         ids = self.encode(word)
         if len(word) <= CACHE_CHARS:
-            if len(self) >= CACHE_WORDS:
+            if len(self) >= self.most:
                 self.clear()
             self[word] = ids
         return ids
@@ -64,8 +65,10 @@ class BpeCodec:
         model = spec["model"]
         self.vocab: dict[str, int] = model["vocab"]
         self.suffix: str = model["end_of_word_suffix"] or ""
-        pairs = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
-        self.merges = {(self.vocab[a], self.vocab[b]): (rank, self.vocab[a + b]) for rank, (a, b) in enumerate(pairs)}
+        pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+        #: Rank of a pair of ids, keyed left * 2^32 + right; id that the pair of each rank becomes.
+        self.ranks = {self.vocab[a] << 32 | self.vocab[b]: rank for rank, (a, b) in enumerate(pairs)}
+        self.merged = [self.vocab[a + b] for a, b in pairs]
         self.added = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.strings = dict((i, s) for s, i in self.vocab.items()) | {i: s for s, i in self.added.items()}
         self._added = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
@@ -73,42 +76,57 @@ class BpeCodec:
         self._pieces = regex.compile(split["pattern"]["Regex"])
         self._odd = regex.compile(f"[{SEPARATORS}]")
         self._spaces = regex.compile(rf"[^\S{SEPARATORS}]+")
-        self._bytes = byte_alphabet()
-        self._cache = _Words(self._encode_chunk)
+        alphabet = byte_alphabet()
+        self._inner = [self.vocab[c] for c in alphabet]
+        self._last = [self.vocab[c + self.suffix] for c in alphabet]
+        self._chunk_ids, self._piece_ids = _Words(self._encode_chunk, CACHED_CHUNKS), _Words(self._encode_piece, CACHED_PIECES)
 
     def merge(self, piece: str) -> list[int]:
-        """The ids of one pre-token."""
-        symbols = [self._bytes[b] for b in piece.encode("utf-8")]
-        symbols[-1] += self.suffix
-        ids = [self.vocab[s] for s in symbols]
+        """The ids of one pre-token. A heap entry is rank * 2^32 + position of the left symbol."""
+        raw, ranks, merged = piece.encode("utf-8"), self.ranks, self.merged
+        ids = [self._inner[b] for b in raw]
+        ids[-1] = self._last[raw[-1]]
         n = len(ids)
         before, after = list(range(-1, n - 1)), [*range(1, n), -1]
-        heap = [(m[0], i, ids[i], ids[i + 1], m[1]) for i in range(n - 1) if (m := self.merges.get((ids[i], ids[i + 1])))]
-        heapq.heapify(heap)
+        current = [ranks.get(ids[i] << 32 | ids[i + 1], -1) for i in range(n - 1)]  # rank of each symbol's pair with the next
+        current.append(-1)
+        heap = [r << 32 | i for i, r in enumerate(current) if r >= 0]
+        heapify(heap)
         while heap:
-            _, i, left, right, merged = heapq.heappop(heap)
-            j = after[i]
-            if ids[i] != left or j < 0 or ids[j] != right:
+            top = heappop(heap)
+            i, rank = top & 0xFFFFFFFF, top >> 32
+            if current[i] != rank:
                 continue  # stale: one of the two has been merged meanwhile
-            ids[i], ids[j] = merged, -1
+            j = after[i]
+            ids[i] = new = merged[rank]
+            ids[j] = current[j] = -1
             after[i] = k = after[j]
             if k >= 0:
                 before[k] = i
-                if m := self.merges.get((merged, ids[k])):
-                    heapq.heappush(heap, (m[0], i, merged, ids[k], m[1]))
-            if (h := before[i]) >= 0 and (m := self.merges.get((ids[h], merged))):
-                heapq.heappush(heap, (m[0], h, ids[h], merged, m[1]))
+                current[i] = r = ranks.get(new << 32 | ids[k], -1)
+                if r >= 0:
+                    heappush(heap, r << 32 | i)
+            else:
+                current[i] = -1
+            if (h := before[i]) >= 0:
+                current[h] = r = ranks.get(ids[h] << 32 | new, -1)
+                if r >= 0:
+                    heappush(heap, r << 32 | h)
         return [x for x in ids if x >= 0]
 
+    def _encode_piece(self, piece: str) -> bytes:
+        return pack(f"<{len(ids := self.merge(piece))}I", *ids)
+
     def _encode_chunk(self, chunk: str) -> bytes:
-        return np.array([i for piece in self._pieces.findall(chunk) for i in self.merge(piece)], dtype="<u4").tobytes()
+        pieces = self._pieces.findall(chunk)
+        return self._piece_ids[pieces[0]] if len(pieces) == 1 else b"".join(map(self._piece_ids.__getitem__, pieces))
 
     def _encode_plain(self, text: str) -> bytes:
         if not unicodedata.is_normalized("NFC", text):
             text = unicodedata.normalize("NFC", text)
         text = text.replace("Σ", "σ").lower()  # lower() alone would know the sigma at the end of a word
         chunks = self._spaces.split(text) if self._odd.search(text) else text.split()
-        return b"".join(map(self._cache.__getitem__, chunks))
+        return b"".join(map(self._chunk_ids.__getitem__, chunks))
 
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from railyard.llm import bpe, chat, licences, secrets, sharding, wordpiece
+from railyard.llm import bpe, chat, fingerprints, licences, secrets, sharding, wordpiece
 from railyard.llm.frames import table
 
 #: Where the pieces of op8 come from; a parameter of the operator.
@@ -30,6 +30,11 @@ def op3_licence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size("sentence_ids").cast("long").alias("n_sentences"), F.array_join("sentence_ids", ",").alias("sentence_ids"), "licences", "verdict")
 
 
+def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fingerprints.neighbour_edits(table(spark, sf_dir, "documents"))
+    return made.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordpiece.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), PIECES).drop("text")
 
@@ -51,6 +56,7 @@ QUERIES = {
     "op1_bpe_round_trip": op1_bpe_round_trip,
     "op2_ring_shards": op2_ring_shards,
     "op3_licence_rules": op3_licence_rules,
+    "op4_order_minhash": op4_order_minhash,
     "op8_token_counts": op8_token_counts,
     "op9_secret_scan": op9_secret_scan,
     "op10_chat_format": op10_chat_format,

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from railyard.llm import bpe, chat, fingerprints, licences, secrets, sharding, wordpiece
+from railyard.llm import bpe, chat, fingerprints, licences, quality, secrets, sharding, wordpiece
 from railyard.llm.frames import table
 
 #: Where the pieces of op8 come from; a parameter of the operator.
@@ -35,6 +35,12 @@ def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
+def op7_quality_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, model).select("doc_id", "expected_grade", "p_good", (F.col("p_good") >= quality.KEEP).alias("kept"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordpiece.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), PIECES).drop("text")
 
@@ -57,6 +63,7 @@ QUERIES = {
     "op2_ring_shards": op2_ring_shards,
     "op3_licence_rules": op3_licence_rules,
     "op4_order_minhash": op4_order_minhash,
+    "op7_quality_grades": op7_quality_grades,
     "op8_token_counts": op8_token_counts,
     "op9_secret_scan": op9_secret_scan,
     "op10_chat_format": op10_chat_format,

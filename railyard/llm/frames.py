@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 #: Rows per Arrow batch. Texts of a few hundred KB occur, so 10,000 rows (Spark's default) could be gigabytes.
 BATCH_ROWS = 256
@@ -22,18 +23,25 @@ def arrow_map(df: DataFrame, kernel: Callable[[Iterator[pa.RecordBatch]], Iterat
     return df.mapInArrow(kernel, schema)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a reliable checkpoint in the folder that the cluster names.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where none is set (tests, local mode)."""
+    context = spark.sparkContext
+    given = context.getConf().get("spark.checkpoint.dir")
+    if given:
+        return given
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
+    return context._jsc.sc().getCheckpointDir().get()
 
-    The folder is taken from spark.checkpoint.dir; a temporary one is used only where none is set (tests, local mode).
-    """
-    context = df.sparkSession.sparkContext
-    if not context.getConf().get("spark.checkpoint.dir") and context._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
 
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cuts the lineage with a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
-def text_or_empty(column: str = "text"):
-    return F.coalesce(F.col(column), F.lit(""))
+def written(df: DataFrame) -> DataFrame:
+    """The same rows, written as Parquet to the shared folder and read again."""
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

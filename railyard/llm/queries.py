@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from railyard.llm import bpe, chat, decontaminate, fingerprints, licences, quality, secrets, sharding, wordpiece
+from railyard.llm import bpe, chat, decontaminate, fingerprints, jaccard, licences, quality, secrets, sharding, wordpiece
 from railyard.llm.frames import table
 
 #: Where the pieces of op8 come from; a parameter of the operator.
@@ -35,6 +35,10 @@ def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "n_same")
+
+
 def op6_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -67,6 +71,7 @@ QUERIES = {
     "op2_ring_shards": op2_ring_shards,
     "op3_licence_rules": op3_licence_rules,
     "op4_order_minhash": op4_order_minhash,
+    "op5_ngram_jaccard": op5_ngram_jaccard,
     "op6_benchmark_leaks": op6_benchmark_leaks,
     "op7_quality_grades": op7_quality_grades,
     "op8_token_counts": op8_token_counts,

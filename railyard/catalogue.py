@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from railyard.queries import feed, network
+
+PARTS = (feed, network)
+QUERIES = {name: f for part in PARTS for name, f in part.Q.queries.items()}
+ORACLES = {name: sql for part in PARTS for name, sql in part.Q.oracles.items()}

@@ -18,7 +18,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 def rounds(start: DataFrame, step: Callable[[DataFrame], DataFrame], n: int, every: int = 4) -> DataFrame:
     """step() n times, with a cut each few rounds."""
-    state = start
+    state = cut(start)
     for k in range(1, n + 1):
         state = step(state)
         if k % every == 0 and k < n:

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from railyard.queries import chains, feed, network
+from railyard.queries import chains, demand, feed, network
 
-PARTS = (feed, network, chains)
+PARTS = (feed, network, chains, demand)
 QUERIES = {name: f for part in PARTS for name, f in part.Q.queries.items()}
 ORACLES = {name: sql for part in PARTS for name, sql in part.Q.oracles.items()}

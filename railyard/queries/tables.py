@@ -80,7 +80,7 @@ LP = LV + ", lp0 AS (SELECT mode, trip, stop AS i, dep_s, dist, lead(stop) OVER
 LE = LP + ", le AS (SELECT mode, i, j, count(*) AS n, median(tau_s) AS tau_s, median(dist_m) AS dist_m FROM lp WHERE i <> j GROUP BY mode, i, j)"
 KAPPA_SQL = "CASE mode " + " ".join(f"WHEN '{m}' THEN {k}" for m, k in KAPPA.items()) + " ELSE 1.0 END"
 HC = LE + f", hc AS (SELECT i, j, min({KAPPA_SQL} * tau_s + 0.1 * dist_m + 1.0) AS cost FROM le GROUP BY i, j)"
-NP = "np AS (SELECT n_nationkey AS node, n_regionkey AS region, 47.4 + n_nationkey * 0.01 AS lat, 19.0 + (n_nationkey * 7 % 25) * 0.01 AS lon FROM nation)"
+NP = "np AS (SELECT n_nationkey AS node, n_regionkey AS region, 47.4::DOUBLE + n_nationkey * 0.01::DOUBLE AS lat, 19.0::DOUBLE + (n_nationkey * 7 % 25) * 0.01::DOUBLE AS lon FROM nation)"
 HAVERSINE = "2 * 6371000.0 * asin(sqrt(least(1.0, greatest(0.0, sin(radians({lat2} - {lat1}) / 2) ** 2 + cos(radians({lat1})) * cos(radians({lat2})) * sin(radians({lon2} - {lon1}) / 2) ** 2))))"
 
 

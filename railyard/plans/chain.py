@@ -114,8 +114,11 @@ def allocate(population: DataFrame, nodes: DataFrame) -> DataFrame:
     return served.join(population, "node", "left").select("mode", "node", (F.coalesce("n", F.lit(0.0)) / F.col("__k")).alias("n"))
 
 
-def transient(q: DataFrame, start: DataFrame, t: float, terms: int) -> DataFrame:
-    """N(t) = N0 e^{Qt} by uniformization with so many terms; start (mode, node, v). What the series leaves out is scaled back in, so mass is kept."""
+def transient(q: DataFrame, start: DataFrame, t: float, terms: int, conserve: bool = True) -> DataFrame:
+    """N(t) = N0 e^{Qt} by uniformization with so many terms; start (mode, node, v), a row for each node that can be reached.
+
+    conserve: what the series leaves out is scaled back in, so mass is kept.
+    """
     q = cut(q)
     top = q.filter("i = j").groupBy("mode").agg(F.max(-F.col("q")).alias("rate"))
     jump = q.join(F.broadcast(top), "mode").select("mode", "i", "j", (F.when(F.col("i") == F.col("j"), 1.0).otherwise(0.0) + F.col("q") / F.col("rate")).alias("p"))
@@ -128,7 +131,7 @@ def transient(q: DataFrame, start: DataFrame, t: float, terms: int) -> DataFrame
         both = kept.join(moved, ["mode", "node"], "left").withColumn("v", F.coalesce("v", F.lit(0.0)))
         return both.select("mode", "node", "v", (F.col("out") + F.col("weight") * F.col("v")).alias("out"), "weight", (F.col("used") + F.col("weight")).alias("used"), "rate", (F.col("k") + 1).alias("k"))
 
-    return rounds(begin, one, terms).select("mode", "node", (F.col("out") / F.col("used")).alias("n"))
+    return rounds(begin, one, terms).select("mode", "node", (F.col("out") / (F.col("used") if conserve else F.lit(1.0))).alias("n"))
 
 
 def terms_for(rate_time: float, tolerance: float = 1e-12) -> int:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from railyard.functions import scalar
 from railyard.operators import edges, graph
-from railyard.plans import chain, linenet, scenario, simulate
+from railyard.plans import chain, layers, linenet, scenario, simulate
 from railyard.queries import tables as t
 from railyard.queries.chains import EQ, SG, SP, event_chain, event_rates, sparse_hubs
 from railyard.queries.demand import times
@@ -218,3 +218,25 @@ def ssa_against_law(spark, sf_dir):
 def journey_simulation(spark, sf_dir):
     model = linenet.OpenModel(line_network(spark, sf_dir))
     return model.journeys(model.prior(), 20_000).agg(F.count(F.lit(1)).alias("passengers"), (F.min("seconds") > 0).alias("positive"))
+
+
+@Q.add(f"WITH {NET}, p AS (SELECT i, md, q / sum(q) OVER (PARTITION BY i) AS p, theta / sum(theta) OVER (PARTITION BY i) AS p0 FROM m3), h AS (SELECT i, sum(abs(p - p0)) / 2 AS tv, count(*) AS n, count(DISTINCT md) AS k FROM p GROUP BY i) SELECT round(avg(tv), 9) AS variation, round(avg(CASE WHEN n > 1 THEN 1.0 ELSE 0.0 END), 9) AS several_segments, round(avg(CASE WHEN k > 1 THEN 1.0 ELSE 0.0 END), 9) AS several_routes, round(avg(CASE WHEN k > 1 THEN 1.0 ELSE 0.0 END), 9) AS several_modes FROM h")
+def choice_diagnostics(spark, sf_dir):
+    own = layers.choice_diagnostics(linenet.OpenModel(line_network(spark, sf_dir)).segments)
+    return own.select(*(R(c, 9) for c in own.columns))
+
+
+@Q.add(f"WITH {t.HC}, {t.NP}, ly AS (SELECT a.n_regionkey * 5 AS i, b.n_regionkey * 5 AS j, median(cost) AS cost FROM hc JOIN nation a ON a.n_nationkey = i JOIN nation b ON b.n_nationkey = j WHERE a.n_regionkey <> b.n_regionkey GROUP BY 1, 2) SELECT i, j, round(cost, 6) AS cost, round({t.haversine_sql('p', 'q')}, 3) AS m FROM ly JOIN np p ON p.node = i JOIN np q ON q.node = j")
+def planning_layer(spark, sf_dir):
+    """Regions as areas; each stands at one of its places by formula."""
+    areas = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("stop"), (F.col("n_regionkey") * 5).alias("area"))
+    own = layers.layer_edges(t.hub_costs(spark, sf_dir), areas, t.nation_points(spark, sf_dir))
+    return own.select("i", "j", R("cost", 6), R("m", 3))
+
+
+@Q.add()
+def merged_areas(spark, sf_dir):
+    """Suppliers of a nation as stops of one name, merged in order."""
+    n, k = F.col("s_nationkey"), F.col("s_suppkey")
+    stops = table(spark, sf_dir, "supplier").select(k.alias("stop"), F.concat(F.lit("N"), n, F.lit(" (x)")).alias("name"), (47.4 + n * 0.01 + k * 37 % 100 * 0.0001).alias("lat"), (19.0 + k * 53 % 100 * 0.0001).alias("lon"))
+    return layers.merge_areas(stops)

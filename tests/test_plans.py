@@ -5,7 +5,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from railyard.operators import graph, spatial, stats
-from railyard.plans import chain, demand, scenario, simulate
+from railyard.plans import chain, demand, layers, scenario, simulate
 
 
 def cycle(spark, n):
@@ -261,3 +261,22 @@ def test_streams(spark, tmp_path):
         query.stop()
     assert {(str(r.start)[11:13], r.stop): r.departures for r in spark.table("out_rates").collect()}.get(("00", "a")) == 4
     assert spark.table("out_sessions").filter("visits = 3").count() + spark.table("out_sessions").filter("visits = 2").count() + spark.table("out_sessions").filter("visits = 1").count() > 0
+
+
+def test_layers(spark):
+    stops = spark.createDataFrame([("a", "Deák (x)", 47.5, 19.0), ("b", "Deák", 47.502, 19.0), ("c", "Deák", 47.505, 19.0), ("d", "Other", 47.5, 19.0)], "stop string, name string, lat double, lon double")
+    # c is near b, but b is not the first of its area
+    assert {r.stop: r.area for r in layers.merge_areas(stops).collect()} == {"a": "a", "b": "a", "c": "c", "d": "d"}
+    edges = spark.createDataFrame([("a", "d", 10.0), ("b", "d", 30.0), ("a", "b", 5.0)], "i string, j string, cost double")
+    places = spark.createDataFrame([("a", 47.5, 19.0), ("d", 47.51, 19.0)], "node string, lat double, lon double")
+    own = layers.layer_edges(edges, layers.merge_areas(stops), places)
+    row = own.first()
+    assert (row.i, row.j, row.cost) == ("a", "d", 20.0) and layers.cost_per_metre(own).first()[0] == pytest.approx(20 / row.m)
+    nodes = spark.createDataFrame([(k, 100.0 * k, 0.0) for k in range(11)], "node int, x double, y double")
+    street = spark.createDataFrame([(k, k + 1, 100.0) for k in range(10)], "i int, j int, cost double")
+    times = graph.shortest(street, street.limit(0).select(F.col("i").alias("source")).unionByName(spark.createDataFrame([(0,)], "source int")))
+    pool = spark.createDataFrame([(7, 0.0, 20.0), (8, 210.0, 0.0), (9, 640.0, 100.0), (10, 1000.0, 0.0), (11, 500.0, 900.0)], "hub int, rx double, ry double")
+    assert layers.street_line(times, 0, 10, nodes, pool, 350.0) == [7, 9, 10]
+    assert layers.street_line(times, 0, 99, nodes, pool, 350.0) == []
+    assert len(layers.sensitivity(lambda a, b: {"c": a * b}, a=[1, 2], b=[3, 4])) == 4
+    assert layers.package_effect(lambda lines: float(sum(lines) + (len(lines) > 1)), [1.0, 2.0])["interaction"] == pytest.approx(4 / 3)

@@ -41,8 +41,8 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens, ids (little-endian unsigned 32-bit integers) and the digest of the decoded text."""
-    ids = bpe.encode(docs.select("doc_id", "lang", "source", "text"), VOCABULARY).drop("text")
-    return bpe.decode(ids, VOCABULARY).select("doc_id", "lang", "source", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+    made = bpe.encode(docs.select("doc_id", "lang", "source", "text"), VOCABULARY, decoded_col="decoded")
+    return made.select("doc_id", "lang", "source", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES = [

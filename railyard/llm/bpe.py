@@ -26,10 +26,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from railyard.llm.frames import arrow_map
+from railyard.llm.frames import arrow_map, sole_cache
 
 #: White-space chunks and pre-tokens whose encoding a Python worker remembers, and the longest that it remembers.
-CACHED_CHUNKS, CACHED_PIECES, CACHE_CHARS = 200_000, 400_000, 48
+CACHED_CHUNKS, CACHED_PIECES, CACHE_CHARS = 150_000, 300_000, 48
 
 #: Control characters that str.split() takes as white space and the tokenizer's \s doesn't.
 SEPARATORS = "\x1c\x1d\x1e\x1f"
@@ -146,21 +146,22 @@ def codec(path: str) -> BpeCodec:
     return BpeCodec(path)
 
 
-def _append(batch: pa.RecordBatch, *arrays: pa.Array) -> list[pa.Array]:
-    return [*batch.columns, *arrays]
-
-
-def encode(df: DataFrame, vocabulary: str, text_col: str = "text", ids_col: str = "ids", count_col: str = "n_tokens") -> DataFrame:
-    """Adds ids_col (binary: little-endian unsigned 32-bit ids) and count_col (long). It replaces columns of these names."""
-    df = df.drop(ids_col, count_col)
+def encode(df: DataFrame, vocabulary: str, text_col: str = "text", ids_col: str = "ids", count_col: str = "n_tokens", decoded_col: str | None = None) -> DataFrame:
+    """Adds ids_col (binary: little-endian unsigned 32-bit ids) and count_col (long); with decoded_col also what decode() makes of the ids, in the same pass and so without a second Python worker. It replaces columns of these names."""
+    more = [T.StructField(ids_col, T.BinaryType()), T.StructField(count_col, T.LongType())] + ([T.StructField(decoded_col, T.StringType())] if decoded_col else [])
+    df = df.drop(*(f.name for f in more))
     at = df.columns.index(text_col)
-    schema = T.StructType([*df.schema.fields, T.StructField(ids_col, T.BinaryType()), T.StructField(count_col, T.LongType())])
+    schema = T.StructType([*df.schema.fields, *more])
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(vocabulary)
+        sole_cache(own._chunk_ids, own._piece_ids)
         for batch in batches:
             ids = [own.encode(x) for x in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays(_append(batch, pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())), names=schema.names)
+            arrays = [pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())]
+            if decoded_col:
+                arrays.append(pa.array([own.decode(x) for x in ids], pa.string()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], names=schema.names)
 
     return arrow_map(df, kernel, schema)
 
@@ -174,6 +175,6 @@ def decode(df: DataFrame, vocabulary: str, ids_col: str = "ids", text_col: str =
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(vocabulary)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays(_append(batch, pa.array([own.decode(x) for x in batch.column(at).to_pylist()], pa.string())), names=schema.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([own.decode(x) for x in batch.column(at).to_pylist()], pa.string())], names=schema.names)
 
     return arrow_map(df, kernel, schema)

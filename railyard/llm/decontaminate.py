@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from railyard.llm.frames import arrow_map, checkpointed
+from railyard.llm.frames import arrow_map, checkpointed, sole_cache
 
 RATE, LEAST_PIECE, BLOCK_CHARS = 0.05, 16, 4_000_000
 
@@ -153,6 +153,7 @@ def _mark(docs: DataFrame, items: list[tuple[int, str]], text_col: str, into: st
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Matcher(shared.value, rate, least_piece)
+        sole_cache()
         for batch in batches:
             hits = [[dict(zip(("item_id", "distance", "budget", "end"), m, strict=True)) for m in own.matches(x)] for x in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hits, kind)], names=schema.names)

@@ -13,6 +13,18 @@ from pyspark.sql import DataFrame, SparkSession
 BATCH_ROWS = 256
 
 
+#: Word caches of this Python worker.
+_CACHES: list[dict] = []
+
+
+def sole_cache(*own: dict) -> None:
+    """Empties the caches of other operators: workers are reused, and one stage's words are of no use to the next."""
+    for cache in _CACHES:
+        if not any(cache is x for x in own):
+            cache.clear()
+    _CACHES[:] = own
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

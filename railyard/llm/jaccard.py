@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from railyard.llm.frames import arrow_map, checkpointed
+from railyard.llm.frames import arrow_map, checkpointed, sole_cache
 
 N_WORDS, THRESHOLD = 5, 0.8
 BANDS, BAND_ROWS = 36, 6
@@ -39,7 +39,7 @@ STEP, TOLERANCE = 24, 1e-6
 #: Members of a block and their shingles, about; a kernel holds two blocks.
 BLOCK, BLOCK_SHINGLES = 512, 4_000_000
 EDGE = "".join(chr(i) for i in range(33, 127) if not chr(i).isalnum()) + "«»„“”’…–—"
-CACHED, CACHE_CHARS = 400_000, 48
+CACHED, CACHE_CHARS = 250_000, 48
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -215,6 +215,7 @@ def members(docs: DataFrame, id_col: str, text_col: str, n_words: int, bands: in
         return out.view(np.int64)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sole_cache(_WORDS)
         for batch in batches:
             sets = [shingles(x, n_words) for x in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([
@@ -237,6 +238,7 @@ def compared(placed: DataFrame, n_words: int, k: int, threshold: float, toleranc
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, blocks = None, {}
+        sole_cache(_WORDS)
 
         def finish() -> list[tuple]:
             if now is None:

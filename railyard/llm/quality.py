@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from railyard.llm.frames import arrow_map
+from railyard.llm.frames import arrow_map, sole_cache
 
 BUCKETS, PER_GRADE, GRADES = 1 << 17, 2000, 3
 #: Documents of the sample that a feature must occur in to get a weight: rarer ones only tell single documents apart.
@@ -41,7 +41,7 @@ BEGIN = 5
 MOST = 3.0
 #: Upper ends of the bins for shares of tokens.
 BINS = np.array([0.0, 0.01, 0.03, 0.08, 0.15, 0.25, 0.4, 0.6, 0.8])
-CACHED, CACHE_CHARS = 400_000, 48
+CACHED, CACHE_CHARS = 250_000, 48
 #: Selection keeps documents whose probability of the best grade is at least this.
 KEEP = 0.5
 
@@ -158,6 +158,7 @@ def train(docs: DataFrame, labels: DataFrame, per_grade: int = PER_GRADE) -> Ord
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sole_cache(_TOKENS)
         for batch in batches:
             found = [np.stack(features(x)).astype(np.float32).tobytes() for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.binary())], names=["doc_id", "grade", "found"])
@@ -181,6 +182,7 @@ def score(df: DataFrame, model: Ordinal, text_col: str = "text") -> DataFrame:
         weights = np.zeros(BUCKETS)
         weights[index] = values
         own = Ordinal(weights, thresholds)
+        sole_cache(_TOKENS)
         for batch in batches:
             tails = [own.tails(features(x)) for x in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([float(t.sum()) for t in tails], pa.float64()), pa.array([float(t[-1]) for t in tails], pa.float64())], names=schema.names)

@@ -16,8 +16,8 @@ WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
 def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), WORD_BPE).drop("text")
-    return bpe.decode(ids, WORD_BPE).select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    made = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), WORD_BPE, decoded_col="decoded")
+    return made.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op2_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,10 +19,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from railyard.llm.frames import arrow_map
+from railyard.llm.frames import arrow_map, sole_cache
 
 #: Chunks between white space whose counts a Python worker remembers, and the longest of them.
-CACHED, CACHE_CHARS = 400_000, 48
+CACHED, CACHE_CHARS = 250_000, 48
 #: A word: letters and digits with marks, or one other visible character.
 WORD = regex.compile(r"[\p{L}\p{N}\p{M}_]+|[^\s\p{L}\p{N}\p{M}_]")
 
@@ -116,6 +116,7 @@ def count_tokens(df: DataFrame, model: str, text_col: str = "text") -> DataFrame
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunks = counter(model)
+        sole_cache(chunks)
         for batch in batches:
             rows = []
             for text in batch.column(at).to_pylist():

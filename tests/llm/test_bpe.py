@@ -42,4 +42,6 @@ def test_frame(spark, library):
     out = bpe.decode(bpe.encode(df, PATH), PATH).collect()
     assert [(r.doc_id, r.n_tokens, hashlib.sha256(r.ids).hexdigest()[:4] and r.decoded) for r in out if (r.doc_id or 0) == 3] == [(3, 2, "the</w> thing</w>")] * 2
     assert sorted(r.n_tokens for r in out) == [0, 0, 2, 2, 3000]
+    at_once = bpe.encode(df, PATH, decoded_col="decoded").collect()
+    assert sorted((r.n_tokens, bytes(r.ids), r.decoded) for r in at_once) == sorted((r.n_tokens, bytes(r.ids), r.decoded) for r in out)
     assert bpe.encode(df.limit(0), PATH).count() == 0

@@ -193,7 +193,8 @@ def components(edges: DataFrame) -> DataFrame:
         # a node's own label may learn of it too: a hook from label to smaller label
         stepped = state.join(near, "node").withColumn("best", F.least("label", "near"))
         hooks = stepped.groupBy(F.col("label").alias("node")).agg(F.min("best").alias("hook"))
-        joined = stepped.select("node", "label", "best").join(hooks, "node", "left").withColumn("best", F.least("best", "hook"))
+        # written down, so that both sides of the next join are shuffles of their own and a large component's label can be split
+        joined = checkpointed(stepped.select("node", "label", "best").join(hooks, "node", "left").select("node", "label", F.least("best", "hook").alias("best")))
         jump = joined.select(F.col("node").alias("best"), F.col("best").alias("further"))
         moved = joined.select("node", "label", "best").join(jump, "best", "left").select("node", F.col("label").alias("old"), F.least("best", "further").alias("label"))
         moved = checkpointed(moved)
@@ -306,6 +307,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_word
     linked = labels.join(sets.select("__set", "rep"), "__set")
     linked = linked.join(linked.groupBy("label").agg(F.min("rep").alias("head")), "label").join(counts, "__set").select("__set", "head", "n_links")
     every = sets.select("__set", "rep", "n_same").join(linked, "__set", "left").select("__set", "n_same", F.coalesce("head", "rep").alias("head"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    every = checkpointed(every)  # both sides of the last join are then shuffles of their own, and a large set can be split
     return rows.select(id_col, "__key", "__set").join(every, "__set").select(id_col, F.col("head.id").alias("class_id"), "n_links", "n_same", "__key", F.col("head.key").alias("__class_key"))
 
 

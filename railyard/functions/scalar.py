@@ -20,11 +20,11 @@ def _c(x) -> Column:
 
 
 def haversine_m(lat1, lon1, lat2, lon2) -> Column:
-    """Great-circle distance in metres."""
+    """Great-circle distance in metres; null if a coordinate is."""
     lat1, lon1, lat2, lon2 = map(_c, (lat1, lon1, lat2, lon2))
     up, along = F.sin(F.radians(lat2 - lat1) / 2), F.sin(F.radians(lon2 - lon1) / 2)
     a = up * up + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * along * along
-    return 2 * EARTH_M * F.asin(F.sqrt(F.least(F.lit(1.0), F.greatest(F.lit(0.0), a))))
+    return 2 * EARTH_M * F.asin(F.sqrt(clipped(a, 0.0, 1.0)))
 
 
 def project(lat, lon, origin_lat: float = ORIGIN_LAT) -> tuple[Column, Column]:

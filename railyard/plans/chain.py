@@ -66,18 +66,28 @@ def step(x: DataFrame, chain: DataFrame) -> DataFrame:
     return x.join(by_source, ["mode", "node"]).groupBy("mode", F.col("__to").alias("node")).agg(F.sum(F.col("v") * F.col("p")).alias("v"))
 
 
+def with_markers(chain: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(mode, node, __to, p, own): the chain's moves, and a row from each node to itself that only carries what it has so far.
+
+    With it a round reads the state once; reading it twice would double the plan each round.
+    """
+    moves = chain.select("mode", F.col("i").alias("node"), F.col("j").alias("__to"), "p", F.lit(False).alias("own"))
+    return moves.unionByName(nodes.select("mode", "node", F.col("node").alias("__to"), F.lit(0.0).alias("p"), F.lit(True).alias("own")))
+
+
 def stationary(chain: DataFrame, n_rounds: int | None = None, tolerance: float = 1e-10) -> DataFrame:
     """Cesàro mean of the laws from the uniform one, (mode, node, pi): after n_rounds, or until the mean moves less than the tolerance."""
     chain = cut(closed(cut(chain)))
     nodes = nodes_of(chain)
+    moves = cut(with_markers(chain, nodes))
     start = nodes.select("mode", "node", (1 / F.count(F.lit(1)).over(Window.partitionBy("mode"))).alias("v")).select("*", F.col("v").alias("total"), F.lit(0).alias("k"))
 
     def one(x: DataFrame) -> DataFrame:
-        k = x.select("mode", "node", F.col("total").alias("__t"), F.col("k").alias("__k"))
-        return k.join(step(x.select("mode", "node", "v"), chain), ["mode", "node"], "left").select("mode", "node", F.coalesce("v", F.lit(0.0)).alias("v"), (F.col("__t") + F.coalesce("v", F.lit(0.0))).alias("total"), (F.col("__k") + 1).alias("k"))
+        moved = x.join(moves, ["mode", "node"]).groupBy("mode", F.col("__to").alias("node")).agg(F.sum(F.col("v") * F.col("p")).alias("v"), F.sum(F.when(F.col("own"), F.col("total"))).alias("total"), (F.max("k") + 1).alias("k"))
+        return moved.withColumn("total", F.col("total") + F.col("v"))
 
     if n_rounds is not None:
-        out = rounds(start, one, n_rounds)
+        out = rounds(start, one, n_rounds, every=10)
     else:
         mean = lambda x: F.col(f"{x}.total") / (F.col(f"{x}.k") + 1)
         moved = lambda old, new: old.alias("a").join(new.alias("b"), ["mode", "node"]).filter((F.col("b.k") < 100) | (F.abs(mean("a") - mean("b")) > tolerance))
@@ -115,7 +125,7 @@ def allocate(population: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def transient(q: DataFrame, start: DataFrame, t: float, terms: int, conserve: bool = True) -> DataFrame:
-    """N(t) = N0 e^{Qt} by uniformization with so many terms; start (mode, node, v), a row for each node that can be reached.
+    """N(t) = N0 e^{Qt} by uniformization with so many terms; start (mode, node, v).
 
     conserve: what the series leaves out is scaled back in, so mass is kept.
     """
@@ -124,14 +134,17 @@ def transient(q: DataFrame, start: DataFrame, t: float, terms: int, conserve: bo
     jump = q.join(F.broadcast(top), "mode").select("mode", "i", "j", (F.when(F.col("i") == F.col("j"), 1.0).otherwise(0.0) + F.col("q") / F.col("rate")).alias("p"))
     begin = start.join(F.broadcast(top), "mode").select("mode", "node", "v", (F.col("v") * F.exp(-F.col("rate") * t)).alias("out"), F.exp(-F.col("rate") * t).alias("weight"), F.exp(-F.col("rate") * t).alias("used"), "rate", F.lit(0).alias("k"))
 
+    moves = cut(with_markers(jump, nodes_of(jump)))
+
     def one(x: DataFrame) -> DataFrame:
-        moved = step(x.select("mode", "node", "v"), jump)
         factor = F.col("weight") * F.col("rate") * t / (F.col("k") + 1)
-        kept = x.select("mode", "node", "out", "used", "rate", "k", factor.alias("weight"))
-        both = kept.join(moved, ["mode", "node"], "left").withColumn("v", F.coalesce("v", F.lit(0.0)))
-        return both.select("mode", "node", "v", (F.col("out") + F.col("weight") * F.col("v")).alias("out"), "weight", (F.col("used") + F.col("weight")).alias("used"), "rate", (F.col("k") + 1).alias("k"))
+        moved = x.withColumn("weight", factor).join(moves, ["mode", "node"]).groupBy("mode", F.col("__to").alias("node")).agg(
+            F.sum(F.col("v") * F.col("p")).alias("v"), F.sum(F.when(F.col("own"), F.col("out"))).alias("out"),
+            *(F.max(c).alias(c) for c in ("weight", "used", "rate", "k")),
+        )
+        return moved.select("mode", "node", "v", (F.coalesce("out", F.lit(0.0)) + F.col("weight") * F.col("v")).alias("out"), "weight", (F.col("used") + F.col("weight")).alias("used"), "rate", (F.col("k") + 1).alias("k"))
 
-    return rounds(begin, one, terms).select("mode", "node", (F.col("out") / (F.col("used") if conserve else F.lit(1.0))).alias("n"))
+    return rounds(begin, one, terms, every=10).select("mode", "node", (F.col("out") / (F.col("used") if conserve else F.lit(1.0))).alias("n"))
 
 
 def terms_for(rate_time: float, tolerance: float = 1e-12) -> int:

@@ -122,9 +122,14 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: list[int], n_grades:
     if np.count_nonzero(counts) < 2:
         above = np.array([counts[g:].sum() / counts.sum() if counts.sum() else 1.0 for g in range(1, n_grades)])
         return Ordinal(weights, np.where(above >= 1, -np.inf, np.where(above <= 0, np.inf, 0.0)))
-    flat, value, row = *(np.concatenate(x) for x in zip(*rows, strict=True)), np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
-    often = np.bincount(flat, minlength=BUCKETS)[flat] >= least
-    flat, value, row = flat[often], value[often], row[often]
+    often = np.zeros(BUCKETS, dtype=np.int32)
+    for found, _ in rows:
+        often[found] += 1
+    often = often >= least
+    kept = [often[found] for found, _ in rows]  # before anything is put together, so that rare features take no memory
+    flat = np.concatenate([r[0][k] for r, k in zip(rows, kept, strict=True)]).astype(np.intp)
+    value = np.concatenate([r[1][k] for r, k in zip(rows, kept, strict=True)]).astype(np.float32)
+    row = np.repeat(np.arange(len(rows)), [np.count_nonzero(k) for k in kept])
     share = 1 / (np.count_nonzero(counts) * counts[y])
     target = (y[:, None] >= np.arange(1, n_grades)).astype(float)
     first, gaps = -0.5, np.full(n_grades - 2, 0.0)  # threshold[g + 1] = threshold[g] + exp(gap)
@@ -166,7 +171,7 @@ def train(docs: DataFrame, labels: DataFrame, per_grade: int = PER_GRADE) -> Ord
     made = arrow_map(sample, kernel, "doc_id long, grade int, found binary").groupBy("doc_id").agg(F.min("grade").alias("grade"), F.min("found").alias("found"))
     rows = sorted(made.collect(), key=lambda r: r["doc_id"])
     arrays = [np.frombuffer(r["found"], dtype=np.float32).reshape(2, -1) for r in rows]
-    return fit([(x[0].astype(np.int64), x[1].astype(float)) for x in arrays], [r["grade"] for r in rows])
+    return fit([(x[0].astype(np.int32), x[1]) for x in arrays], [r["grade"] for r in rows])
 
 
 def score(df: DataFrame, model: Ordinal, text_col: str = "text") -> DataFrame:

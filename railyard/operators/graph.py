@@ -149,7 +149,7 @@ def betweenness(edges: DataFrame, sample: int | None = None, seed: int = 0, norm
 
     wanted = spark.createDataFrame([(int(k),) for k in picked], "s int").repartition(min(max(1, len(picked)), spark.sparkContext.defaultParallelism))
     parts = wanted.mapInPandas(accumulate, "k int, b double").groupBy("k").agg((F.sum("b") * scale).alias("b"))
-    labels = spark.createDataFrame(list(enumerate(names)), ["k", "node"])
+    labels = spark.createDataFrame(list(enumerate(names)), f"k int, node {edges.schema['i'].dataType.simpleString()}")
     return labels.join(parts, "k", "left").select("node", F.coalesce("b", F.lit(0.0)).alias("b"))
 
 

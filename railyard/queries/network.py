@@ -125,7 +125,7 @@ def ensemble_stats(spark, sf_dir):
     return runs.groupBy("i").agg(F.round(F.avg("n"), 8).alias("mean"), F.round(F.stddev_samp("n"), 8).alias("sd"), F.round(F.percentile("n", 0.05), 8).alias("q05"), F.round(F.percentile("n", 0.95), 8).alias("q95"))
 
 
-@Q.add(f"WITH {CB}, top AS (SELECT c_nationkey, o_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY x DESC, o_custkey) AS rank FROM cb) SELECT * FROM top WHERE rank <= 3")
+@Q.add(f"WITH {CB}, top AS (SELECT c_nationkey, o_custkey, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY x DESC, o_custkey) AS INTEGER) AS rank FROM cb) SELECT * FROM top WHERE rank <= 3")
 def top_per_group(spark, sf_dir):
     from pyspark.sql.window import Window
 

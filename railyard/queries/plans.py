@@ -199,7 +199,7 @@ def ssa_conservation(spark, sf_dir):
     return simulate.event_ensemble(q, people(spark, sf_dir), 0.5, runs=8).groupBy("run").agg(F.sum("n").alias("total"))
 
 
-@Q.add(f"{EVENT_PEOPLE} SELECT run, point * 0.25 AS t, k * 40 AS total FROM n, (SELECT unnest(range(6)) AS run), (SELECT unnest(range(3)) AS point)")
+@Q.add(f"{EVENT_PEOPLE} SELECT run, CAST(point * 0.25 AS DOUBLE) AS t, k * 40 AS total FROM n, (SELECT unnest(range(6)) AS run), (SELECT unnest(range(3)) AS point)")
 def leap_conservation(spark, sf_dir):
     q = chain.generator(event_chain(spark, sf_dir), event_rates(spark, sf_dir))
     return simulate.leap_ensemble(q, people(spark, sf_dir), 0.5, runs=6, points=3).groupBy("run", "t").agg(F.sum("n").alias("total"))
@@ -214,7 +214,7 @@ def ssa_against_law(spark, sf_dir):
     return simulate.against_mean(simulate.event_ensemble(q, start, 0.5, runs=20), law)
 
 
-@Q.add("SELECT 20000 AS passengers, true AS positive")
+@Q.add("SELECT CAST(20000 AS BIGINT) AS passengers, true AS positive")
 def journey_simulation(spark, sf_dir):
     model = linenet.OpenModel(line_network(spark, sf_dir))
     return model.journeys(model.prior(), 20_000).agg(F.count(F.lit(1)).alias("passengers"), (F.min("seconds") > 0).alias("positive"))

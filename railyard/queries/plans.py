@@ -162,7 +162,7 @@ def corridor_candidates(spark, sf_dir):
 def greedy_links(spark, sf_dir):
     """The three links that lower the network's risk most."""
     base, failed = times(spark, sf_dir), failed_times(spark, sf_dir)
-    names = sorted(r[0] for r in base.select(F.explode(F.array("o", "d"))).distinct().collect())
+    names = sorted(r[0] for r in t.nation_points(spark, sf_dir).select("node").collect())  # places without edges may get links too
     at = {n: k for k, n in enumerate(names)}
     dense = scenario.matrix(base, names)
     import numpy as np

@@ -31,9 +31,14 @@ def event_rates(spark, sf_dir):
 
 
 def sparse_hubs(spark, sf_dir, k: int = 3):
+    """The k cheapest edges of each nation: a thinned graph, as in the SQL. Queries with the suffix _all take all of hub_costs()."""
     return t.hub_costs(spark, sf_dir).withColumn("r", F.row_number().over(Window.partitionBy("i").orderBy("cost", "j"))).filter(F.col("r") <= k).drop("r")
 
 
+def cheapest_hubs(spark, sf_dir):
+    return sparse_hubs(spark, sf_dir, 1)
+
+
 @Q.add(f"WITH {EK} SELECT i, j, n, round(tau_s, 8) AS tau_s, round(p, 8) AS p FROM ek JOIN ee USING (mode, i, j)")
 def softmax_kernel(spark, sf_dir):
     edges = t.event_edges(spark, sf_dir)
@@ -105,44 +110,51 @@ def node_removal(spark, sf_dir):
 BFS = SG + ", b AS (SELECT DISTINCT i AS source, i AS node, 0 AS d FROM sg UNION SELECT b.source, sg.j, b.d + 1 FROM b JOIN sg ON b.node = sg.i WHERE b.d < 24), h AS (SELECT source, node, min(d) AS d FROM b GROUP BY source, node)"
 
 
+@Q.also("all", links=t.hub_costs)
 @Q.add(f"WITH RECURSIVE {BFS} SELECT source, node, d FROM h")
-def bfs_hops(spark, sf_dir):
-    return graph.hops(sparse_hubs(spark, sf_dir))
+def bfs_hops(spark, sf_dir, links=sparse_hubs):
+    return graph.hops(links(spark, sf_dir))
 
 
+@Q.also("all", links=t.hub_costs)
 @Q.add(f"WITH RECURSIVE {BFS}, n AS (SELECT count(*) AS n FROM (SELECT i FROM sg UNION SELECT j FROM sg)) SELECT round(sum(1.0 / d) / max(n * (n - 1)), 9) AS efficiency FROM h, n WHERE d > 0")
-def bfs_efficiency(spark, sf_dir):
-    edges = sparse_hubs(spark, sf_dir)
+def bfs_efficiency(spark, sf_dir, links=sparse_hubs):
+    edges = links(spark, sf_dir)
     n = edges.select("i").union(edges.select("j")).distinct().count()
     return graph.efficiency(graph.hops(edges), n).select(R("efficiency", 9))
 
 
+@Q.also("all", links=t.hub_costs)
 @Q.add(f"WITH RECURSIVE {SG1}, b AS (SELECT i AS a, i AS z FROM sg UNION SELECT j, j FROM sg UNION SELECT b.a, e.z FROM b JOIN (SELECT i AS y, j AS z FROM sg UNION SELECT j, i FROM sg) e ON b.z = e.y) SELECT a AS node, min(z) AS label FROM b GROUP BY a")
-def connected_components(spark, sf_dir):
-    return graph.components(sparse_hubs(spark, sf_dir, 1))
+def connected_components(spark, sf_dir, links=cheapest_hubs):
+    return graph.components(links(spark, sf_dir))
 
 
+@Q.also("all", links=t.hub_costs)
 @Q.add(f"WITH RECURSIVE {SG}, b AS (SELECT i AS a, i AS z FROM sg UNION SELECT j, j FROM sg UNION SELECT b.a, sg.j FROM b JOIN sg ON b.z = sg.i) SELECT x.a AS node, min(x.z) AS label FROM b x JOIN b y ON x.a = y.z AND x.z = y.a GROUP BY x.a")
-def strong_components(spark, sf_dir):
-    return graph.strong_components(sparse_hubs(spark, sf_dir))
+def strong_components(spark, sf_dir, links=sparse_hubs):
+    return graph.strong_components(links(spark, sf_dir))
 
 
 SP = SG + ", w AS (SELECT DISTINCT i AS source, i AS node, 0.0::DOUBLE AS t, 0 AS k FROM (SELECT i FROM sg UNION SELECT j FROM sg) UNION ALL SELECT w.source, sg.j, min(w.t + sg.cost), w.k + 1 FROM w JOIN sg ON w.node = sg.i WHERE w.k < 24 GROUP BY w.source, sg.j, w.k + 1), sp AS (SELECT source, node, min(t) AS t FROM w GROUP BY source, node)"
 
 
+@Q.also("all", links=t.hub_costs)
 @Q.add(f"WITH RECURSIVE {SP} SELECT source, node, round(t, 6) AS t FROM sp")
-def shortest_times(spark, sf_dir):
-    return graph.shortest(sparse_hubs(spark, sf_dir)).select("source", "node", R("t", 6))
+def shortest_times(spark, sf_dir, links=sparse_hubs):
+    return graph.shortest(links(spark, sf_dir)).select("source", "node", R("t", 6))
 
 
+@Q.also("all", links=t.hub_costs)
 @Q.add(f"WITH RECURSIVE {SG}, c AS (SELECT DISTINCT i AS source, i AS node, 0 AS d, 1.0::DOUBLE AS n FROM sg UNION ALL SELECT c.source, sg.j, c.d + 1, sum(c.n) FROM c JOIN sg ON c.node = sg.i WHERE c.d < 24 GROUP BY c.source, sg.j, c.d + 1), s AS (SELECT source, node, min(d) AS d, arg_min(n, d) AS n FROM c GROUP BY source, node), k AS (SELECT count(*) AS k FROM (SELECT i FROM sg UNION SELECT j FROM sg)), v AS (SELECT x.node, sum(x.n * y.n / z.n) AS b FROM s x JOIN s y ON x.node = y.source JOIN s z ON z.source = x.source AND z.node = y.node AND z.d = x.d + y.d WHERE x.d > 0 AND y.d > 0 AND z.d > 0 GROUP BY x.node) SELECT a.node, round(coalesce(b, 0.0) / ((k - 1) * (k - 2)), 8) AS b FROM (SELECT i AS node FROM sg UNION SELECT j FROM sg) a LEFT JOIN v USING (node), k")
-def betweenness(spark, sf_dir):
-    return graph.betweenness(sparse_hubs(spark, sf_dir)).select("node", R("b"))
+def betweenness(spark, sf_dir, links=sparse_hubs):
+    return graph.betweenness(links(spark, sf_dir)).select("node", R("b"))
 
 
+@Q.also("all", links=t.hub_costs)
 @Q.add(f"WITH RECURSIVE {SG}, n AS (SELECT i AS node FROM sg UNION SELECT j FROM sg), b AS (SELECT r.node AS removed, n.node AS a, n.node AS z FROM n, n r WHERE n.node <> r.node UNION SELECT b.removed, b.a, sg.j FROM b JOIN sg ON b.z = sg.i WHERE sg.j <> b.removed) SELECT removed AS node, count(*) < ((SELECT count(*) FROM n) - 1) * ((SELECT count(*) FROM n) - 1) AS breaks FROM b GROUP BY removed")
-def breaking_nodes(spark, sf_dir):
-    return graph.breaking_nodes(sparse_hubs(spark, sf_dir))
+def breaking_nodes(spark, sf_dir, links=sparse_hubs):
+    return graph.breaking_nodes(links(spark, sf_dir))
 
 
 @Q.add()

@@ -112,8 +112,8 @@ def uncovered_people(spark, sf_dir):
 OD = SP + ", tt AS (SELECT source AS o, node AS d, t FROM sp WHERE source <> node), og AS (SELECT c_nationkey AS o, sum(greatest(c_acctbal, 0.0)) / 1000 AS made, min(n_regionkey) AS k FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY c_nationkey), ad AS (SELECT s_nationkey AS d, sum(greatest(s_acctbal, 0.0)) / 1000 AS drawn, min(n_regionkey) AS l FROM supplier JOIN nation ON n_nationkey = s_nationkey GROUP BY s_nationkey)"
 
 
-def times(spark, sf_dir):
-    return graph.shortest(sparse_hubs(spark, sf_dir)).filter("source <> node").select(F.col("source").alias("o"), F.col("node").alias("d"), "t")
+def times(spark, sf_dir, links=sparse_hubs):
+    return graph.shortest(links(spark, sf_dir)).filter("source <> node").select(F.col("source").alias("o"), F.col("node").alias("d"), "t")
 
 
 def origins(spark, sf_dir):
@@ -129,9 +129,10 @@ def attractions(spark, sf_dir):
 GP = OD + ", gx AS (SELECT o, d, drawn * exp(-0.02 * t) AS x FROM tt JOIN ad USING (d)), gp AS (SELECT o, d, made * x / sum(x) OVER (PARTITION BY o) AS w FROM gx JOIN og USING (o))"
 
 
+@Q.also("all", links=t.hub_costs)
 @Q.add(f"WITH RECURSIVE {GP} SELECT o, d, round(w, 6) AS w FROM gp")
-def gravity_production(spark, sf_dir):
-    return demand.production(times(spark, sf_dir), origins(spark, sf_dir).drop("k"), attractions(spark, sf_dir).drop("l"), 0.02).select("o", "d", R("w"))
+def gravity_production(spark, sf_dir, links=sparse_hubs):
+    return demand.production(times(spark, sf_dir, links), origins(spark, sf_dir).drop("k"), attractions(spark, sf_dir).drop("l"), 0.02).select("o", "d", R("w"))
 
 
 IPF = OD + ", tot AS (SELECT (SELECT sum(made) FROM og) / (SELECT sum(drawn) FROM ad) AS f), w0 AS (SELECT o, d, made, drawn * f AS drawn, exp(-0.02 * t) AS w FROM tt JOIN og USING (o) JOIN ad USING (d), tot)"
@@ -139,21 +140,24 @@ for _k in range(1, 5):
     IPF += f", v{_k} AS (SELECT o, d, made, drawn, w * made / sum(w) OVER (PARTITION BY o) AS w FROM w{_k - 1}), w{_k} AS (SELECT o, d, made, drawn, w * drawn / sum(w) OVER (PARTITION BY d) AS w FROM v{_k})"
 
 
+@Q.also("all", links=t.hub_costs)
 @Q.add(f"WITH RECURSIVE {IPF} SELECT o, d, round(w, 6) AS w FROM w4")
-def gravity_ipf_k(spark, sf_dir):
-    return demand.balanced(times(spark, sf_dir), origins(spark, sf_dir).drop("k"), attractions(spark, sf_dir).drop("l"), 0.02, n_rounds=4).select("o", "d", R("w"))
+def gravity_ipf_k(spark, sf_dir, links=sparse_hubs):
+    return demand.balanced(times(spark, sf_dir, links), origins(spark, sf_dir).drop("k"), attractions(spark, sf_dir).drop("l"), 0.02, n_rounds=4).select("o", "d", R("w"))
 
 
+@Q.also("all", links=t.hub_costs)
 @Q.add(f"WITH RECURSIVE {OD}, q AS (SELECT a.r_regionkey AS k, b.r_regionkey AS l, 10.0 + a.r_regionkey * 3 + b.r_regionkey AS q FROM region a, region b), x AS (SELECT o, d, k, l, made * drawn * exp(-0.02 * t) AS x FROM tt JOIN og USING (o) JOIN ad USING (d)) SELECT o, d, round(q * x / sum(x) OVER (PARTITION BY k, l), 8) AS w FROM x JOIN q USING (k, l)")
-def census_blocks(spark, sf_dir):
+def census_blocks(spark, sf_dir, links=sparse_hubs):
     a = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("k"))
     quotas = a.crossJoin(a.select(F.col("k").alias("l"))).withColumn("q", 10.0 + F.col("k") * 3 + F.col("l"))
-    return demand.blocks(times(spark, sf_dir), origins(spark, sf_dir), attractions(spark, sf_dir), quotas, 0.02).select("o", "d", R("w", 8))
+    return demand.blocks(times(spark, sf_dir, links), origins(spark, sf_dir), attractions(spark, sf_dir), quotas, 0.02).select("o", "d", R("w", 8))
 
 
+@Q.also("all", links=t.hub_costs)
 @Q.add(f"WITH RECURSIVE {GP} SELECT round(sum(w * t) / sum(w), 6) AS mean FROM gp JOIN tt USING (o, d)")
-def mean_od_time(spark, sf_dir):
-    tt = times(spark, sf_dir)
+def mean_od_time(spark, sf_dir, links=sparse_hubs):
+    tt = times(spark, sf_dir, links)
     return demand.mean_time(demand.production(tt, origins(spark, sf_dir).drop("k"), attractions(spark, sf_dir).drop("l"), 0.02), tt).select(R("mean"))
 
 

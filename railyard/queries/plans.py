@@ -90,59 +90,65 @@ def weights(spark, sf_dir):
     return demand.od_from_vector(v)
 
 
-def failed_times(spark, sf_dir):
+def failed_times(spark, sf_dir, links=sparse_hubs):
     """(closed, o, d, t) without each of the hubs, all in one label-correcting run."""
-    links = sparse_hubs(spark, sf_dir)
-    nodes = links.select(F.col("i").alias("closed")).union(links.select("j")).distinct()
-    left = links.crossJoin(F.broadcast(nodes)).filter("i <> closed and j <> closed")
+    own = links(spark, sf_dir)
+    nodes = own.select(F.col("i").alias("closed")).union(own.select("j")).distinct()
+    left = own.crossJoin(F.broadcast(nodes)).filter("i <> closed and j <> closed")
     starts = nodes.crossJoin(F.broadcast(nodes.select(F.col("closed").alias("source")))).filter("source <> closed")
     return graph.shortest(left, starts, carry=("closed",)).filter("source <> node").select("closed", F.col("source").alias("o"), F.col("node").alias("d"), "t")
 
 
+@Q.also("all", links=t.hub_costs)
 @Q.add(f"WITH RECURSIVE {FAIL}, e0 AS (SELECT sum(w / t) / (SELECT sum(w) FROM ow) AS e FROM tt JOIN ow USING (o, d)), a AS (SELECT closed, sum(w / t) / (SELECT sum(w) FROM ow) AS e, sum(CASE WHEN o <> closed AND d <> closed THEN w / t END) AS n FROM ft JOIN ow USING (o, d) GROUP BY closed), b AS (SELECT k AS closed, sum(CASE WHEN o <> k AND d <> k THEN w / t END) AS n FROM tt JOIN ow USING (o, d), nd GROUP BY k) SELECT a.closed, round(1 - a.e / e0.e, 8) AS loss, round(1 - a.n / b.n, 8) AS network_loss FROM a JOIN b USING (closed), e0")
-def closure_loss(spark, sf_dir):
-    failed = failed_times(spark, sf_dir).withColumn("scenario", F.lit("failure"))
-    return linenet.closure_loss(times(spark, sf_dir), failed, weights(spark, sf_dir)).select("closed", R("loss"), R("network_loss"))
+def closure_loss(spark, sf_dir, links=sparse_hubs):
+    failed = failed_times(spark, sf_dir, links).withColumn("scenario", F.lit("failure"))
+    return linenet.closure_loss(times(spark, sf_dir, links), failed, weights(spark, sf_dir)).select("closed", R("loss"), R("network_loss"))
 
 
 VUL = FAIL + ", a AS (SELECT closed AS k, sum(w / t) AS n FROM ft JOIN ow USING (o, d) WHERE o <> closed AND d <> closed GROUP BY closed), b AS (SELECT k, sum(w / t) AS n FROM tt JOIN ow USING (o, d), nd WHERE o <> k AND d <> k GROUP BY k), v AS (SELECT k, 1 - coalesce(a.n / b.n, 0) AS v FROM b LEFT JOIN a USING (k))"
 
 
+@Q.also("all", links=t.hub_costs)
 @Q.add(f"WITH RECURSIVE {VUL} SELECT k, round(v, 8) AS v FROM v")
-def vulnerability(spark, sf_dir):
-    return scenario.vulnerability(times(spark, sf_dir), failed_times(spark, sf_dir).withColumnRenamed("closed", "k"), weights(spark, sf_dir)).select("k", R("v"))
+def vulnerability(spark, sf_dir, links=sparse_hubs):
+    return scenario.vulnerability(times(spark, sf_dir, links), failed_times(spark, sf_dir, links).withColumnRenamed("closed", "k"), weights(spark, sf_dir)).select("k", R("v"))
 
 
+@Q.also("all", links=t.hub_costs)
 @Q.add(f"WITH RECURSIVE {VUL} SELECT round(0.5 * avg(v) + 0.5 * max(v), 8) AS j FROM v")
-def vulnerability_j(spark, sf_dir):
-    return scenario.risk(scenario.vulnerability(times(spark, sf_dir), failed_times(spark, sf_dir).withColumnRenamed("closed", "k"), weights(spark, sf_dir))).select(R("j"))
+def vulnerability_j(spark, sf_dir, links=sparse_hubs):
+    return scenario.risk(scenario.vulnerability(times(spark, sf_dir, links), failed_times(spark, sf_dir, links).withColumnRenamed("closed", "k"), weights(spark, sf_dir))).select(R("j"))
 
 
 CAND = f", {t.NP}, tt AS (SELECT source AS o, node AS d, t FROM sp WHERE source <> node), nw AS (SELECT least(o, d) AS a, greatest(o, d) AS b, min(t) AS now FROM tt GROUP BY 1, 2), cl AS (SELECT p.node AS a, q.node AS b, 0.001 * {t.haversine_sql('p', 'q')} AS c, {t.haversine_sql('p', 'q')} AS m FROM np p, np q WHERE p.node < q.node AND {t.haversine_sql('p', 'q')} BETWEEN 150 AND 9000 AND NOT EXISTS (SELECT 1 FROM sg WHERE least(i, j) = p.node AND greatest(i, j) = q.node)), cd AS (SELECT a, b, c, m FROM cl LEFT JOIN nw USING (a, b) WHERE coalesce(now >= 1.5 * c, true))"
 
 
-def link_candidates(spark, sf_dir):
+def link_candidates(spark, sf_dir, links=sparse_hubs):
     distance = scalar.haversine_m("lat_a", "lon_a", "lat_b", "lon_b")
-    return scenario.candidate_links(t.nation_points(spark, sf_dir).select("node", "lat", "lon"), sparse_hubs(spark, sf_dir), times(spark, sf_dir), 0.001, distance, 150.0, 9000.0)
+    return scenario.candidate_links(t.nation_points(spark, sf_dir).select("node", "lat", "lon"), links(spark, sf_dir), times(spark, sf_dir, links), 0.001, distance, 150.0, 9000.0)
 
 
+@Q.also("all", links=t.hub_costs)
 @Q.add(f"WITH RECURSIVE {SP}{CAND} SELECT a, b, round(c, 8) AS c, round(m, 4) AS m FROM cd")
-def candidate_links(spark, sf_dir):
-    return link_candidates(spark, sf_dir).select("a", "b", R("c"), R("m", 4))
+def candidate_links(spark, sf_dir, links=sparse_hubs):
+    return link_candidates(spark, sf_dir, links).select("a", "b", R("c"), R("m", 4))
 
 
+@Q.also("all", links=t.hub_costs)
 @Q.add(f"WITH RECURSIVE {SP}{ODW}{CAND}, fu AS (SELECT * FROM tt UNION ALL SELECT DISTINCT o, o, 0.0 FROM (SELECT o FROM tt UNION SELECT d FROM tt)), bo AS (SELECT a, b, a AS p, b AS q, c FROM cd UNION ALL SELECT a, b, b, a, c FROM cd), nt AS (SELECT a, b, o, d, min(t) AS t FROM (SELECT bo.a, bo.b, f.o, g.d, f.t + bo.c + g.t AS t FROM bo JOIN fu f ON f.d = bo.p JOIN fu g ON g.o = bo.q WHERE f.o <> g.d UNION ALL SELECT cd.a, cd.b, o, d, t FROM tt, cd) GROUP BY a, b, o, d) SELECT a, b, round(sum(w / t) / (SELECT sum(w) FROM ow), 10) AS e FROM nt JOIN ow USING (o, d) GROUP BY a, b")
-def edge_insert_minplus(spark, sf_dir):
-    links = link_candidates(spark, sf_dir).select(F.col("a").alias("ka"), F.col("b").alias("kb"), "a", "b", "c")
-    changed = scenario.insert_links(times(spark, sf_dir), links, ("ka", "kb"))
+def edge_insert_minplus(spark, sf_dir, links=sparse_hubs):
+    more = link_candidates(spark, sf_dir, links).select(F.col("a").alias("ka"), F.col("b").alias("kb"), "a", "b", "c")
+    changed = scenario.insert_links(times(spark, sf_dir, links), more, ("ka", "kb"))
     return scenario.efficiency(changed, weights(spark, sf_dir), ("ka", "kb")).select(F.col("ka").alias("a"), F.col("kb").alias("b"), R("e", 10))
 
 
+@Q.also("all", links=t.hub_costs)
 @Q.add(f"WITH RECURSIVE {SP}{ODW}, tt AS (SELECT source AS o, node AS d, t FROM sp WHERE source <> node), fu AS (SELECT * FROM tt UNION ALL SELECT DISTINCT o, o, 0.0 FROM (SELECT o FROM tt UNION SELECT d FROM tt)), st AS (SELECT n_nationkey AS hub, 2.0 * row_number() OVER (ORDER BY n_nationkey) AS cum FROM nation WHERE n_regionkey = 0), ll AS (SELECT x.hub AS a, y.hub AS b, 1.5 + abs(x.cum - y.cum) AS c FROM st x, st y WHERE x.hub <> y.hub), nt AS (SELECT o, d, min(t) AS t FROM (SELECT * FROM tt UNION ALL SELECT f.o, g.d, f.t + ll.c + g.t FROM ll JOIN fu f ON f.d = ll.a JOIN fu g ON g.o = ll.b WHERE f.o <> g.d) GROUP BY o, d), e0 AS (SELECT sum(w / t) AS e FROM tt JOIN ow USING (o, d)) SELECT round(sum(w / t) / (SELECT e FROM e0) - 1, 9) AS gain FROM nt JOIN ow USING (o, d)")
-def line_minplus_gain(spark, sf_dir):
+def line_minplus_gain(spark, sf_dir, links=sparse_hubs):
     from pyspark.sql.window import Window
 
-    base, od = times(spark, sf_dir), weights(spark, sf_dir)
+    base, od = times(spark, sf_dir, links), weights(spark, sf_dir)
     stations = table(spark, sf_dir, "nation").filter("n_regionkey = 0").select(F.col("n_nationkey").alias("hub"), (2.0 * F.row_number().over(Window.partitionBy("n_regionkey").orderBy("n_nationkey"))).alias("cum"))
     changed = scenario.insert_line(base, scenario.line_links(stations, 3.0))
     e0 = scenario.efficiency(base, od).select(F.col("e").alias("e0"))
@@ -159,9 +165,9 @@ def corridor_candidates(spark, sf_dir):
 
 
 @Q.add()
-def greedy_links(spark, sf_dir):
+def greedy_links(spark, sf_dir, links=t.hub_costs):
     """The three links that lower the network's risk most."""
-    base, failed = times(spark, sf_dir), failed_times(spark, sf_dir)
+    base, failed = times(spark, sf_dir, links), failed_times(spark, sf_dir, links)
     names = sorted(r[0] for r in t.nation_points(spark, sf_dir).select("node").collect())  # places without edges may get links too
     at = {n: k for k, n in enumerate(names)}
     dense = scenario.matrix(base, names)
@@ -175,9 +181,9 @@ def greedy_links(spark, sf_dir):
         np.fill_diagonal(m, 0)
     w = scenario.matrix(weights(spark, sf_dir).select("o", "d", F.col("w").alias("t")), names)
     w[~np.isfinite(w)] = 0
-    links = scenario.Links(dense, own, w)
-    rows = [(at[r["a"]], at[r["b"]], r["c"]) for r in link_candidates(spark, sf_dir).orderBy("a", "b").collect()]
-    return spark.createDataFrame([(n, names[a], names[b], float(c), float(j)) for n, ((a, b, c), j) in enumerate(links.greedy(rows, 3, prescreen=30))], "step int, a int, b int, c double, j double")
+    scorer = scenario.Links(dense, own, w)
+    rows = [(at[r["a"]], at[r["b"]], r["c"]) for r in link_candidates(spark, sf_dir, links).orderBy("a", "b").collect()]
+    return spark.createDataFrame([(n, names[a], names[b], float(c), float(j)) for n, ((a, b, c), j) in enumerate(scorer.greedy(rows, 3, prescreen=30))], "step int, a int, b int, c double, j double")
 
 
 @Q.add("SELECT n_regionkey, arg_min(n_nationkey, rank) AS station FROM (SELECT n_regionkey, n_nationkey, CASE WHEN n_name = 'CHINA' THEN 0 WHEN starts_with(n_name, 'C') THEN 1 ELSE 2 END * 100 + n_nationkey AS rank FROM nation) GROUP BY n_regionkey")

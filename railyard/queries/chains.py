@@ -68,14 +68,20 @@ def row_entropy_lambda_sweep(spark, sf_dir):
 CESARO = EK + ", x AS (SELECT node, v, 0 AS k FROM (SELECT i AS node, 1.0::DOUBLE / count(*) OVER () AS v FROM (SELECT DISTINCT i FROM ek)) UNION ALL SELECT ek.j, sum(x.v * ek.p), x.k + 1 FROM x JOIN ek ON x.node = ek.i WHERE x.k < 20 GROUP BY ek.j, x.k + 1)"
 
 
+def cesaro(own):
+    return chain.stationary(own, n_rounds=20)
+
+
+@Q.also("full", law=chain.stationary_limit)
 @Q.add(f"WITH RECURSIVE {CESARO} SELECT node, round(sum(v) / 21, 8) AS pi FROM x GROUP BY node")
-def stationary_cesaro(spark, sf_dir):
-    return chain.stationary(event_chain(spark, sf_dir), n_rounds=20).select("node", R("pi"))
+def stationary_cesaro(spark, sf_dir, law=cesaro):
+    return law(event_chain(spark, sf_dir)).select("node", R("pi"))
 
 
+@Q.also("full", law=chain.stationary_limit)
 @Q.add(f"WITH RECURSIVE {CESARO}{EM}, pi AS (SELECT node, sum(v) / 21 AS pi FROM x GROUP BY node) SELECT node, round(pi / sum(pi / mu) OVER (), 8) AS flux FROM pi JOIN em ON node = em.i")
-def departure_flux(spark, sf_dir):
-    return chain.departure_flux(chain.stationary(event_chain(spark, sf_dir), n_rounds=20), event_rates(spark, sf_dir)).select("node", R("flux"))
+def departure_flux(spark, sf_dir, law=cesaro):
+    return chain.departure_flux(law(event_chain(spark, sf_dir)), event_rates(spark, sf_dir)).select("node", R("flux"))
 
 
 @Q.add(f"WITH {t.LV}, served AS (SELECT DISTINCT mode, stop FROM lv), pop AS (SELECT c_nationkey, sum(c_acctbal) AS n FROM customer GROUP BY c_nationkey) SELECT mode, stop AS node, round(coalesce(n, 0) / count(*) OVER (PARTITION BY stop), 6) AS n FROM served LEFT JOIN pop ON c_nationkey = stop")

@@ -140,10 +140,10 @@ for _k in range(1, 5):
     IPF += f", v{_k} AS (SELECT o, d, made, drawn, w * made / sum(w) OVER (PARTITION BY o) AS w FROM w{_k - 1}), w{_k} AS (SELECT o, d, made, drawn, w * drawn / sum(w) OVER (PARTITION BY d) AS w FROM v{_k})"
 
 
-@Q.also("all", links=t.hub_costs)
+@Q.also("all", links=t.hub_costs, n_rounds=None)
 @Q.add(f"WITH RECURSIVE {IPF} SELECT o, d, round(w, 6) AS w FROM w4")
-def gravity_ipf_k(spark, sf_dir, links=sparse_hubs):
-    return demand.balanced(times(spark, sf_dir, links), origins(spark, sf_dir).drop("k"), attractions(spark, sf_dir).drop("l"), 0.02, n_rounds=4).select("o", "d", R("w"))
+def gravity_ipf_k(spark, sf_dir, links=sparse_hubs, n_rounds=4):
+    return demand.balanced(times(spark, sf_dir, links), origins(spark, sf_dir).drop("k"), attractions(spark, sf_dir).drop("l"), 0.02, n_rounds).select("o", "d", R("w"))
 
 
 @Q.also("all", links=t.hub_costs)

@@ -54,24 +54,27 @@ def subgenerator(spark, sf_dir):
     return linenet.OpenModel(line_network(spark, sf_dir)).rates.select("src", "dst", R("rate", 10))
 
 
+@Q.also("full", n_rounds=None)
 @Q.add(f"WITH RECURSIVE {NET}{SOURCE} SELECT state, round(mass, 6) AS mass FROM ma")
-def steady_state_k(spark, sf_dir):
+def steady_state_k(spark, sf_dir, n_rounds=6):
     model = linenet.OpenModel(line_network(spark, sf_dir))
-    return model.steady_state(source(model), n_rounds=6).select("state", R("mass", 6))
+    return model.steady_state(source(model), n_rounds).select("state", R("mass", 6))
 
 
+@Q.also("full", n_rounds=None)
 @Q.add(f"WITH RECURSIVE {NET}{SOURCE}, f AS (SELECT md AS mode, coalesce(w.mass, 0) * q AS boarding, coalesce(r.mass, 0) / tau AS flow, coalesce(r.mass, 0) / tau * pa AS alighting FROM m3 LEFT JOIN ma r ON r.state = s LEFT JOIN ma w ON w.state = 'H' || i) SELECT mode, round(sum(boarding), 6) AS boarding, round(sum(flow), 6) AS flow, round(sum(alighting), 6) AS alighting, round(sum(boarding) / sum(sum(boarding)) OVER (), 8) AS split FROM f GROUP BY mode")
-def network_flows(spark, sf_dir):
+def network_flows(spark, sf_dir, n_rounds=6):
     model = linenet.OpenModel(line_network(spark, sf_dir))
-    own = model.flows(model.steady_state(source(model), n_rounds=6)).groupBy("mode").agg(F.sum("boarding").alias("boarding"), F.sum("flow").alias("flow"), F.sum("alighting").alias("alighting"))
+    own = model.flows(model.steady_state(source(model), n_rounds)).groupBy("mode").agg(F.sum("boarding").alias("boarding"), F.sum("flow").alias("flow"), F.sum("alighting").alias("alighting"))
     return own.crossJoin(F.broadcast(own.agg(F.sum("boarding").alias("all")))).select("mode", R("boarding", 6), R("flow", 6), R("alighting", 6), F.round(F.col("boarding") / F.col("all"), 8).alias("split"))
 
 
+@Q.also("full", n_rounds=None)
 @Q.add(f"WITH RECURSIVE {NET}{SOURCE} SELECT round(sum(mass) / 10.0, 6) AS seconds FROM ma")
-def journey_time_k(spark, sf_dir):
+def journey_time_k(spark, sf_dir, n_rounds=6):
     model = linenet.OpenModel(line_network(spark, sf_dir))
     own = source(model)
-    return model.journey_time(own, model.steady_state(own, n_rounds=6)).select(R("seconds", 6))
+    return model.journey_time(own, model.steady_state(own, n_rounds)).select(R("seconds", 6))
 
 
 @Q.add(f"WITH {NET} SELECT src, dst, round(rate / sum(rate) OVER (PARTITION BY src), 9) AS p FROM ra")

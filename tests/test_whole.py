@@ -4,6 +4,8 @@ import numpy as np
 import pytest
 
 from railyard import catalogue
+from railyard.plans import chain, linenet
+from railyard.queries import chains, demand, plans
 from railyard.queries import tables as t
 
 SF = "/root/testdata/sf0.001"
@@ -42,3 +44,42 @@ def test_new_links_are_those_the_whole_network_lacks(spark):
     edges = {frozenset((r.i, r.j)) for r in t.hub_costs(spark, SF).collect()}
     for name in ("candidate_links_all", "greedy_links"):
         assert not any(frozenset((r.a, r.b)) in edges for r in catalogue.QUERIES[name](spark, SF).collect())
+
+
+def test_open_network_is_solved_to_the_end(spark):
+    model = linenet.OpenModel(plans.line_network(spark, SF))
+    rates, source = model.rates.collect(), {f"H{r.hub}": r.rate for r in plans.source(model).collect()}
+    names = sorted({r.src for r in rates})
+    at = {x: k for k, x in enumerate(names)}
+    m = np.zeros((len(names), len(names)))
+    for r in rates:
+        m[at[r.src], at[r.src]] += r.rate
+        if r.dst != "exit":
+            m[at[r.src], at[r.dst]] -= r.rate
+    mass = np.linalg.solve(m.T, [source.get(x, 0.0) for x in names])
+    got = {r.state: r.mass for r in catalogue.QUERIES["steady_state_k_full"](spark, SF).collect()}
+    assert [got.get(x, 0.0) for x in names] == pytest.approx(mass, rel=1e-6, abs=2e-6)
+    assert catalogue.QUERIES["journey_time_k_full"](spark, SF).first().seconds == pytest.approx(mass.sum() / sum(source.values()), rel=1e-8)
+    flows = catalogue.QUERIES["network_flows_full"](spark, SF).collect()
+    boarding = sum(mass[at[f"H{r.from_hub}"]] * r.q_board for r in model.segments.collect())
+    assert sum(r.boarding for r in flows) == pytest.approx(boarding, rel=1e-6)
+
+
+def test_stationary_law_is_the_limit(spark):
+    own = chains.event_chain(spark, SF).collect()
+    pi = {r.node: r.pi for r in catalogue.QUERIES["stationary_cesaro_full"](spark, SF).collect()}
+    for node, mass in pi.items():
+        assert sum(pi[r.i] * r.p for r in own if r.j == node) == pytest.approx(mass, abs=5e-8)
+    mu = {r.i: r.mu for r in chains.event_rates(spark, SF).collect()}
+    held = sum(v / mu[k] for k, v in pi.items())
+    assert {r.node: r.flux for r in catalogue.QUERIES["departure_flux_full"](spark, SF).collect()} == {k: pytest.approx(v / held, rel=1e-6) for k, v in pi.items()}
+    # periodic, and with two ends that are never left
+    assert chain.cesaro_limit(np.roll(np.eye(3), 1, 1)) == pytest.approx(np.full((3, 3), 1 / 3))
+    assert chain.cesaro_limit(np.array([[0.5, 0.3, 0.2], [0, 1, 0], [0, 0, 1]]))[0] == pytest.approx([0, 0.6, 0.4])
+
+
+def test_gravity_is_balanced(spark):
+    larger = "/root/testdata/sf0.01"
+    own = catalogue.QUERIES["gravity_ipf_k_all"](spark, larger).collect()
+    for r in demand.origins(spark, larger).collect():
+        assert sum(x.w for x in own if x.o == r.o) == pytest.approx(r.made, rel=1e-6)

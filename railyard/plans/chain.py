@@ -124,12 +124,28 @@ def allocate(population: DataFrame, nodes: DataFrame) -> DataFrame:
     return served.join(population, "node", "left").select("mode", "node", (F.coalesce("n", F.lit(0.0)) / F.col("__k")).alias("n"))
 
 
-def transient(q: DataFrame, start: DataFrame, t: float, terms: int, conserve: bool = True) -> DataFrame:
-    """N(t) = N0 e^{Qt} by uniformization with so many terms; start (mode, node, v).
+#: Largest rate times time of one series: e to the minus that is far from underflow.
+SERIES = 200.0
 
-    conserve: what the series leaves out is scaled back in, so mass is kept.
+
+def transient(q: DataFrame, start: DataFrame, t: float, terms: int | None = None, conserve: bool = True) -> DataFrame:
+    """N(t) = N0 e^{Qt} by uniformization; start (mode, node, v).
+
+    terms: so many of one series; by default as many as leave out less than 1e-12, in steps of time that keep the first
+    weight from underflow. conserve: what the series leaves out is scaled back in, so mass is kept.
     """
     q = cut(q)
+    if terms is None:
+        fastest = q.filter("i = j").agg(F.max(-F.col("q"))).first()[0] or 0.0
+        steps = max(1, math.ceil(fastest * t / SERIES))
+        terms = terms_for(fastest * t / steps)
+        for _ in range(steps - 1):
+            start = _series(q, start, t / steps, terms, conserve).withColumnRenamed("n", "v")
+        return _series(q, start, t / steps, terms, conserve)
+    return _series(q, start, t, terms, conserve)
+
+
+def _series(q: DataFrame, start: DataFrame, t: float, terms: int, conserve: bool) -> DataFrame:
     top = q.filter("i = j").groupBy("mode").agg(F.max(-F.col("q")).alias("rate"))
     jump = q.join(F.broadcast(top), "mode").select("mode", "i", "j", (F.when(F.col("i") == F.col("j"), 1.0).otherwise(0.0) + F.col("q") / F.col("rate")).alias("p"))
     begin = start.join(F.broadcast(top), "mode").select("mode", "node", "v", (F.col("v") * F.exp(-F.col("rate") * t)).alias("out"), F.exp(-F.col("rate") * t).alias("weight"), F.exp(-F.col("rate") * t).alias("used"), "rate", F.lit(0).alias("k"))

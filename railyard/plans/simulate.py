@@ -40,12 +40,12 @@ class Moves:
         return int(self.j[min(np.searchsorted(self.cdf[a:b], state + u) + a, b - 1)])
 
 
-def events(moves: Moves, start: np.ndarray, horizon: float, seed: int, most: int = 500_000) -> tuple[np.ndarray, int, bool]:
-    """Exact (direct) simulation: state at the end, number of events, whether the horizon was reached."""
+def events(moves: Moves, start: np.ndarray, horizon: float, seed: int, most: int | None = 500_000) -> tuple[np.ndarray, int, bool]:
+    """Exact (direct) simulation: state at the end, number of events, whether the horizon was reached. most: events, None for no limit."""
     rng, n, t, k = np.random.default_rng(seed), whole_people(start), 0.0, 0
     rates = n * moves.out
     total = rates.sum()
-    while k < most:
+    while most is None or k < most:
         if total <= 1e-15:
             return n, k, True
         t += rng.exponential(1 / total)
@@ -101,7 +101,7 @@ def _runs(spark: SparkSession, runs: int) -> DataFrame:
     return spark.range(runs, numPartitions=min(runs, spark.sparkContext.defaultParallelism))
 
 
-def event_ensemble(q: DataFrame, start: DataFrame, horizon: float, runs: int = 40, most: int = 500_000, most_channels: int = 2_000_000) -> DataFrame:
+def event_ensemble(q: DataFrame, start: DataFrame, horizon: float, runs: int = 40, most: int | None = 500_000, most_channels: int = 2_000_000) -> DataFrame:
     """(run, mode, node, n, events, complete) of exact runs 0, 1, ..., each seeded by its number."""
     names, moves, n0 = _collected(q, start, most_channels)
     shared = q.sparkSession.sparkContext.broadcast((moves, n0))
@@ -142,7 +142,13 @@ def _named(out: DataFrame, names: list[tuple], q: DataFrame) -> DataFrame:
 
 
 def against_mean(runs: DataFrame, law: DataFrame) -> DataFrame:
-    """Ensemble mean and deviation beside the law (mode, node, n), with the z-score and the relative L1 distance of the whole."""
+    """Ensemble mean and deviation beside the law (mode, node, n), with the z-score and the relative L1 distance of the whole.
+
+    Runs that stopped before the horizon (not `complete`) are an error: they have no place beside the law there.
+    """
+    if "complete" in runs.columns:
+        stopped = F.raise_error(F.concat(F.lit("run "), F.col("run").cast("string"), F.lit(" stopped before the horizon"))).cast("long")
+        runs = runs.withColumn("n", F.when(F.col("complete"), F.col("n")).otherwise(stopped))
     own = runs.groupBy("mode", "node").agg(F.avg("n").alias("mean"), F.stddev_samp("n").alias("sd"), F.count(F.lit(1)).alias("runs"))
     joined = own.join(law.withColumnRenamed("n", "expected"), ["mode", "node"])
     total = joined.agg((F.sum(F.abs(F.col("mean") - F.col("expected"))) / F.sum("expected")).alias("relative_l1"))

@@ -97,7 +97,7 @@ def modal_allocation(spark, sf_dir):
 def transient_law(spark, sf_dir):
     own = event_chain(spark, sf_dir)
     names = chain.nodes_of(own).select("mode", "node", (100.0 * F.row_number().over(Window.partitionBy("mode").orderBy("node"))).alias("v"))
-    return chain.transient(chain.generator(own, event_rates(spark, sf_dir)), names, 0.5, 24).select("node", R("n", 6))
+    return chain.transient(chain.generator(own, event_rates(spark, sf_dir)), names, 0.5).select("node", R("n", 6))
 
 
 @Q.add(f"WITH {t.EV}{EM} SELECT least(1.0, round(0.03 / max(mu), 12)) AS leap FROM em WHERE i <> 'none'")

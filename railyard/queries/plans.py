@@ -205,7 +205,7 @@ def people(spark, sf_dir):
 @Q.add(f"{EVENT_PEOPLE} SELECT unnest(range(8)) AS run, k * 40 AS total FROM n")
 def ssa_conservation(spark, sf_dir):
     q = chain.generator(event_chain(spark, sf_dir), event_rates(spark, sf_dir))
-    return simulate.event_ensemble(q, people(spark, sf_dir), 0.5, runs=8).groupBy("run").agg(F.sum("n").alias("total"))
+    return simulate.event_ensemble(q, people(spark, sf_dir), 0.5, runs=8, most=None).groupBy("run").agg(F.sum("n").alias("total"))
 
 
 @Q.add(f"{EVENT_PEOPLE} SELECT run, CAST(point * 0.25 AS DOUBLE) AS t, k * 40 AS total FROM n, (SELECT unnest(range(6)) AS run), (SELECT unnest(range(3)) AS point)")
@@ -219,8 +219,8 @@ def ssa_against_law(spark, sf_dir):
     """Ensemble means beside the transient law."""
     q = chain.generator(event_chain(spark, sf_dir), event_rates(spark, sf_dir))
     start = people(spark, sf_dir)
-    law = chain.transient(q, start.select("mode", "node", F.col("n").alias("v")), 0.5, 30)
-    return simulate.against_mean(simulate.event_ensemble(q, start, 0.5, runs=20), law)
+    law = chain.transient(q, start.select("mode", "node", F.col("n").alias("v")), 0.5)
+    return simulate.against_mean(simulate.event_ensemble(q, start, 0.5, runs=20, most=None), law)
 
 
 @Q.add("SELECT CAST(20000 AS BIGINT) AS passengers, true AS positive")

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from railyard import catalogue
-from railyard.plans import chain, linenet
+from railyard.plans import chain, linenet, simulate
 from railyard.queries import chains, demand, plans
 from railyard.queries import tables as t
 
@@ -83,3 +83,25 @@ def test_gravity_is_balanced(spark):
     own = catalogue.QUERIES["gravity_ipf_k_all"](spark, larger).collect()
     for r in demand.origins(spark, larger).collect():
         assert sum(x.w for x in own if x.o == r.o) == pytest.approx(r.made, rel=1e-6)
+
+
+def two_states(spark, rate):
+    q = spark.createDataFrame([("m", "a", "b", rate), ("m", "a", "a", -rate), ("m", "b", "a", 0.25), ("m", "b", "b", -0.25)], "mode string, i string, j string, q double")
+    return q, spark.createDataFrame([("m", "a", 100.0), ("m", "b", 0.0)], "mode string, node string, v double")
+
+
+@pytest.mark.parametrize("rate", [31.0, 201.0])
+def test_transient_takes_the_terms_it_needs(spark, rate):
+    q, start = two_states(spark, rate)
+    k = rate + 0.25
+    want = 100 * (0.25 + rate * np.exp(-k)) / k
+    got = {r.node: r.n for r in chain.transient(q, start, 1.0, conserve=False).collect()}
+    assert got == {"a": pytest.approx(want, rel=1e-8), "b": pytest.approx(100 - want, rel=1e-8)}
+
+
+def test_stopped_runs_are_refused(spark):
+    q, start = two_states(spark, 31.0)
+    start = start.withColumnRenamed("v", "n")
+    assert simulate.against_mean(simulate.event_ensemble(q, start, 0.5, 3, most=None), start).count() == 2
+    with pytest.raises(Exception, match="stopped before the horizon"):
+        simulate.against_mean(simulate.event_ensemble(q, start, 0.5, 3, most=5), start).collect()

@@ -3,7 +3,7 @@
 Which texts have a Jaccard similarity of at least `threshold` of their sets of word n-grams?
 
 1. Texts become sorted sets of 64-bit shingle hashes (words in lower case, without marks at the ends). Rows with the same
-   set are one class member from here on, counted but not expanded; the aggregation runs before the shuffle as well.
+   set are one class member from here on, counted (rows, and texts by their hashes) but not expanded; the aggregation runs before the shuffle as well.
 2. MinHash values are cut into bands; members that agree in a band meet. For links at the threshold the chance to meet in
    no band is about 1e-5 by default. Only members that meet another go on; each bucket links its members to its smallest
    one, and the components of these links (minimum labels, checkpointed) are the sets of texts to compare.
@@ -232,9 +232,9 @@ def text_key(text_col: str):
 
 
 def compared(placed: DataFrame, n_words: int, k: int, threshold: float, tolerance: float) -> DataFrame:
-    """Links of each group (label, i, j): rows (src, dst, n), n links of set src if dst is null, else an edge of a forest.
+    """Links of each group (label, i, j): rows (src, dst, n, n_texts, n_rows), links of set src to n sets with so many texts and rows if dst is null, else an edge of a forest.
 
-    placed: sorted by group; label, i, j, block, __set, text. Of blocks i < j the pairs across are compared, of i = j those within.
+    placed: sorted by group; label, i, j, block, __set, n_texts, n_rows, text. Of blocks i < j the pairs across are compared, of i = j those within.
     """
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,10 +245,11 @@ def compared(placed: DataFrame, n_words: int, k: int, threshold: float, toleranc
             if now is None:
                 return []
             i, j = now[1], now[2]
-            tables = []
+            tables, held = [], []
             for b in dict.fromkeys((i, j)):
                 own = blocks.get(b, {})
-                sets = list(own.values())
+                sets = [x[0] for x in own.values()]
+                held.extend(x[1:] for x in own.values())
                 tables.append((list(own), sets, np.array([minhash(s, k) for s in sets], dtype=np.uint32).reshape(len(sets), k)))
             names, sets, signatures = tables[0]
             if i == j:
@@ -257,16 +258,19 @@ def compared(placed: DataFrame, n_words: int, k: int, threshold: float, toleranc
                 more, other, theirs = tables[1]
                 left, right = links(sets, signatures, other, theirs, threshold, tolerance) if sets and other else (np.zeros(0, int), np.zeros(0, int))
                 names, right = names + more, right + len(sets)
-            counts = np.bincount(np.concatenate([left, right]), minlength=len(names))
-            rows = [(names[v], None, int(counts[v])) for v in np.flatnonzero(counts)]
-            return rows + [(names[a], names[b], 0) for a, b in forest(len(names), left, right)]
+            ends, others = np.concatenate([left, right]), np.concatenate([right, left])
+            counts = np.bincount(ends, minlength=len(names))
+            sums = np.zeros((len(names), 2), dtype=np.int64)
+            np.add.at(sums, ends, np.array(held, dtype=np.int64).reshape(-1, 2)[others])
+            rows = [(names[v], None, int(counts[v]), int(sums[v, 0]), int(sums[v, 1])) for v in np.flatnonzero(counts)]
+            return rows + [(names[a], names[b], 0, 0, 0) for a, b in forest(len(names), left, right)]
 
         def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], kind) for c, kind in enumerate((pa.binary(), pa.binary(), pa.int64()))], names=["src", "dst", "n"])
+            return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], kind) for c, kind in enumerate((pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64()))], names=["src", "dst", "n", "n_texts", "n_rows"])
 
         for batch in batches:
             rows = []
-            for label, i, j, block, name, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for label, i, j, block, name, n_texts, n_rows, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (label, i, j) != now:
                     rows += finish()
                     now, blocks = (label, i, j), {}
@@ -274,41 +278,42 @@ def compared(placed: DataFrame, n_words: int, k: int, threshold: float, toleranc
                 if name not in own:
                     found = shingles(text, n_words)
                     if hashlib.blake2b(found.tobytes(), digest_size=16).digest() == name:  # else another text of the same id and key
-                        own[name] = found
+                        own[name] = (found, n_texts, n_rows)
             yield batch_of(rows)
         yield batch_of(finish())
 
-    return arrow_map(placed, kernel, "src binary, dst binary, n bigint")
+    return arrow_map(placed, kernel, "src binary, dst binary, n bigint, n_texts bigint, n_rows bigint")
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_words: int = N_WORDS, threshold: float = THRESHOLD, bands: int = BANDS, band_rows: int = BAND_ROWS, tolerance: float = TOLERANCE, block: int = BLOCK, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
-    """One row for each of docs: id_col, class_id (smallest id of the class), n_links (different sets that the row's set is linked to), n_same (rows with the row's own set), __key and __class_key (hash of the row's text, and of the class's first text)."""
+    """One row for each of docs: id_col, class_id (smallest id of the class), n_links (different sets that the row's set is linked to), n_same (rows with the row's own set), n_text_links and n_row_links (other texts and other rows that the row is linked to, those with its own set among them), __key and __class_key (hash of the row's text, and of the class's first text)."""
     rows = checkpointed(members(docs, id_col, text_col, n_words, bands, band_rows))
     one = F.struct(F.col(id_col).alias("id"), F.col("__key").alias("key"))
-    sets = checkpointed(rows.groupBy("__set").agg(F.min(one).alias("rep"), F.count(F.lit(1)).alias("n_same"), F.min("__size").alias("size"), F.min("__buckets").alias("buckets")))
+    sets = checkpointed(rows.groupBy("__set").agg(F.min(one).alias("rep"), F.count(F.lit(1)).alias("n_same"), F.countDistinct("__key").alias("n_texts"), F.min("__size").alias("size"), F.min("__buckets").alias("buckets")))
 
     # 64 bits name a set while candidates are looked for: two sets of one name are only compared for nothing
     met = sets.select(F.xxhash64("__set").alias("node"), F.explode("buckets").alias("bucket"))
     first = met.groupBy("bucket").agg(F.min("node").alias("dst"), F.max("node").alias("last")).filter("dst <> last")
     near = components(met.join(first, "bucket").select(F.col("node").alias("src"), "dst").filter("src <> dst").distinct())
 
-    named = sets.select("__set", "rep", "size", F.xxhash64("__set").alias("node")).join(near, "node").drop("node")
+    named = sets.select("__set", "rep", "size", "n_texts", F.col("n_same").alias("n_rows"), F.xxhash64("__set").alias("node")).join(near, "node").drop("node")
     blocks = F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("size") / block_shingles)).cast("int")
     dealt = named.join(named.groupBy("label").agg(blocks.alias("blocks")), "label").withColumn("block", F.pmod(F.xxhash64("__set", F.lit(1)), F.col("blocks")))
     texts = docs.select(F.col(id_col).alias("__id"), text_key(text_col).alias("__k"), F.col(text_col).alias("__text"))
     dealt = texts.join(dealt, F.col("__id").eqNullSafe(F.col("rep.id")) & (F.col("__k") == F.col("rep.key")))
     paired = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     order = ["label", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")]
-    placed = paired.select(*order, "block", "__set", "__text").repartition("label", "i", "j").sortWithinPartitions("label", "i", "j")
+    placed = paired.select(*order, "block", "__set", "n_texts", "n_rows", "__text").repartition("label", "i", "j").sortWithinPartitions("label", "i", "j")
     found = checkpointed(compared(placed, n_words, bands * band_rows, threshold, tolerance))
 
-    counts = found.filter("dst is null").groupBy(F.col("src").alias("__set")).agg(F.sum("n").alias("n_links"))
+    counts = found.filter("dst is null").groupBy(F.col("src").alias("__set")).agg(*(F.sum(c).alias(c) for c in ("n", "n_texts", "n_rows"))).select("__set", F.col("n").alias("n_links"), F.col("n_texts").alias("to_texts"), F.col("n_rows").alias("to_rows"))
     labels = components(found.filter("dst is not null").select("src", "dst")).withColumnRenamed("node", "__set")
     linked = labels.join(sets.select("__set", "rep"), "__set")
-    linked = linked.join(linked.groupBy("label").agg(F.min("rep").alias("head")), "label").join(counts, "__set").select("__set", "head", "n_links")
-    every = sets.select("__set", "rep", "n_same").join(linked, "__set", "left").select("__set", "n_same", F.coalesce("head", "rep").alias("head"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    linked = linked.join(linked.groupBy("label").agg(F.min("rep").alias("head")), "label").join(counts, "__set").select("__set", "head", "n_links", "to_texts", "to_rows")
+    every = sets.select("__set", "rep", "n_same", "n_texts").join(linked, "__set", "left")
+    every = every.select("__set", "n_same", F.coalesce("head", "rep").alias("head"), F.coalesce("n_links", F.lit(0)).alias("n_links"), *((F.coalesce(a, F.lit(0)) + F.col(b) - 1).alias(c) for a, b, c in (("to_texts", "n_texts", "n_text_links"), ("to_rows", "n_same", "n_row_links"))))
     every = checkpointed(every)  # both sides of the last join are then shuffles of their own, and a large set can be split
-    return rows.select(id_col, "__key", "__set").join(every, "__set").select(id_col, F.col("head.id").alias("class_id"), "n_links", "n_same", "__key", F.col("head.key").alias("__class_key"))
+    return rows.select(id_col, "__key", "__set").join(every, "__set").select(id_col, F.col("head.id").alias("class_id"), "n_links", "n_same", "n_text_links", "n_row_links", "__key", F.col("head.key").alias("__class_key"))
 
 
 def dedupe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

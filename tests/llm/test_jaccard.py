@@ -104,3 +104,16 @@ def test_both_ways_to_intersect_agree():
     left, right = map(np.array, zip(*[(i, j) for i in range(30) for j in range(i)], strict=True))
     assert len(left) > 4 * 60
     assert ja.intersections(sets, sets, left, right).tolist() == [len(np.intersect1d(sets[i], sets[j])) for i, j in zip(left, right, strict=True)]
+
+
+@pytest.mark.parametrize("block", [ja.BLOCK, 2])
+def test_links_to_texts_that_differ_in_case_and_marks(spark, block):
+    a, b = "one two three four five six seven eight nine ten", "one two three four five six seven eight nine ten eleven"
+    texts = [a, a.upper(), a.replace("three", "(three)"), a, a + ".", b, b.title(), b, "another text of five words", "Another text of five words!"]
+    sets = [frozenset(ja.shingles(x).tolist()) for x in texts]
+    linked = lambda x, y: 5 * len(x & y) >= 4 * len(x | y)
+    near = [[k for k in range(len(texts)) if k != i and linked(sets[i], sets[k])] for i in range(len(texts))]
+    want = {i: (len({texts[k] for k in near[i]} - {texts[i]}), len(near[i])) for i in range(len(texts))}
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert {r.doc_id: (r.n_text_links, r.n_row_links) for r in ja.join(df, block=block).collect()} == want
+    assert want[0] == (5, 7) and want[8] == (1, 1)

@@ -1,7 +1,8 @@
 """License scans by sentence rules, with DataFrame functions.
 
 A text is cut into sentences, which are normalised (lower case, runs of anything but a-z and 0-9 become one space) and
-looked up in a table of known licence sentences. The identifiers found, in text order, are matched against ordered rules:
+looked up in a table of known licence sentences. A known sentence may stand on one line or run over line ends, behind
+comment marks as well; marks before white space and blank lines end it. The identifiers found, in text order, are matched against ordered rules:
 each rule is a sequence of identifiers that must stand next to each other among those found; what a rule matches is used
 up, and later rules see a gap there. Identifiers that no rule uses leave the text with an `unmatched` remark.
 
@@ -14,7 +15,7 @@ from __future__ import annotations
 import re
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Well-known licence sentences by identifier.
@@ -77,6 +78,24 @@ def table_of(sentences: Mapping[str, Sequence[str]]) -> dict[str, str]:
     return found
 
 
+#: In lower-case text capitals are free to stand for an end (E) and for a line end that a sentence may run over (L).
+_STEPS = ((r"[.!?;:](?=[ \t\r\n])", "E"), (r"\r\n?|\n", "L"), (r"[^a-z0-9EL]+", " "), (r"(?:^|L) ?(?:dnl|rem)(?![a-z0-9])", "L"), (r"L(?: ?L)+", "E"))
+
+
+def found_in(text: Column, known: Mapping[str, str]) -> Column:
+    """The known normalised sentences in a text, in its order: what stands between two ends, or line ends, and may hold line ends."""
+    words = sorted({max(s.split(" "), key=len) for s in known})
+    least = [w for w in words if not any(v != w and v in w for v in words)]
+    either = "|".join(s.replace(" ", "(?: L?|L) ?") for s in sorted(known, key=len, reverse=True))
+    cut = text
+    for pattern, to in _STEPS:
+        cut = F.regexp_replace(cut, pattern, to)
+    hits = F.regexp_extract_all(cut, F.lit(f"(?:^|(?<=[EL])) ?({either})(?= ?(?:[EL]|$))"), F.lit(1))
+    flat = F.transform(hits, lambda s: F.regexp_replace(s, r"[ L]+", " "))
+    # no sentence is there without its longest word
+    return F.when(text.rlike("|".join(least)), flat).otherwise(F.array().cast("array<string>"))
+
+
 def _parts(name: str, sentences: Mapping[str, Sequence[str]]) -> list[str]:
     """The identifiers that a rule's one stands for: a sentence with inner breaks is known by its parts."""
     n = len([p for p in re.split(BREAK, sentences[name][0]) if p.strip()])
@@ -87,9 +106,7 @@ def scan(df: DataFrame, text_col: str = "text", sentences: Mapping[str, Sequence
     """Adds sentence_ids (array), licences (joined by a comma, in rule order) and verdict (none, known or unmatched)."""
     known = table_of(sentences)
     text = F.lower(F.coalesce(F.col(text_col), F.lit("")))
-    cut = F.split(F.regexp_replace(F.regexp_replace(text, BREAK, "\n"), r"[^a-z0-9\n]+", " "), "\n")
-    bare = F.transform(F.filter(cut, lambda s: F.length(s) >= min(map(len, known))), lambda s: F.trim(s))
-    hits = F.filter(bare, lambda s: s.isin(*known))
+    hits = found_in(text, known)
     names = F.create_map(*(F.lit(x) for pair in known.items() for x in pair))
     out = df.drop("sentence_ids", "licences", "verdict").withColumn("sentence_ids", F.transform(hits, lambda s: F.element_at(names, s)))
 

@@ -49,3 +49,21 @@ def test_oracle_sql():
     for doc, n, ids, found, verdict in duckdb.sql(li.oracle()).fetchall():
         want = brute(texts()[doc])
         assert (n, ids, found, verdict) == (len(want[0]), ",".join(want[0]), *want[1:])
+
+
+def test_sentences_that_run_over_lines(spark):
+    import textwrap
+
+    def wrapped(names, prefix="", gap="\n", width=80):
+        return gap.join(textwrap.fill(li.SENTENCES[x][0], width, initial_indent=prefix, subsequent_indent=prefix) for x in names)
+
+    mit, bsd = ["MitGrant", "MitNotice", "AsIsMit"], ["BsdPre", "BsdSource", "BsdBinary"]
+    gpl = ["GplFree", "GplHope"]
+    cases = [
+        (wrapped(mit, gap="\n\n"), "MIT"), (wrapped(mit, " * ", "\n *\n"), "MIT"), (wrapped(mit, "# ").replace("\n", "\r\n"), "MIT"),
+        (wrapped(bsd, "// "), "BSD-2-Clause"), (wrapped([*bsd, "BsdEndorse"], "dnl "), "BSD-3-Clause"), (wrapped(gpl, "    ", "\n\n", 60), "GPL-3.0-or-later"),
+        ("Copyright (c) 2020 A. Person\nAll rights reserved\n\n" + wrapped(mit), "MIT"),
+        (wrapped(["MitNotice"]).replace("\n", "\n\n"), ""), ("not " + wrapped(mit[:1]), ""),
+    ]
+    df = spark.createDataFrame([(k, x) for k, (x, _) in enumerate(cases)], "doc_id long, text string")
+    assert {r.doc_id: r.licences for r in li.scan(df).collect()} == {k: want for k, (_, want) in enumerate(cases)}

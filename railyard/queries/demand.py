@@ -63,10 +63,12 @@ def propensity(spark, sf_dir):
     return demand.propensity(cars, "cars", 0.4, 1.0, "seen").select("c_nationkey", R("share", 8))
 
 
+@Q.also("all", least=None)
 @Q.add("WITH m AS (SELECT c_nationkey AS hub, list(DISTINCT CAST(CASE c_mktsegment WHEN 'BUILDING' THEN 3 WHEN 'MACHINERY' THEN 0 WHEN 'AUTOMOBILE' THEN 2 WHEN 'HOUSEHOLD' THEN 800 ELSE 11 END AS INTEGER)) AS ms FROM customer WHERE c_acctbal > 9000 GROUP BY c_nationkey) SELECT hub, CASE WHEN list_contains(ms, 1) THEN 1 WHEN list_contains(ms, 109) THEN 109 WHEN list_contains(ms, 0) THEN 0 WHEN list_contains(ms, 11) THEN 11 WHEN list_contains(ms, 3) THEN 3 WHEN list_contains(ms, 4) THEN 4 ELSE -1 END AS cls FROM m")
-def hub_class(spark, sf_dir):
+def hub_class(spark, sf_dir, least=9000):
     mode = F.expr("CASE c_mktsegment WHEN 'BUILDING' THEN 3 WHEN 'MACHINERY' THEN 0 WHEN 'AUTOMOBILE' THEN 2 WHEN 'HOUSEHOLD' THEN 800 ELSE 11 END")
-    own = table(spark, sf_dir, "customer").filter("c_acctbal > 9000").groupBy(F.col("c_nationkey").alias("hub")).agg(F.collect_set(mode).alias("ms"))
+    people = table(spark, sf_dir, "customer")
+    own = (people if least is None else people.filter(F.col("c_acctbal") > least)).groupBy(F.col("c_nationkey").alias("hub")).agg(F.collect_set(mode).alias("ms"))
     return own.select("hub", demand.hub_class("ms").alias("cls"))
 
 

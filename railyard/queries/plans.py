@@ -186,7 +186,7 @@ def greedy_links(spark, sf_dir, links=t.hub_costs):
     w[~np.isfinite(w)] = 0
     scorer = scenario.Links(dense, own, w)
     rows = [(at[r["a"]], at[r["b"]], r["c"]) for r in link_candidates(spark, sf_dir, links).orderBy("a", "b").collect()]
-    return spark.createDataFrame([(n, names[a], names[b], float(c), float(j)) for n, ((a, b, c), j) in enumerate(scorer.greedy(rows, 3, prescreen=30))], "step int, a int, b int, c double, j double")
+    return spark.createDataFrame([(n, names[a], names[b], float(c), float(j)) for n, ((a, b, c), j) in enumerate(scorer.greedy(rows, 3))], "step int, a int, b int, c double, j double")
 
 
 @Q.add("SELECT n_regionkey, arg_min(n_nationkey, rank) AS station FROM (SELECT n_regionkey, n_nationkey, CASE WHEN n_name = 'CHINA' THEN 0 WHEN starts_with(n_name, 'C') THEN 1 ELSE 2 END * 100 + n_nationkey AS rank FROM nation) GROUP BY n_regionkey")

@@ -105,3 +105,17 @@ def test_stopped_runs_are_refused(spark):
     assert simulate.against_mean(simulate.event_ensemble(q, start, 0.5, 3, most=None), start).count() == 2
     with pytest.raises(Exception, match="stopped before the horizon"):
         simulate.against_mean(simulate.event_ensemble(q, start, 0.5, 3, most=5), start).collect()
+
+
+def test_hub_class_of_all_customers(spark):
+    names = {r[0] for r in spark.read.parquet(f"{SF}/customer.parquet").select("c_nationkey").distinct().collect()}
+    assert {r.hub for r in catalogue.QUERIES["hub_class_all"](spark, SF).collect()} == names
+
+
+def test_greedy_links_has_no_prescreen(spark, monkeypatch):
+    from railyard.plans import scenario
+
+    asked, real = [], scenario.Links.greedy
+    monkeypatch.setattr(scenario.Links, "greedy", lambda self, rows, budget, prescreen=None, **more: asked.append(prescreen) or real(self, rows, budget, prescreen, **more))
+    catalogue.QUERIES["greedy_links"](spark, SF).collect()
+    assert asked == [None]

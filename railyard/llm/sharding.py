@@ -8,8 +8,8 @@ on the ring and rows with the smaller rank go first. The rank of a row is its pl
 
 Where rows end up only depends on how many rows each point has. So the walk runs on counts: one number for each point,
 shards x points of them whatever the input. It yields ranges of ranks, at most one for each point and one for each time a
-shard gets full; that is the bound of what is broadcast. Ranks come from windows over (point, slice), slices being so many
-that each holds about `slice_rows` rows, so that neither a point nor a single hot key makes a large window.
+shard gets full; that is the bound of what is broadcast. Ranks come from windows over (point, slice), slices being ranges
+of that order of about `slice_rows` rows, so that neither a point nor a single hot key makes a large window.
 
 slack=0 gives capacities that add up to the number of rows: counts differ by one at most. slack>0 gives
 ceil((1 + slack) * rows / shards): fewer rows move when a shard is added, and no shard is over that bound.
@@ -95,7 +95,8 @@ def assign(df: DataFrame, n_shards: int, key: str = "doc_id", text_col: str = "t
     if slices == 1:
         ranked = slim.withColumn("__rank", F.row_number().over(Window.partitionBy("__point").orderBy(*order)) - 1)
     else:
-        slim = slim.withColumn("__slice", F.pmod(F.xxhash64("__row"), F.lit(slices)))
+        # ranges of the whole order, so that ranks are those of one slice; __row only deals out rows that are alike
+        slim = checkpointed(slim.repartitionByRange(math.ceil(sum(counts.values()) / slice_rows), "__point", *order).withColumn("__slice", F.spark_partition_id()))
         sizes = slim.groupBy("__point", "__slice").agg(F.count(F.lit(1)).alias("__n"))
         before = Window.partitionBy("__point").orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
         first = sizes.select("__point", "__slice", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))

@@ -68,3 +68,10 @@ def test_slack_bounds_loads_and_movement(spark):
 
 def test_empty(spark):
     assert sharding.assign(spark.createDataFrame([], "doc_id long, text string"), 24).count() == 0
+
+
+def test_slices_keep_the_ranks(spark):
+    rows = [(i, "x" * (i % 9)) for i in range(300)] + [(7, f"text {i}") for i in range(200)] + [(None, None)] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    whole, sliced, other = (sorted((r.doc_id or -1, r.text_crc32, r.shard, r.slot) for r in sharding.assign(x, 24, slice_rows=n).collect()) for x, n in ((df, 50_000), (df, 20), (df.repartition(7), 20)))
+    assert whole == sliced == other

@@ -3,15 +3,18 @@
 Texts and items are compared in lower case with white space as single spaces. An item of m characters has an error budget
 of k = rate * m edits and is split into k + 1 pieces: a passage within k edits of it holds one piece unchanged. All pieces
 are looked for at once (Aho-Corasick); around each hit, the stretch in which the item could then lie is searched with
-Myers' bit-parallel algorithm for the smallest edit distance to any of its substrings. The budget is lowered where pieces
-would be shorter than `least_piece`, so that hits stay rare.
+Myers' bit-parallel algorithm for the smallest edit distance to any of its substrings. Short items have short pieces, which
+are hit more often; nothing is left out for that. Items of less than 1 / rate characters have no budget and must occur as
+they are.
 
 The items go to the workers in blocks of about `block_chars` characters, one pass over the documents for each block, with a
-checkpoint between two, so neither driver nor workers hold much more than a block.
+checkpoint between two, so neither driver nor workers hold much more than a block. The result doesn't depend on the blocks.
 
-Cases: null texts, and items that have no id, no text or only white space, match nothing; an item shorter than a piece must
-occur exactly; items with the same text all match; several items of one id are matched each, and the best distance counts;
-repeated documents are matched each; an empty table on either side gives no rows.
+Cases: null texts, and items that have no id, no text or only white space, match nothing; items with the same text all
+match; several texts of one item id are matched each, and the best (distance, budget, end) counts; repeated documents are
+matched each; very long texts are read whole, in memory that grows with the text and its hits; ids may be of any type and
+null in documents; other columns are left out by find() and kept by clean(), whatever their names; an empty table on either
+side gives no matches.
 """
 
 from __future__ import annotations
@@ -25,19 +28,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
-from railyard.llm.frames import arrow_map, checkpointed, sole_cache
+from railyard.llm.frames import arrow_map, checkpointed, fresh, sole_cache
 
-RATE, LEAST_PIECE, BLOCK_CHARS = 0.05, 16, 4_000_000
+RATE, BLOCK_CHARS = 0.05, 4_000_000
 
 
 def normalise(text: str | None) -> str:
     return " ".join((text or "").lower().split())
 
 
-def budget(m: int, rate: float = RATE, least_piece: int = LEAST_PIECE) -> int:
-    return max(0, min(int(rate * m), m // least_piece - 1))
+def budget(m: int, rate: float = RATE) -> int:
+    return int(rate * m)
 
 
 def pieces(item: str, k: int) -> list[tuple[int, str]]:
@@ -81,13 +85,12 @@ class Myers:
 class Matcher:
     """All items of a block."""
 
-    items: list[tuple[int, str]]  # id, normalised text
+    items: list[tuple[object, str]]  # id, normalised text
 
     rate: float = RATE
-    least_piece: int = LEAST_PIECE
 
     def __post_init__(self):
-        self.budgets = [budget(len(t), self.rate, self.least_piece) for _, t in self.items]
+        self.budgets = [budget(len(t), self.rate) for _, t in self.items]
         self.patterns: dict[int, Myers] = {}
         where: dict[str, list[tuple[int, int]]] = defaultdict(list)
         for n, (_, text) in enumerate(self.items):
@@ -100,15 +103,19 @@ class Matcher:
             self.automaton.make_automaton()
         self.any = bool(where)
 
-    def matches(self, text: str | None) -> list[tuple[int, int, int, int]]:
+    def matches(self, text: str | None) -> list[tuple[object, int, int, int]]:
         """(item id, distance, budget, end in the normalised text) of each item that the text holds."""
         if not self.any or not text:
             return []
         text = normalise(text)
         stretches: dict[int, list[list[int]]] = defaultdict(list)
+        exact: dict[int, int] = {}
         for last, (length, places) in self.automaton.iter(text):
             for n, at in places:
                 k, start = self.budgets[n], last + 1 - length - at
+                if k == 0:
+                    exact.setdefault(n, last + 1)  # the piece is the item
+                    continue
                 a, b = max(0, start - k), start + len(self.items[n][1]) + k
                 own = stretches[n]
                 # hits come in text order of their ends, those of one item nearly in order of their starts
@@ -116,69 +123,76 @@ class Matcher:
                     own[-1][1] = max(own[-1][1], b)
                 else:
                     own.append([a, b])
-        best: dict[int, tuple[int, int, int]] = {}
+        found = [(n, 0, end) for n, end in exact.items()]
         for n, own in stretches.items():
             if n not in self.patterns:
                 self.patterns[n] = Myers(self.items[n][1])
             distance, end = min((d, a + e) for a, b in own for d, e in [self.patterns[n].search(text[a:b])])
             if distance <= self.budgets[n]:
-                item = self.items[n][0]
-                best[item] = min(best.get(item, (distance, self.budgets[n], end)), (distance, self.budgets[n], end))
+                found.append((n, distance, end))
+        best: dict[object, tuple[int, int, int]] = {}
+        for n, distance, end in found:
+            item, own_best = self.items[n][0], (distance, self.budgets[n], end)
+            best[item] = min(best.get(item, own_best), own_best)
         return [(item, *x) for item, x in sorted(best.items())]
 
 
-def blocks(benchmark: DataFrame, item_col: str, text_col: str, block_chars: int) -> Iterator[list[tuple[int, str]]]:
-    """The items in blocks of at most block_chars characters (a longer item is a block of its own)."""
-    given = benchmark.select(item_col, text_col).dropna()
-    if (given.agg(F.sum(F.char_length(text_col))).first()[0] or 0) <= block_chars:
+def blocks(benchmark: DataFrame, item_col: str, text_col: str, block_chars: int) -> Iterator[list[tuple[object, str]]]:
+    """The different items in blocks of at most block_chars characters (a longer item is a block of its own)."""
+    given = benchmark.select(F.col(item_col).alias("item"), F.col(text_col).alias("text")).dropna().distinct()
+    if (given.agg(F.sum(F.char_length("text"))).first()[0] or 0) <= block_chars:
         yield [(r[0], r[1]) for r in given.collect()]
         return
-    part = F.pmod(F.xxhash64(item_col, text_col), F.lit(64))
-    before = F.sum(F.char_length(text_col)).over(Window.partitionBy("__part").orderBy(item_col, text_col))
-    slices = given.withColumn("__part", part).withColumn("__slice", F.floor(before / block_chars))
-    slices = checkpointed(slices)
-    for r in slices.select("__part", "__slice").distinct().orderBy("__part", "__slice").collect():
-        yield [(x[0], x[1]) for x in slices.filter((F.col("__part") == r[0]) & (F.col("__slice") == r[1])).collect()]
+    part = F.pmod(F.xxhash64("item", "text"), F.lit(64))
+    before = F.sum(F.char_length("text")).over(Window.partitionBy("part").orderBy("item", "text"))
+    slices = checkpointed(given.withColumn("part", part).withColumn("slice", F.floor(before / block_chars)))
+    for r in slices.select("part", "slice").distinct().orderBy("part", "slice").collect():
+        yield [(x[0], x[1]) for x in slices.filter((F.col("part") == r[0]) & (F.col("slice") == r[1])).collect()]
 
 
-MATCH = "array<struct<item_id:bigint,distance:bigint,budget:bigint,end:bigint>>"
-
-
-def _mark(docs: DataFrame, items: list[tuple[int, str]], text_col: str, into: str, rate: float, least_piece: int) -> DataFrame:
-    """Adds the matches of one block of items."""
+def _mark(docs: DataFrame, items: list[tuple[object, str]], kind: T.DataType, text_col: str, into: str, rate: float) -> DataFrame:
+    """Adds the matches of one block of items, whose ids are of the kind: an array of (item_id, distance, budget, end)."""
     shared = docs.sparkSession.sparkContext.broadcast(items)
     at = docs.columns.index(text_col)
-    schema = T.StructType([*docs.schema.fields, *T._parse_datatype_string(f"{into} {MATCH}").fields])
-    kind = pa.list_(pa.struct([(x, pa.int64()) for x in ("item_id", "distance", "budget", "end")]))
+    match = T.StructType([T.StructField("item_id", kind), *(T.StructField(c, T.LongType()) for c in ("distance", "budget", "end"))])
+    schema = T.StructType([*docs.schema.fields, T.StructField(into, T.ArrayType(match))])
+    arrow = to_arrow_type(T.ArrayType(match))
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Matcher(shared.value, rate, least_piece)
+        own = Matcher(shared.value, rate)
         sole_cache()
         for batch in batches:
-            hits = [[dict(zip(("item_id", "distance", "budget", "end"), m, strict=True)) for m in own.matches(x)] for x in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hits, kind)], names=schema.names)
+            hits = [[dict(zip(match.names, m, strict=True)) for m in own.matches(x)] for x in batch.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hits, arrow)], names=schema.names)
 
     return arrow_map(docs, kernel, schema)
 
 
-def _normalised(block: list[tuple[int, str]]) -> list[tuple[int, str]]:
+def _normalised(block: list[tuple[object, str]]) -> list[tuple[object, str]]:
     return sorted({(i, t) for i, x in block if (t := normalise(x))})
 
 
-def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", rate: float = RATE, least_piece: int = LEAST_PIECE, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", rate: float = RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """One row (id_col, item_id, distance, budget, end) for each document and item in it; end is in the normalised text."""
+    kind, best = benchmark.schema[item_col].dataType, ("distance", "budget", "end")
+    slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body"))
     out = None
-    slim = docs.select(id_col, text_col)
     for k, block in enumerate(blocks(benchmark, item_col, item_text_col, block_chars)):
-        marked = _mark(slim, _normalised(block), text_col, "__hits", rate, least_piece).select(id_col, F.inline("__hits"))
+        marked = _mark(slim, _normalised(block), kind, "body", "hits", rate).filter(F.size("hits") > 0)
+        marked = marked.select("id", F.md5("body").alias("key"), F.lit(k).alias("block"), F.inline("hits"))
         out = marked if k == 0 else checkpointed(out.unionByName(marked))
-    # one item's texts may be in several blocks
-    return out if k == 0 else out.groupBy(id_col, "item_id").agg(F.min(F.struct("distance", "budget", "end")).alias("m")).select(id_col, "item_id", "m.*")
+    if k == 0:
+        return out.select(F.col("id").alias(id_col), "item_id", *best)
+    # a document may hold texts of one item in several blocks; equal rows of a document are counted, each gets its own row
+    per = out.groupBy("id", "key", "item_id", "block").agg(F.min(F.struct(*best)).alias("m"), F.count(F.lit(1)).alias("n"))
+    whole = per.groupBy("id", "key", "item_id").agg(F.min("m").alias("m"), F.max("n").alias("n"))
+    return whole.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))).select(F.col("id").alias(id_col), "item_id", "m.*")
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", rate: float = RATE, least_piece: int = LEAST_PIECE, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", rate: float = RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The documents in which no item is found, whole and with all their columns."""
+    hits, kind = fresh("hits", docs.columns), benchmark.schema[item_col].dataType
     for k, block in enumerate(blocks(benchmark, item_col, item_text_col, block_chars)):
         docs = checkpointed(docs) if k else docs
-        docs = _mark(docs, _normalised(block), text_col, "__hits", rate, least_piece).filter(F.size("__hits") == 0).drop("__hits")
+        docs = _mark(docs, _normalised(block), kind, text_col, hits, rate).filter(F.size(hits) == 0).drop(hits)
     return docs

@@ -2,19 +2,25 @@
 
 Which texts have a Jaccard similarity of at least `threshold` of their sets of word n-grams?
 
-1. Texts become sorted sets of 64-bit shingle hashes (words in lower case, without marks at the ends). Rows with the same
-   set are one class member from here on, counted (rows, and texts by their hashes) but not expanded; the aggregation runs before the shuffle as well.
-2. MinHash values are cut into bands; members that agree in a band meet. For links at the threshold the chance to meet in
-   no band is about 1e-5 by default. Only members that meet another go on; each bucket links its members to its smallest
-   one, and the components of these links (minimum labels, checkpointed) are the sets of texts to compare.
-3. Components are dealt out in blocks: each pair of blocks of a component is one group, so a huge component is many tasks
-   of bounded size. A kernel compares the MinHash values of all pairs in a block pair a few at a time and drops those whose
-   posterior probability of reaching the threshold (uniform prior) is below `tolerance`; it verifies the rest exactly by
-   the sizes of the intersections. It returns link counts and a spanning forest of the links, not the links.
+1. Texts become sorted sets of 64-bit shingle hashes (words in lower case, without marks at the ends) and a signature of
+   MinHash values (16 bits each). Rows with the same set are one member from here on, counted (rows, and texts by their
+   hashes) but not expanded; the aggregation runs before the shuffle as well.
+2. MinHash values are cut into bands; members that agree in a band meet in a bucket. For links at the threshold the chance
+   to meet in no band is about 2e-5 by default. Buckets with the same members count once. In each bucket MinHash values are
+   compared a few at a time, and a pair is dropped when its posterior probability of reaching the threshold (uniform prior)
+   is below `tolerance`. Only signatures travel, to groups of two blocks of a bucket at most, and only a spanning forest of
+   the pairs that stay comes back. Its components (minimum labels, checkpointed) hold all links; texts that merely share
+   boilerplate are in none.
+3. Texts go to their component once for each block of it; each pair of blocks is one group, so a huge component is many tasks
+   of bounded size. All pairs in a group are pruned as before, those that stay are verified exactly by the sizes of the
+   intersections. Link counts come back, and a spanning forest of the links, not the links. Counting the links of m texts
+   that are all linked takes m^2 / 2 comparisons, here as anywhere.
 4. The components of the forests are the classes.
 
 Cases: null text is the empty text; texts shorter than n words have one shingle, all their words; texts without any word
-are alike and form one class; equal sets are one class; repeated rows stay; an empty table gives no rows.
+are alike and form one class; very long texts are read whole, as one member of 8 bytes a word; equal sets are one class;
+repeated rows stay; ids may be of any type, null ones are the smallest; an empty table gives no rows; other columns are left out by join() and
+kept by dedupe(), whatever their names.
 """
 
 from __future__ import annotations
@@ -30,14 +36,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from railyard.llm.frames import arrow_map, checkpointed, sole_cache
+from railyard.llm.frames import arrow_map, checkpointed, fresh, sole_cache
 
 N_WORDS, THRESHOLD = 5, 0.8
 BANDS, BAND_ROWS = 36, 6
 #: MinHash values compared at a time, and the posterior probability below which a pair is dropped.
 STEP, TOLERANCE = 24, 1e-6
-#: Members of a block and their shingles, about; a kernel holds two blocks.
-BLOCK, BLOCK_SHINGLES = 512, 4_000_000
+#: Signatures of a block of a bucket; texts of a block of a component and their shingles, about; a kernel holds two blocks.
+SIGNATURES, BLOCK, BLOCK_SHINGLES = 4096, 2048, 4_000_000
+#: Texts on a side whose pairs are compared at a time.
+TILE = 512
+#: A set is hot if it has this share of all rows or more, and then its rows are dealt to so many parts; at most 1 / HOT sets are.
+HOT, SALTS = 1 / 2000, 64
 EDGE = "".join(chr(i) for i in range(33, 127) if not chr(i).isalnum()) + "«»„“”’…–—"
 CACHED, CACHE_CHARS = 250_000, 48
 
@@ -93,6 +103,11 @@ def minhash(found: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
+def signature(found: np.ndarray, k: int) -> np.ndarray:
+    """The lower 16 bits of k MinHash values: two sets that differ there agree in one by chance with 1 / 65536 only."""
+    return (minhash(found, k) & np.uint32(0xFFFF)).astype("<u2")
+
+
 def _beta_tail(a: int, b: int, x: float) -> float:
     """P(X >= x) of a beta distribution with whole parameters: a binomial tail."""
     n = a + b - 1
@@ -160,23 +175,49 @@ def links(a: list[np.ndarray], sig_a: np.ndarray, b: list[np.ndarray] | None, si
     return left[ok], right[ok]
 
 
-def forest(n: int, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
-    """Edges that connect what the links connect, fewer than n."""
-    parent, out = list(range(n)), []
+def survivor_forest(table: np.ndarray, threshold: float, tolerance: float, step: int = STEP) -> list[tuple[int, int]]:
+    """Edges that connect what the surviving pairs of rows connect, fewer than rows: a search from each row through those not reached yet."""
+    k = table.shape[1]
+    plan = least_matches(k, min(step, k), threshold, tolerance)
+    left, out = np.arange(1, len(table)), []
+    front = [0]
+    while len(left):
+        if not front:
+            front, left = [int(left[0])], left[1:]
+            continue
+        row, near, done, score = front.pop(), left, 0, 0
+        for n, least in plan:
+            score = score + (table[near, done:n] == table[row, done:n]).sum(axis=1)
+            ok = score >= least
+            near, score, done = near[ok], score[ok], n
+        if len(near):
+            out += [(row, int(x)) for x in near]
+            front += near.tolist()
+            left = np.setdiff1d(left, near, assume_unique=True)
+    return out
+
+
+class Forest:
+    """Edges that connect what the links seen so far connect, fewer than n."""
+
+    def __init__(self, n: int):
+        self.parent, self.edges = list(range(n)), []
 
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
+    def add(self, left: np.ndarray, right: np.ndarray) -> None:
+        parent = self.parent
 
-    for i, j in zip(left.tolist(), right.tolist(), strict=True):
-        if (a := root(i)) != (b := root(j)):
-            parent[max(a, b)] = min(a, b)
-            out.append((i, j))
-            if len(out) == n - 1:
+        def root(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        for i, j in zip(left.tolist(), right.tolist(), strict=True):
+            if len(self.edges) == len(parent) - 1:
                 break
-    return out
+            if (a := root(i)) != (b := root(j)):
+                parent[max(a, b)] = min(a, b)
+                self.edges.append((i, j))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -203,123 +244,167 @@ def components(edges: DataFrame) -> DataFrame:
         state = moved.select("node", "label")
 
 
-def members(docs: DataFrame, id_col: str, text_col: str, n_words: int, bands: int, band_rows: int) -> DataFrame:
-    """A slim row for each of docs: id, __key (hash of the text), __set (128-bit hash of its shingles), __size, __buckets (one for each band)."""
-    schema = T.StructType([docs.schema[id_col], *T._parse_datatype_string("__key bigint, __set binary, __size bigint, __buckets array<bigint>").fields])
-    k = bands * band_rows
-
-    def buckets(found: np.ndarray) -> np.ndarray:
-        values = minhash(found, k).astype(np.uint64).reshape(bands, band_rows)
-        out = np.arange(1, bands + 1, dtype=np.uint64) * _M1
-        for j in range(band_rows):
-            out = _mixed((out ^ values[:, j]) * _M1)
-        return out.view(np.int64)
+def members(docs: DataFrame, id_col: str, text_col: str, n_words: int, k: int) -> DataFrame:
+    """A slim row for each of docs: id, key (hash of the text), set (128-bit hash of its shingles), size, signature (k times 16 bits)."""
+    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), *T._parse_datatype_string("key bigint, set binary, size bigint, signature binary").fields])
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sole_cache(_WORDS)
         for batch in batches:
             sets = [shingles(x, n_words) for x in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([
-                batch.column(0), batch.column(1), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
-                pa.array([len(s) for s in sets], pa.int64()), pa.array([buckets(s) for s in sets], pa.list_(pa.int64())),
+                batch.column(0), batch.column(1), pa.array([name_of(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()),
+                pa.array([signature(s, k).tobytes() for s in sets], pa.binary()),
             ], names=schema.names)
 
-    return arrow_map(docs.select(id_col, text_key(text_col).alias("__key"), text_col), kernel, schema)
+    return arrow_map(docs.select(F.col(id_col).alias("id"), text_key(text_col).alias("key"), F.col(text_col).alias("text")), kernel, schema)
 
 
 def text_key(text_col: str):
     return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
 
 
+def name_of(found: np.ndarray) -> bytes:
+    return hashlib.blake2b(found.tobytes(), digest_size=16).digest()
+
+
+def _groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple[tuple | None, list[tuple] | None]]:
+    """Rows of consecutive equal keys: (key, rows) for each group, and (None, None) after each batch."""
+    now, rows = None, []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if row[:n_keys] != now:
+                if rows:
+                    yield now, rows
+                now, rows = row[:n_keys], []
+            rows.append(row[n_keys:])
+        yield None, None
+    if rows:
+        yield now, rows
+
+
+def candidates(placed: DataFrame, k: int, threshold: float, tolerance: float) -> DataFrame:
+    """(src, dst): for each group (bucket, i, j) a spanning forest of the pairs of its nodes that survive. placed: sorted by group; bucket, i, j, node, signature."""
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        edges: list[tuple[int, int]] = []
+        sole_cache()
+        for _, rows in _groups(batches, 3):
+            if rows is not None and len(rows) > 1:
+                rows = sorted(rows)  # so that the centre of a forest is the smallest node in every bucket
+                table = np.frombuffer(b"".join(r[1] for r in rows), dtype="<u2").reshape(len(rows), k)
+                edges += [(rows[a][0], rows[b][0]) for a, b in survivor_forest(table, threshold, tolerance)]
+            if edges and (rows is None or len(edges) > 10_000):
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*edges, strict=True)], names=["src", "dst"])
+                edges = []
+        if edges:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*edges, strict=True)], names=["src", "dst"])
+
+    return arrow_map(placed, kernel, "src bigint, dst bigint")
+
+
 def compared(placed: DataFrame, n_words: int, k: int, threshold: float, tolerance: float) -> DataFrame:
     """Links of each group (label, i, j): rows (src, dst, n, n_texts, n_rows), links of set src to n sets with so many texts and rows if dst is null, else an edge of a forest.
 
-    placed: sorted by group; label, i, j, block, __set, n_texts, n_rows, text. Of blocks i < j the pairs across are compared, of i = j those within.
+    placed: sorted by group; label, i, j, block, set, n_texts, n_rows, text. Of blocks i < j the pairs across are compared, of i = j those within.
     """
 
+    def linked(i: int, j: int, blocks: dict[int, dict[bytes, tuple]]) -> list[tuple]:
+        own = [(name, *x) for name, x in blocks.get(i, {}).items()]
+        other = own if i == j else [(name, *x) for name, x in blocks.get(j, {}).items()]
+        every = own if i == j else own + other
+        tables = [np.array([signature(x[1], k) for x in side], dtype=np.uint16).reshape(len(side), k) for side in ([own] if i == j else [own, other])]
+        held = np.array([x[2:] for x in every], dtype=np.int64).reshape(len(every), 2)
+        counts, sums, forest = np.zeros(len(every), dtype=np.int64), np.zeros((len(every), 2), dtype=np.int64), Forest(len(every))
+        shift = 0 if i == j else len(own)
+        for a in range(0, len(own), TILE):
+            for b in range(a if i == j else 0, len(other), TILE):
+                same = i == j and a == b
+                left_sets, right_sets = [x[1] for x in own[a : a + TILE]], None if same else [x[1] for x in other[b : b + TILE]]
+                left, right = links(left_sets, tables[0][a : a + TILE], right_sets, None if same else tables[-1][b : b + TILE], threshold, tolerance)
+                left, right = left + a, right + b + shift
+                ends, others = np.concatenate([left, right]), np.concatenate([right, left])
+                counts += np.bincount(ends, minlength=len(every))
+                np.add.at(sums, ends, held[others])
+                forest.add(left, right)
+        rows = [(every[v][0], None, int(counts[v]), int(sums[v, 0]), int(sums[v, 1])) for v in np.flatnonzero(counts)]
+        return rows + [(every[a][0], every[b][0], 0, 0, 0) for a, b in forest.edges]
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], kind) for c, kind in enumerate((pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64()))], names=["src", "dst", "n", "n_texts", "n_rows"])
+
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, blocks = None, {}
         sole_cache(_WORDS)
-
-        def finish() -> list[tuple]:
-            if now is None:
-                return []
-            i, j = now[1], now[2]
-            tables, held = [], []
-            for b in dict.fromkeys((i, j)):
-                own = blocks.get(b, {})
-                sets = [x[0] for x in own.values()]
-                held.extend(x[1:] for x in own.values())
-                tables.append((list(own), sets, np.array([minhash(s, k) for s in sets], dtype=np.uint32).reshape(len(sets), k)))
-            names, sets, signatures = tables[0]
-            if i == j:
-                left, right = links(sets, signatures, None, None, threshold, tolerance) if len(sets) > 1 else (np.zeros(0, int), np.zeros(0, int))
-            else:
-                more, other, theirs = tables[1]
-                left, right = links(sets, signatures, other, theirs, threshold, tolerance) if sets and other else (np.zeros(0, int), np.zeros(0, int))
-                names, right = names + more, right + len(sets)
-            ends, others = np.concatenate([left, right]), np.concatenate([right, left])
-            counts = np.bincount(ends, minlength=len(names))
-            sums = np.zeros((len(names), 2), dtype=np.int64)
-            np.add.at(sums, ends, np.array(held, dtype=np.int64).reshape(-1, 2)[others])
-            rows = [(names[v], None, int(counts[v]), int(sums[v, 0]), int(sums[v, 1])) for v in np.flatnonzero(counts)]
-            return rows + [(names[a], names[b], 0, 0, 0) for a, b in forest(len(names), left, right)]
-
-        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], kind) for c, kind in enumerate((pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64()))], names=["src", "dst", "n", "n_texts", "n_rows"])
-
         for batch in batches:
             rows = []
             for label, i, j, block, name, n_texts, n_rows, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (label, i, j) != now:
-                    rows += finish()
+                    rows += linked(*now[1:], blocks) if now else []
                     now, blocks = (label, i, j), {}
                 own = blocks.setdefault(block, {})
                 if name not in own:
                     found = shingles(text, n_words)
-                    if hashlib.blake2b(found.tobytes(), digest_size=16).digest() == name:  # else another text of the same id and key
+                    if name_of(found) == name:  # else another text of the same id and key
                         own[name] = (found, n_texts, n_rows)
             yield batch_of(rows)
-        yield batch_of(finish())
+        if now:
+            yield batch_of(linked(*now[1:], blocks))
 
     return arrow_map(placed, kernel, "src binary, dst binary, n bigint, n_texts bigint, n_rows bigint")
 
 
-def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_words: int = N_WORDS, threshold: float = THRESHOLD, bands: int = BANDS, band_rows: int = BAND_ROWS, tolerance: float = TOLERANCE, block: int = BLOCK, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
-    """One row for each of docs: id_col, class_id (smallest id of the class), n_links (different sets that the row's set is linked to), n_same (rows with the row's own set), n_text_links and n_row_links (other texts and other rows that the row is linked to, those with its own set among them), __key and __class_key (hash of the row's text, and of the class's first text)."""
-    rows = checkpointed(members(docs, id_col, text_col, n_words, bands, band_rows))
-    one = F.struct(F.col(id_col).alias("id"), F.col("__key").alias("key"))
-    sets = checkpointed(rows.groupBy("__set").agg(F.min(one).alias("rep"), F.count(F.lit(1)).alias("n_same"), F.countDistinct("__key").alias("n_texts"), F.min("__size").alias("size"), F.min("__buckets").alias("buckets")))
-
-    # 64 bits name a set while candidates are looked for: two sets of one name are only compared for nothing
-    met = sets.select(F.xxhash64("__set").alias("node"), F.explode("buckets").alias("bucket"))
-    first = met.groupBy("bucket").agg(F.min("node").alias("dst"), F.max("node").alias("last")).filter("dst <> last")
-    near = components(met.join(first, "bucket").select(F.col("node").alias("src"), "dst").filter("src <> dst").distinct())
-
-    named = sets.select("__set", "rep", "size", "n_texts", F.col("n_same").alias("n_rows"), F.xxhash64("__set").alias("node")).join(near, "node").drop("node")
+def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_words: int = N_WORDS, threshold: float = THRESHOLD, bands: int = BANDS, band_rows: int = BAND_ROWS, tolerance: float = TOLERANCE, signatures: int = SIGNATURES, block: int = BLOCK, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+    """One row for each of docs: id_col, class_id (smallest id of the class), n_links (different sets that the row's set is linked to), n_same (rows with the row's own set), n_text_links and n_row_links (other texts and other rows that the row is linked to, those with its own set among them), text_key and class_key (hash of the row's text, and of the class's first text)."""
+    k = bands * band_rows
+    rows = checkpointed(members(docs, id_col, text_col, n_words, k))
+    texts = rows.groupBy("set", "key").agg(F.min(F.struct("id")).alias("one"), F.count(F.lit(1)).alias("n"))
+    named = texts.groupBy("set").agg(F.min(F.struct("one.id", "key")).alias("rep"), F.sum("n").alias("n_same"), F.count(F.lit(1)).alias("n_texts"))
+    signed = rows.groupBy("set").agg(F.min("size").alias("size"), F.any_value("signature").alias("signature"))
+    sets = checkpointed(named.join(signed, "set").withColumn("node", F.xxhash64("set")))  # 64 bits name a set while candidates are looked for: two sets of one name are only compared for nothing
+
+    # who meets: buckets of two members or more, of those with the same members the one of the first band
+    band = lambda t: F.struct(t.alias("band"), F.xxhash64(t, F.substring("signature", t * (2 * band_rows) + 1, F.lit(2 * band_rows))).alias("bucket"))
+    spread = sets.select("node", F.inline(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), band)))
+    shared = spread.groupBy("bucket").agg(F.min("node").alias("first"), F.max("node").alias("last")).filter("first <> last").select("bucket")
+    met = checkpointed(spread.join(shared, "bucket"))
+    sizes = met.groupBy("bucket").agg(F.min("band").alias("band"), F.count(F.lit(1)).alias("n"), F.min("node").alias("first"), F.max("node").alias("last"), F.bit_xor(F.xxhash64("node")).alias("print"))
+    kept = sizes.groupBy("n", "first", "last", "print").agg(F.min(F.struct("band", "bucket")).alias("b")).select("b.bucket", F.ceil(F.col("n") / signatures).cast("int").alias("blocks"))
+    grouped = met.select("node", "bucket").join(kept, "bucket").withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int"))
+    grouped = grouped.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).filter("blocks = 1 or block <> other")
+    pair = [F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")]
+    signed = grouped.select("bucket", *pair, "node").join(sets.select("node", "signature"), "node").select("bucket", "i", "j", "node", "signature")
+    near = components(candidates(signed.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j"), k, threshold, tolerance))
+
+    found = sets.select("set", "rep", "size", "n_texts", F.col("n_same").alias("n_rows"), "node").join(near, "node").drop("node")
     blocks = F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("size") / block_shingles)).cast("int")
-    dealt = named.join(named.groupBy("label").agg(blocks.alias("blocks")), "label").withColumn("block", F.pmod(F.xxhash64("__set", F.lit(1)), F.col("blocks")))
-    texts = docs.select(F.col(id_col).alias("__id"), text_key(text_col).alias("__k"), F.col(text_col).alias("__text"))
-    dealt = texts.join(dealt, F.col("__id").eqNullSafe(F.col("rep.id")) & (F.col("__k") == F.col("rep.key")))
+    dealt = found.join(found.groupBy("label").agg(blocks.alias("blocks")), "label").withColumn("block", F.pmod(F.xxhash64("set", F.lit(1)), F.col("blocks")).cast("int"))
+    body = docs.select(F.col(id_col).alias("id"), text_key(text_col).alias("key"), F.col(text_col).alias("text"))
+    dealt = body.join(dealt, F.col("id").eqNullSafe(F.col("rep.id")) & (F.col("key") == F.col("rep.key")))
     paired = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    order = ["label", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")]
-    placed = paired.select(*order, "block", "__set", "n_texts", "n_rows", "__text").repartition("label", "i", "j").sortWithinPartitions("label", "i", "j")
-    found = checkpointed(compared(placed, n_words, bands * band_rows, threshold, tolerance))
+    placed = paired.select("label", *pair, "block", "set", "n_texts", "n_rows", "text").repartition("label", "i", "j").sortWithinPartitions("label", "i", "j")
+    linked = checkpointed(compared(placed, n_words, k, threshold, tolerance))
+
+    counts = linked.filter("dst is null").groupBy(F.col("src").alias("set")).agg(F.sum("n").alias("n_links"), F.sum("n_texts").alias("to_texts"), F.sum("n_rows").alias("to_rows"))
+    classes = components(linked.filter("dst is not null").select("src", "dst")).withColumnRenamed("node", "set").join(sets.select("set", "rep"), "set")
+    heads = classes.join(classes.groupBy("label").agg(F.min("rep").alias("head")), "label").join(counts, "set").select("set", "head", "n_links", "to_texts", "to_rows")
+    every = sets.select("set", "rep", "n_same", "n_texts").join(heads, "set", "left")
+    none = F.lit(0).cast("long")
+    every = checkpointed(every.select("set", "n_same", F.coalesce("head", "rep").alias("head"), F.coalesce("n_links", none).alias("n_links"), *((F.coalesce(a, none) + F.col(b) - 1).alias(c) for a, b, c in (("to_texts", "n_texts", "n_text_links"), ("to_rows", "n_same", "n_row_links")))))
 
-    counts = found.filter("dst is null").groupBy(F.col("src").alias("__set")).agg(*(F.sum(c).alias(c) for c in ("n", "n_texts", "n_rows"))).select("__set", F.col("n").alias("n_links"), F.col("n_texts").alias("to_texts"), F.col("n_rows").alias("to_rows"))
-    labels = components(found.filter("dst is not null").select("src", "dst")).withColumnRenamed("node", "__set")
-    linked = labels.join(sets.select("__set", "rep"), "__set")
-    linked = linked.join(linked.groupBy("label").agg(F.min("rep").alias("head")), "label").join(counts, "__set").select("__set", "head", "n_links", "to_texts", "to_rows")
-    every = sets.select("__set", "rep", "n_same", "n_texts").join(linked, "__set", "left")
-    every = every.select("__set", "n_same", F.coalesce("head", "rep").alias("head"), F.coalesce("n_links", F.lit(0)).alias("n_links"), *((F.coalesce(a, F.lit(0)) + F.col(b) - 1).alias(c) for a, b, c in (("to_texts", "n_texts", "n_text_links"), ("to_rows", "n_same", "n_row_links"))))
-    every = checkpointed(every)  # both sides of the last join are then shuffles of their own, and a large set can be split
-    return rows.select(id_col, "__key", "__set").join(every, "__set").select(id_col, F.col("head.id").alias("class_id"), "n_links", "n_same", "n_text_links", "n_row_links", "__key", F.col("head.key").alias("__class_key"))
+    # rows of hot sets are dealt to SALTS parts each; there are 1 / HOT hot sets at most, so their names can go to all tasks
+    least = max(2, int(rows.count() * HOT))
+    hot = checkpointed(every.filter(F.col("n_same") >= least).select("set", F.lit(True).alias("hot")))
+    salted = rows.select("id", "key", "set").join(F.broadcast(hot), "set", "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("id", "key"), F.lit(SALTS))).otherwise(0).cast("int")).drop("hot")
+    salts = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    heads = every.join(F.broadcast(hot), "set", "left").withColumn("salt", F.explode(salts)).drop("hot")
+    return salted.join(heads, ["set", "salt"]).select(F.col("id").alias(id_col), F.col("head.id").alias("class_id"), "n_links", "n_same", "n_text_links", "n_row_links", F.col("key").alias("text_key"), F.col("head.key").alias("class_key"))
 
 
 def dedupe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One document of each class with all its columns: the smallest id (of equal ids the smallest hash of the text, of equal texts any)."""
     found = join(docs, id_col, text_col, **options)
-    heads = found.select(F.col("class_id").alias("__head"), F.col("__class_key").alias("__head_key")).distinct()
-    keyed = docs.withColumn("__key", text_key(text_col))
-    kept = keyed.join(heads, F.col(id_col).eqNullSafe(F.col("__head")) & (F.col("__key") == F.col("__head_key")), "left_semi")
-    return kept.dropDuplicates([id_col, "__key"]).select(*docs.columns)
+    head, key = (fresh(c, docs.columns) for c in ("head", "key"))
+    heads = found.select(F.col("class_id").alias(head), F.col("class_key").alias(f"{key}_")).distinct()
+    kept = docs.withColumn(key, text_key(text_col)).join(heads, F.col(id_col).eqNullSafe(F.col(head)) & (F.col(key) == F.col(f"{key}_")), "left_semi")
+    return kept.dropDuplicates([id_col, key]).select(*docs.columns)

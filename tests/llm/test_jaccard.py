@@ -56,12 +56,13 @@ def brute(texts):
     return [(heads[root(at[s])], counts[at[s]], sets.count(s)) for s in sets]
 
 
-@pytest.mark.parametrize("block, block_shingles", [(ja.BLOCK, ja.BLOCK_SHINGLES), (20, 3000)])
-def test_join_like_all_pairs(spark, block, block_shingles):
+@pytest.mark.parametrize("signatures, block, block_shingles, tile", [(ja.SIGNATURES, ja.BLOCK, ja.BLOCK_SHINGLES, 16), (11, 20, 3000, ja.TILE)])
+def test_join_like_all_pairs(spark, monkeypatch, signatures, block, block_shingles, tile):
+    monkeypatch.setattr(ja, "TILE", tile)
     texts = corpus()
     want = brute(texts)
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "'x' as n_links", "1 as label").repartition(5)
-    got = {r.doc_id: (r.class_id, r.n_links, r.n_same) for r in ja.join(df, block=block, block_shingles=block_shingles).collect()}
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "'x' as n_links", "1 as label", "2 as set", "3 as key", "4 as id").repartition(5)
+    got = {r.doc_id: (r.class_id, r.n_links, r.n_same) for r in ja.join(df, signatures=signatures, block=block, block_shingles=block_shingles).collect()}
     assert [got[i] for i in range(len(texts))] == want
     assert max(n for _, n, _ in want) > 50
 
@@ -69,10 +70,11 @@ def test_join_like_all_pairs(spark, block, block_shingles):
 def test_dedupe(spark):
     texts = corpus(60)
     want = brute(texts)
-    df = spark.createDataFrame([(i, t, "kept") for i, t in enumerate(texts)], "doc_id long, text string, label string")
+    names = ["label", "head", "key", "key_", "__key", "set", "class_id"]
+    df = spark.createDataFrame([(f"{i:05}", t, *names) for i, t in enumerate(texts)], "doc_id string, text string, " + ", ".join(f"{c} string" for c in names))
     kept = ja.dedupe(df).collect()
-    assert sorted(r.doc_id for r in kept) == sorted({c for c, _, _ in want})
-    assert all(r.text == texts[r.doc_id] and r.label == "kept" for r in kept)
+    assert sorted(int(r.doc_id) for r in kept) == sorted({c for c, _, _ in want})
+    assert all(r.text == texts[int(r.doc_id)] and list(r)[2:] == names for r in kept)
 
 
 def test_repeated_and_null_ids(spark):
@@ -84,6 +86,24 @@ def test_repeated_and_null_ids(spark):
     assert ja.join(df.limit(0)).count() == 0 and ja.dedupe(df.limit(0)).count() == 0
 
 
+def test_survivor_forest_connects_what_survives():
+    rnd = np.random.default_rng(3)
+    for n in (2, 3, 40, 90):
+        base = rnd.integers(0, 65536, size=(4, 216), dtype=np.uint16)
+        table = base[rnd.integers(0, 4, n)]
+        swap = rnd.random((n, 216)) < rnd.choice([0.0, 0.05, 0.12, 0.2], n)[:, None]
+        table[swap] = rnd.integers(0, 65536, swap.sum(), dtype=np.uint16)
+        left, right = ja.survivors(table, table, 0.8, 1e-6, 24, True)
+        want, got = ja.Forest(n), ja.Forest(n)
+        want.add(left, right)
+        edges = ja.survivor_forest(table, 0.8, 1e-6)
+        got.add(*(np.array(x, dtype=int) for x in zip(*edges, strict=True))) if edges else None
+        assert len(edges) == len(want.edges) == len(got.edges)
+        joined = ja.Forest(n)
+        joined.add(np.array([a for a, _ in want.edges + edges], dtype=int), np.array([b for _, b in want.edges + edges], dtype=int))
+        assert len(joined.edges) == len(want.edges)
+
+
 def test_pruning_keeps_what_reaches_the_threshold():
     rnd = np.random.default_rng(1)
     kept = total = 0

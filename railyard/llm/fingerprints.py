@@ -6,11 +6,15 @@ in the text, are hashed as a tuple. Texts that edits turn into one another keep
 of equal tuples falls with their edit distance; reordering a text changes it although its k-mers stay.
 
 neighbour_edits() needs each document together with the one that follows it in descending id. Documents are dealt by ranges
-of ids straight to partitions and sorted there; only the first documents of a range are sent to the range before as well.
-So each text is shuffled once, and no window or partition holds more than its range.
-
-Cases: null text is the empty text; texts shorter than k have one k-mer, padded; equal texts have equal fingerprints; equal
-ids are ordered by hash and text, null ids come last; a lone document follows itself; an empty table gives no rows.
+of (id, two hashes of the text) straight to partitions and sorted there; only the first document of a range is sent to the
+range before as well. So each text is shuffled once, no window or partition holds more than its range, and documents of one
+id, or without any, are in as many ranges as they need. Only rows that are alike in id and text stay together; they are
+fingerprinted once.
+
+Cases: null text is the empty text; texts shorter than k have one k-mer, padded; very long texts are read whole, in memory of
+a few times 8 bytes a character; equal texts have equal fingerprints; ids may be of any type that has an order; documents of
+one id follow one another by descending hashes, those without id come last; a lone document follows itself; an empty table
+gives no rows; fingerprint() keeps all columns, neighbour_edits() only those it names.
 """
 
 from __future__ import annotations
@@ -20,11 +24,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from railyard.llm.frames import arrow_map
+from railyard.llm.frames import arrow_map, checkpointed
 
 K, PICKS, SKETCHES = 8, 2, 64
 #: Columns of the table of hash values that are made at a time, so that long texts take no more memory than short ones.
@@ -118,33 +122,45 @@ def fingerprint(df: DataFrame, text_col: str = "text", **options) -> DataFrame:
     return arrow_map(df, kernel, schema)
 
 
-def _below(x: Column, bounds: list[int]) -> Column:
-    """How many of the sorted bounds are above x: its partition in descending order."""
-    size = 1 << len(bounds).bit_length()
-    array = F.split(F.lit(json.dumps(bounds + [2**63 - 1] * (size - len(bounds)))[1:-1].replace(" ", "")), ",").cast("array<bigint>")
-    steps = F.array(*(F.lit(size >> k) for k in range(1, size.bit_length())))
-    found = F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.element_at(array, at + step) <= x, at + step).otherwise(at))
-    return F.lit(len(bounds)) - F.least(found, F.lit(len(bounds)))
+#: Keys of the sample from which the bounds of ranges are taken, for each range. It only decides how even they are.
+SAMPLE = 100
+
+
+def _ranges(keys: DataFrame, n: int) -> list[str]:
+    """Lower bounds of the ranges but the first, as JSON of the key, from a sample by hash of about SAMPLE keys a range."""
+    total = keys.count()
+    every = max(1, total // (n * SAMPLE))
+    sample = keys.filter(F.pmod(F.xxhash64("key", F.lit(2)), F.lit(every)) == 0).orderBy(F.xxhash64("key", F.lit(3))).limit(4 * n * SAMPLE)
+    found = [r[0] for r in sample.orderBy("key").select(F.to_json("key", {"ignoreNullFields": "false"})).collect()]
+    return list(dict.fromkeys(found[len(found) * k // n] for k in range(1, n))) if found else []
 
 
 def with_guests(df: DataFrame, id_col: str, text_col: str, partitions: int | None = None) -> DataFrame:
-    """Rows dealt by descending id and sorted: __to (partition), __guest (1: only here to follow the last own row), id, text."""
+    """Rows dealt by descending key and sorted: to (partition), guest (1: only here to follow the last own row), id, body."""
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)))
-    cuts = df.select(F.percentile_approx(key, F.array(*(F.lit(k / n) for k in range(1, n))), F.lit(10_000)).alias("cuts")).first()["cuts"] if n > 1 else None
-    bounds = sorted(set(cuts or []))
-    keyed = df.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias(text_col), key.alias("__key")).withColumn("__own", _below(F.col("__key"), bounds))
-    first = {r["__own"]: r["k"] for r in keyed.groupBy("__own").agg(F.max("__key").alias("k")).collect()}  # as many rows as partitions
-    order = sorted(first)
-    before = {p: order[k - 1] for k, p in enumerate(order)}
-    places = len(bounds) + 1
-    leader = F.element_at(F.split(F.lit(",".join(str(first.get(p, 0)) for p in range(places))), ",").cast("array<bigint>"), F.col("__own") + 1)
-    host = F.element_at(F.split(F.lit(",".join(str(before.get(p, 0)) for p in range(places))), ",").cast("array<int>"), F.col("__own") + 1)
-    own = F.struct(F.col("__own").alias("__to"), F.lit(0).alias("__guest"))
-    goes = F.when(F.col("__key") == leader, F.array(own, F.struct(host.alias("__to"), F.lit(1).alias("__guest")))).otherwise(F.array(own))
-    dealt = keyed.withColumn("__goes", F.explode(goes)).select("__goes.*", "__key", id_col, text_col)
-    return dealt.repartitionById(places, "__to").sortWithinPartitions("__to", "__guest", F.desc("__key"), F.xxhash64(text_col), text_col)
+    body = F.coalesce(F.col(text_col), F.lit(""))
+    key = F.struct(F.col(id_col).alias("id"), F.xxhash64(body).alias("h"), F.xxhash64(body, F.lit(1)).alias("g"))
+    keys = checkpointed(df.select(key.alias("key")))
+    kind = keys.schema["key"].dataType
+    bounds = _ranges(keys, n)
+    size = 1 << len(bounds).bit_length()
+    array = F.from_json(F.lit(f"[{','.join(bounds)}]"), T.ArrayType(kind))
+    steps = F.array(*(F.lit(size >> k) for k in range(1, size.bit_length())))
+    # how many bounds are not above the key, by binary search: the range
+    at = lambda x: F.aggregate(steps, F.lit(0), lambda found, step: F.when((found + step <= len(bounds)) & (F.get(array, found + step - 1) <= x), found + step).otherwise(found))
+    first = keys.withColumn("own", at(F.col("key"))).groupBy("own").agg(F.max("key").alias("key")).orderBy(F.desc("own"))
+    ranges = [(r["own"], r["key"]) for r in first.select("own", F.to_json("key", {"ignoreNullFields": "false"}).alias("key")).collect()]  # n rows at most
+    order = [own for own, _ in ranges]
+    before = dict(zip(order, [order[-1], *order[:-1]], strict=True)) if order else {}
+    leaders, places = dict(ranges), len(bounds) + 1
+    leader = F.from_json(F.lit(f"[{','.join(leaders.get(p, 'null') for p in range(places))}]"), T.ArrayType(kind))
+    hosts = F.from_json(F.lit(json.dumps([before.get(p, 0) for p in range(places)])), "array<int>")
+    keyed = df.select(key.alias("key"), body.alias("body")).withColumn("own", at(F.col("key")))
+    own, guest = (F.struct(to.alias("to"), F.lit(g).alias("guest")) for to, g in ((F.col("own"), 0), (F.get(hosts, F.col("own")), 1)))
+    goes = F.when(F.col("key") == F.get(leader, F.col("own")), F.array(own, guest)).otherwise(F.array(own))
+    dealt = keyed.withColumn("goes", F.explode(goes)).select("goes.*", "key", "body")
+    return dealt.repartitionById(places, "to").sortWithinPartitions("to", "guest", F.desc("key"), "body").select("to", "guest", "key.id", "body")
 
 
 def neighbour_edits(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None, **options) -> DataFrame:
@@ -166,23 +182,23 @@ def neighbour_edits(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             doc, old, mine = row
             half = len(old) // 2
             edited = old[: len(old) - half] + text[:half]
-            other = own.tuples(edited)
+            other = mine if edited == old else own.tuples(edited)
             return doc, len(old), edited, text_of(mine), text_of(other), float((mine == other).mean()), float((mine == tuples).mean())
 
         for batch in batches:
             rows = []
-            to, guest, _, ids, texts = (c.to_pylist() for c in batch.columns)
+            to, guest, ids, texts = (c.to_pylist() for c in batch.columns)
             for k, (t, g, doc, text) in enumerate(zip(to, guest, ids, texts, strict=True)):
                 if t != at:
                     at, last = t, None
                 if g and last is None:
                     continue  # another guest after the first, or a range without rows of its own
-                tuples = own.tuples(text)
+                tuples = last[2] if last is not None and last[1] == text else own.tuples(text)
                 if last is not None:
                     rows.append(pair(last, text, tuples))
                 last = None if g else (doc, text, tuples)
                 texts[k] = None
-            columns = [pa.array([r[0] for r in rows], batch.schema.types[3]), *(pa.array([r[k + 1] for r in rows], kind) for k, kind in enumerate(types))]
+            columns = [pa.array([r[0] for r in rows], batch.schema.types[2]), *(pa.array([r[k + 1] for r in rows], kind) for k, kind in enumerate(types))]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return arrow_map(with_guests(df, id_col, text_col, partitions), kernel, schema)

@@ -77,6 +77,17 @@ def test_neighbours(spark, n, parts):
         assert (r.near_edited, r.near_next) == (fp.likeness(r.fingerprint, r.edited_fingerprint), fp.likeness(r.fingerprint, own.fingerprint(nxt)))
 
 
+def test_hot_and_null_ids_are_many_ranges(spark):
+    rows = [(5, f"text {k}") for k in range(300)] + [(None, f"null {k}") for k in range(200)] + [(k, f"own {k}") for k in range(100)] + [(3, "same")] * 40
+    for kind, name in (("long", lambda i: i), ("string", lambda i: None if i is None else f"id {i:03}")):
+        df = spark.createDataFrame([(name(i), t, 1, 2) for i, t in rows], f"doc_id {kind}, text string, key int, `to` int").repartition(4)
+        sizes = fp.with_guests(df, "doc_id", "text", 16).filter("guest = 0").groupBy("to").count().collect()
+        assert sum(r["count"] for r in sizes) == len(rows) and max(r["count"] for r in sizes) < 100 and len(sizes) > 10
+        got = sorted((r.doc_id is None, str(r.doc_id), r.n_chars, r.edited) for r in fp.neighbour_edits(df, partitions=16).collect())
+        assert got == sorted((r.doc_id is None, str(r.doc_id), r.n_chars, r.edited) for r in fp.neighbour_edits(df, partitions=1).collect())
+        assert len(got) == len(rows) and sum(n for *_, n, e in got) == sum(len(t) for _, t in rows)
+
+
 def test_repeated_null_ids_and_empty(spark):
     rows = [(5, "a"), (5, "a"), (5, "b"), (None, "z"), (None, "z"), (1, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string")

@@ -12,10 +12,12 @@ shard gets full; that is the bound of what is broadcast. Ranks come from windows
 of that order of about `slice_rows` rows, so that neither a point nor a single hot key makes a large window.
 
 slack=0 gives capacities that add up to the number of rows: counts differ by one at most. slack>0 gives
-ceil((1 + slack) * rows / shards): fewer rows move when a shard is added, and no shard is over that bound.
+ceil((1 + slack) * rows / shards): no shard is over that bound, and fewer rows move when a shard is added (README has
+figures).
 
-Cases: null keys are one key; null and empty texts have no bytes; rows that are alike get different slots; an empty table
-gives no rows; other columns go along if named in `keep`.
+Cases: null keys are one key; null and empty texts have no bytes, very long texts count with all of theirs; rows that are
+alike get different slots; an empty table gives no rows; other columns go along if named in `keep` (but those that the
+result has itself).
 """
 
 from __future__ import annotations
@@ -23,7 +25,9 @@ from __future__ import annotations
 import hashlib
 import json
 import math
+from collections import defaultdict
 from collections.abc import Sequence
+from heapq import heappop, heappush
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -48,24 +52,48 @@ def capacities(rows: int, n_shards: int, slack: float = 0.0) -> list[int]:
 
 
 def walk(counts: dict[int, int], owners: Sequence[int], room: list[int]) -> list[tuple[int, int, int, int, int]]:
-    """Sends each point's rows clockwise. Returns (point, first rank, rank after the last, shard, first slot)."""
+    """Sends each point's rows clockwise. Returns (point, first rank, rank after the last, shard, first slot).
+
+    Points whose shard is full are skipped (`ahead` leads to the next one with room), so the work is about one step for each
+    point and for each range.
+    """
     room, n = list(room), len(owners)
     taken, done, ranges = [0] * len(room), dict.fromkeys(counts, 0), []
-    left = sorted(p for p, c in counts.items() if c > 0)
-    for hop in range(n):
-        still = []
-        for p in left:
-            shard = owners[(p + hop) % n]
+    ahead, own_points, left_open = list(range(n)), defaultdict(list), sum(r > 0 for r in room)
+    for p, shard in enumerate(owners):
+        own_points[shard].append(p)
+
+    def close(shard: int) -> None:
+        for p in own_points[shard]:
+            ahead[p] = (p + 1) % n
+
+    def with_room(p: int) -> int:
+        while ahead[p] != p:
+            ahead[p] = ahead[ahead[p]]
+            p = ahead[p]
+        return p
+
+    if left_open:
+        for shard, r in enumerate(room):
+            if r == 0:
+                close(shard)
+    heap = sorted((0, p) for p, c in counts.items() if c > 0)
+    while heap and left_open:
+        hop, p = heappop(heap)
+        at = (p + hop) % n
+        shard = owners[at]
+        if room[shard]:
             k = min(room[shard], counts[p] - done[p])
-            if k:
-                ranges.append((p, done[p], done[p] + k, shard, taken[shard]))
-                room[shard] -= k
-                taken[shard] += k
-                done[p] += k
-            if done[p] < counts[p]:
-                still.append(p)
-        if not (left := still):
-            break
+            ranges.append((p, done[p], done[p] + k, shard, taken[shard]))
+            room[shard] -= k
+            taken[shard] += k
+            done[p] += k
+            if room[shard] == 0:
+                left_open -= 1
+                if left_open:
+                    close(shard)
+        if done[p] < counts[p] and left_open:
+            heappush(heap, (hop + (with_room(at) - at) % n, p))
     return ranges
 
 

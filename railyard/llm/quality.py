@@ -13,7 +13,8 @@ hash of the id, as sparse features (at most 2 * per_grade * GRADES * BUCKETS num
 
 Cases: null text is the empty text; labels with nulls are left out; several labels of one document count as the worst;
 with fewer than two grades in the sample all weights are zero and the thresholds tell the grades' shares (with no labels
-at all the tail probability is 1 and the expected grade the best); repeated rows are scored each; columns go along.
+at all the tail probability is 1 and the expected grade the best); very long texts are read whole; ids may be of any type
+that documents and labels share; repeated rows are scored each; an empty table gives no rows; columns go along.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from railyard.llm.frames import arrow_map, sole_cache
+from railyard.llm.frames import arrow_map, fresh, sole_cache
 
 BUCKETS, PER_GRADE, GRADES = 1 << 17, 2000, 3
 #: Documents of the sample that a feature must occur in to get a weight: rarer ones only tell single documents apart.
@@ -158,7 +159,8 @@ def train(docs: DataFrame, labels: DataFrame, per_grade: int = PER_GRADE) -> Ord
     graded = graded.select("doc_id", F.when(F.col("q") < 1, 0).when(F.col("t") > 0, 1).otherwise(2).alias("grade"))
     picked = [r for g in range(GRADES) for r in graded.filter(F.col("grade") == g).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_grade).collect()]
     spark = docs.sparkSession
-    chosen = spark.createDataFrame([(r["doc_id"], r["grade"]) for r in picked], "doc_id long, __grade int")  # per_grade * GRADES rows at most
+    kind = labels.schema["doc_id"].dataType
+    chosen = spark.createDataFrame([(r["doc_id"], r["grade"]) for r in picked], T.StructType([T.StructField("doc_id", kind), T.StructField("grade", T.IntegerType())]))  # per_grade * GRADES rows at most
     # one text of each document: repeated rows would count the same label again
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
@@ -168,17 +170,18 @@ def train(docs: DataFrame, labels: DataFrame, per_grade: int = PER_GRADE) -> Ord
             found = [np.stack(features(x)).astype(np.float32).tobytes() for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.binary())], names=["doc_id", "grade", "found"])
 
-    made = arrow_map(sample, kernel, "doc_id long, grade int, found binary").groupBy("doc_id").agg(F.min("grade").alias("grade"), F.min("found").alias("found"))
+    schema = T.StructType([sample.schema["doc_id"], T.StructField("grade", T.IntegerType()), T.StructField("found", T.BinaryType())])
+    made = arrow_map(sample, kernel, schema).groupBy("doc_id").agg(F.min("grade").alias("grade"), F.min("found").alias("found"))
     rows = sorted(made.collect(), key=lambda r: r["doc_id"])
     arrays = [np.frombuffer(r["found"], dtype=np.float32).reshape(2, -1) for r in rows]
     return fit([(x[0].astype(np.int32), x[1]) for x in arrays], [r["grade"] for r in rows])
 
 
-def score(df: DataFrame, model: Ordinal, text_col: str = "text") -> DataFrame:
-    """Adds expected_grade and p_good, P(grade is the best one); replaces columns of these names."""
-    df = df.drop("expected_grade", "p_good")
+def score(df: DataFrame, model: Ordinal, text_col: str = "text", grade_col: str = "expected_grade", tail_col: str = "p_good") -> DataFrame:
+    """Adds grade_col, the expected grade, and tail_col, P(grade is the best one); replaces columns of these names."""
+    df = df.drop(grade_col, tail_col)
     at = df.columns.index(text_col)
-    schema = T.StructType([*df.schema.fields, T.StructField("expected_grade", T.DoubleType()), T.StructField("p_good", T.DoubleType())])
+    schema = T.StructType([*df.schema.fields, T.StructField(grade_col, T.DoubleType()), T.StructField(tail_col, T.DoubleType())])
     used = np.flatnonzero(model.weights)
     shared = df.sparkSession.sparkContext.broadcast((used.astype(np.int32), model.weights[used], model.thresholds))  # at most BUCKETS weights
 
@@ -193,3 +196,9 @@ def score(df: DataFrame, model: Ordinal, text_col: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([float(t.sum()) for t in tails], pa.float64()), pa.array([float(t[-1]) for t in tails], pa.float64())], names=schema.names)
 
     return arrow_map(df, kernel, schema)
+
+
+def select(df: DataFrame, model: Ordinal, keep: float = KEEP, text_col: str = "text") -> DataFrame:
+    """The rows whose probability of the best grade is at least `keep`, with their own columns."""
+    grade, tail = fresh("expected_grade", df.columns), fresh("p_good", df.columns)
+    return score(df, model, text_col, grade, tail).filter(F.col(tail) >= keep).select(*df.columns)

@@ -61,3 +61,59 @@ def test_without_labels(spark):
     assert all(r.p_good == 1 and r.expected_grade == 2 for r in q.score(docs, none).collect())
     good = q.train(docs, labels.filter("quality = 1 and toxic = 0"))
     assert all(r.p_good == 1 for r in q.score(docs, good).collect())
+
+
+def plain_fit(rows, grades, n_grades, epochs, rate, decay, sparse):
+    """The same loss and steps in plain Python, a dense list of features for each row."""
+    import math
+
+    used = sorted({int(b) for found, _ in rows for b in found})
+    x = [[dict(zip(map(int, found), map(float, value))).get(b, 0.0) for b in used] for found, value in rows]
+    counts = [grades.count(g) for g in range(n_grades)]
+    share = [1 / (sum(c > 0 for c in counts) * counts[g]) for g in grades]
+    w, seen_w = [0.0] * len(used), [1e-8] * len(used)
+    free, seen_t = [-0.5] + [0.0] * (n_grades - 2), [1e-8] * (n_grades - 1)
+    for _ in range(epochs):
+        cuts = [free[0] + sum(math.exp(free[1 + j]) for j in range(k)) for k in range(n_grades - 1)]
+        grad_w, grad_t = [decay * v for v in w], [0.0] * (n_grades - 1)
+        for row, g, s in zip(x, grades, share):
+            score = sum(a * b for a, b in zip(w, row))
+            for k, c in enumerate(cuts):
+                error = s * (1 / (1 + math.exp(c - score)) - (g >= k + 1))
+                for j, v in enumerate(row):
+                    grad_w[j] += error * v
+                grad_t[0] -= error
+                for m in range(1, k + 1):
+                    grad_t[m] -= error * math.exp(free[m])
+        for j, g in enumerate(grad_w):
+            seen_w[j] += g * g
+            pace = rate / math.sqrt(seen_w[j])
+            v = w[j] - pace * g
+            w[j] = math.copysign(max(abs(v) - pace * sparse, 0.0), v)
+        for j, g in enumerate(grad_t):
+            seen_t[j] += g * g
+            free[j] -= rate * g / math.sqrt(seen_t[j])
+    return dict(zip(used, w)), [free[0] + sum(math.exp(free[1 + j]) for j in range(k)) for k in range(n_grades - 1)]
+
+
+def test_fit_and_scores_like_plain_python(spark):
+    import math
+
+    rnd = random.Random(9)
+    words = ["alpha", "beta", "gamma", "delta", "IDIOT", "omega!!"]
+    texts = [" ".join(rnd.choices(words, weights=[4, 3, 2, 2, 3 * (g == 1) + 0.1, 4 * (g == 0) + 0.2], k=rnd.randint(5, 30))) for g in [0, 1, 2, 2] * 12]
+    grades = [0, 1, 2, 2] * 12
+    found = [q.features(t) for t in texts]
+    for n_grades, own in ((3, grades), (4, [g + (k % 8 == 3) for k, g in enumerate(grades)])):
+        model = q.fit(found, own, n_grades, epochs=60, least=1)
+        weights, cuts = plain_fit(found, own, n_grades, 60, 0.3, 1e-4, 1e-3)
+        assert np.allclose(model.thresholds, cuts, atol=1e-5)
+        assert np.allclose([model.weights[b] for b in weights], list(weights.values()), atol=1e-5)
+        assert np.count_nonzero(model.weights) <= len(weights)
+    model = q.fit(found, grades, 3, epochs=60, least=1)
+    weights, cuts = plain_fit(found, grades, 3, 60, 0.3, 1e-4, 1e-3)
+    got = {r.doc_id: r for r in q.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    for i, (buckets, values) in enumerate(found):
+        score = sum(weights[int(b)] * float(v) for b, v in zip(buckets, values))
+        tails = [1 / (1 + math.exp(c - score)) for c in cuts]
+        assert abs(got[i].expected_grade - sum(tails)) < 1e-4 and abs(got[i].p_good - tails[-1]) < 1e-4

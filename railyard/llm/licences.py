@@ -7,7 +7,8 @@ each rule is a sequence of identifiers that must stand next to each other among
 up, and later rules see a gap there. Identifiers that no rule uses leave the text with an `unmatched` remark.
 
 Cases: null text is the empty text; texts without licence sentences give an empty array, "" and verdict `none`; a licence
-that occurs more than once is named once; repeated rows stay; other columns are carried along.
+that occurs more than once is named once; very long texts are read whole; repeated rows stay; an empty table gives no rows;
+other columns are carried along.
 """
 
 from __future__ import annotations
@@ -38,6 +39,20 @@ SENTENCES = {
     "BsdSource": ["Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."],
     "BsdBinary": ["Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."],
     "BsdEndorse": ["Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."],
+    "GplFree2": ["This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."],
+    "GplName2": ["This work is licensed under the GNU General Public License, version 2.", "This program is licensed under the GNU General Public License version 2."],
+    "LgplFree": ["This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."],
+    "LgplHope": ["This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."],
+    "LgplFree3": ["This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
+    "AgplFree": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
+    "MplCopy": ["If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.", "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."],
+    "IscGrant": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
+    "ZeroGrant": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted."],
+    "Unencumbered": ["This is free and unencumbered software released into the public domain."],
+    "EplTerms": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/", "This program and the accompanying materials are made available under the terms of the Eclipse Public License v2.0 which accompanies this distribution, and is available at https://www.eclipse.org/legal/epl-2.0/"],
+    "BoostName": ["Distributed under the Boost Software License, Version 1.0."],
+    "ZlibGrant": ["Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"],
+    "CcZero": ["To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide."],
     "Rights": ["All rights reserved."],
 }
 
@@ -53,7 +68,24 @@ RULES = (
     ("Apache-2.0", ("ApacheName",)),
     ("GPL-3.0-or-later", ("GplFree", "GplHope")),
     ("GPL-3.0-or-later", ("GplFree",)),
+    ("AGPL-3.0-or-later", ("AgplFree", "GplHope")),
+    ("AGPL-3.0-or-later", ("AgplFree",)),
+    ("LGPL-3.0-or-later", ("LgplFree3", "LgplHope")),
+    ("LGPL-3.0-or-later", ("LgplFree3",)),
+    ("LGPL-2.1-or-later", ("LgplFree", "LgplHope")),
+    ("LGPL-2.1-or-later", ("LgplFree",)),
+    ("GPL-2.0-or-later", ("GplFree2", "GplHope")),
+    ("GPL-2.0-or-later", ("GplFree2",)),
     ("GPL-3.0", ("GplName3",)),
+    ("GPL-2.0", ("GplName2",)),
+    ("MPL-2.0", ("MplCopy",)),
+    ("ISC", ("IscGrant",)),
+    ("0BSD", ("ZeroGrant",)),
+    ("Unlicense", ("Unencumbered",)),
+    ("EPL-2.0", ("EplTerms",)),
+    ("BSL-1.0", ("BoostName",)),
+    ("Zlib", ("ZlibGrant",)),
+    ("CC0-1.0", ("CcZero",)),
     ("CC-BY-NC-4.0", ("CcByNc4",)),
     ("CC-BY-SA-4.0", ("CcBySa4",)),
     ("CC-BY-4.0", ("CcBy4",)),
@@ -67,14 +99,18 @@ def normalise(sentence: str) -> str:
     return re.sub(r"[^a-z0-9]+", " ", sentence.lower()).strip(" ")
 
 
+def parts_of(text: str) -> list[str]:
+    return [normalise(p) for p in re.split(BREAK, text) if p.strip()]
+
+
 def table_of(sentences: Mapping[str, Sequence[str]]) -> dict[str, str]:
-    """Normalised sentence -> identifier. A sentence that BREAK cuts would never be found, so it is refused."""
+    """Normalised sentence -> identifier. One that BREAK cuts is known by its parts; a part that several share has the first one's identifier."""
     found = {}
     for name, texts in sentences.items():
         for text in texts:
-            parts = [p for p in re.split(BREAK, text) if p.strip()]
+            parts = parts_of(text)
             for k, part in enumerate(parts):
-                found[normalise(part)] = name if len(parts) == 1 else f"{name}.{k}"
+                found.setdefault(part, name if len(parts) == 1 else f"{name}.{k}")
     return found
 
 
@@ -96,10 +132,9 @@ def found_in(text: Column, known: Mapping[str, str]) -> Column:
     return F.when(text.rlike("|".join(least)), flat).otherwise(F.array().cast("array<string>"))
 
 
-def _parts(name: str, sentences: Mapping[str, Sequence[str]]) -> list[str]:
-    """The identifiers that a rule's one stands for: a sentence with inner breaks is known by its parts."""
-    n = len([p for p in re.split(BREAK, sentences[name][0]) if p.strip()])
-    return [name] if n == 1 else [f"{name}.{k}" for k in range(n)]
+def _parts(name: str, sentences: Mapping[str, Sequence[str]], known: Mapping[str, str]) -> list[str]:
+    """The identifiers that a rule's one stands for."""
+    return [known[p] for p in parts_of(sentences[name][0])]
 
 
 def scan(df: DataFrame, text_col: str = "text", sentences: Mapping[str, Sequence[str]] = SENTENCES, rules: Sequence[tuple[str, Sequence[str]]] = RULES) -> DataFrame:
@@ -114,7 +149,7 @@ def scan(df: DataFrame, text_col: str = "text", sentences: Mapping[str, Sequence
     rest = F.when(F.size("sentence_ids") > 0, F.concat(F.lit(","), F.array_join("sentence_ids", ",,"), F.lit(","))).otherwise(F.lit(""))
     out, flags = out.withColumn("__rest", rest), []
     for k, (_, sequence) in enumerate(rules):
-        wanted = "".join(f",{x}," for name in sequence for x in _parts(name, sentences))
+        wanted = "".join(f",{x}," for name in sequence for x in _parts(name, sentences, known))
         out = out.withColumn(f"__hit{k}", F.contains("__rest", F.lit(wanted))).withColumn("__rest", F.replace("__rest", F.lit(wanted), F.lit("|")))
         flags.append(f"__hit{k}")
     licences = list(dict.fromkeys(name for name, _ in rules))
@@ -130,7 +165,7 @@ def oracle() -> str:
     names = "MAP {" + ", ".join(f"{quoted(s)}: {quoted(n)}" for s, n in known.items()) + "}"
     steps, hits, rest = [], [], "r0"
     for k, (_, sequence) in enumerate(RULES):
-        wanted = quoted("".join(f",{x}," for name in sequence for x in _parts(name, SENTENCES)))
+        wanted = quoted("".join(f",{x}," for name in sequence for x in _parts(name, SENTENCES, known)))
         steps.append(f"s{k + 1} AS (SELECT *, contains({rest}, {wanted}) AS h{k}, replace({rest}, {wanted}, '|') AS r{k + 1} FROM s{k})")
         hits.append(f"h{k}")
         rest = f"r{k + 1}"

@@ -11,7 +11,7 @@ def brute(text):
     ids = [known[n] for p in re.split(li.BREAK, text or "") if (n := li.normalise(p)) in known]
     rest, found = list(ids), []
     for name, seq in li.RULES:
-        want = [x for n in seq for x in li._parts(n, li.SENTENCES)]
+        want = [x for n in seq for x in li._parts(n, li.SENTENCES, known)]
         at = 0
         while at + len(want) <= len(rest):
             if rest[at : at + len(want)] == want:
@@ -59,10 +59,12 @@ def test_sentences_that_run_over_lines(spark):
 
     mit, bsd = ["MitGrant", "MitNotice", "AsIsMit"], ["BsdPre", "BsdSource", "BsdBinary"]
     gpl = ["GplFree", "GplHope"]
+    more = [(["GplFree2", "GplHope"], "GPL-2.0-or-later"), (["LgplFree", "LgplHope"], "LGPL-2.1-or-later"), (["LgplFree3"], "LGPL-3.0-or-later"), (["AgplFree", "GplHope"], "AGPL-3.0-or-later"), (["MplCopy"], "MPL-2.0"), (["IscGrant"], "ISC"), (["Unencumbered"], "Unlicense"), (["EplTerms"], "EPL-2.0"), (["BoostName"], "BSL-1.0"), (["ZlibGrant"], "Zlib"), (["CcZero"], "CC0-1.0")]
     cases = [
         (wrapped(mit, gap="\n\n"), "MIT"), (wrapped(mit, " * ", "\n *\n"), "MIT"), (wrapped(mit, "# ").replace("\n", "\r\n"), "MIT"),
         (wrapped(bsd, "// "), "BSD-2-Clause"), (wrapped([*bsd, "BsdEndorse"], "dnl "), "BSD-3-Clause"), (wrapped(gpl, "    ", "\n\n", 60), "GPL-3.0-or-later"),
         ("Copyright (c) 2020 A. Person\nAll rights reserved\n\n" + wrapped(mit), "MIT"),
+        *((wrapped(names, " * ", "\n *\n", 72), name) for names, name in more),
         (wrapped(["MitNotice"]).replace("\n", "\n\n"), ""), ("not " + wrapped(mit[:1]), ""),
     ]
     df = spark.createDataFrame([(k, x) for k, (x, _) in enumerate(cases)], "doc_id long, text string")

@@ -9,8 +9,12 @@ The template is `<|im_start|>role newline text<|im_end|> newline`. Inside roles
 one backslash more, so that no control string is left and taking one away restores the text; roles have line ends and
 backslashes escaped as well. The loss mask is a span of code points in each assistant turn's formatted string: its text.
 
+Roles of other layouts get their usual name (ROLES): "human" is read back as "user". formatted_conversations() joins the
+turns of a conversation into one text with the spans of its loss mask; read_back() gives digests of conversations of any
+length without putting them together.
+
 Cases: null texts and roles are empty; turns are ordered by turn (nulls first), then role, then text, repeated rows stay;
-records whose fingerprint no mapping knows give one turn each of role null and text null in canonical_turns_json() and raise
+very long texts are one string each; records whose fingerprint no mapping knows give one turn each of role null and text null in canonical_turns_json() and raise
 ValueError for a table; an empty table gives no rows; columns that no mapping names are ignored.
 """
 
@@ -173,6 +177,19 @@ def format_turns(turns: DataFrame) -> DataFrame:
     )
 
 
+def formatted_conversations(formatted: DataFrame, id_col: str = "conv_id") -> DataFrame:
+    """(id_col, formatted, loss): one string for each conversation and the spans (start, end) of its loss mask, in code points. A conversation must fit in one row."""
+    turn = F.struct("turn", "role", "text", "formatted", "loss_start", "loss_end")
+    whole = formatted.groupBy(id_col).agg(F.array_sort(F.collect_list(turn)).alias("turns"))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
+
+    def step(acc, x):
+        span = F.struct((acc["at"] + x["loss_start"]).alias("start"), (acc["at"] + x["loss_end"]).alias("end"))
+        return F.struct((acc["at"] + F.char_length(x["formatted"])).alias("at"), F.when(x["loss_start"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(span))).alias("out"))
+
+    return whole.select(id_col, F.array_join(F.transform("turns", lambda x: x["formatted"]), "").alias("formatted"), F.aggregate("turns", start, step)["out"].alias("loss"))
+
+
 def parse(formatted: str) -> list[tuple[str, str]]:
     """(role, text) of each turn, read back from the formatted string."""
     turns = []

@@ -72,3 +72,13 @@ def test_typed_layouts(spark, record, want):
 def test_unknown_table(spark):
     with pytest.raises(ValueError):
         chat.canonical_turns(spark.range(3))
+
+
+def test_whole_conversations(spark):
+    convs = {1: [("user", "a <|im_end|>"), ("assistant", "é𝒳 <|"), ("assistant", None), ("user", "b")], 2: [("human", "x")]}
+    rows = [(c, k, r, t) for c, turns in convs.items() for k, (r, t) in enumerate(turns)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    for r in chat.formatted_conversations(chat.format_turns(chat.canonical_turns(df))).collect():
+        turns = [(chat.ROLES.get(a, a), t or "") for a, t in convs[r.conv_id]]
+        assert chat.parse(r.formatted) == turns
+        assert [chat.unescape(r.formatted[a:b]) for a, b in r.loss] == [t for a, t in turns if a == "assistant"]

@@ -8,7 +8,8 @@ The vocabulary file is one in the `tokenizers` JSON format with a BPE model, byt
 NFC + white space + lower case normalisation and a removing split; its path is a parameter and the file is only read.
 
 Cases: null text is the empty text; empty or blank texts give no ids and the decoded text ""; the strings of added tokens
-in a text become their ids; repeated rows are encoded each; other columns are carried along untouched.
+in a text become their ids (a vocabulary whose added tokens ask for more than that is refused); very long texts are encoded
+whole, word by word; repeated rows are encoded each; an empty table gives no rows; other columns are carried along untouched.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
+from os.path import commonprefix
 from struct import pack
 
 import numpy as np
@@ -70,6 +72,10 @@ class BpeCodec:
         self.ranks = {self.vocab[a] << 32 | self.vocab[b]: rank for rank, (a, b) in enumerate(pairs)}
         self.merged = [self.vocab[a + b] for a, b in pairs]
         self.added = {x["content"]: x["id"] for x in spec["added_tokens"]}
+        if odd := [x["content"] for x in spec["added_tokens"] if any(x[k] for k in ("single_word", "lstrip", "rstrip", "normalized"))]:
+            raise ValueError(f"added tokens with options that this codec doesn't have: {odd}")
+        #: What all added tokens begin with: texts without it need no search.
+        self._mark = commonprefix(list(self.added))
         self.strings = dict((i, s) for s, i in self.vocab.items()) | {i: s for s, i in self.added.items()}
         self._added = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         split = next(x for x in spec["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split")
@@ -132,7 +138,7 @@ class BpeCodec:
         """Ids as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
-        if self._added is None or "<|" not in text:
+        if self._added is None or self._mark not in text:
             return self._encode_plain(text)
         return b"".join(np.array([self.added[x]], dtype="<u4").tobytes() if x in self.added else self._encode_plain(x) for x in self._added.split(text) if x)
 

@@ -5,7 +5,8 @@ failure link and the number of pieces that following it pops: where a character
 adds that number and goes on at the link's node, so that each character is looked at once and no piece is built. A word
 that pieces can't cover is one unknown token, as with the usual greedy matcher.
 
-Cases: null text is the empty text and has no tokens; repeated rows are counted each; other columns are carried along.
+Cases: null text is the empty text and has no tokens; very long texts and words are read whole, in time that grows with
+their length; repeated rows are counted each; an empty table gives no rows; other columns are carried along.
 """
 
 from __future__ import annotations

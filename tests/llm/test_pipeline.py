@@ -1,9 +1,12 @@
 import random
 
+import public_tokenizers
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from railyard.llm import bpe, decontaminate, jaccard, quality, secrets
+from railyard.llm import bpe, chat, decontaminate, fingerprints, jaccard, licences, quality, secrets, sharding, wordpiece
 from tests.llm.test_jaccard import brute
-from tests.llm.test_secrets import full
+from tests.llm.test_secrets import redacted
 
 
 def tables(spark, folder):
@@ -47,13 +50,10 @@ def test_pipeline_like_brute_force(spark, tmp_path):
     rows = [d for d in rows if not matcher.matches(d[1])]
     own = bpe.codec(corpus_pipeline.VOCABULARY)
     assert sorted(out) == [d[0] for d in rows] and 60 < len(rows) < 250
+    models = secrets.train(spark.createDataFrame([d[:2] for d in rows], "doc_id long, text string"))
     for i, text, lang, source, _ in rows:
-        want, at = "", 0
-        for a, _, b in full(text):
-            want, at = want + (text[at:a] + "[REDACTED]" if a >= at else ""), max(at, b)
-        want += (text or "")[at:]
-        assert (out[i].lang, out[i].source, bytes(out[i].ids)) == (lang, source, own.encode(want))
-    assert any(full(d[1]) for d in rows)
+        assert (out[i].lang, out[i].source, bytes(out[i].ids)) == (lang, source, own.encode(redacted(text, models)))
+    assert any(redacted(d[1], models) != d[1] for d in rows)
 
 
 def test_stages_return_the_columns_of_documents(spark, tmp_path):
@@ -73,3 +73,38 @@ def test_redaction_changes_n_chars_only_there(spark):
     assert (out[1].text, out[1].n_chars) == ("a [REDACTED] b", 14)
     assert (out[2].n_chars, out[3].text, out[3].n_chars) == (99, None, None)
     assert secrets.KINDS and jaccard.N_WORDS == 5
+
+
+CLASHING = ["found", "base", "p_good", "expected_grade", "key", "__key", "__hits", "hits", "before", "__token", "head", "set", "label", "ids", "grade", "Found_"]
+
+
+def test_columns_and_ids_of_any_kind_survive(spark, tmp_path):
+    docs, _ = tables(spark, tmp_path)
+    plain = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    string_id = lambda df, c="doc_id": df.withColumn(c, F.concat(F.lit("id "), F.lpad(F.col(c).cast("string"), 6, "0")))
+    odd = string_id(plain).select("*", *(F.lit(f"own {c}").alias(c) for c in CLASHING))
+    string_id(spark.read.parquet(f"{tmp_path}/labels.parquet")).write.parquet(f"{tmp_path}/odd/labels.parquet")
+    string_id(spark.read.parquet(f"{tmp_path}/benchmark.parquet"), "item_id").write.parquet(f"{tmp_path}/odd/benchmark.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, odd, f"{tmp_path}/odd")
+        assert out.columns == odd.columns and [f.dataType for f in out.schema] == [f.dataType for f in odd.schema]
+        rows = out.collect()
+        assert sorted(r.doc_id for r in rows) == sorted(f"id {r.doc_id:06}" for r in stage(spark, plain, str(tmp_path)).collect())
+        assert all(r[c] == f"own {c}" for r in rows for c in CLASHING)
+
+    model = quality.train(plain, spark.read.parquet(f"{tmp_path}/labels.parquet"))
+    vocabulary, pieces = corpus_pipeline.VOCABULARY, public_tokenizers.path("piece_bpe_32k.model")
+    operators = {
+        "bpe": (lambda d: bpe.encode(d, vocabulary, decoded_col="decoded"), {"ids"}),
+        "sharding": (lambda d: sharding.assign(d, 24, keep=d.columns).drop("size", "text_crc32", "shard", "slot"), set()),
+        "licences": (licences.scan, set()), "fingerprints": (fingerprints.fingerprint, set()), "jaccard": (jaccard.dedupe, set()),
+        "decontaminate": (lambda d: decontaminate.clean(d, string_id(spark.read.parquet(f"{tmp_path}/benchmark.parquet"), "item_id")), set()),
+        "quality": (lambda d: quality.score(d, model), {"p_good", "expected_grade"}), "wordpiece": (lambda d: wordpiece.count_tokens(d, pieces), set()),
+        "secrets": (secrets.scan, {"found", "base"}),
+    }
+    for name, (operator, replaced) in operators.items():
+        rows = operator(odd).collect()
+        assert rows and all(r[c] == f"own {c}" for r in rows for c in CLASHING if c not in replaced), name
+    turns = odd.select(F.col("doc_id").alias("conv_id"), F.lit(0).alias("turn"), F.lit("user").alias("role"), "text", *CLASHING)
+    assert chat.read_back(chat.format_turns(chat.canonical_turns(turns))).count() == plain.select("doc_id").distinct().count()
+    assert fingerprints.neighbour_edits(odd).count() == len(docs) == jaccard.join(odd).count()

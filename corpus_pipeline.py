@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from railyard.llm import bpe, decontaminate, jaccard, quality, secrets
-from railyard.llm.frames import table, written
+from railyard.llm.frames import fresh, remove, table, write_out
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
@@ -20,7 +20,7 @@ VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose probability of the best grade is below quality.KEEP."""
     model = quality.train(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, model).filter(F.col("p_good") >= quality.KEEP).select(*docs.columns)
+    return quality.select(docs, model)
 
 
 def one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,8 +35,9 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces secrets in texts; n_chars follows where a text changes."""
-    redacted = secrets.redact(docs.withColumn("__before", F.col("text")))
-    return redacted.withColumn("n_chars", F.when(F.col("text") != F.col("__before"), F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    before = fresh("before", docs.columns)
+    redacted = secrets.redact(docs.withColumn(before, F.col("text")), models=secrets.train(docs))
+    return redacted.withColumn("n_chars", F.when(F.col("text") != F.col(before), F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,7 +59,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir))
+        path = write_out(stage(spark, docs, sf_dir))
+        if before:
+            remove(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs

@@ -21,7 +21,7 @@ sg0 AS (SELECT CAST(substr(mode, 1, 1) AS INTEGER) AS md, i, j, count(*) AS n, c
 gp0 AS (SELECT CAST(substr(mode, 1, 1) AS INTEGER) AS md, i, j, dep_s - lag(dep_s) OVER (PARTITION BY mode, i, j ORDER BY dep_s) AS gap FROM lp), cv AS (SELECT md, i, j, CASE WHEN count(*) < 3 OR avg(gap) = 0 THEN 1.0 ELSE var_pop(gap) / (avg(gap) * avg(gap)) END AS cv2 FROM gp0 GROUP BY md, i, j),
 su AS (SELECT a.md, a.i, a.j, a.k, a.m / s.n AS share FROM (SELECT md, i, j, k, count(*) AS m FROM vk WHERE k IS NOT NULL GROUP BY md, i, j, k) a JOIN sg0 s USING (md, i, j) JOIN sg0 x ON x.md = a.md AND x.i = a.j AND x.j = a.k),
 en AS (SELECT md, i, j, least(1.0, greatest(0.0, 1 - coalesce(sum(share), 0.0))) AS seg_end FROM sg0 LEFT JOIN su USING (md, i, j) GROUP BY md, i, j),
-m1 AS (SELECT *, 2 * freq / (1 + cv2) AS theta, CASE md WHEN 1 THEN 0.40 WHEN 2 THEN 0.45 WHEN 4 THEN 1.20 ELSE 1.0 END * 1000 * tau / dist AS cost, 1 - exp(-dist / 3500.0) AS alpha FROM sg0 JOIN cv USING (md, i, j) JOIN en USING (md, i, j)),
+m1 AS (SELECT *, 2 * freq / (1 + cv2) AS theta, CASE md WHEN 1 THEN 0.40 WHEN 2 THEN 0.55 WHEN 4 THEN 1.20 ELSE 1.0 END * 1000 * tau / dist AS cost, 1 - exp(-dist / 3500.0) AS alpha FROM sg0 JOIN cv USING (md, i, j) JOIN en USING (md, i, j)),
 m2 AS (SELECT *, theta * exp(-(cost - min(cost) OVER (PARTITION BY i)) / 300.0) AS q, alpha + (1 - alpha) * seg_end AS pa FROM m1), ac AS (SELECT i AS hub FROM m2 GROUP BY i HAVING sum(q) > 0),
 m3 AS (SELECT m2.*, CASE WHEN ac.hub IS NULL THEN 0.0 ELSE 0.3 END AS pt, 'S' || md || '|' || m2.i || '|' || j AS s FROM m2 LEFT JOIN ac ON ac.hub = j),
 ra AS (SELECT src, dst, sum(rate) AS rate FROM (SELECT 'H' || i AS src, s AS dst, q AS rate FROM m3 UNION ALL SELECT s, 'S' || su.md || '|' || su.j || '|' || su.k, (1 - alpha) * share / tau FROM m3 JOIN su ON su.md = m3.md AND su.i = m3.i AND su.j = m3.j UNION ALL SELECT s, 'H' || j, pa * pt / tau FROM m3 UNION ALL SELECT s, 'exit', pa * (1 - pt) / tau FROM m3 UNION ALL SELECT 'H' || h.hub, 'exit', 1.0 FROM (SELECT i AS hub FROM lp UNION SELECT j FROM lp) h WHERE h.hub NOT IN (SELECT hub FROM ac)) WHERE rate <> 0 GROUP BY src, dst)"""

@@ -8,9 +8,10 @@ Which texts have a Jaccard similarity of at least `threshold` of their sets of w
 2. MinHash values are cut into bands; members that agree in a band meet in a bucket. For links at the threshold the chance
    to meet in no band is about 2e-5 by default. Buckets with the same members count once. In each bucket MinHash values are
    compared a few at a time, and a pair is dropped when its posterior probability of reaching the threshold (uniform prior)
-   is below `tolerance`. Only signatures travel, to groups of two blocks of a bucket at most, and only a spanning forest of
-   the pairs that stay comes back. Its components (minimum labels, checkpointed) hold all links; texts that merely share
-   boilerplate are in none.
+   is below `tolerance`. Only signatures travel, and only a spanning forest of the pairs that stay comes back. A large
+   bucket is blocks with the bucket's smallest member in each; only members that this one doesn't reach in their block (few,
+   in a group of near copies) meet the other blocks as well. The components of the forests (minimum labels, checkpointed)
+   hold all links; texts that merely share boilerplate are in none.
 3. Texts go to their component once for each block of it; each pair of blocks is one group, so a huge component is many tasks
    of bounded size. All pairs in a group are pruned as before, those that stay are verified exactly by the sizes of the
    intersections. Link counts come back, and a spanning forest of the links, not the links. Counting the links of m texts
@@ -43,7 +44,7 @@ BANDS, BAND_ROWS = 36, 6
 #: MinHash values compared at a time, and the posterior probability below which a pair is dropped.
 STEP, TOLERANCE = 24, 1e-6
 #: Signatures of a block of a bucket; texts of a block of a component and their shingles, about; a kernel holds two blocks.
-SIGNATURES, BLOCK, BLOCK_SHINGLES = 4096, 2048, 4_000_000
+SIGNATURES, BLOCK, BLOCK_SHINGLES = 512, 2048, 4_000_000
 #: Texts on a side whose pairs are compared at a time.
 TILE = 512
 #: A set is hot if it has this share of all rows or more, and then its rows are dealt to so many parts; at most 1 / HOT sets are.
@@ -175,14 +176,15 @@ def links(a: list[np.ndarray], sig_a: np.ndarray, b: list[np.ndarray] | None, si
     return left[ok], right[ok]
 
 
-def survivor_forest(table: np.ndarray, threshold: float, tolerance: float, step: int = STEP) -> list[tuple[int, int]]:
-    """Edges that connect what the surviving pairs of rows connect, fewer than rows: a search from each row through those not reached yet."""
+def survivor_forest(table: np.ndarray, threshold: float, tolerance: float, step: int = STEP) -> tuple[list[tuple[int, int]], list[int]]:
+    """Edges that connect what the surviving pairs of rows connect, fewer than rows, and the rows that row 0 isn't connected with: a search from each row through those not reached yet."""
     k = table.shape[1]
     plan = least_matches(k, min(step, k), threshold, tolerance)
-    left, out = np.arange(1, len(table)), []
+    left, out, apart = np.arange(1, len(table)), [], None
     front = [0]
     while len(left):
         if not front:
+            apart = left.tolist() if apart is None else apart
             front, left = [int(left[0])], left[1:]
             continue
         row, near, done, score = front.pop(), left, 0, 0
@@ -194,7 +196,7 @@ def survivor_forest(table: np.ndarray, threshold: float, tolerance: float, step:
             out += [(row, int(x)) for x in near]
             front += near.tolist()
             left = np.setdiff1d(left, near, assume_unique=True)
-    return out
+    return out, apart or []
 
 
 class Forest:
@@ -284,23 +286,29 @@ def _groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple[tu
 
 
 def candidates(placed: DataFrame, k: int, threshold: float, tolerance: float) -> DataFrame:
-    """(src, dst): for each group (bucket, i, j) a spanning forest of the pairs of its nodes that survive. placed: sorted by group; bucket, i, j, node, signature."""
+    """For each group (bucket, i, j) a spanning forest (src, dst) of the pairs of its nodes that survive; and of groups that are parts, nodes that the smallest one isn't connected with, as src with their bucket and a null dst.
+
+    placed: sorted by group; bucket, i, j, node, signature, part.
+    """
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        edges: list[tuple[int, int]] = []
+        found: list[tuple] = []
+        batch_of = lambda: pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], names=["src", "dst", "bucket"])
         sole_cache()
-        for _, rows in _groups(batches, 3):
+        for group, rows in _groups(batches, 3):
             if rows is not None and len(rows) > 1:
                 rows = sorted(rows)  # so that the centre of a forest is the smallest node in every bucket
                 table = np.frombuffer(b"".join(r[1] for r in rows), dtype="<u2").reshape(len(rows), k)
-                edges += [(rows[a][0], rows[b][0]) for a, b in survivor_forest(table, threshold, tolerance)]
-            if edges and (rows is None or len(edges) > 10_000):
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*edges, strict=True)], names=["src", "dst"])
-                edges = []
-        if edges:
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*edges, strict=True)], names=["src", "dst"])
+                edges, apart = survivor_forest(table, threshold, tolerance)
+                found += [(rows[a][0], rows[b][0], None) for a, b in edges]
+                found += [(rows[a][0], None, group[0]) for a in apart if rows[a][2]]
+            if found and (rows is None or len(found) > 10_000):
+                yield batch_of()
+                found = []
+        if found:
+            yield batch_of()
 
-    return arrow_map(placed, kernel, "src bigint, dst bigint")
+    return arrow_map(placed, kernel, "src bigint, dst bigint, bucket bigint")
 
 
 def compared(placed: DataFrame, n_words: int, k: int, threshold: float, tolerance: float) -> DataFrame:
@@ -369,19 +377,32 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_word
     shared = spread.groupBy("bucket").agg(F.min("node").alias("first"), F.max("node").alias("last")).filter("first <> last").select("bucket")
     met = checkpointed(spread.join(shared, "bucket"))
     sizes = met.groupBy("bucket").agg(F.min("band").alias("band"), F.count(F.lit(1)).alias("n"), F.min("node").alias("first"), F.max("node").alias("last"), F.bit_xor(F.xxhash64("node")).alias("print"))
-    kept = sizes.groupBy("n", "first", "last", "print").agg(F.min(F.struct("band", "bucket")).alias("b")).select("b.bucket", F.ceil(F.col("n") / signatures).cast("int").alias("blocks"))
-    grouped = met.select("node", "bucket").join(kept, "bucket").withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int"))
-    grouped = grouped.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).filter("blocks = 1 or block <> other")
-    pair = [F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")]
-    signed = grouped.select("bucket", *pair, "node").join(sets.select("node", "signature"), "node").select("bucket", "i", "j", "node", "signature")
-    near = components(candidates(signed.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j"), k, threshold, tolerance))
+    kept = sizes.groupBy("n", "first", "last", "print").agg(F.min(F.struct("band", "bucket")).alias("b")).select("b.bucket", "first", F.ceil(F.col("n") / signatures).cast("int").alias("blocks"))
+    share = lambda of: F.pmod(F.xxhash64("node", F.lit(1)), F.col(of)).cast("int")
+    each = lambda of: F.sequence(F.lit(0), F.col(of) - 1)
+    grouped = checkpointed(met.select("node", "bucket").join(kept, "bucket").withColumn("block", share("blocks")))
+
+    def forests(groups: DataFrame) -> DataFrame:
+        signed = groups.join(sets.select("node", "signature"), "node").select("bucket", "i", "j", "node", "signature", "part")
+        return checkpointed(candidates(signed.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j"), k, threshold, tolerance))
+
+    everywhere = F.when((F.col("node") == F.col("first")) & (F.col("blocks") > 1), each("blocks")).otherwise(F.array("block"))
+    within = forests(grouped.select("bucket", "node", F.explode(everywhere).alias("i"), F.lit(0).alias("j"), (F.col("blocks") > 1).alias("part")))
+    apart = within.filter("dst is null").select("bucket", F.col("src").alias("node")).distinct()
+    parts = apart.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / signatures).cast("int").alias("parts"))
+    split = grouped.select("bucket", "blocks").distinct().join(parts, "bucket")
+    theirs = apart.join(split, "bucket").select("bucket", "node", share("parts").alias("i"), F.explode(each("blocks")).alias("j"))
+    others = grouped.join(parts, "bucket").select("bucket", "node", F.explode(each("parts")).alias("i"), F.col("block").alias("j"))
+    across = forests(theirs.unionByName(others).distinct().withColumn("part", F.lit(False)))
+    near = components(within.unionByName(across).filter("dst is not null").select("src", "dst"))
 
     found = sets.select("set", "rep", "size", "n_texts", F.col("n_same").alias("n_rows"), "node").join(near, "node").drop("node")
     blocks = F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("size") / block_shingles)).cast("int")
     dealt = found.join(found.groupBy("label").agg(blocks.alias("blocks")), "label").withColumn("block", F.pmod(F.xxhash64("set", F.lit(1)), F.col("blocks")).cast("int"))
     body = docs.select(F.col(id_col).alias("id"), text_key(text_col).alias("key"), F.col(text_col).alias("text"))
     dealt = body.join(dealt, F.col("id").eqNullSafe(F.col("rep.id")) & (F.col("key") == F.col("rep.key")))
-    paired = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    paired = dealt.withColumn("other", F.explode(each("blocks")))
+    pair = [F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")]
     placed = paired.select("label", *pair, "block", "set", "n_texts", "n_rows", "text").repartition("label", "i", "j").sortWithinPartitions("label", "i", "j")
     linked = checkpointed(compared(placed, n_words, k, threshold, tolerance))
 

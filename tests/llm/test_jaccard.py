@@ -27,6 +27,14 @@ def corpus(n=220, seed=6):
         copy[rnd.randrange(300)] = f"new{i}"
         copy[(7 * i) % 300] = "other"
         texts.append(" ".join(copy))
+    body = rnd.choices(words, k=120)  # families that meet in buckets but aren't linked
+    for family in range(3):
+        tail = rnd.choices(words, k=40)
+        for i in range(25):
+            copy = body + tail
+            copy[rnd.randrange(160)] = f"odd{family}x{i}"
+            texts.append(" ".join(copy))
+    rnd.shuffle(texts)
     return texts + [None, "", " \n", texts[3], texts[3], "One, two three: FOUR five", "one two three four five", "word " * 20_000]
 
 
@@ -62,9 +70,12 @@ def test_join_like_all_pairs(spark, monkeypatch, signatures, block, block_shingl
     texts = corpus()
     want = brute(texts)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "'x' as n_links", "1 as label", "2 as set", "3 as key", "4 as id").repartition(5)
+    parts = []
+    monkeypatch.setattr(ja, "candidates", lambda placed, *options, own=ja.candidates: parts.append(placed.count()) or own(placed, *options))
     got = {r.doc_id: (r.class_id, r.n_links, r.n_same) for r in ja.join(df, signatures=signatures, block=block, block_shingles=block_shingles).collect()}
     assert [got[i] for i in range(len(texts))] == want
     assert max(n for _, n, _ in want) > 50
+    assert len(parts) == 2 and (parts[1] > 0) == (signatures == 11)
 
 
 def test_dedupe(spark):
@@ -96,9 +107,13 @@ def test_survivor_forest_connects_what_survives():
         left, right = ja.survivors(table, table, 0.8, 1e-6, 24, True)
         want, got = ja.Forest(n), ja.Forest(n)
         want.add(left, right)
-        edges = ja.survivor_forest(table, 0.8, 1e-6)
+        edges, apart = ja.survivor_forest(table, 0.8, 1e-6)
         got.add(*(np.array(x, dtype=int) for x in zip(*edges, strict=True))) if edges else None
         assert len(edges) == len(want.edges) == len(got.edges)
+        reached = {0}
+        while more := {b for a, b in want.edges + [(b, a) for a, b in want.edges] if a in reached} - reached:
+            reached |= more
+        assert sorted(apart) == sorted(set(range(n)) - reached)
         joined = ja.Forest(n)
         joined.add(np.array([a for a, _ in want.edges + edges], dtype=int), np.array([b for _, b in want.edges + edges], dtype=int))
         assert len(joined.edges) == len(want.edges)

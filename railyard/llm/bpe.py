@@ -28,10 +28,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from railyard.llm.frames import arrow_map, sole_cache
+from railyard.llm.frames import Held, arrow_map, sole_cache
 
 #: White-space chunks and pre-tokens whose encoding a Python worker remembers, and the longest that it remembers.
-CACHED_CHUNKS, CACHED_PIECES, CACHE_CHARS = 150_000, 300_000, 48
+CACHED_CHUNKS, CACHED_PIECES, CACHE_CHARS = 100_000, 150_000, 48
 
 #: Control characters that str.split() takes as white space and the tokenizer's \s doesn't.
 SEPARATORS = "\x1c\x1d\x1e\x1f"
@@ -152,6 +152,10 @@ def codec(path: str) -> BpeCodec:
     return BpeCodec(path)
 
 
+#: The codecs themselves; a worker lets go of them when it turns to another operator.
+CODECS = Held(codec.cache_clear)
+
+
 def encode(df: DataFrame, vocabulary: str, text_col: str = "text", ids_col: str = "ids", count_col: str = "n_tokens", decoded_col: str | None = None) -> DataFrame:
     """Adds ids_col (binary: little-endian unsigned 32-bit ids) and count_col (long); with decoded_col also what decode() makes of the ids, in the same pass and so without a second Python worker. It replaces columns of these names."""
     more = [T.StructField(ids_col, T.BinaryType()), T.StructField(count_col, T.LongType())] + ([T.StructField(decoded_col, T.StringType())] if decoded_col else [])
@@ -161,7 +165,7 @@ def encode(df: DataFrame, vocabulary: str, text_col: str = "text", ids_col: str
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(vocabulary)
-        sole_cache(own._chunk_ids, own._piece_ids)
+        sole_cache(own._chunk_ids, own._piece_ids, CODECS)
         for batch in batches:
             ids = [own.encode(x) for x in batch.column(at).to_pylist()]
             arrays = [pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -14,16 +15,26 @@ from pyspark.sql import DataFrame, SparkSession
 PIECE_BYTES, PIECE_ROWS = 1 << 20, 1024
 
 
-#: Word caches of this Python worker.
-_CACHES: list[dict] = []
+class Held:
+    """Something that a Python worker holds on to until it is cleared, as a cache is."""
 
+    def __init__(self, clear: Callable[[], None]):
+        self.clear = clear
 
-def sole_cache(*own: dict) -> None:
-    """Empties the caches of other operators: workers are reused, and one stage's words are of no use to the next."""
-    for cache in _CACHES:
-        if not any(cache is x for x in own):
-            cache.clear()
+
+#: Word caches of this Python worker, and what else it holds.
+_CACHES: list[dict | Held] = []
+
+
+def sole_cache(*own: dict | Held) -> None:
+    """Empties the caches of other operators: workers are reused, and one stage's words are of no use to the next. Memory goes back to the machine."""
+    others = [cache for cache in _CACHES if not any(cache is x for x in own)]
     _CACHES[:] = own
+    for cache in others:
+        cache.clear()
+    if others:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

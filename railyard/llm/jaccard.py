@@ -44,13 +44,13 @@ BANDS, BAND_ROWS = 36, 6
 #: MinHash values compared at a time, and the posterior probability below which a pair is dropped.
 STEP, TOLERANCE = 24, 1e-6
 #: Signatures of a block of a bucket; texts of a block of a component and their shingles, about; a kernel holds two blocks.
-SIGNATURES, BLOCK, BLOCK_SHINGLES = 512, 2048, 4_000_000
+SIGNATURES, BLOCK, BLOCK_SHINGLES = 512, 512, 2_000_000
 #: Texts on a side whose pairs are compared at a time.
-TILE = 512
+TILE = 256
 #: A set is hot if it has this share of all rows or more, and then its rows are dealt to so many parts; at most 1 / HOT sets are.
 HOT, SALTS = 1 / 2000, 64
 EDGE = "".join(chr(i) for i in range(33, 127) if not chr(i).isalnum()) + "«»„“”’…–—"
-CACHED, CACHE_CHARS = 250_000, 48
+CACHED, CACHE_CHARS = 120_000, 48
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 

@@ -42,7 +42,7 @@ BEGIN = 5
 MOST = 3.0
 #: Upper ends of the bins for shares of tokens.
 BINS = np.array([0.0, 0.01, 0.03, 0.08, 0.15, 0.25, 0.4, 0.6, 0.8])
-CACHED, CACHE_CHARS = 250_000, 48
+CACHED, CACHE_CHARS = 120_000, 48
 #: Selection keeps documents whose probability of the best grade is at least this.
 KEEP = 0.5
 

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from railyard.queries import chains, demand, feed, network, plans
+from railyard.queries import build, chains, demand, feed, network, plans
 
-PARTS = (feed, network, chains, demand, plans)
+PARTS = (feed, build, network, chains, demand, plans)
 QUERIES = {name: f for part in PARTS for name, f in part.Q.queries.items()}
 ORACLES = {name: sql for part in PARTS for name, sql in part.Q.oracles.items()}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column
@@ -37,6 +38,40 @@ def unproject(x, y, origin_lat: float = ORIGIN_LAT) -> tuple[Column, Column]:
     return F.degrees(_c(y) / EARTH_M), F.degrees(_c(x) / (EARTH_M * F.cos(F.radians(F.lit(origin_lat)))))
 
 
+#: Fixed values of the Hungarian grid: ellipsoid GRS67, shift from WGS84 in metres, origin in degrees, scale, false origin.
+GRID_ELLIPSOID, GRID_SHIFT = (6378160.0, 1 / 298.247167427), (52.17, -71.82, -14.9)
+GRID_ORIGIN, GRID_SCALE, GRID_FALSE = (47.14439372222222, 19.04857177777778), 0.99993, (650_000.0, 200_000.0)
+WGS84 = (6378137.0, 1 / 298.257223563)
+
+
+def hungarian_grid(lat, lon) -> tuple[Column, Column]:
+    """Metres (x east, y north) in EPSG:23700: WGS84 shifted to the grid's datum, then the oblique Mercator projection through a sphere."""
+    phi, lam = F.radians(_c(lat)), F.radians(_c(lon))
+    a, f = WGS84
+    es = f * (2 - f)
+    n = a / F.sqrt(1 - es * F.sin(phi) * F.sin(phi))
+    x, y, z = n * F.cos(phi) * F.cos(lam) - GRID_SHIFT[0], n * F.cos(phi) * F.sin(lam) - GRID_SHIFT[1], n * (1 - es) * F.sin(phi) - GRID_SHIFT[2]
+    a, f = GRID_ELLIPSOID
+    es = f * (2 - f)
+    b, p = a * (1 - f), F.sqrt(x * x + y * y)
+    theta = F.atan2(z * a, p * b)
+    phi = F.atan2(z + es / (1 - es) * b * F.pow(F.sin(theta), F.lit(3)), p - es * a * F.pow(F.cos(theta), F.lit(3)))
+    lam = F.atan2(y, x) - math.radians(GRID_ORIGIN[1])
+
+    e, phi0 = math.sqrt(es), math.radians(GRID_ORIGIN[0])
+    c = math.sqrt(1 + es * math.cos(phi0) ** 4 / (1 - es))
+    chi0 = math.asin(math.sin(phi0) / c)
+    half = lambda s: math.log((1 + e * s) / (1 - e * s)) * e / 2
+    k = math.log(math.tan(math.pi / 4 + chi0 / 2)) - c * (math.log(math.tan(math.pi / 4 + phi0 / 2)) - half(math.sin(phi0)))
+    r = GRID_SCALE * a * math.sqrt(1 - es) / (1 - es * math.sin(phi0) ** 2)
+    s = F.lit(e) * F.sin(phi)
+    chi = 2 * F.atan(F.exp(c * (F.log(F.tan(math.pi / 4 + phi / 2)) - e / 2 * F.log((1 + s) / (1 - s))) + k)) - math.pi / 2
+    turn = c * lam
+    up = F.asin(math.cos(chi0) * F.sin(chi) - math.sin(chi0) * F.cos(chi) * F.cos(turn))
+    along = F.asin(F.cos(chi) * F.sin(turn) / F.cos(up))
+    return r * along + GRID_FALSE[0], r * F.log(F.tan(math.pi / 4 + up / 2)) + GRID_FALSE[1]
+
+
 def seconds_of(time) -> Column:
     """Seconds of HH:MM:SS, hours beyond 24 included; null if it isn't one."""
     parts = F.split(F.trim(_c(time)), ":")

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from railyard.fixpoint import cut, until_stable
+from railyard.fixpoint import NotConverged, cut, until_stable
 
 
 def hops(edges: DataFrame, sources: DataFrame | None = None, most: int = 10_000) -> DataFrame:
@@ -25,11 +25,29 @@ def hops(edges: DataFrame, sources: DataFrame | None = None, most: int = 10_000)
         new = front.join(edges, front["node"] == edges["i"]).select("source", F.col("j").alias("node")).distinct()
         front = cut(new.join(seen.select("source", "node"), ["source", "node"], "left_anti").withColumn("d", F.lit(d)))
         if front.isEmpty():
-            break
+            return seen
+        seen = cut(seen.unionByName(front)) if d % 8 == 0 else seen.unionByName(front)
+    raise NotConverged(f"nodes further than {most} hops")
+
+
+def reached(edges: DataFrame, start: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(carry, node) that can be reached from start (carry, node), itself included. Frontiers only; as many rounds as hops."""
+    keys = [*carry, "node"]
+    edges = edges.select(*carry, F.col("i").alias("node"), "j")
+    seen = front = cut(start.select(*keys).distinct())
+    d = 0
+    while not front.isEmpty():
+        d += 1
+        new = front.join(edges, keys).select(*carry, F.col("j").alias("node")).distinct()
+        front = cut(new.join(seen, keys, "left_anti"))
         seen = cut(seen.unionByName(front)) if d % 8 == 0 else seen.unionByName(front)
     return seen
 
 
+def backward(edges: DataFrame) -> DataFrame:
+    return edges.select(F.col("j").alias("i"), F.col("i").alias("j"))
+
+
 def efficiency(distances: DataFrame, n: int) -> DataFrame:
     """Sum of 1 / d over n (n - 1); 1 for a single node."""
     if n <= 1:
@@ -59,14 +77,41 @@ def giant(edges: DataFrame) -> DataFrame:
 
 
 def strong_components(edges: DataFrame) -> DataFrame:
-    """(node, label): smallest node that can be reached and reaches back, from the pairs in both directions."""
-    pairs = cut(hops(edges).select("source", "node"))
-    back = pairs.select(F.col("node").alias("source"), F.col("source").alias("node"))
-    return pairs.join(back, ["source", "node"], "left_semi").groupBy(F.col("source").alias("node")).agg(F.min("node").alias("label"))
+    """(node, label): the smallest node of each strongly connected component.
+
+    Colouring: every node takes the largest name that reaches it; a node that keeps its own is a root, and its component is
+    what reaches it within its colour. Components found are taken out and the rest goes on. Tables are of the size of nodes
+    and edges, never of pairs.
+    """
+    edges = cut(edges.select("i", "j").filter("i <> j").distinct())
+    left = cut(edges.select(F.col("i").alias("node")).union(edges.select("j")).distinct())
+    found = None
+    while not left.isEmpty():
+        moves = cut(edges.unionByName(left.select(F.col("node").alias("i"), F.col("node").alias("j"))))
+
+        def spread(state: DataFrame, moves: DataFrame = moves) -> DataFrame:
+            return state.withColumnRenamed("node", "i").join(moves, "i").groupBy(F.col("j").alias("node")).agg(F.max("colour").alias("colour"))
+
+        colours = until_stable(left.withColumn("colour", F.col("node")), spread, lambda a, b: a.join(b, ["node", "colour"], "left_anti"))
+        of = lambda end: colours.select(F.col("node").alias(end), F.col("colour").alias(f"colour_{end}"))
+        inside = edges.join(of("i"), "i").join(of("j"), "j").filter("colour_i = colour_j").select(F.col("colour_i").alias("colour"), F.col("j").alias("i"), F.col("i").alias("j"))
+        own = cut(reached(inside, colours.filter("node = colour"), ("colour",)))
+        labelled = own.join(own.groupBy("colour").agg(F.min("node").alias("label")), "colour").select("node", "label")
+        found = labelled if found is None else found.unionByName(labelled)
+        left = cut(left.join(own.select("node"), "node", "left_anti"))
+        edges = cut(edges.join(left.withColumnRenamed("node", "i"), "i", "left_semi").join(left.withColumnRenamed("node", "j"), "j", "left_semi"))
+    return found if found is not None else edges.select(F.col("i").alias("node"), F.col("j").alias("label"))
 
 
 def irreducible(edges: DataFrame) -> bool:
-    return strong_components(edges).select("label").distinct().limit(2).count() <= 1
+    """Whether one node reaches all others and is reached by them."""
+    edges = cut(edges.select("i", "j").distinct())
+    nodes = edges.select(F.col("i").alias("node")).union(edges.select("j")).distinct()
+    n = nodes.count()
+    if n <= 1:
+        return True
+    start = cut(nodes.agg(F.min("node").alias("node")))
+    return reached(edges, start).count() == n and reached(backward(edges), start).count() == n
 
 
 def shortest(edges: DataFrame, sources: DataFrame | None = None, carry: tuple[str, ...] = (), most: int = 10_000) -> DataFrame:
@@ -89,7 +134,7 @@ def shortest(edges: DataFrame, sources: DataFrame | None = None, carry: tuple[st
         if front.isEmpty():
             return best
         best = cut(best.join(front.select(*keys), keys, "left_anti").unionByName(front))
-    return best
+    raise NotConverged(f"times still getting better after {most} rounds")
 
 
 def path(times: DataFrame, source, target) -> list:
@@ -103,49 +148,49 @@ def path(times: DataFrame, source, target) -> list:
     return out[::-1]
 
 
-def betweenness(edges: DataFrame, sample: int | None = None, seed: int = 0, normalised: bool = True, most_nodes: int = 20_000) -> DataFrame:
-    """(node, b) of a directed graph in hops: Brandes' accumulation for each source, sources dealt to tasks.
+def betweenness(edges: DataFrame, sample: int | None = None, seed: int = 0, normalised: bool = True, most_nodes: int = 20_000, most_edges: int = 5_000_000) -> DataFrame:
+    """(node, b) of a directed graph in hops: Brandes' accumulation for each source, level by level, sources dealt to tasks.
 
-    The graph goes to all tasks; its size is checked first. sample: so many sources, scaled up.
+    The graph goes to all tasks; its nodes and edges are counted first. sample: so many sources, scaled up.
     """
     spark = edges.sparkSession
-    rows = edges.select("i", "j").filter("i <> j").distinct()
+    rows = cut(edges.select("i", "j").filter("i <> j").distinct())
     nodes = rows.select(F.col("i").alias("node")).union(rows.select("j")).distinct()
-    n = nodes.count()
-    if n > most_nodes:
-        raise ValueError(f"{n} nodes are more than most_nodes; sample the graph or raise the limit")
+    n, m = nodes.count(), rows.count()
+    if n > most_nodes or m > most_edges:
+        raise ValueError(f"{n} nodes and {m} edges are more than most_nodes and most_edges; sample the graph or raise the limits")
     names = [r[0] for r in nodes.orderBy("node").collect()]
     at = {x: k for k, x in enumerate(names)}
-    out: list[list[int]] = [[] for _ in names]
-    for a, b in rows.collect():
-        out[at[a]].append(at[b])
-    shared = spark.sparkContext.broadcast(out)
+    ends = np.array([(at[a], at[b]) for a, b in rows.collect()], dtype=np.int64).reshape(-1, 2)
+    shared = spark.sparkContext.broadcast((n, ends[np.argsort(ends[:, 0], kind="stable")]))
     picked = np.random.default_rng(seed).permutation(n)[:sample] if sample and sample < n else np.arange(n)
     scale = (n / len(picked) if len(picked) else 1.0) / ((n - 1) * (n - 2) if normalised and n > 2 else 1.0)
 
     def accumulate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        graph = shared.value
-        total = np.zeros(len(graph))
+        n, ends = shared.value
+        first = np.searchsorted(ends[:, 0], np.arange(n + 1))
+        total = np.zeros(n)
         for pdf in batches:
             for s in pdf["s"]:
-                paths, depth, order, before = np.zeros(len(graph)), {s: 0}, [s], {s: []}
-                paths[s] = 1
-                for v in order:
-                    for w in graph[v]:
-                        if w not in depth:
-                            depth[w] = depth[v] + 1
-                            order.append(w)
-                            before[w] = []
-                        if depth[w] == depth[v] + 1:
-                            paths[w] += paths[v]
-                            before[w].append(v)
-                credit = np.zeros(len(graph))
-                for w in reversed(order):
-                    for v in before[w]:
-                        credit[v] += paths[v] / paths[w] * (1 + credit[w])
-                    if w != s:
-                        total[w] += credit[w]
-        yield pd.DataFrame({"k": np.arange(len(graph)), "b": total})
+                paths, depth = np.zeros(n), np.full(n, -1)
+                paths[s], depth[s] = 1, 0
+                front, levels = np.array([s]), []
+                while len(front):
+                    sizes = first[front + 1] - first[front]
+                    here = np.repeat(first[front] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+                    a, b = ends[here, 0], ends[here, 1]
+                    depth[b[depth[b] < 0]] = depth[front[0]] + 1
+                    down = depth[b] == depth[front[0]] + 1
+                    a, b = a[down], b[down]
+                    paths += np.bincount(b, paths[a], minlength=n)
+                    levels.append((a, b))
+                    front = np.unique(b)
+                credit = np.zeros(n)
+                for a, b in reversed(levels):
+                    credit += np.bincount(a, paths[a] / paths[b] * (1 + credit[b]), minlength=n)
+                credit[s] = 0
+                total += credit
+        yield pd.DataFrame({"k": np.arange(n), "b": total})
 
     wanted = spark.createDataFrame([(int(k),) for k in picked], "s int").repartition(min(max(1, len(picked)), spark.sparkContext.defaultParallelism))
     parts = wanted.mapInPandas(accumulate, "k int, b double").groupBy("k").agg((F.sum("b") * scale).alias("b"))
@@ -155,7 +200,7 @@ def betweenness(edges: DataFrame, sample: int | None = None, seed: int = 0, norm
 
 def remove_node(chain: DataFrame, removed: DataFrame) -> DataFrame:
     """(removed, i, j, p): the chain without each of the nodes, rows scaled to 1 again; rows left empty stay where they are."""
-    grid = chain.crossJoin(F.broadcast(removed)).filter("i <> removed")
+    grid = chain.crossJoin(removed).filter("i <> removed")
     rest = grid.filter("j <> removed")
     scaled = rest.join(rest.groupBy("removed", "i").agg(F.sum("p").alias("__s")), ["removed", "i"]).select("removed", "i", "j", (F.col("p") / F.col("__s")).alias("p"))
     empty = grid.select("removed", "i").distinct().join(rest.select("removed", "i").distinct(), ["removed", "i"], "left_anti")
@@ -163,19 +208,27 @@ def remove_node(chain: DataFrame, removed: DataFrame) -> DataFrame:
 
 
 def breaking_nodes(edges: DataFrame) -> DataFrame:
-    """Nodes without which the rest is no longer strongly connected (graphs of a size for one task per node)."""
-    nodes = edges.select(F.col("i").alias("removed")).union(edges.select("j")).distinct()
-    kind = edges.schema["i"].dataType.simpleString()
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        from railyard.plans import chain
-
-        gone = pdf.removed.iloc[0]
-        names = sorted((set(pdf.i) | set(pdf.j)) - {gone})
-        at = {x: k for k, x in enumerate(names)}
-        a = np.zeros((len(names), len(names)))
-        own = pdf[(pdf.i != gone) & (pdf.j != gone)]
-        a[[at[x] for x in own.i], [at[x] for x in own.j]] = 1
-        return pd.DataFrame({"node": [gone], "breaks": [not chain.irreducible(a)]})
-
-    return nodes.crossJoin(edges.select("i", "j")).groupBy("removed").applyInPandas(one, f"node {kind}, breaks boolean")
+    """(node, breaks): nodes without which the rest is no longer strongly connected.
+
+    All removals in one run: from one node that stays, who is reached, and who reaches it, with the removed node as a key.
+    """
+    edges = cut(edges.select("i", "j").filter("i <> j").distinct())
+    nodes = cut(edges.select(F.col("i").alias("node")).union(edges.select("j")).distinct())
+    n = nodes.count()
+    ends = nodes.agg(F.min("node").alias("low"), F.max("node").alias("high"))
+    start = cut(nodes.select(F.col("node").alias("removed")).crossJoin(ends).select("removed", F.when(F.col("removed") == F.col("low"), F.col("high")).otherwise(F.col("low")).alias("node")))
+
+    def reach(moves: DataFrame) -> DataFrame:
+        """As reached(), along the edges of the graph without the removed node."""
+        moves = moves.select(F.col("i").alias("node"), "j")
+        seen = front = start
+        d = 0
+        while not front.isEmpty():
+            d += 1
+            new = front.join(moves, "node").filter("j <> removed").select("removed", F.col("j").alias("node")).distinct()
+            front = cut(new.join(seen, ["removed", "node"], "left_anti"))
+            seen = cut(seen.unionByName(front)) if d % 8 == 0 else seen.unionByName(front)
+        return seen.groupBy("removed").agg(F.count(F.lit(1)).alias("k"))
+
+    both = reach(edges).unionByName(reach(backward(edges))).groupBy("removed").agg(F.min("k").alias("k"))
+    return both.select(F.col("removed").alias("node"), (F.col("k") < max(n - 1, 1)).alias("breaks"))

@@ -13,6 +13,11 @@ def as_date(text) -> Column:
     return F.try_to_date(F.col(text) if isinstance(text, str) else text, "yyyyMMdd")
 
 
+def weekday_name(text) -> Column:
+    """Weekday of YYYYMMDD as a column; null if it isn't a date."""
+    return F.element_at(F.array(*map(F.lit, WEEKDAYS)), F.weekday(as_date(text)) + 1)
+
+
 def weekday_of(date: str) -> str:
     import datetime
 

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from railyard.functions import scalar
+from railyard.operators import order
+
 
 def bucket(x: str, y: str, width: float) -> tuple[Column, Column]:
     return F.floor(F.col(x) / width).cast("long"), F.floor(F.col(y) / width).cast("long")
@@ -40,20 +44,47 @@ def snap(points: DataFrame, targets: DataFrame, radius: float, key: str, other:
     return points.select(key).join(found.select(key, other, "dist"), key, "left")
 
 
-def same_name_near(stops: DataFrame, radius_m: float, distance: Column) -> DataFrame:
-    """(i, j) of stops with the same name at most radius_m apart; stops: (stop, name, lat, lon). distance is in terms of a.* and b.*."""
-    a, b = stops.alias("a"), stops.alias("b")
-    return a.join(b, (F.col("a.name") == F.col("b.name")) & (F.col("a.stop") < F.col("b.stop"))).filter(distance <= radius_m).select(F.col("a.stop").alias("i"), F.col("b.stop").alias("j"))
+#: Metres of a degree of latitude.
+DEGREE_M = scalar.EARTH_M * 3.141592653589793 / 180
+
+
+def near_pairs(points: DataFrame, radius_m: float, key: str, same: Sequence[str] = ()) -> DataFrame:
+    """Pairs of points (lat, lon) at most radius_m apart: their columns with _a and _b, the smaller key first, the columns in `same` equal, and the distance `m`.
+
+    They meet in cells of a grid of degrees as wide as the radius at the highest latitude there is, so no pair further than
+    two cells apart is ever made. Columns of cells don't go around the date line.
+    """
+    top = points.agg(F.max(F.abs("lat"))).first()[0]
+    high = max(radius_m, 1.0) * 1.001 / DEGREE_M
+    wide = high / max(math.cos(math.radians(min(89.9, (top or 0.0) + high))), 1e-3)
+    row, column = F.floor(F.col("lat") / high).cast("long"), F.floor(F.col("lon") / wide).cast("long")
+    named = lambda end: [F.col(c).alias(f"{c}_{end}") for c in points.columns]
+    around = F.array(*(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x in (-1, 0, 1) for y in (-1, 0, 1)))
+    a = points.select(*named("a"), *(F.col(c).alias(f"__{c}") for c in same), row.alias("__row"), column.alias("__column"))
+    b = points.withColumn("__s", F.explode(around)).select(*named("b"), *(F.col(c).alias(f"__{c}") for c in same), (row + F.col("__s.x")).alias("__row"), (column + F.col("__s.y")).alias("__column"))
+    pairs = a.join(b, [*(f"__{c}" for c in same), "__row", "__column"]).filter(F.col(f"{key}_a") < F.col(f"{key}_b"))
+    return pairs.withColumn("m", scalar.haversine_m("lat_a", "lon_a", "lat_b", "lon_b")).filter(F.col("m") <= radius_m).drop("__row", "__column", *(f"__{c}" for c in same))
+
+
+def same_name_near(stops: DataFrame, radius_m: float) -> DataFrame:
+    """(i, j) of stops with the same name at most radius_m apart; stops: (stop, name, lat, lon)."""
+    return near_pairs(stops.select("stop", "name", "lat", "lon"), radius_m, "stop", ["name"]).select(F.col("stop_a").alias("i"), F.col("stop_b").alias("j"))
+
+
+def outline(corners: DataFrame, polygon: str = "polygon") -> DataFrame:
+    """(polygon, x1, y1, x2, y2): the sides of polygons whose corners are (polygon, k, px, py), or (polygon, ring, k, px, py) where there are holes or several parts."""
+    keys = [polygon, "ring"] if "ring" in corners.columns else [polygon]
+    w, first = Window.partitionBy(*keys).orderBy("k"), Window.partitionBy(*keys)
+    onto = lambda c: F.coalesce(F.lead(c).over(w), F.min_by(c, "k").over(first))
+    return corners.select(polygon, F.col("px").alias("x1"), F.col("py").alias("y1"), onto("px").alias("x2"), onto("py").alias("y2"))
 
 
 def inside(points: DataFrame, corners: DataFrame, polygon: str = "polygon") -> DataFrame:
-    """Points (x, y) with the polygon they lie in, by counting crossings; corners: (polygon, k, px, py) in order.
+    """Points (x, y) with the polygon they lie in, by counting crossings; corners as outline() takes them: holes and several parts count too.
 
     Points meet the edges that span their y only: edges are cut into rows of a grid as high as the mean edge.
     """
-    w = Window.partitionBy(polygon).orderBy("k")
-    first = Window.partitionBy(polygon)
-    edges = corners.select(polygon, F.col("px").alias("x1"), F.col("py").alias("y1"), F.coalesce(F.lead("px").over(w), F.min_by("px", "k").over(first)).alias("x2"), F.coalesce(F.lead("py").over(w), F.min_by("py", "k").over(first)).alias("y2"))
+    edges = outline(corners, polygon)
     hit = ((F.col("y1") > F.col("y")) != (F.col("y2") > F.col("y"))) & (F.col("x") < F.col("x1") + (F.col("y") - F.col("y1")) * (F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1")))
     crossing = edges.filter("y1 <> y2").withColumn("__h", F.lit(1))
     height = crossing.agg(F.greatest(F.avg(F.abs(F.col("y2") - F.col("y1"))), F.lit(1e-12)).alias("h")).first()["h"] or 1.0
@@ -91,23 +122,56 @@ def main_roads(edges: DataFrame, least_routes: int = 3) -> DataFrame:
 
 
 def interpolate(points: DataFrame, at: DataFrame) -> DataFrame:
-    """Values at `at` (t) on the straight lines between points (t, v), constant beyond; points is the smaller table (a curve)."""
-    w = Window.partitionBy(F.lit(0)).orderBy("t")
-    legs = points.select(F.col("t").alias("t0"), F.col("v").alias("v0"), F.lead("t").over(w).alias("t1"), F.lead("v").over(w).alias("v1"), F.lag("t").over(w).alias("before"))
-    low = F.when(F.col("before").isNull(), F.lit(float("-inf"))).otherwise(F.col("t0"))
-    legs = legs.select("*", low.alias("low"), F.coalesce("t1", F.lit(float("inf"))).alias("high"))
-    value = F.when((F.col("t") <= F.col("t0")) | F.col("t1").isNull(), F.col("v0")).otherwise(F.col("v0") + (F.col("t") - F.col("t0")) * (F.col("v1") - F.col("v0")) / (F.col("t1") - F.col("t0")))
-    return at.join(F.broadcast(legs), (F.col("t") >= F.col("low")) & (F.col("t") < F.col("high"))).select(*at.columns, value.alias("v"))
-
-
-def spaced(ordered: str, spacing: float) -> Column:
-    """Greedy choice in an array of (pos, id) structs sorted by pos: the first, then each at least `spacing` after the last chosen."""
-    kind = F.array().cast("array<double>")
-    start = F.struct(F.lit(float("-inf")).alias("last"), kind.alias("out"))
+    """Values at `at` (t) on the straight lines between points (t, v), constant beyond; neither side needs to be small."""
+    found = order.around(points, at, "t", ["v"])
+    share = (F.col("t") - F.col("left.t")) / (F.col("right.t") - F.col("left.t"))
+    value = F.when(F.col("left").isNull(), F.col("right.v")).when(F.col("right").isNull(), F.col("left.v")).otherwise(F.col("left.v") + share * (F.col("right.v") - F.col("left.v")))
+    return at.join(found.select("t", value.alias("v")), "t", "left").select(*at.columns, "v")
+
+
+def shared_borders(corners: DataFrame, side: DataFrame, polygon: str = "polygon") -> DataFrame:
+    """(x1, y1, x2, y2) of straight pieces that outlines of both sides have in common: an axis such as a river between districts. side: (polygon, side), two values."""
+    own = outline(corners, polygon).join(side, polygon)
+    a, b = (F.struct(F.col(f"x{k}").alias("x"), F.col(f"y{k}").alias("y")) for k in (1, 2))
+    pieces = own.select("side", F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).filter("u <> v")
+    both = pieces.groupBy("u", "v").agg(F.count_distinct("side").alias("n")).filter("n > 1")
+    return both.select(F.col("u.x").alias("x1"), F.col("u.y").alias("y1"), F.col("v.x").alias("x2"), F.col("v.y").alias("y2"))
+
+
+def crossing(legs: DataFrame, axis: DataFrame, key: str, width: float) -> DataFrame:
+    """Keys of legs (key, x1, y1, x2, y2) that meet a piece of the axis (x1, y1, x2, y2). Both sides are cut into cells of the given width and meet there."""
+    cells = lambda df: densify(df, width / 2).select(*df.columns, F.explode(F.array(*(F.struct((F.floor(F.col("x") / width) + a).cast("long").alias("a"), (F.floor(F.col("y") / width) + b).cast("long").alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)))).alias("__cell"))
+    left = densify(legs.select(key, "x1", "y1", "x2", "y2"), width / 2)
+    left = left.select(key, "x1", "y1", "x2", "y2", F.struct(F.floor(F.col("x") / width).cast("long").alias("a"), F.floor(F.col("y") / width).cast("long").alias("b")).alias("__cell")).distinct()
+    right = cells(axis.select("x1", "y1", "x2", "y2")).distinct().withColumnsRenamed({"x1": "u1", "y1": "w1", "x2": "u2", "y2": "w2"})
+    turn = lambda ax, ay, bx, by, cx, cy: (F.col(bx) - F.col(ax)) * (F.col(cy) - F.col(ay)) - (F.col(by) - F.col(ay)) * (F.col(cx) - F.col(ax))
+    apart = lambda p, q: (p * q) > 0
+    leg, piece = ("x1", "y1", "x2", "y2"), ("u1", "w1", "u2", "w2")
+    overlap = lambda a, b, c, d: (F.greatest(F.least(a, b), F.least(c, d)) <= F.least(F.greatest(a, b), F.greatest(c, d)))
+    meets = ~apart(turn(*leg, "u1", "w1"), turn(*leg, "u2", "w2")) & ~apart(turn(*piece, "x1", "y1"), turn(*piece, "x2", "y2")) & overlap("x1", "x2", "u1", "u2") & overlap("y1", "y2", "w1", "w2")
+    return left.join(right, "__cell").filter(meets).select(key).distinct()
+
+
+def over_water(streets: DataFrame, axis: DataFrame, cell: float, width: float | None = None) -> DataFrame:
+    """Street edges (u, v, tram, ...) that don't cross the axis, and those that trams use."""
+    centre = lambda c: (F.col(c) + 0.5) * cell
+    legs = streets.select(F.struct("u", "v").alias("edge"), centre("u.a").alias("x1"), centre("u.b").alias("y1"), centre("v.a").alias("x2"), centre("v.b").alias("y2"))
+    gone = crossing(legs, axis, "edge", width or 2 * cell)
+    return streets.withColumn("edge", F.struct("u", "v")).join(gone.withColumn("__wet", F.lit(True)), "edge", "left").filter(F.col("__wet").isNull() | F.col("tram")).drop("edge", "__wet")
+
+
+def routed_shapes(shapes: DataFrame, trips: DataFrame, routes: DataFrame) -> DataFrame:
+    """Shape points (shape_id, ...) with the route and mode of each route that uses the shape: trips are made distinct first."""
+    used = trips.select("shape_id", "route_id").filter("shape_id is not null").distinct()
+    return shapes.join(used, "shape_id").join(routes.select("route_id", F.col("route_type").try_cast("int").alias("mode")), "route_id")
+
+
+def spaced(ordered: str, spacing: float, kind: str) -> Column:
+    """Greedy choice in an array of (pos, id) structs sorted by pos: the first, then each at least `spacing` after the last chosen. kind: the type of the array."""
+    start = F.struct(F.lit(float("-inf")).alias("last"), F.array().cast(kind).alias("out"))
 
     def take(acc, x):
         ok = x["pos"] >= acc["last"] + spacing
-        return F.struct(F.when(ok, x["pos"]).otherwise(acc["last"]).alias("last"), F.when(ok, F.concat(acc["out"], F.array(x["pos"]))).otherwise(acc["out"]).alias("out"))
+        return F.struct(F.when(ok, x["pos"]).otherwise(acc["last"]).alias("last"), F.when(ok, F.concat(acc["out"], F.array(x))).otherwise(acc["out"]).alias("out"))
 
-    chosen = F.aggregate(ordered, start, take)["out"]
-    return F.filter(ordered, lambda x: F.array_contains(chosen, x["pos"]))
+    return F.aggregate(ordered, start, take)["out"]

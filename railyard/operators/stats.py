@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from railyard.operators import order
+
 
 def gini(df: DataFrame, keys: Sequence[str], value: str, tie: str) -> DataFrame:
     """0 if the sum is 0."""
@@ -23,14 +25,16 @@ def top_share(df: DataFrame, keys: Sequence[str], value: str, tie: str, k: int)
     return ranked.groupBy(*keys).agg(F.try_divide(F.sum(F.when(F.col("__r") <= k, F.col(value))), F.sum(value)).alias("share"))
 
 
-def average_rank(value: str, keys: Sequence[str] = ()) -> Column:
-    """Ranks from 1, ties sharing their mean rank."""
-    base = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    same = Window.partitionBy(*keys, value) if keys else Window.partitionBy(value)
-    return F.rank().over(base.orderBy(value)) + (F.count(F.lit(1)).over(same) - 1) / 2
+def average_rank(value: str, keys: Sequence[str]) -> Column:
+    """Ranks from 1 in each group, ties sharing their mean rank."""
+    return F.rank().over(Window.partitionBy(*keys).orderBy(value)) + (F.count(F.lit(1)).over(Window.partitionBy(*keys, value)) - 1) / 2
 
 
 def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
+    if not keys:  # the whole table is no window
+        both = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
+        ranks = lambda c, name: order.average_ranks(both, c).withColumnRenamed("rank", name)
+        return both.select(x, y).join(ranks(x, "rx"), x).join(ranks(y, "ry"), y).agg(F.corr("rx", "ry").alias("rho"))
     ranked = df.select(*keys, average_rank(x, keys).alias("rx"), average_rank(y, keys).alias("ry"))
     return ranked.groupBy(*keys).agg(F.corr("rx", "ry").alias("rho"))
 

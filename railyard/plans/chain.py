@@ -7,6 +7,7 @@ For graphs of up to a few thousand nodes the spectral quantities come from NumPy
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -91,7 +92,7 @@ def stationary(chain: DataFrame, n_rounds: int | None = None, tolerance: float =
     else:
         mean = lambda x: F.col(f"{x}.total") / (F.col(f"{x}.k") + 1)
         moved = lambda old, new: old.alias("a").join(new.alias("b"), ["mode", "node"]).filter((F.col("b.k") < 100) | (F.abs(mean("a") - mean("b")) > tolerance))
-        out = until_stable(start, one, moved)
+        out = until_stable(start, one, moved, every=10)
     return out.select("mode", "node", (F.col("total") / (F.col("k") + 1)).alias("pi"))
 
 
@@ -146,7 +147,7 @@ def transient(q: DataFrame, start: DataFrame, t: float, terms: int | None = None
 
 
 def _series(q: DataFrame, start: DataFrame, t: float, terms: int, conserve: bool) -> DataFrame:
-    top = q.filter("i = j").groupBy("mode").agg(F.max(-F.col("q")).alias("rate"))
+    top = q.filter("i = j").groupBy("mode").agg(F.max(-F.col("q")).alias("rate"))  # a row for each mode
     jump = q.join(F.broadcast(top), "mode").select("mode", "i", "j", (F.when(F.col("i") == F.col("j"), 1.0).otherwise(0.0) + F.col("q") / F.col("rate")).alias("p"))
     begin = start.join(F.broadcast(top), "mode").select("mode", "node", "v", (F.col("v") * F.exp(-F.col("rate") * t)).alias("out"), F.exp(-F.col("rate") * t).alias("weight"), F.exp(-F.col("rate") * t).alias("used"), "rate", F.lit(0).alias("k"))
 
@@ -173,6 +174,19 @@ def terms_for(rate_time: float, tolerance: float = 1e-12) -> int:
     return k
 
 
+def transient_grid(q: DataFrame, start: DataFrame, times: Sequence[float], conserve: bool = True) -> DataFrame:
+    """(t, mode, node, n): N(t) at times that go up, each going on from the one before."""
+    if any(t < 0 for t in times) or list(times) != sorted(times):
+        raise ValueError("times must go up from 0")
+    q, now, before, out = cut(q), cut(start.select("mode", "node", "v")), 0.0, None
+    for t in times:
+        if t > before:
+            now, before = cut(transient(q, now, t - before, conserve=conserve).withColumnRenamed("n", "v")), t
+        rows = now.select(F.lit(float(t)).alias("t"), "mode", "node", F.col("v").alias("n"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def conservation_error(start: DataFrame, end: DataFrame, a: str = "v", b: str = "n") -> DataFrame:
     """|sum at the end - sum at the start| / sum at the start."""
     return start.agg(F.sum(a).alias("__a")).crossJoin(end.agg(F.sum(b).alias("__b"))).select((F.abs(F.col("__b") - F.col("__a")) / F.col("__a")).alias("error"))
@@ -246,23 +260,52 @@ def irreducible(p: np.ndarray) -> bool:
     return bool(reachable(a).all() and reachable(a.T).all())
 
 
-def spectrum(p: np.ndarray) -> np.ndarray:
-    """Eigenvalues but the principal one; those beyond the unit circle are rounding errors."""
-    values = np.linalg.eigvals(p)
+#: Nodes up to which the whole spectrum is made; beyond it the largest eigenvalues by Arnoldi's method.
+DENSE, KRYLOV = 1500, 60
+
+
+def largest(p: np.ndarray, k: int = KRYLOV, restarts: int = 3) -> np.ndarray:
+    """The k eigenvalues of largest modulus, about: those of the projection on a Krylov space four times as large."""
+    n, m = len(p), min(len(p) - 1, 4 * k)
+    start = np.random.default_rng(3).standard_normal(n)
+    for _ in range(restarts):
+        basis, h = np.zeros((m + 1, n)), np.zeros((m + 1, m))
+        basis[0] = start / np.linalg.norm(start)
+        size = m
+        for j in range(m):
+            w = basis[j] @ p
+            for _ in range(2):  # twice is enough for orthogonality
+                part = basis[: j + 1] @ w
+                w = w - part @ basis[: j + 1]
+                h[: j + 1, j] += part
+            h[j + 1, j] = np.linalg.norm(w)
+            if h[j + 1, j] < 1e-12:
+                size = j + 1
+                break
+            basis[j + 1] = w / h[j + 1, j]
+        values, vectors = np.linalg.eig(h[:size, :size])
+        order = np.argsort(-np.abs(values))
+        start = np.real(basis[:size].T @ vectors[:, order[:k]].sum(1))
+    return values[order[:k]]
+
+
+def spectrum(p: np.ndarray, dense: int = DENSE) -> np.ndarray:
+    """Eigenvalues but the principal one, all or the largest; those beyond the unit circle are rounding errors."""
+    values = np.linalg.eigvals(p) if len(p) <= dense else largest(p)
     values = values[np.abs(values) <= 1 + 1e-7]
     return np.delete(values, np.argmin(np.abs(values - 1))) if len(values) else values
 
 
-def kemeny(p: np.ndarray) -> float:
-    """Expected steps to a stationary target; NaN if the chain is reducible, the node count if it has no eigenvalues left."""
+def kemeny(p: np.ndarray, values: np.ndarray | None = None) -> float:
+    """Expected steps to a stationary target; NaN if the chain is reducible, the node count if it has no eigenvalues left. Eigenvalues that aren't known count as 0."""
     if not irreducible(p):
         return float("nan")
-    values = spectrum(p)
-    return float(np.real(np.sum(1 / (1 - values)))) if len(values) else float(len(p))
+    values = spectrum(p) if values is None else values
+    return float(np.real(np.sum(1 / (1 - values)))) + max(0, len(p) - 1 - len(values)) if len(values) else float(len(p))
 
 
-def gap(p: np.ndarray) -> float:
-    values = spectrum(p)
+def gap(p: np.ndarray, values: np.ndarray | None = None) -> float:
+    values = spectrum(p) if values is None else values
     return float(1 - np.abs(values).max()) if len(values) else 1.0
 
 
@@ -295,7 +338,7 @@ def diagnostics(chain: DataFrame) -> DataFrame:
         p, names = dense(pdf)
         p = stochastic(p)
         values = spectrum(p)
-        return pd.DataFrame([{"mode": pdf["mode"].iloc[0], "nodes": len(names), "kemeny": kemeny(p), "gap": gap(p), "efficiency": hop_efficiency(p), "irreducible": irreducible(p), "periodic": bool(len(values) and np.abs(values + 1).min() < 1e-8)}])
+        return pd.DataFrame([{"mode": pdf["mode"].iloc[0], "nodes": len(names), "kemeny": kemeny(p, values), "gap": gap(p, values), "efficiency": hop_efficiency(p), "irreducible": irreducible(p), "periodic": bool(len(values) and np.abs(values + 1).min() < 1e-8)}])
 
     return chain.select("mode", "i", "j", "p").groupBy("mode").applyInPandas(one, f"mode {chain.schema['mode'].dataType.simpleString()}, nodes long, kemeny double, gap double, efficiency double, irreducible boolean, periodic boolean")
 
@@ -304,26 +347,43 @@ def drops(p: np.ndarray, k: int, base: tuple[float, float, float]) -> tuple[floa
     """(kemeny, gap, efficiency, vulnerability) of removing node k, each relative and not below 0; kemeny 1 if irreducibility is lost."""
     k0, g0, e0 = base
     rest = without(p, k)
-    after = kemeny(rest)
+    values = spectrum(rest)
+    after = kemeny(rest, values)
     if math.isnan(after):
         dk = 0.0 if math.isnan(k0) else 1.0
     else:
         dk = 0.0 if math.isnan(k0) or k0 == 0 else max(0.0, (after - k0) / abs(k0))
-    dg = max(0.0, (g0 - gap(rest)) / g0) if g0 > 0 else 0.0
+    dg = max(0.0, (g0 - gap(rest, values)) / g0) if g0 > 0 else 0.0
     de = max(0.0, (e0 - hop_efficiency(rest)) / e0) if e0 > 0 else 0.0
     return dk, dg, de, (dk + dg + de) / 3
 
 
-def removals(chain: DataFrame, top: DataFrame | None = None) -> DataFrame:
-    """Vulnerability of each (mode, node): one task for each removed node, the mode's chain beside it. top: (mode, node) to look at, else all."""
-    kinds = {c: chain.schema[c].dataType.simpleString() for c in ("mode", "i")}
-    wanted = top if top is not None else nodes_of(chain)
-    grid = wanted.select("mode", F.col("node").alias("removed")).join(chain.select("mode", "i", "j", "p"), "mode")
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        p, names = dense(pdf)
-        p = stochastic(p)
-        dk, dg, de, v = drops(p, names.index(pdf.removed.iloc[0]), (kemeny(p), gap(p), hop_efficiency(p)))
-        return pd.DataFrame([{"mode": pdf["mode"].iloc[0], "node": pdf.removed.iloc[0], "d_kemeny": dk, "d_gap": dg, "d_efficiency": de, "vulnerability": v}])
-
-    return grid.groupBy("mode", "removed").applyInPandas(one, f"mode {kinds['mode']}, node {kinds['i']}, d_kemeny double, d_gap double, d_efficiency double, vulnerability double")
+#: Entries of chains that removals() sends to all tasks.
+MOST_ENTRIES = 5_000_000
+
+
+def removals(chain: DataFrame, top: DataFrame | None = None, most_entries: int = MOST_ENTRIES) -> DataFrame:
+    """Vulnerability of each (mode, node): removed nodes are dealt to tasks, which have the chains (their size is checked) and what they are like whole. top: (mode, node) to look at, else all."""
+    spark, kinds = chain.sparkSession, {c: chain.schema[c].dataType.simpleString() for c in ("mode", "i")}
+    chain = cut(chain.select("mode", "i", "j", "p"))
+    if (n := chain.count()) > most_entries:
+        raise ValueError(f"{n} entries are more than most_entries")
+    shared = spark.sparkContext.broadcast(chain.toPandas())
+    wanted = (top if top is not None else nodes_of(chain)).select("mode", F.col("node").alias("removed"))
+
+    def one(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        whole: dict = {}
+        for pdf in batches:
+            rows = []
+            for mode, gone in zip(pdf["mode"], pdf["removed"], strict=True):
+                if mode not in whole:
+                    p, names = dense(shared.value[shared.value["mode"] == mode])
+                    p = stochastic(p)
+                    values = spectrum(p)
+                    whole = {mode: (p, names, (kemeny(p, values), gap(p, values), hop_efficiency(p)))}
+                p, names, base = whole[mode]
+                rows.append((mode, gone, *drops(p, names.index(gone), base)))
+            yield pd.DataFrame(rows, columns=["mode", "node", "d_kemeny", "d_gap", "d_efficiency", "vulnerability"])
+
+    dealt = wanted.repartition(spark.sparkContext.defaultParallelism).sortWithinPartitions("mode")
+    return dealt.mapInPandas(one, f"mode {kinds['mode']}, node {kinds['i']}, d_kemeny double, d_gap double, d_efficiency double, vulnerability double")

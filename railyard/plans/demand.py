@@ -128,6 +128,17 @@ def balanced(times: DataFrame, origins: DataFrame, attractions: DataFrame, beta:
     return until_stable(start, one, lambda old, new: off(new), most).select("o", "d", "w")
 
 
+def variant(name: str, population: DataFrame | None = None, departures: DataFrame | None = None, times: DataFrame | None = None, beta: float = 0.0, power: float = 1.0) -> DataFrame:
+    """(o, d, w) of a named way to weigh pairs: `population` (products of people, (node, w)), `departures` (of departures to a power, (node, freq)) or `population_gravity` (people as origins and attractions, with deterrence by times (o, d, t))."""
+    if name == "population":
+        return od_from_vector(population)
+    if name == "departures":
+        return od_from_vector(departures.select("node", F.pow("freq", F.lit(power)).alias("w")))
+    if name == "population_gravity":
+        return production(times, population.select(F.col("node").alias("o"), F.col("w").alias("made")), population.select(F.col("node").alias("d"), F.col("w").alias("drawn")), beta)
+    raise ValueError(f"no demand variant {name}")
+
+
 def unbalanced_mass(od: DataFrame, origins: DataFrame) -> DataFrame:
     """What the origins' totals miss."""
     return origins.join(od.groupBy("o").agg(F.sum("w").alias("w")), "o", "left").agg(F.sum(F.abs(F.col("made") - F.coalesce("w", F.lit(0.0)))).alias("unbalanced"))
@@ -137,7 +148,7 @@ def blocks(times: DataFrame, origins: DataFrame, attractions: DataFrame, quotas:
     """District totals spread over pairs: (o, d, w) with sums by (district of o, district of d) as in quotas (k, l, q). origins: (o, made, k); attractions: (d, drawn, l)."""
     x = deterrence(times, beta).join(origins, "o").join(attractions, "d").withColumn("__x", F.col("made") * F.col("drawn") * F.col("f"))
     x = x.withColumn("__s", F.sum("__x").over(Window.partitionBy("k", "l")))
-    return x.join(F.broadcast(quotas), ["k", "l"]).select("o", "d", F.coalesce(F.try_divide(F.col("q") * F.col("__x"), F.col("__s")), F.lit(0.0)).alias("w"))
+    return x.join(quotas, ["k", "l"]).select("o", "d", F.coalesce(F.try_divide(F.col("q") * F.col("__x"), F.col("__s")), F.lit(0.0)).alias("w"))
 
 
 def mean_time(od: DataFrame, times: DataFrame) -> DataFrame:
@@ -169,7 +180,7 @@ def node_mass(od: DataFrame) -> DataFrame:
 
 def rescale(cells: DataFrame, totals: DataFrame, key: str = "district") -> DataFrame:
     """People scaled to the totals (key, total) of their districts."""
-    return cells.join(F.broadcast(totals), key).withColumn("people", F.coalesce(F.try_divide(F.col("people") * F.col("total"), F.sum("people").over(Window.partitionBy(key))), F.lit(0.0))).drop("total")
+    return cells.join(totals, key).withColumn("people", F.coalesce(F.try_divide(F.col("people") * F.col("total"), F.sum("people").over(Window.partitionBy(key))), F.lit(0.0))).drop("total")
 
 
 def overlay(base: DataFrame, near: DataFrame, added: DataFrame) -> DataFrame:

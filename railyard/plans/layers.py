@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from itertools import product
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from railyard.fixpoint import cut
 from railyard.functions import scalar
 from railyard.operators import graph, spatial
 from railyard.plans import linenet
@@ -19,7 +19,8 @@ from railyard.plans import linenet
 def merge_areas(stops: DataFrame, radius_m: float = 400.0) -> DataFrame:
     """(stop, area): in order of stop id, each stop joins the first area of its name whose first member is nearer than radius_m, else it starts one.
 
-    The result depends on the order and isn't transitive, so each name is one sequential group; stops: (stop, name, lat, lon).
+    The result depends on the order and isn't transitive. A stop and the first of its area are near each other, so what is
+    near in chains (a component) is one sequential group, however often its name occurs; stops: (stop, name, lat, lon).
     """
     kind = stops.schema["stop"].dataType.simpleString()
 
@@ -36,7 +37,9 @@ def merge_areas(stops: DataFrame, radius_m: float = 400.0) -> DataFrame:
         return pd.DataFrame({"stop": pdf["stop"], "area": areas})
 
     named = stops.select("stop", scalar.area_name("name").alias("name"), "lat", "lon")
-    return named.groupBy("name").applyInPandas(one, f"stop {kind}, area {kind}")
+    near = graph.components(spatial.same_name_near(named, radius_m)).withColumnRenamed("node", "stop")
+    named = named.join(near, "stop", "left").withColumn("label", F.coalesce("label", "stop"))
+    return named.groupBy("label").applyInPandas(one, f"stop {kind}, area {kind}")
 
 
 def layer_edges(edges: DataFrame, members: DataFrame, places: DataFrame) -> DataFrame:
@@ -51,30 +54,57 @@ def cost_per_metre(layer: DataFrame, least_m: float = 50.0) -> DataFrame:
     return layer.filter(F.col("m") > least_m).agg(F.median(F.col("cost") / F.col("m")).alias("cost_per_m"))
 
 
-def street_line(times: DataFrame, source, target, nodes: DataFrame, pool: DataFrame, spacing: float, radius: float = 150.0, direct_m: float | None = None, most_detour: float = 1.6) -> list:
-    """Hubs of a line along the shortest street path between two nodes, [] if there is none or it is too long a detour.
+def street_paths(times: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(source, target, back, node) of the ways from graph.shortest() for pairs (source, target): back counts from the target. All pairs go one step back in each round."""
+    via = cut(times.select("source", "node", "via"))
+    at = cut(pairs.select("source", "target", F.lit(0).alias("back"), F.col("target").alias("node")).join(via.select("source", "node"), ["source", "node"], "left_semi"))
+    out, k = at, 0
+    while not at.isEmpty():
+        k += 1
+        at = cut(at.filter("node <> source").join(via, ["source", "node"]).select("source", "target", (F.col("back") + 1).alias("back"), F.col("via").alias("node")))
+        out = cut(out.unionByName(at)) if k % 8 == 0 else out.unionByName(at)
+    return out
 
-    times: graph.shortest() from the source; nodes: (node, x, y) of the street graph; pool: (hub, rx, ry). Hubs at most
-    `radius` from the path are taken in path order, each at least `spacing` along it after the last.
+
+def street_lines(streets: DataFrame, snapped: DataFrame, pairs: DataFrame, nodes: DataFrame, pool: DataFrame, spacing: float, least: float, most: float, radius: float = 150.0, most_detour: float = 1.6) -> DataFrame:
+    """(a, b, length, stations) of lines on streets between pairs of hubs: stations (along, hub) in order, both ends among them.
+
+    streets: (i, j, cost) both ways; snapped: (hub, node); pairs: (a, b) of hubs; nodes: (node, x, y); pool: (hub, x, y,
+    weight). A line is as long as its way, which must be within the limits and no longer than most_detour times the straight
+    line. Hubs near the way are taken by weight, each at least `spacing` along it from those taken; all pairs at once.
     """
-    way = graph.path(times, source, target)
-    if not way:
-        return []
-    spark = times.sparkSession
-    place = spark.createDataFrame([(k, n) for k, n in enumerate(way)], ["k", "node"]).join(nodes, "node").select("k", F.col("x").alias("lx"), F.col("y").alias("ly"))
-    walk = place.orderBy("k").collect()
-    along = np.r_[0.0, np.cumsum([np.hypot(b["lx"] - a["lx"], b["ly"] - a["ly"]) for a, b in zip(walk, walk[1:])])]  # noqa: B905
-    direct = direct_m or np.hypot(walk[-1]["lx"] - walk[0]["lx"], walk[-1]["ly"] - walk[0]["ly"])
-    if direct > 0 and along[-1] > most_detour * direct:
-        return []
-    near = spatial.within(place, pool, radius, ["k"], ["hub"]).groupBy("hub").agg(F.min_by("k", "dist").alias("k")).orderBy("k", "hub").collect()
-    chosen: list = []
-    last = -np.inf
-    for r in near:
-        if along[r["k"]] >= last + spacing:
-            chosen.append(r["hub"])
-            last = along[r["k"]]
-    return chosen
+    at = lambda end: snapped.select(F.col("hub").alias(end), F.col("node").alias(f"node_{end}"))
+    place = lambda end: pool.select(F.col("hub").alias(end), F.col("x").alias(f"x_{end}"), F.col("y").alias(f"y_{end}"))
+    own = cut(pairs.select("a", "b").join(at("a"), "a").join(at("b"), "b").join(place("a"), "a").join(place("b"), "b"))
+    times = cut(graph.shortest(streets, own.select(F.col("node_a").alias("source")).distinct()))
+    straight = F.greatest(F.sqrt((F.col("x_a") - F.col("x_b")) ** 2 + (F.col("y_a") - F.col("y_b")) ** 2), F.lit(1.0))
+    found = own.join(times.select(F.col("source").alias("node_a"), F.col("node").alias("node_b"), F.col("t").alias("length")), ["node_a", "node_b"])
+    found = cut(found.filter((F.col("length") >= least) & (F.col("length") <= most) & (F.col("length") <= most_detour * straight)))
+    way = street_paths(times, found.select(F.col("node_a").alias("source"), F.col("node_b").alias("target")).distinct())
+    along = way.join(times.select("source", "node", F.col("t").alias("along")), ["source", "node"]).join(nodes, "node")
+    near = spatial.within(along.select("source", "target", "along", F.col("x").alias("lx"), F.col("y").alias("ly")), pool.select("hub", "weight", F.col("x").alias("rx"), F.col("y").alias("ry")), radius, ["source", "target", "along"], ["hub", "weight"])
+    near = near.groupBy("source", "target", "hub", "weight").agg(F.min_by("along", F.struct("dist", "along")).alias("along"))
+    listed = near.groupBy("source", "target").agg(F.array_sort(F.collect_list(F.struct((-F.col("weight")).alias("w"), "hub", "along"))).alias("pool"))
+    lines = found.join(listed, [F.col("node_a") == F.col("source"), F.col("node_b") == F.col("target")], "left")
+    stop = lambda hub, x: F.struct(x.cast("double").alias("along"), hub.alias("hub"))
+    begin = F.array(stop(F.col("a"), F.lit(0.0)), stop(F.col("b"), F.col("length")))
+    far = lambda x: lambda c: F.abs(x["along"] - c["along"]) >= spacing
+    others = F.filter(F.coalesce("pool", F.array().cast(listed.schema["pool"].dataType)), lambda x: (x["hub"] != F.col("a")) & (x["hub"] != F.col("b")))
+    taken = F.aggregate(others, begin, lambda acc, x: F.when(F.forall(acc, far(x)), F.concat(acc, F.array(stop(x["hub"], x["along"])))).otherwise(acc))
+    return lines.select("a", "b", "length", F.array_sort(taken).alias("stations"))
+
+
+def routed_line(streets: DataFrame, snapped: DataFrame, stations: DataFrame) -> DataFrame:
+    """stations (line, kind, k, hub) with next_m, the metres on streets to the next station, for linenet.line_sections(). ValueError if a hub is on no street or a leg has no way."""
+    w = Window.partitionBy("line").orderBy("k")
+    placed = cut(stations.join(snapped.select("hub", "node"), "hub", "left").withColumn("to", F.lead("node").over(w)).withColumn("last", F.lead("hub").over(w).isNull()))
+    if lost := placed.filter("node is null").head(3):
+        raise ValueError(f"not on a street: {[r['hub'] for r in lost]}")
+    times = graph.shortest(streets, placed.filter("not last").select(F.col("node").alias("source")).distinct())
+    legs = cut(placed.join(times.select(F.col("source").alias("node"), F.col("node").alias("to"), F.col("t").alias("next_m")), ["node", "to"], "left"))
+    if lost := legs.filter("not last and next_m is null").head(3):
+        raise ValueError(f"no way on streets from {[r['hub'] for r in lost]}")
+    return legs.drop("node", "to", "last")
 
 
 def choice_diagnostics(segments: DataFrame) -> DataFrame:
@@ -98,6 +128,22 @@ def sensitivity(evaluate: Callable[..., dict], **grid: Sequence) -> list[dict]:
     return [dict(zip(names, values, strict=True)) | evaluate(**dict(zip(names, values, strict=True))) for values in product(*grid.values())]
 
 
+def reranked(gains: DataFrame, ratios: Sequence[float], k: int, kind: str = "metro") -> DataFrame:
+    """(ratio, line, rank, in_base): the k best lines by gain per cost where a kilometre of the kind costs `ratio` times one of the others (null: by gain alone), and whether they are among the best by their own cost. gains: (line, kind, km, gain, cost)."""
+    spark = gains.sparkSession
+    price = F.when(F.col("ratio").isNull(), F.lit(1.0)).otherwise(F.col("km") * F.when(F.col("kind") == kind, F.col("ratio")).otherwise(1.0))
+    grid = gains.crossJoin(spark.createDataFrame([(x,) for x in [*map(float, ratios), None]], "ratio double"))  # a ranking for each ratio
+    best = lambda df, keys, value: df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(value), "line"))).filter(F.col("rank") <= k)
+    base = best(gains.withColumn("one", F.lit(1)), ["one"], F.col("gain") / F.col("cost")).select("line", F.lit(True).alias("in_base"))
+    return best(grid, ["ratio"], F.col("gain") / price).join(base, "line", "left").select("ratio", "line", "rank", F.coalesce("in_base", F.lit(False)).alias("in_base"))
+
+
+def robustness(evaluate: Callable[[str, object], float], lines: Sequence, variants: Sequence[str]) -> list[dict]:
+    """Rank of each line by its effect under each demand variant, and its worst rank."""
+    ranks = {v: {x: k + 1 for k, x in enumerate(sorted(lines, key=lambda x, v=v: -evaluate(v, x)))} for v in variants}
+    return [{"line": x, "worst": max(ranks[v][x] for v in variants)} | {v: ranks[v][x] for v in variants} for x in lines]
+
+
 def package_effect(evaluate: Callable[[Sequence], float], lines: Sequence) -> dict:
     """Effect of all lines together, of each alone, and their ratio (above 1: they help one another)."""
     base = evaluate([])

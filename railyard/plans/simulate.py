@@ -4,7 +4,7 @@ dealt to tasks; a run's seed is its number, so results don't depend on how they
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -40,8 +40,8 @@ class Moves:
         return int(self.j[min(np.searchsorted(self.cdf[a:b], state + u) + a, b - 1)])
 
 
-def events(moves: Moves, start: np.ndarray, horizon: float, seed: int, most: int | None = 500_000) -> tuple[np.ndarray, int, bool]:
-    """Exact (direct) simulation: state at the end, number of events, whether the horizon was reached. most: events, None for no limit."""
+def events(moves: Moves, start: np.ndarray, horizon: float, seed: int, most: int | None = 500_000, seen: Callable[[float, int, int, np.ndarray], None] | None = None) -> tuple[np.ndarray, int, bool]:
+    """Exact (direct) simulation: state at the end, number of events, whether the horizon was reached. most: events, None for no limit. seen: told the time, both states and the people after each event."""
     rng, n, t, k = np.random.default_rng(seed), whole_people(start), 0.0, 0
     rates = n * moves.out
     total = rates.sum()
@@ -58,6 +58,8 @@ def events(moves: Moves, start: np.ndarray, horizon: float, seed: int, most: int
         n[b] += 1
         rates[a], rates[b] = n[a] * moves.out[a], n[b] * moves.out[b]
         k += 1
+        if seen is not None:
+            seen(t, a, b, n)
         total = rates.sum() if k % 1000 == 0 else total + (moves.out[b] - moves.out[a])
     return n, k, False
 
@@ -87,9 +89,9 @@ def leaps(moves: Moves, start: np.ndarray, grid: np.ndarray, seed: int, tau: flo
 
 def _collected(q: DataFrame, start: DataFrame, most_channels: int):
     """Driver-side tables of a generator (mode, i, j, q) and people (mode, node, n); their size is checked."""
-    if q.count() > most_channels:
+    rows = q.filter("i <> j and q > 0").select("mode", "i", "j", "q").limit(most_channels + 1).collect()
+    if len(rows) > most_channels:
         raise ValueError("the generator has more channels than most_channels")
-    rows = q.filter("i <> j and q > 0").select("mode", "i", "j", "q").collect()
     people = {(r["mode"], r["node"]): r["n"] for r in start.select("mode", "node", "n").collect()}
     names = sorted({(r["mode"], r["i"]) for r in rows} | {(r["mode"], r["j"]) for r in rows} | set(people))
     at = {x: k for k, x in enumerate(names)}
@@ -103,6 +105,7 @@ def _runs(spark: SparkSession, runs: int) -> DataFrame:
 
 def event_ensemble(q: DataFrame, start: DataFrame, horizon: float, runs: int = 40, most: int | None = 500_000, most_channels: int = 2_000_000) -> DataFrame:
     """(run, mode, node, n, events, complete) of exact runs 0, 1, ..., each seeded by its number."""
+    _checked(horizon, runs)
     names, moves, n0 = _collected(q, start, most_channels)
     shared = q.sparkSession.sparkContext.broadcast((moves, n0))
 
@@ -116,10 +119,60 @@ def event_ensemble(q: DataFrame, start: DataFrame, horizon: float, runs: int = 4
     return _named(_runs(q.sparkSession, runs).mapInPandas(simulate, "run long, k int, n long, events long, complete boolean"), names, q)
 
 
+def event_log(q: DataFrame, start: DataFrame, horizon: float, runs: int = 1, most: int | None = 500_000, most_channels: int = 2_000_000) -> DataFrame:
+    """(run, k, t, mode, node, to_mode, to_node): the events of exact runs in order, yielded as they pile up."""
+    _checked(horizon, runs)
+    names, moves, n0 = _collected(q, start, most_channels)
+    shared = q.sparkSession.sparkContext.broadcast((moves, n0))
+
+    def simulate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        moves, n0 = shared.value
+        for pdf in batches:
+            for run in pdf["id"]:
+                rows: list[tuple] = []
+                events(moves, n0, horizon, int(run), most, lambda t, a, b, n, rows=rows: rows.append((t, a, b)))
+                yield pd.DataFrame({"run": run, "n": np.arange(1, len(rows) + 1), "t": [r[0] for r in rows], "k": [r[1] for r in rows], "to": [r[2] for r in rows]})
+
+    log = _runs(q.sparkSession, runs).mapInPandas(simulate, "run long, n long, t double, k int, to int")
+    named = _named(_named(log, names, q).withColumnsRenamed({"mode": "__mode", "node": "__node", "to": "k"}), names, q)
+    return named.select("run", F.col("n").alias("k"), "t", F.col("__mode").alias("mode"), F.col("__node").alias("node"), F.col("mode").alias("to_mode"), F.col("node").alias("to_node"))
+
+
+def snapshots(q: DataFrame, start: DataFrame, horizon: float, every: int, runs: int = 1, most: int | None = 500_000, most_channels: int = 2_000_000) -> DataFrame:
+    """(run, k, t, mode, node, n): the people of exact runs at the start (k = 0) and after each `every` events."""
+    _checked(horizon, runs)
+    names, moves, n0 = _collected(q, start, most_channels)
+    shared = q.sparkSession.sparkContext.broadcast((moves, n0))
+
+    def simulate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        moves, n0 = shared.value
+        for pdf in batches:
+            for run in pdf["id"]:
+                kept, count = [(0, 0.0, whole_people(n0))], [0]
+
+                def seen(t: float, a: int, b: int, n: np.ndarray, kept=kept, count=count) -> None:
+                    count[0] += 1
+                    if count[0] % every == 0:
+                        kept.append((count[0], t, n.copy()))
+
+                events(moves, n0, horizon, int(run), most, seen)
+                for at, t, n in kept:
+                    yield pd.DataFrame({"run": run, "events": at, "t": t, "k": np.arange(moves.n), "n": n})
+
+    out = _named(_runs(q.sparkSession, runs).mapInPandas(simulate, "run long, events long, t double, k int, n long"), names, q)
+    return out.withColumnRenamed("events", "k")
+
+
+def _checked(horizon: float, runs: int) -> None:
+    if not (horizon > 0 and np.isfinite(horizon)) or runs < 1:
+        raise ValueError("the horizon must be positive and there must be a run")
+
+
 def leap_ensemble(q: DataFrame, start: DataFrame, horizon: float, runs: int = 10, points: int = 4, tau: float = 1.0, epsilon: float = 0.03, most_channels: int = 2_000_000) -> DataFrame:
     """(run, t, mode, node, n, steps) of leaping runs at evenly spaced times."""
-    if not horizon > 0 or points < 2:
-        raise ValueError("the horizon must be positive and at least 2 points are needed")
+    _checked(horizon, runs)
+    if points < 2:
+        raise ValueError("at least 2 points are needed")
     names, moves, n0 = _collected(q, start, most_channels)
     shared = q.sparkSession.sparkContext.broadcast((moves, n0))
     grid = np.linspace(0, horizon, points)

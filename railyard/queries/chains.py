@@ -17,9 +17,7 @@ R = lambda c, n=8: F.round(c, n).alias(c)
 EK = t.EE + ", ew AS (SELECT mode, i, j, exp(-(tau_s - min(tau_s) OVER (PARTITION BY mode, i)) / 24.0) AS w, n, tau_s FROM ee), ek AS (SELECT mode, i, j, w / sum(w) OVER (PARTITION BY mode, i) AS p FROM ew)"
 EM = ", em AS (SELECT mode, stop AS i, count(DISTINCT trip) / 24.0 AS mu FROM ev GROUP BY mode, stop)"
 EQ = EK + EM + ", eo AS (SELECT mode, i, j, mu * p AS q FROM ek JOIN em USING (mode, i) WHERE i <> j), eq AS (SELECT * FROM eo UNION ALL SELECT mode, i, i, -sum(q) FROM eo GROUP BY mode, i)"
-# the hub graph with the three cheapest edges of each nation, and with the cheapest one
-SG = t.HC + ", sg AS (SELECT i, j, cost FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY cost, j) AS r FROM hc) WHERE r <= 3)"
-SG1 = t.HC + ", sg AS (SELECT i, j, cost FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY cost, j) AS r FROM hc) WHERE r <= 1)"
+SG = t.SG
 
 
 def event_chain(spark, sf_dir):
@@ -30,15 +28,6 @@ def event_rates(spark, sf_dir):
     return t.event_visits(spark, sf_dir).groupBy("mode", F.col("stop").alias("i")).agg((F.countDistinct("trip") / 24.0).alias("mu"))
 
 
-def sparse_hubs(spark, sf_dir, k: int = 3):
-    """The k cheapest edges of each nation: a thinned graph, as in the SQL. Queries with the suffix _all take all of hub_costs()."""
-    return t.hub_costs(spark, sf_dir).withColumn("r", F.row_number().over(Window.partitionBy("i").orderBy("cost", "j"))).filter(F.col("r") <= k).drop("r")
-
-
-def cheapest_hubs(spark, sf_dir):
-    return sparse_hubs(spark, sf_dir, 1)
-
-
 @Q.add(f"WITH {EK} SELECT i, j, n, round(tau_s, 8) AS tau_s, round(p, 8) AS p FROM ek JOIN ee USING (mode, i, j)")
 def softmax_kernel(spark, sf_dir):
     edges = t.event_edges(spark, sf_dir)
@@ -65,23 +54,26 @@ def row_entropy_lambda_sweep(spark, sf_dir):
     return chain.entropy_sweep(edges, LAMS).select("lam", R("entropy"))
 
 
-CESARO = EK + ", x AS (SELECT node, v, 0 AS k FROM (SELECT i AS node, 1.0::DOUBLE / count(*) OVER () AS v FROM (SELECT DISTINCT i FROM ek)) UNION ALL SELECT ek.j, sum(x.v * ek.p), x.k + 1 FROM x JOIN ek ON x.node = ek.i WHERE x.k < 20 GROUP BY ek.j, x.k + 1)"
+def limit_sql(doublings: int = 34) -> str:
+    """m: the limit of the mean of the powers of ek, the mean over twice as many powers by one product; rows are kept at 1."""
+    out = ", nn AS (SELECT mode, i AS node FROM ek UNION SELECT mode, j FROM ek), p0 AS (SELECT mode, i, j, p FROM ek UNION ALL SELECT mode, node, node, 1.0 FROM nn WHERE (mode, node) NOT IN (SELECT mode, i FROM ek)), m0 AS (SELECT mode, node AS i, node AS j, 1.0::DOUBLE AS p FROM nn)"
+    for k in range(doublings):
+        out += f", p{k + 1} AS MATERIALIZED (SELECT mode, i, j, s / sum(s) OVER (PARTITION BY mode, i) AS p FROM (SELECT mode, a.i, b.j, sum(a.p * b.p) AS s FROM p{k} a JOIN (SELECT mode, i AS c, j, p FROM p{k}) b USING (mode) WHERE a.j = b.c GROUP BY mode, a.i, b.j))"
+        out += f", m{k + 1} AS MATERIALIZED (SELECT mode, i, j, sum(s) / sum(sum(s)) OVER (PARTITION BY mode, i) AS p FROM (SELECT mode, i, j, p AS s FROM m{k} UNION ALL SELECT mode, a.i, b.j, sum(a.p * b.p) FROM p{k} a JOIN (SELECT mode, i AS c, j, p FROM m{k}) b USING (mode) WHERE a.j = b.c GROUP BY mode, a.i, b.j) GROUP BY mode, i, j)"
+    return out + f", pi AS (SELECT mode, j AS node, sum(p) / (SELECT count(*) FROM nn x WHERE x.mode = m{doublings}.mode) AS pi FROM m{doublings} GROUP BY mode, j)"
 
 
-def cesaro(own):
-    return chain.stationary(own, n_rounds=20)
+LIMIT = EK + limit_sql()
 
 
-@Q.also("full", law=chain.stationary_limit)
-@Q.add(f"WITH RECURSIVE {CESARO} SELECT node, round(sum(v) / 21, 8) AS pi FROM x GROUP BY node")
-def stationary_cesaro(spark, sf_dir, law=cesaro):
-    return law(event_chain(spark, sf_dir)).select("node", R("pi"))
+@Q.add(f"WITH {LIMIT} SELECT node, round(pi, 8) AS pi FROM pi")
+def stationary_cesaro(spark, sf_dir):
+    return chain.stationary_limit(event_chain(spark, sf_dir)).select("node", R("pi"))
 
 
-@Q.also("full", law=chain.stationary_limit)
-@Q.add(f"WITH RECURSIVE {CESARO}{EM}, pi AS (SELECT node, sum(v) / 21 AS pi FROM x GROUP BY node) SELECT node, round(pi / sum(pi / mu) OVER (), 8) AS flux FROM pi JOIN em ON node = em.i")
-def departure_flux(spark, sf_dir, law=cesaro):
-    return chain.departure_flux(law(event_chain(spark, sf_dir)), event_rates(spark, sf_dir)).select("node", R("flux"))
+@Q.add(f"WITH {LIMIT}{EM} SELECT node, round(pi / sum(pi / mu) OVER (), 8) AS flux FROM pi JOIN em ON node = em.i")
+def departure_flux(spark, sf_dir):
+    return chain.departure_flux(chain.stationary_limit(event_chain(spark, sf_dir)), event_rates(spark, sf_dir)).select("node", R("flux"))
 
 
 @Q.add(f"WITH {t.LV}, served AS (SELECT DISTINCT mode, stop FROM lv), pop AS (SELECT c_nationkey, sum(c_acctbal) AS n FROM customer GROUP BY c_nationkey) SELECT mode, stop AS node, round(coalesce(n, 0) / count(*) OVER (PARTITION BY stop), 6) AS n FROM served LEFT JOIN pop ON c_nationkey = stop")
@@ -93,7 +85,7 @@ def modal_allocation(spark, sf_dir):
     return chain.allocate(people, served).select("mode", "node", R("n", 6))
 
 
-@Q.add(f"WITH RECURSIVE {EQ}, r AS (SELECT max(-q) AS rate FROM eq WHERE i = j), j AS (SELECT i, j, CASE WHEN i = j THEN 1.0 ELSE 0.0 END + q / rate AS p FROM eq, r), s AS (SELECT i AS node, 100.0::DOUBLE * (row_number() OVER (ORDER BY i)) AS v FROM (SELECT DISTINCT i FROM ek)), x AS (SELECT node, v, 0 AS k, exp(-rate * 0.5) AS w FROM s, r UNION ALL SELECT j.j, sum(x.v * j.p), x.k + 1, max(x.w * rate * 0.5 / (x.k + 1)) FROM x JOIN j ON x.node = j.i, r WHERE x.k < 24 GROUP BY j.j, x.k + 1), u AS (SELECT sum(w) AS used FROM (SELECT DISTINCT k, w FROM x)) SELECT node, round(sum(w * v) / (SELECT used FROM u), 6) AS n FROM x GROUP BY node")
+@Q.add(f"WITH RECURSIVE {EQ}, r AS (SELECT max(-q) AS rate FROM eq WHERE i = j), j AS (SELECT i, j, CASE WHEN i = j THEN 1.0 ELSE 0.0 END + q / rate AS p FROM eq, r), s AS (SELECT i AS node, 100.0::DOUBLE * (row_number() OVER (ORDER BY i)) AS v FROM (SELECT DISTINCT i FROM ek)), x AS (SELECT node, v, 0 AS k, exp(-rate * 0.5) AS w FROM s, r UNION ALL SELECT j.j, sum(x.v * j.p), x.k + 1, max(x.w * rate * 0.5 / (x.k + 1)) FROM x JOIN j ON x.node = j.i, r WHERE x.k < 300 GROUP BY j.j, x.k + 1), u AS (SELECT sum(w) AS used FROM (SELECT DISTINCT k, w FROM x)) SELECT node, round(sum(w * v) / (SELECT used FROM u), 6) AS n FROM x GROUP BY node")
 def transient_law(spark, sf_dir):
     own = event_chain(spark, sf_dir)
     names = chain.nodes_of(own).select("mode", "node", (100.0 * F.row_number().over(Window.partitionBy("mode").orderBy("node"))).alias("v"))
@@ -116,61 +108,96 @@ def node_removal(spark, sf_dir):
 BFS = SG + ", b AS (SELECT DISTINCT i AS source, i AS node, 0 AS d FROM sg UNION SELECT b.source, sg.j, b.d + 1 FROM b JOIN sg ON b.node = sg.i WHERE b.d < 24), h AS (SELECT source, node, min(d) AS d FROM b GROUP BY source, node)"
 
 
-@Q.also("all", links=t.hub_costs)
 @Q.add(f"WITH RECURSIVE {BFS} SELECT source, node, d FROM h")
-def bfs_hops(spark, sf_dir, links=sparse_hubs):
+def bfs_hops(spark, sf_dir, links=t.hub_graph):
     return graph.hops(links(spark, sf_dir))
 
 
-@Q.also("all", links=t.hub_costs)
 @Q.add(f"WITH RECURSIVE {BFS}, n AS (SELECT count(*) AS n FROM (SELECT i FROM sg UNION SELECT j FROM sg)) SELECT round(sum(1.0 / d) / max(n * (n - 1)), 9) AS efficiency FROM h, n WHERE d > 0")
-def bfs_efficiency(spark, sf_dir, links=sparse_hubs):
+def bfs_efficiency(spark, sf_dir, links=t.hub_graph):
     edges = links(spark, sf_dir)
     n = edges.select("i").union(edges.select("j")).distinct().count()
     return graph.efficiency(graph.hops(edges), n).select(R("efficiency", 9))
 
 
-@Q.also("all", links=t.hub_costs)
-@Q.add(f"WITH RECURSIVE {SG1}, b AS (SELECT i AS a, i AS z FROM sg UNION SELECT j, j FROM sg UNION SELECT b.a, e.z FROM b JOIN (SELECT i AS y, j AS z FROM sg UNION SELECT j, i FROM sg) e ON b.z = e.y) SELECT a AS node, min(z) AS label FROM b GROUP BY a")
-def connected_components(spark, sf_dir, links=cheapest_hubs):
+@Q.add(f"WITH RECURSIVE {SG}, b AS (SELECT i AS a, i AS z FROM sg UNION SELECT j, j FROM sg UNION SELECT b.a, e.z FROM b JOIN (SELECT i AS y, j AS z FROM sg UNION SELECT j, i FROM sg) e ON b.z = e.y) SELECT a AS node, min(z) AS label FROM b GROUP BY a")
+def connected_components(spark, sf_dir, links=t.hub_graph):
     return graph.components(links(spark, sf_dir))
 
 
-@Q.also("all", links=t.hub_costs)
 @Q.add(f"WITH RECURSIVE {SG}, b AS (SELECT i AS a, i AS z FROM sg UNION SELECT j, j FROM sg UNION SELECT b.a, sg.j FROM b JOIN sg ON b.z = sg.i) SELECT x.a AS node, min(x.z) AS label FROM b x JOIN b y ON x.a = y.z AND x.z = y.a GROUP BY x.a")
-def strong_components(spark, sf_dir, links=sparse_hubs):
+def strong_components(spark, sf_dir, links=t.hub_graph):
     return graph.strong_components(links(spark, sf_dir))
 
 
-SP = SG + ", w AS (SELECT DISTINCT i AS source, i AS node, 0.0::DOUBLE AS t, 0 AS k FROM (SELECT i FROM sg UNION SELECT j FROM sg) UNION ALL SELECT w.source, sg.j, min(w.t + sg.cost), w.k + 1 FROM w JOIN sg ON w.node = sg.i WHERE w.k < 24 GROUP BY w.source, sg.j, w.k + 1), sp AS (SELECT source, node, min(t) AS t FROM w GROUP BY source, node)"
+WALK = ", w AS (SELECT DISTINCT i AS source, i AS node, 0.0::DOUBLE AS t, 0 AS k FROM (SELECT i FROM sg UNION SELECT j FROM sg) UNION ALL SELECT w.source, sg.j, min(w.t + sg.cost), w.k + 1 FROM w JOIN sg ON w.node = sg.i WHERE w.k < 24 GROUP BY w.source, sg.j, w.k + 1), sp AS (SELECT source, node, min(t) AS t FROM w GROUP BY source, node)"
+SP = SG + WALK
 
 
-@Q.also("all", links=t.hub_costs)
 @Q.add(f"WITH RECURSIVE {SP} SELECT source, node, round(t, 6) AS t FROM sp")
-def shortest_times(spark, sf_dir, links=sparse_hubs):
+def shortest_times(spark, sf_dir, links=t.hub_graph):
     return graph.shortest(links(spark, sf_dir)).select("source", "node", R("t", 6))
 
 
-@Q.also("all", links=t.hub_costs)
 @Q.add(f"WITH RECURSIVE {SG}, c AS (SELECT DISTINCT i AS source, i AS node, 0 AS d, 1.0::DOUBLE AS n FROM sg UNION ALL SELECT c.source, sg.j, c.d + 1, sum(c.n) FROM c JOIN sg ON c.node = sg.i WHERE c.d < 24 GROUP BY c.source, sg.j, c.d + 1), s AS (SELECT source, node, min(d) AS d, arg_min(n, d) AS n FROM c GROUP BY source, node), k AS (SELECT count(*) AS k FROM (SELECT i FROM sg UNION SELECT j FROM sg)), v AS (SELECT x.node, sum(x.n * y.n / z.n) AS b FROM s x JOIN s y ON x.node = y.source JOIN s z ON z.source = x.source AND z.node = y.node AND z.d = x.d + y.d WHERE x.d > 0 AND y.d > 0 AND z.d > 0 GROUP BY x.node) SELECT a.node, round(coalesce(b, 0.0) / ((k - 1) * (k - 2)), 8) AS b FROM (SELECT i AS node FROM sg UNION SELECT j FROM sg) a LEFT JOIN v USING (node), k")
-def betweenness(spark, sf_dir, links=sparse_hubs):
+def betweenness(spark, sf_dir, links=t.hub_graph):
     return graph.betweenness(links(spark, sf_dir)).select("node", R("b"))
 
 
-@Q.also("all", links=t.hub_costs)
 @Q.add(f"WITH RECURSIVE {SG}, n AS (SELECT i AS node FROM sg UNION SELECT j FROM sg), b AS (SELECT r.node AS removed, n.node AS a, n.node AS z FROM n, n r WHERE n.node <> r.node UNION SELECT b.removed, b.a, sg.j FROM b JOIN sg ON b.z = sg.i WHERE sg.j <> b.removed) SELECT removed AS node, count(*) < ((SELECT count(*) FROM n) - 1) * ((SELECT count(*) FROM n) - 1) AS breaks FROM b GROUP BY removed")
-def breaking_nodes(spark, sf_dir, links=sparse_hubs):
+def breaking_nodes(spark, sf_dir, links=t.hub_graph):
     return graph.breaking_nodes(links(spark, sf_dir))
 
 
-@Q.add()
+def kemeny_sql(chain_table: str, keys: str, doublings: int = 11) -> str:
+    """k: trace of the sum of 2^doublings powers, less their number: the Kemeny constant of chains that mix by then."""
+    on = f"USING ({keys})"
+    out = f", q0 AS (SELECT {keys}, i, j, p FROM {chain_table}), z0 AS (SELECT DISTINCT {keys}, i, i AS j, 1.0::DOUBLE AS p FROM {chain_table})"
+    for k in range(doublings):
+        product = lambda x, k=k: f"SELECT {keys}, a.i, b.j, sum(a.p * b.p) AS p FROM q{k} a JOIN (SELECT {keys}, i AS c, j, p FROM {x}{k}) b {on} WHERE a.j = b.c GROUP BY {keys}, a.i, b.j"
+        out += f", z{k + 1} AS MATERIALIZED (SELECT {keys}, i, j, sum(p) AS p FROM (SELECT {keys}, i, j, p FROM z{k} UNION ALL {product('z')}) GROUP BY {keys}, i, j), q{k + 1} AS MATERIALIZED ({product('q')})"
+    return out + f", km AS (SELECT {keys}, sum(p) - {2**doublings} AS kemeny FROM z{doublings} WHERE i = j GROUP BY {keys})"
+
+
+DIAGNOSED = t.LE + ", ew AS (SELECT mode, i, j, exp(-(tau_s - min(tau_s) OVER (PARTITION BY mode, i)) / 24.0) AS w FROM le), ek AS (SELECT mode, i, j, w / sum(w) OVER (PARTITION BY mode, i) AS p FROM ew WHERE w > 0)" + kemeny_sql("ek", "mode")
+MODE_HOPS = ", hb AS (SELECT DISTINCT mode, i AS source, i AS node, 0 AS d FROM ek UNION SELECT hb.mode, hb.source, ek.j, hb.d + 1 FROM hb JOIN ek ON hb.mode = ek.mode AND hb.node = ek.i WHERE hb.d < 12), hm AS (SELECT mode, source, node, min(d) AS d FROM hb GROUP BY mode, source, node), hn AS (SELECT mode, count(DISTINCT source) AS n FROM hm GROUP BY mode)"
+
+
+@Q.add(f"WITH RECURSIVE {DIAGNOSED}{MODE_HOPS} SELECT mode, max(n) AS nodes, round(max(kemeny), 5) AS kemeny, round(sum(CASE WHEN d > 0 THEN 1.0 / d END) / (max(n) * (max(n) - 1)), 9) AS efficiency, count(*) = max(n) * max(n) AS irreducible, false AS periodic FROM hm JOIN hn USING (mode) JOIN km USING (mode) GROUP BY mode")
 def chain_diagnostics(spark, sf_dir):
-    """Spectral quantities of each mode's hub chain."""
+    """Kemeny constant, efficiency and whether irreducible or periodic, of each mode's hub chain."""
     edges = t.line_edges(spark, sf_dir).withColumn("cost", F.col("tau_s"))
-    return chain.diagnostics(chain.kernel(edges, 1 / 24))
+    return chain.diagnostics(chain.kernel(edges, 1 / 24)).select("mode", "nodes", R("kemeny", 5), R("efficiency", 9), "irreducible", "periodic")
+
+
+REMOVED = EK + ", rn AS (SELECT DISTINCT i AS removed FROM ek), ra AS (SELECT removed, i, j, p FROM ek, rn WHERE i <> removed AND j <> removed), rk AS (SELECT removed, i, j, p / sum(p) OVER (PARTITION BY removed, i) AS p FROM ra UNION ALL SELECT removed, node, node, 1.0 FROM (SELECT DISTINCT removed, i AS node FROM ek, rn WHERE i <> removed) WHERE (removed, node) NOT IN (SELECT removed, i FROM ra)), rw AS (SELECT 'whole' AS removed, i, j, p FROM ek UNION ALL SELECT * FROM rk)"
+
+
+@Q.add(f"WITH {REMOVED}{kemeny_sql('rw', 'removed')}, k0 AS (SELECT kemeny AS k FROM km WHERE removed = 'whole') SELECT removed AS node, round(greatest(0.0, (kemeny - k) / k), 5) AS d_kemeny FROM km, k0 WHERE removed <> 'whole'")
+def removal_kemeny(spark, sf_dir):
+    """What the Kemeny constant of the event chain loses without each event type (a chain that stays irreducible)."""
+    return chain.removals(event_chain(spark, sf_dir)).select("node", R("d_kemeny", 5))
 
 
 @Q.add()
 def removal_scores(spark, sf_dir):
-    """Vulnerability of each event type of the event chain."""
+    """Vulnerability of each event type of the event chain, with the losses of gap and efficiency."""
     return chain.removals(event_chain(spark, sf_dir))
+
+
+@Q.add()
+def chain_gaps(spark, sf_dir):
+    """Spectral gap of each mode's hub chain."""
+    edges = t.line_edges(spark, sf_dir).withColumn("cost", F.col("tau_s"))
+    return chain.diagnostics(chain.kernel(edges, 1 / 24)).select("mode", "gap")
+
+
+GRID = [0.25, 0.5, 1.0]
+
+
+@Q.add(" UNION ALL ".join(["SELECT * FROM (WITH RECURSIVE " + EQ + f", r AS (SELECT max(-q) AS rate FROM eq WHERE i = j), j AS (SELECT i, j, CASE WHEN i = j THEN 1.0 ELSE 0.0 END + q / rate AS p FROM eq, r), s AS (SELECT i AS node, 100.0::DOUBLE * (row_number() OVER (ORDER BY i)) AS v FROM (SELECT DISTINCT i FROM ek)), x AS (SELECT node, v, 0 AS k, exp(-rate * {x}) AS w FROM s, r UNION ALL SELECT j.j, sum(x.v * j.p), x.k + 1, max(x.w * rate * {x} / (x.k + 1)) FROM x JOIN j ON x.node = j.i, r WHERE x.k < 300 GROUP BY j.j, x.k + 1) SELECT {x}::DOUBLE AS t, node, round(sum(w * v), 6) AS n FROM x GROUP BY node)" for x in GRID]))
+def transient_grid(spark, sf_dir):
+    """The law of the event chain at several times, each going on from the one before."""
+    own = event_chain(spark, sf_dir)
+    names = chain.nodes_of(own).select("mode", "node", (100.0 * F.row_number().over(Window.partitionBy("mode").orderBy("node"))).alias("v"))
+    return chain.transient_grid(chain.generator(own, event_rates(spark, sf_dir)), names, GRID).select("t", "node", R("n", 6))

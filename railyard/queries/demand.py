@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from railyard.functions import scalar
-from railyard.operators import spatial
+from railyard.operators import graph, order, spatial, stats
 from railyard.plans import demand
 from railyard.queries import tables as t
-from railyard.queries.chains import SG, SP, sparse_hubs
-from railyard.operators import graph
+from railyard.queries.chains import SP
 from railyard.registry import Registry, table
 
 Q = Registry()
@@ -43,10 +42,13 @@ def prior_e2(spark, sf_dir):
     return demand.log_linear(hub_features(spark, sf_dir), demand.peak_riders()).select("stop", R("n", 4))
 
 
-@Q.add()
+DRAWN = [list(map(float, row)) for row in np.random.default_rng(42).normal(demand.BETA_MEAN, demand.BETA_SD, size=(100, len(demand.BETA_MEAN)))]
+
+
+@Q.add(f"WITH {FT}, dr AS (SELECT unnest({DRAWN}::DOUBLE[][]) AS b), dn AS (SELECT row_number() OVER () AS draw, b FROM dr), x AS (SELECT draw, stop, b[1] * ln(1 + 3600 * service) + b[2] * ln(1 + population) + b[3] * ln(1 + attraction) + b[4] * betweenness + b[5] * transfer + b[6] * ln(1 + distance) AS x FROM ft, dn), w AS (SELECT draw, stop, exp(x - max(x) OVER (PARTITION BY draw)) AS w FROM x), n AS (SELECT stop, w / sum(w) OVER (PARTITION BY draw) * 800000.0 AS n FROM w) SELECT stop, round(avg(n), 3) AS mean, round(quantile_cont(n, 0.05), 3) AS q05, round(quantile_cont(n, 0.95), 3) AS q95 FROM n GROUP BY stop")
 def prior_e3(spark, sf_dir):
-    """Mean and 90 percent band of the prior under random coefficients."""
-    return demand.monte_carlo(hub_features(spark, sf_dir), demand.peak_riders(), draws=100)
+    """Mean and 90 percent band of the prior under random coefficients, which the SQL has as numbers."""
+    return demand.monte_carlo(hub_features(spark, sf_dir), demand.peak_riders(), draws=100).select("stop", R("mean", 3), R("q05", 3), R("q95", 3))
 
 
 @Q.add("SELECT event_id, round((ARRAY" + str(list(scalar.DIURNAL)) + ")[(event_id % 48) % 24 + 1]::DOUBLE / 0.21, 9) AS scale FROM events")
@@ -63,12 +65,10 @@ def propensity(spark, sf_dir):
     return demand.propensity(cars, "cars", 0.4, 1.0, "seen").select("c_nationkey", R("share", 8))
 
 
-@Q.also("all", least=None)
-@Q.add("WITH m AS (SELECT c_nationkey AS hub, list(DISTINCT CAST(CASE c_mktsegment WHEN 'BUILDING' THEN 3 WHEN 'MACHINERY' THEN 0 WHEN 'AUTOMOBILE' THEN 2 WHEN 'HOUSEHOLD' THEN 800 ELSE 11 END AS INTEGER)) AS ms FROM customer WHERE c_acctbal > 9000 GROUP BY c_nationkey) SELECT hub, CASE WHEN list_contains(ms, 1) THEN 1 WHEN list_contains(ms, 109) THEN 109 WHEN list_contains(ms, 0) THEN 0 WHEN list_contains(ms, 11) THEN 11 WHEN list_contains(ms, 3) THEN 3 WHEN list_contains(ms, 4) THEN 4 ELSE -1 END AS cls FROM m")
-def hub_class(spark, sf_dir, least=9000):
+@Q.add("WITH m AS (SELECT c_nationkey AS hub, list(DISTINCT CAST(CASE c_mktsegment WHEN 'BUILDING' THEN 3 WHEN 'MACHINERY' THEN 0 WHEN 'AUTOMOBILE' THEN 2 WHEN 'HOUSEHOLD' THEN 800 ELSE 11 END AS INTEGER)) AS ms FROM customer GROUP BY c_nationkey) SELECT hub, CASE WHEN list_contains(ms, 1) THEN 1 WHEN list_contains(ms, 109) THEN 109 WHEN list_contains(ms, 0) THEN 0 WHEN list_contains(ms, 11) THEN 11 WHEN list_contains(ms, 3) THEN 3 WHEN list_contains(ms, 4) THEN 4 ELSE -1 END AS cls FROM m")
+def hub_class(spark, sf_dir):
     mode = F.expr("CASE c_mktsegment WHEN 'BUILDING' THEN 3 WHEN 'MACHINERY' THEN 0 WHEN 'AUTOMOBILE' THEN 2 WHEN 'HOUSEHOLD' THEN 800 ELSE 11 END")
-    people = table(spark, sf_dir, "customer")
-    own = (people if least is None else people.filter(F.col("c_acctbal") > least)).groupBy(F.col("c_nationkey").alias("hub")).agg(F.collect_set(mode).alias("ms"))
+    own = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("hub")).agg(F.collect_set(mode).alias("ms"))
     return own.select("hub", demand.hub_class("ms").alias("cls"))
 
 
@@ -114,7 +114,7 @@ def uncovered_people(spark, sf_dir):
 OD = SP + ", tt AS (SELECT source AS o, node AS d, t FROM sp WHERE source <> node), og AS (SELECT c_nationkey AS o, sum(greatest(c_acctbal, 0.0)) / 1000 AS made, min(n_regionkey) AS k FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY c_nationkey), ad AS (SELECT s_nationkey AS d, sum(greatest(s_acctbal, 0.0)) / 1000 AS drawn, min(n_regionkey) AS l FROM supplier JOIN nation ON n_nationkey = s_nationkey GROUP BY s_nationkey)"
 
 
-def times(spark, sf_dir, links=sparse_hubs):
+def times(spark, sf_dir, links=t.hub_graph):
     return graph.shortest(links(spark, sf_dir)).filter("source <> node").select(F.col("source").alias("o"), F.col("node").alias("d"), "t")
 
 
@@ -131,34 +131,30 @@ def attractions(spark, sf_dir):
 GP = OD + ", gx AS (SELECT o, d, drawn * exp(-0.02 * t) AS x FROM tt JOIN ad USING (d)), gp AS (SELECT o, d, made * x / sum(x) OVER (PARTITION BY o) AS w FROM gx JOIN og USING (o))"
 
 
-@Q.also("all", links=t.hub_costs)
 @Q.add(f"WITH RECURSIVE {GP} SELECT o, d, round(w, 6) AS w FROM gp")
-def gravity_production(spark, sf_dir, links=sparse_hubs):
+def gravity_production(spark, sf_dir, links=t.hub_graph):
     return demand.production(times(spark, sf_dir, links), origins(spark, sf_dir).drop("k"), attractions(spark, sf_dir).drop("l"), 0.02).select("o", "d", R("w"))
 
 
 IPF = OD + ", tot AS (SELECT (SELECT sum(made) FROM og) / (SELECT sum(drawn) FROM ad) AS f), w0 AS (SELECT o, d, made, drawn * f AS drawn, exp(-0.02 * t) AS w FROM tt JOIN og USING (o) JOIN ad USING (d), tot)"
-for _k in range(1, 5):
-    IPF += f", v{_k} AS (SELECT o, d, made, drawn, w * made / sum(w) OVER (PARTITION BY o) AS w FROM w{_k - 1}), w{_k} AS (SELECT o, d, made, drawn, w * drawn / sum(w) OVER (PARTITION BY d) AS w FROM v{_k})"
+for _k in range(1, 41):
+    IPF += f", v{_k} AS MATERIALIZED (SELECT o, d, made, drawn, w * made / sum(w) OVER (PARTITION BY o) AS w FROM w{_k - 1}), w{_k} AS MATERIALIZED (SELECT o, d, made, drawn, w * drawn / sum(w) OVER (PARTITION BY d) AS w FROM v{_k})"
 
 
-@Q.also("all", links=t.hub_costs, n_rounds=None)
-@Q.add(f"WITH RECURSIVE {IPF} SELECT o, d, round(w, 6) AS w FROM w4")
-def gravity_ipf_k(spark, sf_dir, links=sparse_hubs, n_rounds=4):
-    return demand.balanced(times(spark, sf_dir, links), origins(spark, sf_dir).drop("k"), attractions(spark, sf_dir).drop("l"), 0.02, n_rounds).select("o", "d", R("w"))
+@Q.add(f"WITH RECURSIVE {IPF} SELECT o, d, round(w, 6) AS w FROM w40")
+def gravity_ipf(spark, sf_dir, links=t.hub_graph):
+    return demand.balanced(times(spark, sf_dir, links), origins(spark, sf_dir).drop("k"), attractions(spark, sf_dir).drop("l"), 0.02, tolerance=1e-12).select("o", "d", R("w"))
 
 
-@Q.also("all", links=t.hub_costs)
 @Q.add(f"WITH RECURSIVE {OD}, q AS (SELECT a.r_regionkey AS k, b.r_regionkey AS l, 10.0 + a.r_regionkey * 3 + b.r_regionkey AS q FROM region a, region b), x AS (SELECT o, d, k, l, made * drawn * exp(-0.02 * t) AS x FROM tt JOIN og USING (o) JOIN ad USING (d)) SELECT o, d, round(q * x / sum(x) OVER (PARTITION BY k, l), 8) AS w FROM x JOIN q USING (k, l)")
-def census_blocks(spark, sf_dir, links=sparse_hubs):
+def census_blocks(spark, sf_dir, links=t.hub_graph):
     a = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("k"))
     quotas = a.crossJoin(a.select(F.col("k").alias("l"))).withColumn("q", 10.0 + F.col("k") * 3 + F.col("l"))
     return demand.blocks(times(spark, sf_dir, links), origins(spark, sf_dir), attractions(spark, sf_dir), quotas, 0.02).select("o", "d", R("w", 8))
 
 
-@Q.also("all", links=t.hub_costs)
 @Q.add(f"WITH RECURSIVE {GP} SELECT round(sum(w * t) / sum(w), 6) AS mean FROM gp JOIN tt USING (o, d)")
-def mean_od_time(spark, sf_dir, links=sparse_hubs):
+def mean_od_time(spark, sf_dir, links=t.hub_graph):
     tt = times(spark, sf_dir, links)
     return demand.mean_time(demand.production(tt, origins(spark, sf_dir).drop("k"), attractions(spark, sf_dir).drop("l"), 0.02), tt).select(R("mean"))
 
@@ -248,3 +244,89 @@ def interpolated(spark, sf_dir):
     curve = table(spark, sf_dir, "region").select((F.col("r_regionkey") * 100.0).alias("t"), (F.col("r_regionkey") * 37 % 11).cast("double").alias("v"))
     at = table(spark, sf_dir, "events").select("event_id", F.col("value").alias("t"))
     return spatial.interpolate(curve, at).select("event_id", R("v", 8))
+
+
+VARIANTS = "pp AS (SELECT c_nationkey AS node, count(*)::DOUBLE AS w FROM customer GROUP BY c_nationkey), dd AS (SELECT stop AS node, (count(DISTINCT trip) / 7200.0) ** 0.5 AS w FROM lv GROUP BY stop)"
+
+
+@Q.add(f"WITH RECURSIVE {SP}, {VARIANTS}, gv AS (SELECT source AS o, node AS d, w * exp(-0.02 * t) AS x FROM sp JOIN pp USING (node) WHERE source <> node) SELECT 'population' AS variant, a.node AS o, b.node AS d, round(a.w * b.w, 6) AS w FROM pp a, pp b WHERE a.node <> b.node UNION ALL SELECT 'departures', a.node, b.node, round(a.w * b.w, 6) FROM dd a, dd b WHERE a.node <> b.node UNION ALL SELECT 'population_gravity', o, d, round(pp.w * x / sum(x) OVER (PARTITION BY o), 6) FROM gv JOIN pp ON pp.node = o")
+def demand_variants(spark, sf_dir):
+    people = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("node")).agg(F.count(F.lit(1)).cast("double").alias("w"))
+    served = hub_rates(spark, sf_dir).select(F.col("stop").alias("node"), F.col("mu").alias("freq"))
+    own = [demand.variant(n, people, served, times(spark, sf_dir), 0.02, 0.5).select(F.lit(n).alias("variant"), "o", "d", R("w")) for n in ("population", "departures", "population_gravity")]
+    return own[0].unionByName(own[1]).unionByName(own[2])
+
+
+@Q.add("WITH r AS (SELECT rank() OVER (ORDER BY o_totalprice) + (count(*) OVER (PARTITION BY o_totalprice) - 1) / 2.0 AS rx, rank() OVER (ORDER BY o_custkey) + (count(*) OVER (PARTITION BY o_custkey) - 1) / 2.0 AS ry FROM orders) SELECT round(corr(rx, ry), 8) AS rho FROM r")
+def spearman_whole(spark, sf_dir):
+    """Without groups: ranks of the whole table."""
+    own = table(spark, sf_dir, "orders").select(F.col("o_totalprice").alias("x"), F.col("o_custkey").alias("y"))
+    return stats.spearman(own, [], "x", "y").select(R("rho", 8))
+
+
+@Q.add("SELECT o_orderkey, cast(rank() OVER (ORDER BY o_custkey) + (count(*) OVER (PARTITION BY o_custkey) - 1) / 2.0 AS DOUBLE) AS rank FROM orders")
+def whole_ranks(spark, sf_dir):
+    own = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    return own.join(order.average_ranks(own, "o_custkey"), "o_custkey").select("o_orderkey", "rank")
+
+
+@Q.add(f"WITH {t.NP}, x AS (SELECT p.node AS i, q.node AS j, {t.haversine_sql('p', 'q')} AS m FROM np p, np q WHERE p.node < q.node AND {t.haversine_sql('p', 'q')} <= 5000) SELECT i, j, round(m, 3) AS m FROM x")
+def near_pairs(spark, sf_dir):
+    return spatial.near_pairs(t.nation_points(spark, sf_dir).select("node", "lat", "lon"), 5000.0, "node").select(F.col("node_a").alias("i"), F.col("node_b").alias("j"), F.round("m", 3).alias("m"))
+
+
+@Q.add("WITH RECURSIVE s AS (SELECT s_nationkey, s_suppkey, (s_suppkey * 137 % 1000)::DOUBLE AS pos, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey * 137 % 1000, s_suppkey) AS k FROM supplier), r AS (SELECT s_nationkey, k, pos AS last, true AS taken, s_suppkey FROM s WHERE k = 1 UNION ALL SELECT s.s_nationkey, s.k, CASE WHEN s.pos >= r.last + 150 THEN s.pos ELSE r.last END, s.pos >= r.last + 150, s.s_suppkey FROM r JOIN s ON s.s_nationkey = r.s_nationkey AND s.k = r.k + 1) SELECT s_nationkey, s_suppkey FROM r WHERE taken")
+def spaced_stops(spark, sf_dir):
+    """Of each nation's suppliers on a line, the first and then each at least 150 after the last one taken."""
+    pos = (F.col("s_suppkey") * 137 % 1000).cast("double")
+    listed = table(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.array_sort(F.collect_list(F.struct(pos.alias("pos"), F.col("s_suppkey").alias("id")))).alias("line"))
+    kind = listed.schema["line"].dataType.simpleString()
+    return listed.select("s_nationkey", F.explode(spatial.spaced("line", 150.0, kind)).alias("x")).select("s_nationkey", F.col("x.id").alias("s_suppkey"))
+
+
+def grid_sql(lat: str, lon: str) -> str:
+    """scalar.hungarian_grid() step by step."""
+    from math import asin, cos, log, pi, radians, sin, sqrt, tan
+
+    (a, f), (b_a, b_f) = scalar.WGS84, scalar.GRID_ELLIPSOID
+    es, gs = f * (2 - f), b_f * (2 - b_f)
+    e, b = sqrt(gs), b_a * (1 - b_f)
+    p0, l0 = map(radians, scalar.GRID_ORIGIN)
+    c = sqrt(1 + gs * cos(p0) ** 4 / (1 - gs))
+    x0 = asin(sin(p0) / c)
+    k = log(tan(pi / 4 + x0 / 2)) - c * (log(tan(pi / 4 + p0 / 2)) - e / 2 * log((1 + e * sin(p0)) / (1 - e * sin(p0))))
+    r = scalar.GRID_SCALE * b_a * sqrt(1 - gs) / (1 - gs * sin(p0) ** 2)
+    dx, dy, dz = scalar.GRID_SHIFT
+    d = lambda x: f"({x!r})::DOUBLE"
+    return (
+        f"g1 AS (SELECT node, radians({lat}) AS p, radians({lon}) AS l FROM np), g2 AS (SELECT node, p, l, {d(a)} / sqrt(1 - {d(es)} * sin(p) ** 2) AS n FROM g1), "
+        f"g3 AS (SELECT node, n * cos(p) * cos(l) - {d(dx)} AS x, n * cos(p) * sin(l) - {d(dy)} AS y, n * {d(1 - es)} * sin(p) - {d(dz)} AS z FROM g2), "
+        f"g4 AS (SELECT *, sqrt(x * x + y * y) AS h, atan2(z * {d(b_a)}, sqrt(x * x + y * y) * {d(b)}) AS th FROM g3), "
+        f"g5 AS (SELECT node, atan2(z + {d(gs / (1 - gs) * b)} * sin(th) ** 3, h - {d(gs * b_a)} * cos(th) ** 3) AS p, atan2(y, x) - {d(l0)} AS l FROM g4), "
+        f"g6 AS (SELECT node, {d(c)} * l AS u, 2 * atan(exp({d(c)} * (ln(tan({d(pi / 4)} + p / 2)) - {d(e / 2)} * ln((1 + {d(e)} * sin(p)) / (1 - {d(e)} * sin(p)))) + {d(k)})) - {d(pi / 2)} AS q FROM g5), "
+        f"g7 AS (SELECT *, asin({d(cos(x0))} * sin(q) - {d(sin(x0))} * cos(q) * cos(u)) AS v FROM g6) "
+        f"SELECT node, round({d(r)} * asin(cos(q) * sin(u) / cos(v)) + 650000, 3) AS x, round({d(r)} * ln(tan({d(pi / 4)} + v / 2)) + 200000, 3) AS y FROM g7"
+    )
+
+
+@Q.add(f"WITH {t.NP}, {grid_sql('lat', 'lon')}")
+def hungarian_grid(spark, sf_dir):
+    x, y = scalar.hungarian_grid("lat", "lon")
+    return t.nation_points(spark, sf_dir).select("node", F.round(x, 3).alias("x"), F.round(y, 3).alias("y"))
+
+
+@Q.add("WITH s AS (SELECT DISTINCT o_custkey AS shape_id, o_orderpriority AS route_id FROM orders), r AS (SELECT DISTINCT o_orderpriority AS route_id, CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS mode FROM orders) SELECT c_custkey AS shape_id, route_id, mode FROM customer JOIN s ON shape_id = c_custkey JOIN r USING (route_id)")
+def routed_shapes(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders")
+    trips = orders.select(F.col("o_custkey").alias("shape_id"), F.col("o_orderpriority").alias("route_id"))
+    routes = trips.select("route_id", F.substring("route_id", 1, 1).alias("route_type")).distinct()
+    return spatial.routed_shapes(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("shape_id")), trips, routes).select("shape_id", "route_id", "mode")
+
+
+@Q.add(f"WITH {GRID}, cs AS (SELECT *, (ua + 0.5) * 100.0 AS x1, (ub + 0.5) * 100.0 AS y1, (va + 0.5) * 100.0 AS x2, (vb + 0.5) * 100.0 AS y2 FROM ge) SELECT ua, ub, va, vb FROM cs WHERE tram OR NOT ((x1 <= 470 AND x2 >= 470 OR x2 <= 470 AND x1 >= 470) AND greatest(y1, y2) >= 100 AND least(y1, y2) <= 700 AND y1 + (470 - x1) / nullif(x2 - x1, 0) * (y2 - y1) BETWEEN 100 AND 700)")
+def streets_over_water(spark, sf_dir):
+    """Street edges without those that cross a river from (470, 100) to (470, 700), but for trams' own; the river is the border that two districts share."""
+    ring = lambda x0, x1: [(x0, 100.0), (x1, 100.0), (x1, 700.0), (x0, 700.0)]
+    corners = spark.createDataFrame([(p, k, *xy) for p, own in enumerate((ring(0.0, 470.0), ring(470.0, 900.0))) for k, xy in enumerate(own)], "polygon int, k int, px double, py double")
+    axis = spatial.shared_borders(corners, spark.createDataFrame([(0, "west"), (1, "east")], "polygon int, side string"))
+    return spatial.over_water(street_graph(spark, sf_dir), axis, 100.0).select(F.col("u.a").alias("ua"), F.col("u.b").alias("ub"), F.col("v.a").alias("va"), F.col("v.b").alias("vb"))

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from railyard.functions import scalar
 from railyard.operators import edges, graph
-from railyard.plans import chain, layers, linenet, scenario, simulate
+from railyard.fixpoint import cut
+from railyard.plans import chain, demand, layers, linenet, scenario, simulate
 from railyard.queries import tables as t
-from railyard.queries.chains import EQ, SG, SP, event_chain, event_rates, sparse_hubs
+from railyard.queries.chains import EQ, SP, WALK, event_chain, event_rates
 from railyard.queries.demand import times
 from railyard.registry import Registry, table
 
@@ -25,7 +28,7 @@ m1 AS (SELECT *, 2 * freq / (1 + cv2) AS theta, CASE md WHEN 1 THEN 0.40 WHEN 2
 m2 AS (SELECT *, theta * exp(-(cost - min(cost) OVER (PARTITION BY i)) / 300.0) AS q, alpha + (1 - alpha) * seg_end AS pa FROM m1), ac AS (SELECT i AS hub FROM m2 GROUP BY i HAVING sum(q) > 0),
 m3 AS (SELECT m2.*, CASE WHEN ac.hub IS NULL THEN 0.0 ELSE 0.3 END AS pt, 'S' || md || '|' || m2.i || '|' || j AS s FROM m2 LEFT JOIN ac ON ac.hub = j),
 ra AS (SELECT src, dst, sum(rate) AS rate FROM (SELECT 'H' || i AS src, s AS dst, q AS rate FROM m3 UNION ALL SELECT s, 'S' || su.md || '|' || su.j || '|' || su.k, (1 - alpha) * share / tau FROM m3 JOIN su ON su.md = m3.md AND su.i = m3.i AND su.j = m3.j UNION ALL SELECT s, 'H' || j, pa * pt / tau FROM m3 UNION ALL SELECT s, 'exit', pa * (1 - pt) / tau FROM m3 UNION ALL SELECT 'H' || h.hub, 'exit', 1.0 FROM (SELECT i AS hub FROM lp UNION SELECT j FROM lp) h WHERE h.hub NOT IN (SELECT hub FROM ac)) WHERE rate <> 0 GROUP BY src, dst)"""
-SOURCE = ", so AS (SELECT 'H' || i AS state, sum(freq) / sum(sum(freq)) OVER () * 10.0 AS rate FROM sg0 GROUP BY i), ou AS (SELECT src AS state, sum(rate) AS hold FROM ra GROUP BY src), y AS (SELECT state, CAST(rate AS DOUBLE) AS v, 0 AS k FROM so UNION ALL SELECT ra.dst, sum(y.v * ra.rate / ou.hold), y.k + 1 FROM y JOIN ra ON ra.src = y.state JOIN ou ON ou.state = y.state WHERE ra.dst <> 'exit' AND y.k < 6 GROUP BY ra.dst, y.k + 1), ma AS (SELECT y.state, sum(v) / max(hold) AS mass FROM y JOIN ou USING (state) GROUP BY y.state)"
+SOURCE = ", so AS (SELECT 'H' || i AS state, sum(freq) / sum(sum(freq)) OVER () * 10.0 AS rate FROM sg0 GROUP BY i), ou AS (SELECT src AS state, sum(rate) AS hold FROM ra GROUP BY src), y AS (SELECT state, CAST(rate AS DOUBLE) AS v, 0 AS k FROM so UNION ALL SELECT ra.dst, sum(y.v * ra.rate / ou.hold), y.k + 1 FROM y JOIN ra ON ra.src = y.state JOIN ou ON ou.state = y.state WHERE ra.dst <> 'exit' AND y.k < 400 GROUP BY ra.dst, y.k + 1), ma AS (SELECT y.state, sum(v) / max(hold) AS mass FROM y JOIN ou USING (state) GROUP BY y.state)"
 
 
 def line_network(spark, sf_dir) -> linenet.LineNetwork:
@@ -54,27 +57,55 @@ def subgenerator(spark, sf_dir):
     return linenet.OpenModel(line_network(spark, sf_dir)).rates.select("src", "dst", R("rate", 10))
 
 
-@Q.also("full", n_rounds=None)
 @Q.add(f"WITH RECURSIVE {NET}{SOURCE} SELECT state, round(mass, 6) AS mass FROM ma")
-def steady_state_k(spark, sf_dir, n_rounds=6):
+def steady_state(spark, sf_dir):
     model = linenet.OpenModel(line_network(spark, sf_dir))
-    return model.steady_state(source(model), n_rounds).select("state", R("mass", 6))
+    return model.steady_state(source(model)).select("state", R("mass", 6))
 
 
-@Q.also("full", n_rounds=None)
 @Q.add(f"WITH RECURSIVE {NET}{SOURCE}, f AS (SELECT md AS mode, coalesce(w.mass, 0) * q AS boarding, coalesce(r.mass, 0) / tau AS flow, coalesce(r.mass, 0) / tau * pa AS alighting FROM m3 LEFT JOIN ma r ON r.state = s LEFT JOIN ma w ON w.state = 'H' || i) SELECT mode, round(sum(boarding), 6) AS boarding, round(sum(flow), 6) AS flow, round(sum(alighting), 6) AS alighting, round(sum(boarding) / sum(sum(boarding)) OVER (), 8) AS split FROM f GROUP BY mode")
-def network_flows(spark, sf_dir, n_rounds=6):
+def network_flows(spark, sf_dir):
     model = linenet.OpenModel(line_network(spark, sf_dir))
-    own = model.flows(model.steady_state(source(model), n_rounds)).groupBy("mode").agg(F.sum("boarding").alias("boarding"), F.sum("flow").alias("flow"), F.sum("alighting").alias("alighting"))
+    own = model.flows(model.steady_state(source(model))).groupBy("mode").agg(F.sum("boarding").alias("boarding"), F.sum("flow").alias("flow"), F.sum("alighting").alias("alighting"))
     return own.crossJoin(F.broadcast(own.agg(F.sum("boarding").alias("all")))).select("mode", R("boarding", 6), R("flow", 6), R("alighting", 6), F.round(F.col("boarding") / F.col("all"), 8).alias("split"))
 
 
-@Q.also("full", n_rounds=None)
 @Q.add(f"WITH RECURSIVE {NET}{SOURCE} SELECT round(sum(mass) / 10.0, 6) AS seconds FROM ma")
-def journey_time_k(spark, sf_dir, n_rounds=6):
+def journey_time(spark, sf_dir):
     model = linenet.OpenModel(line_network(spark, sf_dir))
-    own = source(model)
-    return model.journey_time(own, model.steady_state(own, n_rounds)).select(R("seconds", 6))
+    return model.journey_time(source(model)).select(R("seconds", 6))
+
+
+@Q.add(f"WITH RECURSIVE {NET}{SOURCE}, b AS (SELECT sum(coalesce(w.mass, 0) * q) AS b FROM m3 LEFT JOIN ma w ON w.state = 'H' || i) SELECT CAST(substr(state, 2) AS INTEGER) AS hub, round(rate * 25.0 / b, 8) AS rate FROM so, b")
+def scaled_source(spark, sf_dir):
+    """The source that gives 25 boardings a second."""
+    model = linenet.OpenModel(line_network(spark, sf_dir))
+    return model.scaled_to_boardings(source(model), 25.0).select("hub", R("rate"))
+
+
+@Q.add(f"WITH {NET} SELECT i AS hub, round(sum(freq) ** 0.7 / sum(sum(freq) ** 0.7) OVER (), 10) AS share FROM sg0 GROUP BY i")
+def departure_prior(spark, sf_dir):
+    return linenet.OpenModel(line_network(spark, sf_dir)).prior(0.7).select("hub", R("share", 10))
+
+
+@Q.add(f"WITH RECURSIVE {NET}, ou AS (SELECT src AS state, sum(rate) AS hold FROM ra GROUP BY src), y AS (SELECT md, 'H' || i AS state, sum(q / hold) AS v, 0 AS k FROM m3 JOIN ou ON state = 'H' || i GROUP BY md, i UNION ALL SELECT y.md, ra.src, sum(y.v * ra.rate / ou.hold), y.k + 1 FROM y JOIN ra ON ra.dst = y.state JOIN ou ON ou.state = ra.src WHERE y.k < 400 GROUP BY y.md, ra.src, y.k + 1) SELECT md AS mode, CAST(substr(state, 2) AS INTEGER) AS hub, round(sum(v), 7) AS m FROM y WHERE state LIKE 'H%' GROUP BY md, state")
+def mode_response(spark, sf_dir):
+    """Expected boardings of each mode by a passenger from each hub."""
+    return linenet.OpenModel(line_network(spark, sf_dir)).mode_response([1, 2, 3, 4, 5]).select("mode", F.col("hub").cast("int").alias("hub"), R("m", 7))
+
+
+def totals_sql(t: float, terms: int) -> str:
+    return f"SELECT * FROM (WITH RECURSIVE {NET}{SOURCE}, tr AS (SELECT max(hold) AS top FROM ou), st AS (SELECT src, dst, rate / top AS p FROM ra, tr WHERE dst <> 'exit' UNION ALL SELECT state, state, 1 - hold / top FROM ou, tr), z AS (SELECT state, mass AS v, 0 AS k, exp(-top * {t}) AS w FROM ma, tr UNION ALL SELECT st.dst, sum(z.v * st.p), z.k + 1, max(z.w * top * {t} / (z.k + 1)) FROM z JOIN st ON st.src = z.state, tr WHERE z.k < {terms} GROUP BY st.dst, z.k + 1) SELECT {t}::DOUBLE AS t, round((SELECT sum(mass) FROM ma) - sum(w * v), 5) AS n FROM z)"
+
+
+@Q.add(" UNION ALL ".join([totals_sql(20.0, 120), totals_sql(60.0, 220)]))
+def transient_people(spark, sf_dir):
+    """People in the network after 20 and 60 seconds of a cold start."""
+    model = linenet.OpenModel(line_network(spark, sf_dir))
+    mass = model.steady_state(source(model))
+    # nodes nobody gets to start from must be there all the same
+    padded = model.rates.select(F.col("src").alias("state")).distinct().join(mass, "state", "left").select("state", F.coalesce("mass", F.lit(0.0)).alias("mass"))
+    return model.transient_totals(padded, [20.0, 60.0]).select("t", R("n", 5))
 
 
 @Q.add(f"WITH {NET} SELECT src, dst, round(rate / sum(rate) OVER (PARTITION BY src), 9) AS p FROM ra")
@@ -83,110 +114,237 @@ def jump_chain(spark, sf_dir):
 
 
 ODW = ", ow AS (SELECT a.c_nationkey AS o, b.c_nationkey AS d, (a.n * b.n)::DOUBLE AS w FROM (SELECT c_nationkey, count(*) AS n FROM customer GROUP BY c_nationkey) a, (SELECT c_nationkey, count(*) AS n FROM customer GROUP BY c_nationkey) b WHERE a.c_nationkey <> b.c_nationkey)"
-FAIL = SP + ODW + ", nd AS (SELECT i AS k FROM sg UNION SELECT j FROM sg), x AS (SELECT r.k AS closed, s.k AS source, s.k AS node, 0.0::DOUBLE AS t, 0 AS h FROM nd r, nd s WHERE r.k <> s.k UNION ALL SELECT x.closed, x.source, sg.j, min(x.t + sg.cost), x.h + 1 FROM x JOIN sg ON x.node = sg.i WHERE sg.j <> x.closed AND x.h < 24 GROUP BY x.closed, x.source, sg.j, x.h + 1), ft AS (SELECT closed, source AS o, node AS d, min(t) AS t FROM x WHERE source <> node GROUP BY closed, source, node), tt AS (SELECT source AS o, node AS d, t FROM sp WHERE source <> node)"
+FAILED = ", nd AS (SELECT i AS k FROM sg UNION SELECT j FROM sg), x AS (SELECT r.k AS closed, s.k AS source, s.k AS node, 0.0::DOUBLE AS t, 0 AS h FROM nd r, nd s WHERE r.k <> s.k UNION ALL SELECT x.closed, x.source, sg.j, min(x.t + sg.cost), x.h + 1 FROM x JOIN sg ON x.node = sg.i WHERE sg.j <> x.closed AND x.h < 24 GROUP BY x.closed, x.source, sg.j, x.h + 1), ft AS (SELECT closed, source AS o, node AS d, min(t) AS t FROM x WHERE source <> node GROUP BY closed, source, node), tt AS (SELECT source AS o, node AS d, t FROM sp WHERE source <> node)"
+FAIL = SP + ODW + FAILED
 
 
 def weights(spark, sf_dir):
     v = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("node")).agg(F.count(F.lit(1)).cast("double").alias("w"))
-    from railyard.plans import demand
-
     return demand.od_from_vector(v)
 
 
-def failed_times(spark, sf_dir, links=sparse_hubs):
+def times_of(links):
+    return cut(graph.shortest(links).filter("source <> node").select(F.col("source").alias("o"), F.col("node").alias("d"), "t"))
+
+
+def failed_times(links):
     """(closed, o, d, t) without each of the hubs, all in one label-correcting run."""
-    own = links(spark, sf_dir)
-    nodes = own.select(F.col("i").alias("closed")).union(own.select("j")).distinct()
-    left = own.crossJoin(F.broadcast(nodes)).filter("i <> closed and j <> closed")
-    starts = nodes.crossJoin(F.broadcast(nodes.select(F.col("closed").alias("source")))).filter("source <> closed")
+    nodes = links.select(F.col("i").alias("closed")).union(links.select("j")).distinct()
+    left = links.crossJoin(nodes).filter("i <> closed and j <> closed")
+    starts = nodes.crossJoin(nodes.select(F.col("closed").alias("source"))).filter("source <> closed")
     return graph.shortest(left, starts, carry=("closed",)).filter("source <> node").select("closed", F.col("source").alias("o"), F.col("node").alias("d"), "t")
 
 
-@Q.also("all", links=t.hub_costs)
 @Q.add(f"WITH RECURSIVE {FAIL}, e0 AS (SELECT sum(w / t) / (SELECT sum(w) FROM ow) AS e FROM tt JOIN ow USING (o, d)), a AS (SELECT closed, sum(w / t) / (SELECT sum(w) FROM ow) AS e, sum(CASE WHEN o <> closed AND d <> closed THEN w / t END) AS n FROM ft JOIN ow USING (o, d) GROUP BY closed), b AS (SELECT k AS closed, sum(CASE WHEN o <> k AND d <> k THEN w / t END) AS n FROM tt JOIN ow USING (o, d), nd GROUP BY k) SELECT a.closed, round(1 - a.e / e0.e, 8) AS loss, round(1 - a.n / b.n, 8) AS network_loss FROM a JOIN b USING (closed), e0")
-def closure_loss(spark, sf_dir, links=sparse_hubs):
-    failed = failed_times(spark, sf_dir, links).withColumn("scenario", F.lit("failure"))
-    return linenet.closure_loss(times(spark, sf_dir, links), failed, weights(spark, sf_dir)).select("closed", R("loss"), R("network_loss"))
+def closure_loss(spark, sf_dir):
+    links = t.hub_graph(spark, sf_dir)
+    failed = failed_times(links).withColumn("scenario", F.lit("failure"))
+    return linenet.closure_loss(times_of(links), failed, weights(spark, sf_dir)).select("closed", R("loss"), R("network_loss"))
+
+
+# closed hubs of the open network: vehicles pass without stopping for passengers, or don't run there at all
+SHUT = """, cl AS (SELECT 3 AS c UNION ALL SELECT 7), sc AS (SELECT c, 'closure' AS how FROM cl UNION ALL SELECT c, 'failure' FROM cl UNION ALL SELECT -1, 'none'),
+ok AS (SELECT c, how, md, i, j, theta, tau, s FROM m3, sc WHERE NOT (how = 'failure' AND (i = c OR j = c))),
+te AS (SELECT c, how, 'H' || i AS a, s AS b, 1 / theta AS t FROM ok WHERE theta > 0 AND i <> c UNION ALL SELECT c, how, s, 'H' || j, tau FROM ok WHERE j <> c UNION ALL SELECT x.c, x.how, x.s, y.s, x.tau FROM ok x JOIN su ON su.md = x.md AND su.i = x.i AND su.j = x.j JOIN ok y ON y.c = x.c AND y.how = x.how AND y.md = su.md AND y.i = su.j AND y.j = su.k),
+wk AS (SELECT DISTINCT c, how, a AS source, a AS node, 0.0::DOUBLE AS t, 0 AS k FROM te WHERE a LIKE 'H%' UNION ALL SELECT wk.c, wk.how, wk.source, te.b, min(wk.t + te.t), wk.k + 1 FROM wk JOIN te ON te.c = wk.c AND te.how = wk.how AND te.a = wk.node WHERE wk.k < 12 GROUP BY wk.c, wk.how, wk.source, te.b, wk.k + 1),
+ht AS (SELECT c, how, substr(source, 2) AS o, substr(node, 2) AS d, min(t) AS t FROM wk WHERE node LIKE 'H%' AND node <> source GROUP BY c, how, source, node)"""
+ODS = ", ow AS (SELECT CAST(a.c_nationkey AS VARCHAR) AS o, CAST(b.c_nationkey AS VARCHAR) AS d, (a.n * b.n)::DOUBLE AS w FROM (SELECT c_nationkey, count(*) AS n FROM customer GROUP BY c_nationkey) a, (SELECT c_nationkey, count(*) AS n FROM customer GROUP BY c_nationkey) b WHERE a.c_nationkey <> b.c_nationkey)"
+
+
+@Q.add(f"WITH RECURSIVE {NET}{SHUT}{ODS}, e0 AS (SELECT sum(w / t) AS e FROM ht JOIN ow USING (o, d) WHERE how = 'none'), a AS (SELECT c, how, sum(w / t) AS e, sum(CASE WHEN o <> CAST(c AS VARCHAR) AND d <> CAST(c AS VARCHAR) THEN w / t END) AS n FROM ht JOIN ow USING (o, d) WHERE how <> 'none' GROUP BY c, how), b AS (SELECT cl.c, sum(w / t) AS n FROM ht JOIN ow USING (o, d), cl WHERE how = 'none' AND o <> CAST(cl.c AS VARCHAR) AND d <> CAST(cl.c AS VARCHAR) GROUP BY cl.c) SELECT CAST(a.c AS VARCHAR) AS closed, how AS scenario, round(1 - a.e / e0.e, 8) AS loss, round(1 - a.n / b.n, 8) AS network_loss FROM a JOIN b ON a.c = b.c, e0")
+def closure_and_failure(spark, sf_dir):
+    """Both scenarios for two hubs of the whole line network."""
+    model = linenet.OpenModel(line_network(spark, sf_dir))
+    asked = spark.createDataFrame([(k, how) for k in (3, 7) for how in ("closure", "failure")], "closed int, scenario string")
+    od = weights(spark, sf_dir).select(F.col("o").cast("string").alias("o"), F.col("d").cast("string").alias("d"), "w")
+    base, closed = cut(model.hub_times()), cut(model.hub_times(asked))
+    return linenet.closure_loss(base, closed, od).select("closed", "scenario", R("loss"), R("network_loss"))
 
 
 VUL = FAIL + ", a AS (SELECT closed AS k, sum(w / t) AS n FROM ft JOIN ow USING (o, d) WHERE o <> closed AND d <> closed GROUP BY closed), b AS (SELECT k, sum(w / t) AS n FROM tt JOIN ow USING (o, d), nd WHERE o <> k AND d <> k GROUP BY k), v AS (SELECT k, 1 - coalesce(a.n / b.n, 0) AS v FROM b LEFT JOIN a USING (k))"
 
 
-@Q.also("all", links=t.hub_costs)
+def hub_vulnerability(spark, sf_dir, od=None):
+    links = t.hub_graph(spark, sf_dir)
+    return scenario.vulnerability(times_of(links), failed_times(links).withColumnRenamed("closed", "k"), od if od is not None else weights(spark, sf_dir))
+
+
 @Q.add(f"WITH RECURSIVE {VUL} SELECT k, round(v, 8) AS v FROM v")
-def vulnerability(spark, sf_dir, links=sparse_hubs):
-    return scenario.vulnerability(times(spark, sf_dir, links), failed_times(spark, sf_dir, links).withColumnRenamed("closed", "k"), weights(spark, sf_dir)).select("k", R("v"))
+def vulnerability(spark, sf_dir):
+    return hub_vulnerability(spark, sf_dir).select("k", R("v"))
 
 
-@Q.also("all", links=t.hub_costs)
 @Q.add(f"WITH RECURSIVE {VUL} SELECT round(0.5 * avg(v) + 0.5 * max(v), 8) AS j FROM v")
-def vulnerability_j(spark, sf_dir, links=sparse_hubs):
-    return scenario.risk(scenario.vulnerability(times(spark, sf_dir, links), failed_times(spark, sf_dir, links).withColumnRenamed("closed", "k"), weights(spark, sf_dir))).select(R("j"))
+def vulnerability_j(spark, sf_dir):
+    return scenario.risk(hub_vulnerability(spark, sf_dir)).select(R("j"))
+
+
+ALPHAS = (0.0, 0.5, 1.0)
+
 
+@Q.add(f"WITH RECURSIVE {VUL.replace('(a.n * b.n)::DOUBLE AS w', '1.0::DOUBLE AS w')}, al AS (SELECT unnest({list(ALPHAS)}::DOUBLE[]) AS alpha) SELECT alpha, round(alpha * avg(v) + (1 - alpha) * max(v), 8) AS j FROM v, al GROUP BY alpha")
+def risk_sensitivity(spark, sf_dir):
+    """The risk with all pairs alike, for several weights of mean against maximum."""
+    alike = weights(spark, sf_dir).withColumn("w", F.lit(1.0))
+    v = cut(hub_vulnerability(spark, sf_dir, alike))
+    own = [scenario.risk(v, a).select(F.lit(a).alias("alpha"), R("j")) for a in ALPHAS]
+    return own[0].unionByName(own[1]).unionByName(own[2])
 
-CAND = f", {t.NP}, tt AS (SELECT source AS o, node AS d, t FROM sp WHERE source <> node), nw AS (SELECT least(o, d) AS a, greatest(o, d) AS b, min(t) AS now FROM tt GROUP BY 1, 2), cl AS (SELECT p.node AS a, q.node AS b, 0.001 * {t.haversine_sql('p', 'q')} AS c, {t.haversine_sql('p', 'q')} AS m FROM np p, np q WHERE p.node < q.node AND {t.haversine_sql('p', 'q')} BETWEEN 150 AND 9000 AND NOT EXISTS (SELECT 1 FROM sg WHERE least(i, j) = p.node AND greatest(i, j) = q.node)), cd AS (SELECT a, b, c, m FROM cl LEFT JOIN nw USING (a, b) WHERE coalesce(now >= 1.5 * c, true))"
 
+RSP = t.RG + WALK
+TIMES = ", tt AS (SELECT source AS o, node AS d, t FROM sp WHERE source <> node)"
+LACKING = f", nw AS (SELECT least(o, d) AS a, greatest(o, d) AS b, min(t) AS now FROM tt GROUP BY 1, 2), cl AS (SELECT p.node AS a, q.node AS b, 0.001 * {t.haversine_sql('p', 'q')} AS c, {t.haversine_sql('p', 'q')} AS m FROM np p, np q WHERE p.node < q.node AND {t.haversine_sql('p', 'q')} BETWEEN 150 AND 9000 AND NOT EXISTS (SELECT 1 FROM sg WHERE least(i, j) = p.node AND greatest(i, j) = q.node)), cd AS (SELECT a, b, c, m FROM cl LEFT JOIN nw USING (a, b) WHERE coalesce(now >= 1.5 * c, true))"
+CAND = f", {t.NP}{TIMES}{LACKING}"
 
-def link_candidates(spark, sf_dir, links=sparse_hubs):
-    distance = scalar.haversine_m("lat_a", "lon_a", "lat_b", "lon_b")
-    return scenario.candidate_links(t.nation_points(spark, sf_dir).select("node", "lat", "lon"), links(spark, sf_dir), times(spark, sf_dir, links), 0.001, distance, 150.0, 9000.0)
 
+def link_candidates(spark, sf_dir, links, base):
+    return scenario.candidate_links(t.nation_points(spark, sf_dir).select("node", "lat", "lon"), links, base, 0.001, 150.0, 9000.0)
 
-@Q.also("all", links=t.hub_costs)
-@Q.add(f"WITH RECURSIVE {SP}{CAND} SELECT a, b, round(c, 8) AS c, round(m, 4) AS m FROM cd")
-def candidate_links(spark, sf_dir, links=sparse_hubs):
-    return link_candidates(spark, sf_dir, links).select("a", "b", R("c"), R("m", 4))
 
+@Q.add(f"WITH RECURSIVE {RSP}{CAND} SELECT a, b, round(c, 8) AS c, round(m, 4) AS m FROM cd")
+def candidate_links(spark, sf_dir):
+    links = t.regional_graph(spark, sf_dir)
+    return link_candidates(spark, sf_dir, links, times_of(links)).select("a", "b", R("c"), R("m", 4))
 
-@Q.also("all", links=t.hub_costs)
-@Q.add(f"WITH RECURSIVE {SP}{ODW}{CAND}, fu AS (SELECT * FROM tt UNION ALL SELECT DISTINCT o, o, 0.0 FROM (SELECT o FROM tt UNION SELECT d FROM tt)), bo AS (SELECT a, b, a AS p, b AS q, c FROM cd UNION ALL SELECT a, b, b, a, c FROM cd), nt AS (SELECT a, b, o, d, min(t) AS t FROM (SELECT bo.a, bo.b, f.o, g.d, f.t + bo.c + g.t AS t FROM bo JOIN fu f ON f.d = bo.p JOIN fu g ON g.o = bo.q WHERE f.o <> g.d UNION ALL SELECT cd.a, cd.b, o, d, t FROM tt, cd) GROUP BY a, b, o, d) SELECT a, b, round(sum(w / t) / (SELECT sum(w) FROM ow), 10) AS e FROM nt JOIN ow USING (o, d) GROUP BY a, b")
-def edge_insert_minplus(spark, sf_dir, links=sparse_hubs):
-    more = link_candidates(spark, sf_dir, links).select(F.col("a").alias("ka"), F.col("b").alias("kb"), "a", "b", "c")
-    changed = scenario.insert_links(times(spark, sf_dir, links), more, ("ka", "kb"))
+
+INSERTED = ", fu AS (SELECT * FROM tt UNION ALL SELECT DISTINCT o, o, 0.0 FROM (SELECT o FROM tt UNION SELECT d FROM tt)), bo AS (SELECT a, b, a AS p, b AS q, c FROM cd UNION ALL SELECT a, b, b, a, c FROM cd), nt AS (SELECT a, b, o, d, min(t) AS t FROM (SELECT bo.a, bo.b, f.o, g.d, f.t + bo.c + g.t AS t FROM bo JOIN fu f ON f.d = bo.p JOIN fu g ON g.o = bo.q WHERE f.o <> g.d UNION ALL SELECT cd.a, cd.b, o, d, t FROM tt, cd) GROUP BY a, b, o, d)"
+
+
+@Q.add(f"WITH RECURSIVE {RSP}{ODW}{CAND}{INSERTED} SELECT a, b, round(sum(w / t) / (SELECT sum(w) FROM ow), 10) AS e FROM nt JOIN ow USING (o, d) GROUP BY a, b")
+def edge_insert_minplus(spark, sf_dir):
+    links = t.regional_graph(spark, sf_dir)
+    base = times_of(links)
+    more = cut(link_candidates(spark, sf_dir, links, base).select(F.col("a").alias("ka"), F.col("b").alias("kb"), "a", "b", "c"))
+    changed = scenario.insert_links(base, more, ("ka", "kb"))
     return scenario.efficiency(changed, weights(spark, sf_dir), ("ka", "kb")).select(F.col("ka").alias("a"), F.col("kb").alias("b"), R("e", 10))
 
 
-@Q.also("all", links=t.hub_costs)
-@Q.add(f"WITH RECURSIVE {SP}{ODW}, tt AS (SELECT source AS o, node AS d, t FROM sp WHERE source <> node), fu AS (SELECT * FROM tt UNION ALL SELECT DISTINCT o, o, 0.0 FROM (SELECT o FROM tt UNION SELECT d FROM tt)), st AS (SELECT n_nationkey AS hub, 2.0 * row_number() OVER (ORDER BY n_nationkey) AS cum FROM nation WHERE n_regionkey = 0), ll AS (SELECT x.hub AS a, y.hub AS b, 1.5 + abs(x.cum - y.cum) AS c FROM st x, st y WHERE x.hub <> y.hub), nt AS (SELECT o, d, min(t) AS t FROM (SELECT * FROM tt UNION ALL SELECT f.o, g.d, f.t + ll.c + g.t FROM ll JOIN fu f ON f.d = ll.a JOIN fu g ON g.o = ll.b WHERE f.o <> g.d) GROUP BY o, d), e0 AS (SELECT sum(w / t) AS e FROM tt JOIN ow USING (o, d)) SELECT round(sum(w / t) / (SELECT e FROM e0) - 1, 9) AS gain FROM nt JOIN ow USING (o, d)")
-def line_minplus_gain(spark, sf_dir, links=sparse_hubs):
-    from pyspark.sql.window import Window
+def line_stations(spark, sf_dir):
+    """A line through the nations of each region, two minutes from one to the next."""
+    w = Window.partitionBy("n_regionkey").orderBy("n_nationkey")
+    return table(spark, sf_dir, "nation").select("n_regionkey", F.col("n_nationkey").alias("hub"), (2.0 * F.row_number().over(w)).alias("cum"))
+
 
-    base, od = times(spark, sf_dir, links), weights(spark, sf_dir)
-    stations = table(spark, sf_dir, "nation").filter("n_regionkey = 0").select(F.col("n_nationkey").alias("hub"), (2.0 * F.row_number().over(Window.partitionBy("n_regionkey").orderBy("n_nationkey"))).alias("cum"))
-    changed = scenario.insert_line(base, scenario.line_links(stations, 3.0))
+LINES = ", fu AS (SELECT * FROM tt UNION ALL SELECT DISTINCT o, o, 0.0 FROM (SELECT o FROM tt UNION SELECT d FROM tt)), st AS (SELECT n_regionkey AS r, n_nationkey AS hub, 2.0 * row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS cum FROM nation), ll AS (SELECT x.r, x.hub AS a, y.hub AS b, 1.5 + abs(x.cum - y.cum) AS c FROM st x JOIN st y ON x.r = y.r WHERE x.hub <> y.hub), nt AS (SELECT r, o, d, min(t) AS t FROM (SELECT r, tt.* FROM tt, (SELECT DISTINCT r FROM st) UNION ALL SELECT ll.r, f.o, g.d, f.t + ll.c + g.t FROM ll JOIN fu f ON f.d = ll.a JOIN fu g ON g.o = ll.b WHERE f.o <> g.d) GROUP BY r, o, d), e0 AS (SELECT sum(w / t) AS e FROM tt JOIN ow USING (o, d)), gn AS (SELECT r, sum(w / t) / (SELECT e FROM e0) - 1 AS gain FROM nt JOIN ow USING (o, d) GROUP BY r)"
+
+
+@Q.add(f"WITH RECURSIVE {SP}{ODW}{TIMES}{LINES} SELECT round(gain, 9) AS gain FROM gn WHERE r = 0")
+def line_minplus_gain(spark, sf_dir):
+    base, od = times_of(t.hub_graph(spark, sf_dir)), weights(spark, sf_dir)
+    changed = scenario.insert_line(base, scenario.line_links(line_stations(spark, sf_dir).filter("n_regionkey = 0"), 3.0))
     e0 = scenario.efficiency(base, od).select(F.col("e").alias("e0"))
     return scenario.efficiency(changed, od).crossJoin(e0).select(F.round(F.col("e") / F.col("e0") - 1, 9).alias("gain"))
 
 
-@Q.add()
+def dense_times(base, names, od):
+    w = scenario.matrix(od.select("o", "d", F.col("w").alias("t")), names)
+    w[~np.isfinite(w)] = 0
+    return scenario.matrix(base, names), w
+
+
+def line_gains(spark, sf_dir):
+    """(r, gain) of the regions' lines, each alone, from tasks that share the matrix."""
+    base, od = times_of(t.hub_graph(spark, sf_dir)), weights(spark, sf_dir)
+    names = sorted(r[0] for r in t.nation_points(spark, sf_dir).select("node").collect())
+    at = F.element_at(F.create_map(*(F.lit(x) for pair in ((n, k) for k, n in enumerate(names)) for x in pair)), F.col("hub"))
+    lines = line_stations(spark, sf_dir).groupBy("n_regionkey").agg(F.array_sort(F.collect_list(F.struct("cum", at.alias("at")))).alias("s"))
+    lines = lines.select(F.col("n_regionkey").cast("long").alias("id"), F.transform("s", lambda x: x["at"]).alias("stations"), F.transform(F.slice("s", 1, F.size("s") - 1), lambda x: F.lit(2.0)).alias("seconds"), F.lit(3.0).alias("headway"))
+    return scenario.first_gains(scenario.MinPlus(*dense_times(base, names, od)), lines)
+
+
+@Q.add(f"WITH RECURSIVE {SP}{ODW}{TIMES}{LINES} SELECT CAST(r AS BIGINT) AS id, round(gain, 9) AS gain FROM gn")
+def first_gains(spark, sf_dir):
+    return line_gains(spark, sf_dir).select("id", R("gain", 9))
+
+
+RANKED = ", gl AS (SELECT 'L' || r AS line, CASE WHEN r % 2 = 0 THEN 'metro' ELSE 'tram' END AS kind, 5.0 + r AS km, gain, (5.0 + r) * CASE WHEN r % 2 = 0 THEN 10 ELSE 1 END AS cost FROM gn), rt AS (SELECT unnest([5.0, 20.0, NULL]::DOUBLE[]) AS ratio), bs AS (SELECT line FROM gl ORDER BY gain / cost DESC, line LIMIT 2), rk AS (SELECT ratio, line, row_number() OVER (PARTITION BY ratio ORDER BY gain / CASE WHEN ratio IS NULL THEN 1.0 WHEN kind = 'metro' THEN km * ratio ELSE km END DESC, line) AS rank FROM gl, rt)"
+
+
+@Q.add(f"WITH RECURSIVE {SP}{ODW}{TIMES}{LINES}{RANKED} SELECT ratio, line, CAST(rank AS INTEGER) AS rank, line IN (SELECT line FROM bs) AS in_base FROM rk WHERE rank <= 2")
+def reranked_lines(spark, sf_dir):
+    """The two best lines by gain per cost at other costs of a kilometre, and by gain alone."""
+    r = F.col("id")
+    own = line_gains(spark, sf_dir).select(F.concat(F.lit("L"), r.cast("string")).alias("line"), F.when(r % 2 == 0, "metro").otherwise("tram").alias("kind"), (5.0 + r).alias("km"), "gain", ((5.0 + r) * F.when(r % 2 == 0, 10).otherwise(1)).alias("cost"))
+    return layers.reranked(cut(own), [5.0, 20.0], 2)
+
+
+CORRIDOR_POINTS = f"{t.NP}, pt AS (SELECT node AS hub, radians(lon) * 6371000.0 * cos(radians(47.5)) AS x, radians(lat) * 6371000.0 AS y, n::DOUBLE AS weight FROM np JOIN (SELECT c_nationkey, count(*) AS n FROM customer GROUP BY c_nationkey) ON c_nationkey = node)"
+
+
+@Q.add(f"WITH RECURSIVE {CORRIDOR_POINTS}, pr AS (SELECT a.hub AS a, b.hub AS b, a.x AS ax, a.y AS ay, b.x AS cx, b.y AS cy, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS len FROM pt a JOIN pt b ON a.hub < b.hub), pq AS (SELECT * FROM pr WHERE 1.1 * len BETWEEN 4000 AND 14000), nr AS (SELECT * FROM (SELECT pq.*, hub, x, y, weight, ((x - ax) * (cx - ax) + (y - ay) * (cy - ay)) / len AS along, abs((y - ay) * (cx - ax) - (x - ax) * (cy - ay)) / len AS across FROM pq, pt) WHERE along > 0 AND along < len AND across <= 900), rn AS (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY weight DESC, hub) AS k FROM nr), r AS (SELECT a, b, 0 AS k, [struct_pack(along := 0.0::DOUBLE, hub := a, x := ax, y := ay), struct_pack(along := len, hub := b, x := cx, y := cy)] AS taken FROM pq UNION ALL SELECT r.a, r.b, r.k + 1, CASE WHEN len(list_filter(r.taken, lambda c: sqrt((c.x - n.x) ** 2 + (c.y - n.y) ** 2) < 1200)) = 0 THEN list_append(r.taken, struct_pack(along := n.along, hub := n.hub, x := n.x, y := n.y)) ELSE r.taken END FROM r JOIN rn n ON n.a = r.a AND n.b = r.b AND n.k = r.k + 1), z AS (SELECT a, b, arg_max(taken, k) AS taken FROM r GROUP BY a, b) SELECT a, b, array_to_string(list_transform(list_sort(list_transform(taken, lambda c: struct_pack(along := c.along, hub := c.hub))), lambda c: c.hub), ',') AS hubs FROM z")
 def corridor_candidates(spark, sf_dir):
     """Straight lines between nations' places with the places near their axes."""
     x, y = scalar.project("lat", "lon")
     people = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("node")).agg(F.count(F.lit(1)).cast("double").alias("weight"))
     points = t.nation_points(spark, sf_dir).join(people, "node").select(F.col("node").alias("hub"), x.alias("x"), y.alias("y"), "weight")
-    return scenario.corridors(points, points, 1200.0, 900.0, 4000.0, 14000.0, 1.1)
+    return scenario.corridors(points, points, 1200.0, 900.0, 4000.0, 14000.0, 1.1).select("a", "b", F.array_join(F.transform("hubs", lambda h: h.cast("string")), ",").alias("hubs"))
 
 
-@Q.add()
-def greedy_links(spark, sf_dir, links=t.hub_costs):
-    """The three links that lower the network's risk most."""
-    base, failed = times(spark, sf_dir, links), failed_times(spark, sf_dir, links)
+def link_scorer(spark, sf_dir):
+    """Links of the regional network with its candidates, as places in the list of nations."""
+    links = t.regional_graph(spark, sf_dir)
+    base, failed = times_of(links), failed_times(links)
     names = sorted(r[0] for r in t.nation_points(spark, sf_dir).select("node").collect())  # places without edges may get links too
     at = {n: k for k, n in enumerate(names)}
-    dense = scenario.matrix(base, names)
-    import numpy as np
-
+    dense, w = dense_times(base, names, weights(spark, sf_dir))
     own = {}
-    for r in failed.collect():
+    for r in failed.collect():  # a number for each pair and each of the nations
         m = own.setdefault(at[r["closed"]], np.full_like(dense, np.inf))
         m[at[r["o"]], at[r["d"]]] = r["t"]
     for m in own.values():
         np.fill_diagonal(m, 0)
-    w = scenario.matrix(weights(spark, sf_dir).select("o", "d", F.col("w").alias("t")), names)
-    w[~np.isfinite(w)] = 0
-    scorer = scenario.Links(dense, own, w)
-    rows = [(at[r["a"]], at[r["b"]], r["c"]) for r in link_candidates(spark, sf_dir, links).orderBy("a", "b").collect()]
-    return spark.createDataFrame([(n, names[a], names[b], float(c), float(j)) for n, ((a, b, c), j) in enumerate(scorer.greedy(rows, 3))], "step int, a int, b int, c double, j double")
+    tried = [(at[r["a"]], at[r["b"]], r["c"]) for r in link_candidates(spark, sf_dir, links, base).orderBy("a", "b").collect()]
+    return scenario.Links(dense, own, w), tried, names
+
+
+@Q.add()
+def greedy_links(spark, sf_dir):
+    """The three links that lower the regional network's risk most; each step's candidates are scored in tasks."""
+    scorer, tried, names = link_scorer(spark, sf_dir)
+    picked = scorer.greedy(tried, 3, scored_by=scenario.scorer_in_tasks(spark, scorer))
+    return spark.createDataFrame([(n, names[a], names[b], float(c), float(j)) for n, ((a, b, c), j) in enumerate(picked)], "step int, a int, b int, c double, j double")
+
+
+RISKS = f"{RSP}{ODW}{FAILED}, {t.NP}{LACKING}{INSERTED}, ff AS (SELECT * FROM ft UNION ALL SELECT DISTINCT closed, o, o, 0.0 FROM ft), fn AS (SELECT a, b, closed, o, d, min(t) AS t FROM (SELECT bo.a, bo.b, f.closed, f.o, g.d, f.t + bo.c + g.t AS t FROM bo JOIN ff f ON f.d = bo.p JOIN ff g ON g.o = bo.q AND g.closed = f.closed WHERE f.o <> g.d AND f.closed NOT IN (bo.a, bo.b) UNION ALL SELECT cd.a, cd.b, closed, o, d, t FROM ft, cd) GROUP BY a, b, closed, o, d), aw AS (SELECT a, b, closed AS k, sum(w / t) AS n FROM fn JOIN ow USING (o, d) GROUP BY a, b, closed), bw AS (SELECT a, b, k, sum(w / t) AS n FROM nt JOIN ow USING (o, d), nd WHERE o <> k AND d <> k GROUP BY a, b, k), vv AS (SELECT a, b, k, 1 - coalesce(aw.n / bw.n, 0) AS v FROM bw LEFT JOIN aw USING (a, b, k)), js AS (SELECT a, b, 0.5 * avg(v) + 0.5 * max(v) AS j FROM vv GROUP BY a, b)"
+
+
+@Q.add(f"WITH RECURSIVE {RISKS} SELECT a, b, round(j, 8) AS j FROM js")
+def link_risks(spark, sf_dir):
+    """The risk of the regional network with each candidate, scored in tasks: its least is the first step of greedy_links."""
+    scorer, tried, names = link_scorer(spark, sf_dir)
+    rows = spark.createDataFrame([(n, names[a], names[b]) for n, (a, b, _) in enumerate(tried)], "id long, a int, b int")
+    return scenario.link_scores(spark, scorer, tried).join(rows, "id").select("a", "b", R("j"))
+
+
+@Q.add()
+def link_pairs(spark, sf_dir):
+    """The risk with each pair of candidates."""
+    scorer, tried, names = link_scorer(spark, sf_dir)
+    named = spark.createDataFrame([(n, f"{names[a]}-{names[b]}") for n, (a, b, _) in enumerate(tried)], "id long, link string")
+    pairs = scenario.pair_scores(spark, scorer, tried)
+    return pairs.join(named.withColumnsRenamed({"id": "m", "link": "first"}), "m").join(named.withColumnsRenamed({"id": "n", "link": "second"}), "n").select("first", "second", R("j"))
+
+
+@Q.add(f"WITH {t.HC}, {t.NP}, st AS (SELECT n_regionkey AS r, n_nationkey AS hub, lat, lon, row_number() OVER w - 1 AS k, lead(n_nationkey) OVER w AS h2, lead(lat) OVER w AS lat2, lead(lon) OVER w AS lon2, count(*) OVER (PARTITION BY n_regionkey) AS n FROM nation JOIN np ON node = n_nationkey WINDOW w AS (PARTITION BY n_regionkey ORDER BY n_nationkey)), sx AS (SELECT r, k, n, hub, h2, CASE WHEN r % 2 = 0 THEN 1.1 ELSE 1.2 END * {t.HAVERSINE.format(lat1='lat', lon1='lon', lat2='lat2', lon2='lon2')} AS m, CASE WHEN r % 2 = 0 THEN 33.0 ELSE 18.0 END / 3.6 AS speed, CASE WHEN r % 2 = 0 THEN 180.0 ELSE 300.0 END AS hw, CASE WHEN r % 2 = 0 THEN 1 ELSE 0 END AS mode FROM st WHERE h2 IS NOT NULL), nl AS (SELECT r, 0 AS way, k, mode, hub AS f, h2 AS g, m, speed, hw, n FROM sx UNION ALL SELECT r, 1, n - 2 - k, mode, h2, hub, m, speed, hw, n FROM sx WHERE r <> 4) SELECT 'NEW:L' || r || '|' || way || '|' || k AS seg, mode, f AS from_hub, g AS to_hub, CAST(round_even(7200 / hw, 0) AS BIGINT) AS n, round(1 / hw, 9) AS freq, round(greatest(20.0, m / speed), 5) AS tau_s, round(m, 3) AS dist_m, CASE WHEN k < n - 2 THEN 'NEW:L' || r || '|' || way || '|' || (k + 1) END AS next FROM nl")
+def new_lines(spark, sf_dir):
+    """A line through each region's nations in the network, that of the last region one way only."""
+    net = line_network(spark, sf_dir)
+    w = Window.partitionBy("n_regionkey").orderBy("n_nationkey")
+    r = F.col("n_regionkey")
+    stations = table(spark, sf_dir, "nation").select(F.concat(F.lit("L"), r.cast("string")).alias("line"), F.when(r % 2 == 0, "metro").otherwise("tram").alias("kind"), F.row_number().over(w).alias("k"), F.col("n_nationkey").alias("hub"), (r == 4).alias("one_way"))
+    places = t.nation_points(spark, sf_dir).select(F.col("node").alias("hub"), "lat", "lon")
+    more = linenet.add_lines(linenet.LineNetwork(places.withColumn("name", F.lit("")), net.segments, net.succ, net.window_s), linenet.line_sections(stations, places))
+    own = more.segments.filter("seg like 'NEW%'").join(more.succ.select("seg", "next"), "seg", "left")
+    return own.select("seg", "mode", "from_hub", "to_hub", F.col("n").cast("long").alias("n"), R("freq", 9), R("tau_s", 5), R("dist_m", 3), "next")
+
+
+@Q.add(f"WITH {NET}, hf AS (SELECT i AS hub, sum(freq) AS freq FROM sg0 GROUP BY i), nm AS (SELECT n_nationkey AS hub, 'R' || n_regionkey AS name FROM nation WHERE n_nationkey IN (SELECT i FROM lp UNION SELECT j FROM lp)) SELECT w.name, x.hub FROM (SELECT DISTINCT 'R' || n_regionkey AS name FROM nation UNION ALL SELECT 'nowhere') w LEFT JOIN (SELECT name, arg_min(hub, -coalesce(freq, 0.0) * 1e6 + hub * 1e-9) AS hub FROM nm LEFT JOIN hf USING (hub) GROUP BY name) x USING (name)")
+def hubs_named(spark, sf_dir):
+    """The busiest nation of each region, regions being names that several hubs have."""
+    net = line_network(spark, sf_dir)
+    regions = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("hub"), F.concat(F.lit("R"), F.col("n_regionkey").cast("string")).alias("name"))
+    own = linenet.LineNetwork(net.hubs.drop("name").join(regions, "hub"), net.segments, net.succ, net.window_s)
+    return linenet.hubs_named(own, regions.select("name").unionByName(spark.range(1).select(F.lit("nowhere").alias("name"))))
 
 
 @Q.add("SELECT n_regionkey, arg_min(n_nationkey, rank) AS station FROM (SELECT n_regionkey, n_nationkey, CASE WHEN n_name = 'CHINA' THEN 0 WHEN starts_with(n_name, 'C') THEN 1 ELSE 2 END * 100 + n_nationkey AS rank FROM nation) GROUP BY n_regionkey")
@@ -214,19 +372,38 @@ def leap_conservation(spark, sf_dir):
     return simulate.leap_ensemble(q, people(spark, sf_dir), 0.5, runs=6, points=3).groupBy("run", "t").agg(F.sum("n").alias("total"))
 
 
-@Q.add()
+LAW = f"WITH RECURSIVE {EQ}, r AS (SELECT max(-q) AS rate FROM eq WHERE i = j), j AS (SELECT i, j, CASE WHEN i = j THEN 1.0 ELSE 0.0 END + q / rate AS p FROM eq, r), x AS (SELECT node, 40.0::DOUBLE AS v, 0 AS k, exp(-rate * 0.5) AS w FROM (SELECT DISTINCT stop AS node FROM ev), r UNION ALL SELECT j.j, sum(x.v * j.p), x.k + 1, max(x.w * rate * 0.5 / (x.k + 1)) FROM x JOIN j ON x.node = j.i, r WHERE x.k < 300 GROUP BY j.j, x.k + 1)"
+
+
+@Q.add(f"{LAW} SELECT node, round(sum(w * v), 6) AS expected, true AS close FROM x GROUP BY node")
 def ssa_against_law(spark, sf_dir):
-    """Ensemble means beside the transient law."""
+    """The transient law, and whether the mean of 20 exact runs is within five standard errors of it."""
     q = chain.generator(event_chain(spark, sf_dir), event_rates(spark, sf_dir))
     start = people(spark, sf_dir)
     law = chain.transient(q, start.select("mode", "node", F.col("n").alias("v")), 0.5)
-    return simulate.against_mean(simulate.event_ensemble(q, start, 0.5, runs=20, most=None), law)
+    own = simulate.against_mean(simulate.event_ensemble(q, start, 0.5, runs=20, most=None), law)
+    return own.select("node", R("expected", 6), (F.abs("z") < 5).alias("close"))
+
 
+@Q.add(f"{EVENT_PEOPLE} SELECT stop AS node, 2 AS run, true AS balanced, true AS ordered FROM (SELECT DISTINCT stop FROM ev)")
+def event_log(spark, sf_dir):
+    """Each event of a run moves one person: the people at the end are those at the start, what came and without what went; times go up."""
+    q = cut(chain.generator(event_chain(spark, sf_dir), event_rates(spark, sf_dir)))
+    start = cut(people(spark, sf_dir))
+    log = cut(simulate.event_log(q, start, 0.2, runs=3, most=None).filter("run = 2"))
+    end = simulate.event_ensemble(q, start, 0.2, runs=3, most=None).filter("run = 2").select("node", F.col("n").alias("last"))
+    moves = log.select(F.col("node"), F.lit(-1).alias("x")).unionByName(log.select(F.col("to_node").alias("node"), F.lit(1).alias("x"))).groupBy("node").agg(F.sum("x").alias("x"))
+    ordered = log.select((F.col("t") >= F.lag("t", 1, 0.0).over(Window.partitionBy("run").orderBy("k"))).alias("ok")).agg(F.min("ok").alias("ordered"))
+    return start.join(end, "node").join(moves, "node", "left").crossJoin(ordered).select("node", F.lit(2).alias("run"), (F.col("n") + F.coalesce("x", F.lit(0)) == F.col("last")).alias("balanced"), "ordered")
 
-@Q.add("SELECT CAST(20000 AS BIGINT) AS passengers, true AS positive")
+
+@Q.add(f"WITH RECURSIVE {NET}{SOURCE} SELECT CAST(20000 AS BIGINT) AS passengers, round(sum(mass) / 10.0, 4) AS seconds, true AS close FROM ma")
 def journey_simulation(spark, sf_dir):
+    """Simulated passengers, the exact mean of their time, and whether the simulated mean is within four standard errors of it."""
     model = linenet.OpenModel(line_network(spark, sf_dir))
-    return model.journeys(model.prior(), 20_000).agg(F.count(F.lit(1)).alias("passengers"), (F.min("seconds") > 0).alias("positive"))
+    own = model.journeys(model.prior(), 20_000).agg(F.count(F.lit(1)).alias("passengers"), F.avg("seconds").alias("mean"), (F.stddev("seconds") / F.sqrt(F.count(F.lit(1)))).alias("error"))
+    exact = model.journey_time(source(model))
+    return own.crossJoin(exact).select("passengers", R("seconds", 4), (F.abs(F.col("mean") - F.col("seconds")) < 4 * F.col("error")).alias("close"))
 
 
 @Q.add(f"WITH {NET}, p AS (SELECT i, md, q / sum(q) OVER (PARTITION BY i) AS p, theta / sum(theta) OVER (PARTITION BY i) AS p0 FROM m3), h AS (SELECT i, sum(abs(p - p0)) / 2 AS tv, count(*) AS n, count(DISTINCT md) AS k FROM p GROUP BY i) SELECT round(avg(tv), 9) AS variation, round(avg(CASE WHEN n > 1 THEN 1.0 ELSE 0.0 END), 9) AS several_segments, round(avg(CASE WHEN k > 1 THEN 1.0 ELSE 0.0 END), 9) AS several_routes, round(avg(CASE WHEN k > 1 THEN 1.0 ELSE 0.0 END), 9) AS several_modes FROM h")
@@ -243,9 +420,12 @@ def planning_layer(spark, sf_dir):
     return own.select("i", "j", R("cost", 6), R("m", 3))
 
 
-@Q.add()
+AREA_STOPS = "sp AS (SELECT s_suppkey AS stop, s_nationkey AS name, 47.4::DOUBLE + s_nationkey * 0.01::DOUBLE + s_suppkey * 37 % 100 * 0.0001::DOUBLE AS lat, 19.0::DOUBLE + s_suppkey * 53 % 100 * 0.0001::DOUBLE AS lon FROM supplier)"
+
+
+@Q.add(f"WITH RECURSIVE {AREA_STOPS}, s AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY stop) AS k FROM sp), r AS (SELECT name, k, stop, stop AS area, [struct_pack(s := stop, a := lat, b := lon)] AS heads FROM s WHERE k = 1 UNION ALL SELECT name, k, stop, coalesce(f, stop), CASE WHEN f IS NULL THEN list_append(heads, struct_pack(s := stop, a := lat, b := lon)) ELSE heads END FROM (SELECT s.*, r.heads, list_filter(r.heads, lambda h: {t.HAVERSINE.format(lat1='h.a', lon1='h.b', lat2='s.lat', lon2='s.lon')} < 400)[1].s AS f FROM r JOIN s ON s.name = r.name AND s.k = r.k + 1)) SELECT stop, area FROM r")
 def merged_areas(spark, sf_dir):
     """Suppliers of a nation as stops of one name, merged in order."""
     n, k = F.col("s_nationkey"), F.col("s_suppkey")
-    stops = table(spark, sf_dir, "supplier").select(k.alias("stop"), F.concat(F.lit("N"), n, F.lit(" (x)")).alias("name"), (47.4 + n * 0.01 + k * 37 % 100 * 0.0001).alias("lat"), (19.0 + k * 53 % 100 * 0.0001).alias("lon"))
+    stops = table(spark, sf_dir, "supplier").select(k.alias("stop"), F.concat(F.lit("N"), n, F.lit(" (x)")).alias("name"), (F.lit(47.4) + n * 0.01 + k * 37 % 100 * 0.0001).alias("lat"), (F.lit(19.0) + k * 53 % 100 * 0.0001).alias("lon"))
     return layers.merge_areas(stops)

@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pyspark.sql.window import Window
+
+from railyard.fixpoint import cut
 from railyard.operators import edges
 from railyard.registry import table
 
@@ -66,6 +69,19 @@ def hub_costs(spark, sf_dir) -> DataFrame:
     return line_edges(spark, sf_dir).groupBy("i", "j").agg(F.min(kappa() * F.col("tau_s") + 0.1 * F.col("dist_m") + 1.0).alias("cost"))
 
 
+def hub_graph(spark, sf_dir) -> DataFrame:
+    """hub_costs(), made once for a query that uses it several times."""
+    return cut(hub_costs(spark, sf_dir))
+
+
+def regional_graph(spark, sf_dir) -> DataFrame:
+    """The links of hub_costs() inside a region, and those between the first nations of two regions: a network that lacks links, for queries that look for new ones."""
+    regions = table(spark, sf_dir, "nation").withColumn("first", F.min("n_nationkey").over(Window.partitionBy("n_regionkey")))
+    at = lambda end: regions.select(F.col("n_nationkey").alias(end), F.col("n_regionkey").alias(f"region_{end}"), (F.col("n_nationkey") == F.col("first")).alias(f"first_{end}"))
+    own = hub_costs(spark, sf_dir).join(at("i"), "i").join(at("j"), "j")
+    return cut(own.filter("region_i = region_j or (first_i and first_j)").select("i", "j", "cost"))
+
+
 def nation_points(spark, sf_dir) -> DataFrame:
     """(node, lat, lon): invented coordinates by formula."""
     return table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("node"), F.col("n_regionkey").alias("region"), (F.lit(47.4) + F.col("n_nationkey") * 0.01).alias("lat"), (F.lit(19.0) + (F.col("n_nationkey") * 7 % 25) * 0.01).alias("lon"))
@@ -80,6 +96,8 @@ LP = LV + ", lp0 AS (SELECT mode, trip, stop AS i, dep_s, dist, lead(stop) OVER
 LE = LP + ", le AS (SELECT mode, i, j, count(*) AS n, median(tau_s) AS tau_s, median(dist_m) AS dist_m FROM lp WHERE i <> j GROUP BY mode, i, j)"
 KAPPA_SQL = "CASE mode " + " ".join(f"WHEN '{m}' THEN {k}" for m, k in KAPPA.items()) + " ELSE 1.0 END"
 HC = LE + f", hc AS (SELECT i, j, min({KAPPA_SQL} * tau_s + 0.1 * dist_m + 1.0) AS cost FROM le GROUP BY i, j)"
+SG = HC + ", sg AS MATERIALIZED (SELECT i, j, cost FROM hc)"
+RG = HC + ", fr AS (SELECT n_nationkey AS k, n_regionkey AS r, n_nationkey = min(n_nationkey) OVER (PARTITION BY n_regionkey) AS f FROM nation), sg AS MATERIALIZED (SELECT i, j, cost FROM hc JOIN fr a ON a.k = i JOIN fr b ON b.k = j WHERE a.r = b.r OR (a.f AND b.f))"
 NP = "np AS (SELECT n_nationkey AS node, n_regionkey AS region, 47.4::DOUBLE + n_nationkey * 0.01::DOUBLE AS lat, 19.0::DOUBLE + (n_nationkey * 7 % 25) * 0.01::DOUBLE AS lon FROM nation)"
 HAVERSINE = "2 * 6371000.0 * asin(sqrt(least(1.0, greatest(0.0, sin(radians({lat2} - {lat1}) / 2) ** 2 + cos(radians({lat1})) * cos(radians({lat2})) * sin(radians({lon2} - {lon1}) / 2) ** 2))))"
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,19 +25,6 @@ class Registry:
 
         return keep
 
-    def also(self, suffix: str, **options) -> Callable[[Query], Query]:
-        """Registers the query a second time, under its name with the suffix and with these options; it has no SQL."""
-
-        def keep(f: Query) -> Query:
-            @wraps(f)
-            def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-                return f(spark, sf_dir, **options)
-
-            self.queries[f"{f.__name__}_{suffix}"] = run
-            return f
-
-        return keep
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

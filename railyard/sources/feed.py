@@ -9,13 +9,16 @@ from __future__ import annotations
 import shutil
 import tempfile
 import urllib.request
+import uuid
 import zipfile
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from railyard.fixpoint import shared_folder
 from railyard.functions.scalar import WEEKDAYS
 from railyard.operators import services
 
@@ -86,15 +89,27 @@ def download(url: str, cache: str, force: bool = False, timeout: int = 60) -> st
     return str(target)
 
 
-def unpack(path: str, folder: str | None = None) -> str:
-    """Unpacks a local ZIP's tables to a folder that all executors see (in local mode a temporary one)."""
-    if not Path(path).exists():
+def store(spark: SparkSession, path: str):
+    """(file system, path) of Hadoop for any path that Spark can read."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
+def unpack(spark: SparkSession, path: str, folder: str | None = None) -> str:
+    """Copies the tables of a ZIP, which may be in any store, to a folder that all executors see: by default below the shared folder."""
+    files, zipped = store(spark, path)
+    if not files.exists(zipped):
         raise FileNotFoundError(path)
-    folder = folder or tempfile.mkdtemp(prefix="feed-")
-    with zipfile.ZipFile(path) as z:
-        for name in z.namelist():
-            if name.endswith(".txt") and "/" not in name:
-                z.extract(name, folder)
+    folder = folder or f"{shared_folder(spark).rstrip('/')}/feed-{uuid.uuid4().hex}"
+    with tempfile.TemporaryDirectory() as here:  # on the driver alone, which opens the ZIP
+        local = Path(here) / "feed.zip"
+        files.copyToLocalFile(False, zipped, spark._jvm.org.apache.hadoop.fs.Path(str(local)), True)
+        with zipfile.ZipFile(local) as z:
+            for name in z.namelist():
+                if name.endswith(".txt") and "/" not in name:
+                    z.extract(name, here)
+                    out, target = store(spark, f"{folder}/{name}")
+                    out.copyFromLocalFile(False, True, spark._jvm.org.apache.hadoop.fs.Path(f"{here}/{name}"), target)
     return folder
 
 
@@ -104,8 +119,12 @@ def load(spark: SparkSession, path: str, files: tuple[str, ...] | None = None, w
     ValueError if a required table is missing, if there is no calendar to filter by, or if weekday and date disagree.
     """
     own = services.check_filters(weekday, date)
-    folder = path if Path(path).is_dir() else unpack(path, staging)
-    there = {p.stem for p in Path(folder).glob("*.txt")}
+    where, target = store(spark, path)
+    if not where.exists(target):
+        raise FileNotFoundError(path)
+    folder = path if where.getFileStatus(target).isDirectory() else unpack(spark, path, staging)
+    where, target = store(spark, folder)
+    there = {x.getPath().getName().removesuffix(".txt") for x in where.listStatus(target) if x.getPath().getName().endswith(".txt")}
     wanted = set(files or TABLES) | set(REQUIRED)
     if missing := [t for t in REQUIRED if t not in there]:
         raise ValueError(f"the feed has no {', '.join(missing)}")
@@ -139,19 +158,32 @@ def cells(spark: SparkSession, path: str, box: tuple[float, float, float, float]
     return df if box is None else df.filter((F.col("lon") >= box[0]) & (F.col("lon") <= box[2]) & (F.col("lat") >= box[1]) & (F.col("lat") <= box[3]))
 
 
-def districts(spark: SparkSession, path: str, expected: int | None = None) -> DataFrame:
-    """Corners (polygon, k, px, py) of the outer rings in a GeoJSON file; ValueError unless there are as many polygons as expected."""
-    own = spark.read.option("multiLine", True).json(path).select(F.explode("features").alias("f"))
-    rings = own.select(F.monotonically_increasing_id().alias("polygon"), F.col("f.geometry.coordinates").getItem(0).alias("ring"))
-    if expected is not None and (n := rings.count()) != expected:
+def districts(spark: SparkSession, path: str, expected: int | None = None, name: str | None = None, project: Callable | None = None) -> DataFrame:
+    """Corners (polygon, ring, k, px, py[, name]) of all rings, holes among them, of the Polygons and MultiPolygons in a GeoJSON file; polygon is the place of the feature in it.
+
+    name: a property that names the polygon. project(lat, lon): gives (x, y) for degrees, as scalar.project() and
+    scalar.hungarian_grid() do. ValueError unless there are as many polygons as expected.
+    """
+    kind = "struct<features:array<struct<properties:map<string,string>,geometry:struct<type:string,coordinates:string>>>>"
+    text = spark.read.option("wholetext", True).text(path)
+    own = text.select(F.posexplode(F.from_json("value", kind)["features"]).alias("polygon", "f"))
+    own = own.filter(F.col("f.geometry.type").isin("Polygon", "MultiPolygon"))
+    if expected is not None and (n := own.count()) != expected:
         raise ValueError(f"{n} districts, not {expected}")
-    return rings.select("polygon", F.posexplode("ring").alias("k", "p")).select("polygon", "k", F.col("p").getItem(0).alias("px"), F.col("p").getItem(1).alias("py"))
+    parts = "array<array<array<array<double>>>>"
+    shapes = F.when(F.col("f.geometry.type") == "Polygon", F.array(F.from_json("f.geometry.coordinates", parts[6:-1]))).otherwise(F.from_json("f.geometry.coordinates", parts))
+    named = [F.col("f.properties").getItem(name).alias("name")] if name else []
+    rings = own.select("polygon", *named, F.posexplode(F.flatten(shapes)).alias("ring", "points"))
+    corners = rings.select("polygon", "ring", *(["name"] if name else []), F.posexplode("points").alias("k", "p"))
+    x, y = F.col("p").getItem(0), F.col("p").getItem(1)
+    px, py = project(y, x) if project else (x, y)
+    return corners.select("polygon", "ring", "k", px.alias("px"), py.alias("py"), *(["name"] if name else []))
 
 
 def optional_table(spark: SparkSession, folder: str, name: str) -> DataFrame | None:
     """A hand-made CSV with comment lines; None if it isn't there."""
-    path = Path(folder) / f"{name}.csv"
-    return scan(spark, str(path), types={}, comment="#") if path.exists() else None
+    files, target = store(spark, f"{folder.rstrip('/')}/{name}.csv")
+    return scan(spark, target.toString(), types={}, comment="#") if files.exists(target) else None
 
 
 def digest(spark: SparkSession, path: str) -> DataFrame:

@@ -4,8 +4,10 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from railyard.operators import graph, spatial, stats
+from railyard.fixpoint import NotConverged
+from railyard.operators import graph, order, spatial, stats
 from railyard.plans import chain, demand, layers, scenario, simulate
+from railyard.sources import feed
 
 
 def cycle(spark, n):
@@ -150,6 +152,88 @@ def test_first_gains_and_lazy_greedy(spark):
     assert len(scenario.greedy(scenario.MinPlus(floyd(w), np.ones(12)), dense, [1.0] * 4, 4, key=lambda n: n % 2)) == 2
 
 
+def test_largest_eigenvalues_and_failing_loops(spark):
+    rng = np.random.default_rng(4)
+    p = rng.random((300, 300)) ** 6 + 30 * np.eye(300)[rng.permutation(300)]
+    p = chain.stochastic(p)
+    whole = np.sort(np.abs(np.linalg.eigvals(p)))[::-1]
+    assert np.sort(np.abs(chain.largest(p, 20)))[::-1][:6] == pytest.approx(whole[:6], rel=0.03)
+    few = chain.stochastic(np.ones((400, 400)) + 50 * np.eye(400)[::-1])
+    assert chain.kemeny(few, chain.spectrum(few, dense=100)) == pytest.approx(chain.kemeny(few), rel=0.2)
+    line = spark.createDataFrame([(k, k + 1, 1.0) for k in range(6)], "i int, j int, cost double")
+    for loop in (lambda: graph.hops(line, most=3), lambda: graph.shortest(line, most=3)):
+        with pytest.raises(NotConverged):
+            loop()
+
+
+def test_strong_components_and_breaking_nodes(spark):
+    rng = np.random.default_rng(8)
+    for n, m in ((12, 16), (15, 30), (9, 40)):
+        a = np.zeros((n, n), bool)
+        a[rng.integers(0, n, m), rng.integers(0, n, m)] = True
+        np.fill_diagonal(a, False)
+        reach = np.linalg.matrix_power(np.eye(n) + a, n) > 0
+        rows = [(int(i), int(j)) for i, j in zip(*np.nonzero(a), strict=True)]
+        there = sorted({x for r in rows for x in r})
+        edges = spark.createDataFrame(rows, "i int, j int")
+        assert {r.node: r.label for r in graph.strong_components(edges).collect()} == {i: min(j for j in there if reach[i, j] and reach[j, i]) for i in there}
+        sub = lambda keep: np.linalg.matrix_power(np.eye(len(keep)) + a[np.ix_(keep, keep)], max(1, len(keep))) > 0
+        assert graph.irreducible(edges) == bool(sub(there).all())
+        assert {r.node: r.breaks for r in graph.breaking_nodes(edges).collect()} == {g: not sub([x for x in there if x != g]).all() for g in there}
+
+
+def test_events_and_snapshots(spark):
+    q = spark.createDataFrame([("m", "a", "b", 1.0), ("m", "b", "a", 2.0), ("m", "b", "c", 1.0), ("m", "c", "a", 0.5)], "mode string, i string, j string, q double")
+    start = spark.createDataFrame([("m", "a", 30.0), ("m", "b", 5.0)], "mode string, node string, n double")
+    log = sorted(simulate.event_log(q, start, 2.0, runs=2).collect(), key=lambda r: (r.run, r.k))
+    shots = simulate.snapshots(q, start, 2.0, 10, runs=2).collect()
+    for run in (0, 1):
+        people, at = {"a": 30, "b": 5, "c": 0}, {0: {"a": 30, "b": 5, "c": 0}}
+        own = [r for r in log if r.run == run]
+        assert [r.k for r in own] == list(range(1, len(own) + 1)) and all(x.t <= y.t <= 2.0 for x, y in zip(own, own[1:]))
+        for r in own:
+            people[r.node] -= 1
+            people[r.to_node] += 1
+            if r.k % 10 == 0:
+                at[r.k] = dict(people)
+        got = {}
+        for r in shots:
+            if r.run == run:
+                got.setdefault(r.k, {})[r.node] = r.n
+        assert got == at and len(got) > 3
+    for bad in (0.0, -1.0, float("nan"), float("inf")):
+        with pytest.raises(ValueError):
+            simulate.event_ensemble(q, start, bad)
+
+
+def test_water_districts_and_order(spark, tmp_path):
+    import json
+
+    square = lambda x, y, s: [[x, y], [x + s, y], [x + s, y + s], [x, y + s], [x, y]]
+    shapes = [("west", "Polygon", [square(0, 0, 10), square(4, 4, 2)]), ("point", "Point", [1, 2]), ("east", "MultiPolygon", [[square(10, 0, 10)], [square(30, 0, 5), square(31, 1, 1)]])]
+    (tmp_path / "d.json").write_text(json.dumps({"type": "FeatureCollection", "features": [{"type": "Feature", "properties": {"n": n}, "geometry": {"type": k, "coordinates": c}} for n, k, c in shapes]}))
+    corners = feed.districts(spark, str(tmp_path / "d.json"), expected=2, name="n")
+    points = spark.createDataFrame([(0, 1.0, 1.5), (1, 5.0, 5.5), (2, 15.0, 2.5), (3, 31.5, 1.5), (4, 33.0, 3.5), (5, 25.0, 1.5)], "p int, x double, y double")
+    named = spatial.inside(points, corners).join(corners.select("polygon", "name").distinct(), "polygon")
+    assert {r.p: r.name for r in named.collect()} == {0: "west", 2: "east", 4: "east"}
+    axis = spatial.shared_borders(corners, corners.select("polygon", F.col("name").alias("side")).distinct())
+    assert [tuple(r) for r in axis.collect()] == [(10.0, 0.0, 10.0, 10.0)]
+    with pytest.raises(ValueError):
+        feed.districts(spark, str(tmp_path / "d.json"), expected=3)
+    rng = np.random.default_rng(2)
+    ends = rng.uniform(0, 20, (200, 4))
+    legs = spark.createDataFrame([(k, *map(float, e)) for k, e in enumerate(ends)], "leg int, x1 double, y1 double, x2 double, y2 double")
+    cross = {k for k, (x1, y1, x2, y2) in enumerate(ends) if (x1 - 10) * (x2 - 10) <= 0 and 0 <= y1 + (10 - x1) / (x2 - x1) * (y2 - y1) <= 10}
+    assert {r.leg for r in spatial.crossing(legs, axis, "leg", 3.0).collect()} == cross and 20 < len(cross) < 150
+    curve = spark.createDataFrame([(float(k), float(k * k % 7)) for k in range(0, 50, 3)], "t double, v double")
+    at = spark.createDataFrame([(k, float(x)) for k, x in enumerate(rng.uniform(-5, 60, 300))] + [(999, 6.0), (1000, 6.0), (1001, None)], "k int, t double")
+    want = {r.k: None if r.t is None else float(np.interp(r.t, range(0, 50, 3), [k * k % 7 for k in range(0, 50, 3)])) for r in at.collect()}
+    assert {r.k: r.v for r in spatial.interpolate(curve, at).collect()} == {k: v if v is None else pytest.approx(v) for k, v in want.items()}
+    values = [float(x) for x in rng.integers(0, 40, 500)]
+    ranks = {r.x: r["rank"] for r in order.average_ranks(spark.createDataFrame([(v,) for v in values] + [(None,)], "x double"), "x").collect()}
+    assert ranks == {v: np.mean([k + 1 for k, x in enumerate(sorted(values)) if x == v]) for v in set(values)}
+
+
 def test_corridor_spacing(spark):
     points = spark.createDataFrame([(0, 0.0, 0.0, 5.0), (1, 4000.0, 0.0, 5.0), (2, 1500.0, 50.0, 9.0), (3, 1800.0, 0.0, 8.0), (4, 2600.0, -100.0, 1.0), (5, 2000.0, 900.0, 50.0)], "hub int, x double, y double, weight double")
     ends = points.filter("hub < 2")
@@ -272,11 +356,23 @@ def test_layers(spark):
     own = layers.layer_edges(edges, layers.merge_areas(stops), places)
     row = own.first()
     assert (row.i, row.j, row.cost) == ("a", "d", 20.0) and layers.cost_per_metre(own).first()[0] == pytest.approx(20 / row.m)
-    nodes = spark.createDataFrame([(k, 100.0 * k, 0.0) for k in range(11)], "node int, x double, y double")
-    street = spark.createDataFrame([(k, k + 1, 100.0) for k in range(10)], "i int, j int, cost double")
-    times = graph.shortest(street, street.limit(0).select(F.col("i").alias("source")).unionByName(spark.createDataFrame([(0,)], "source int")))
-    pool = spark.createDataFrame([(7, 0.0, 20.0), (8, 210.0, 0.0), (9, 640.0, 100.0), (10, 1000.0, 0.0), (11, 500.0, 900.0)], "hub int, rx double, ry double")
-    assert layers.street_line(times, 0, 10, nodes, pool, 350.0) == [7, 9, 10]
-    assert layers.street_line(times, 0, 99, nodes, pool, 350.0) == []
+    # a street of ten blocks, and one around a corner to node 12
+    at = {**{k: (100.0 * k, 0.0) for k in range(11)}, 11: (0.0, 800.0), 12: (100.0, 800.0)}
+    nodes = spark.createDataFrame([(k, *xy) for k, xy in at.items()], "node int, x double, y double")
+    ways = [(k, k + 1, 100.0) for k in range(10)] + [(0, 11, 800.0), (11, 12, 100.0)]
+    street = spark.createDataFrame(ways + [(b, a, c) for a, b, c in ways], "i int, j int, cost double")
+    pool = spark.createDataFrame([(7, 0.0, 20.0, 1.0), (8, 210.0, 0.0, 2.0), (9, 640.0, 100.0, 9.0), (10, 1000.0, 0.0, 1.0), (11, 500.0, 900.0, 8.0), (12, 400.0, 10.0, 5.0), (13, 120.0, 800.0, 1.0), (14, 300.0, 0.0, 5.0)], "hub int, x double, y double, weight double")
+    snapped = spark.createDataFrame([(7, 0), (10, 10), (13, 12)], "hub int, node int")
+    pairs = spark.createDataFrame([(7, 10), (7, 13), (10, 13)], "a int, b int")
+    lines = {(r.a, r.b): r for r in layers.street_lines(street, snapped, pairs, nodes, pool, 250.0, 500.0, 1500.0).collect()}
+    # 9 is taken first, 12 is too near to it, then 14; 8 is too near to 14. From 10 to 13 it is too long
+    assert [x.hub for x in lines[7, 10].stations] == [7, 14, 9, 10] and lines[7, 10].length == 1000
+    assert [x.hub for x in lines[7, 13].stations] == [7, 13] and (10, 13) not in lines
+    assert not layers.street_lines(street, snapped, pairs, nodes, pool, 250.0, 500.0, 1500.0, most_detour=1.05).filter("b = 13").count()
+    line = spark.createDataFrame([("L", "tram", k, h) for k, h in enumerate((13, 7, 10))], "line string, kind string, k int, hub int")
+    assert [r.next_m for r in layers.routed_line(street, snapped, line).orderBy("k").collect()] == [900, 1000, None]
+    with pytest.raises(ValueError):
+        layers.routed_line(street, snapped.filter("hub <> 7"), line)
+    assert [r["worst"] for r in layers.robustness(lambda v, x: {"a": x, "b": -x}[v], [1, 2, 3], ["a", "b"])] == [3, 2, 3]
     assert len(layers.sensitivity(lambda a, b: {"c": a * b}, a=[1, 2], b=[3, 4])) == 4
     assert layers.package_effect(lambda lines: float(sum(lines) + (len(lines) > 1)), [1.0, 2.0])["interaction"] == pytest.approx(4 / 3)

@@ -1,4 +1,4 @@
-"""Queries that do the whole job where the ones with SQL are cut short."""
+"""Queries against dense solutions of the whole problem."""
 
 import numpy as np
 import pytest
@@ -28,21 +28,24 @@ def dense_times(rows, gone=None):
 def test_network_queries_use_every_edge(spark):
     rows = t.hub_costs(spark, SF).collect()
     want = dense_times(rows)
-    got = {(r.source, r.node): r.t for r in catalogue.QUERIES["shortest_times_all"](spark, SF).collect()}
+    got = {(r.source, r.node): r.t for r in catalogue.QUERIES["shortest_times"](spark, SF).collect()}
     assert got == {k: pytest.approx(v, abs=1e-6) for k, v in want.items()}
-    hops = {(r.source, r.node): r.d for r in catalogue.QUERIES["bfs_hops_all"](spark, SF).collect()}
+    hops = {(r.source, r.node): r.d for r in catalogue.QUERIES["bfs_hops"](spark, SF).collect()}
     assert {k for k, d in hops.items() if d == 1} == {(r.i, r.j) for r in rows}
 
     people = {r[0]: r[1] for r in spark.read.parquet(f"{SF}/customer.parquet").groupBy("c_nationkey").count().collect()}
     sum_of = lambda d, k: sum(people.get(o, 0) * people.get(x, 0) / v for (o, x), v in d.items() if o != x and k not in (o, x))
-    loss = {r.k: r.v for r in catalogue.QUERIES["vulnerability_all"](spark, SF).collect()}
+    loss = {r.k: r.v for r in catalogue.QUERIES["vulnerability"](spark, SF).collect()}
     assert loss == {k: pytest.approx(1 - sum_of(dense_times(rows, k), k) / sum_of(want, k), abs=1e-7) for k in loss}
     assert len(loss) == len({r.i for r in rows} | {r.j for r in rows})
 
 
-def test_new_links_are_those_the_whole_network_lacks(spark):
-    edges = {frozenset((r.i, r.j)) for r in t.hub_costs(spark, SF).collect()}
-    for name in ("candidate_links_all", "greedy_links"):
+def test_new_links_are_those_the_network_lacks(spark):
+    edges = {frozenset((r.i, r.j)) for r in t.regional_graph(spark, SF).collect()}
+    risks = {(r.a, r.b): r.j for r in catalogue.QUERIES["link_risks"](spark, SF).collect()}
+    first = catalogue.QUERIES["greedy_links"](spark, SF).orderBy("step").first()
+    assert first.j == pytest.approx(min(risks.values()), abs=1e-7) and risks[first.a, first.b] == pytest.approx(first.j, abs=1e-7)
+    for name in ("candidate_links", "greedy_links"):
         assert not any(frozenset((r.a, r.b)) in edges for r in catalogue.QUERIES[name](spark, SF).collect())
 
 
@@ -57,22 +60,22 @@ def test_open_network_is_solved_to_the_end(spark):
         if r.dst != "exit":
             m[at[r.src], at[r.dst]] -= r.rate
     mass = np.linalg.solve(m.T, [source.get(x, 0.0) for x in names])
-    got = {r.state: r.mass for r in catalogue.QUERIES["steady_state_k_full"](spark, SF).collect()}
+    got = {r.state: r.mass for r in catalogue.QUERIES["steady_state"](spark, SF).collect()}
     assert [got.get(x, 0.0) for x in names] == pytest.approx(mass, rel=1e-6, abs=2e-6)
-    assert catalogue.QUERIES["journey_time_k_full"](spark, SF).first().seconds == pytest.approx(mass.sum() / sum(source.values()), rel=1e-8)
-    flows = catalogue.QUERIES["network_flows_full"](spark, SF).collect()
+    assert catalogue.QUERIES["journey_time"](spark, SF).first().seconds == pytest.approx(mass.sum() / sum(source.values()), rel=1e-8)
+    flows = catalogue.QUERIES["network_flows"](spark, SF).collect()
     boarding = sum(mass[at[f"H{r.from_hub}"]] * r.q_board for r in model.segments.collect())
     assert sum(r.boarding for r in flows) == pytest.approx(boarding, rel=1e-6)
 
 
 def test_stationary_law_is_the_limit(spark):
     own = chains.event_chain(spark, SF).collect()
-    pi = {r.node: r.pi for r in catalogue.QUERIES["stationary_cesaro_full"](spark, SF).collect()}
+    pi = {r.node: r.pi for r in catalogue.QUERIES["stationary_cesaro"](spark, SF).collect()}
     for node, mass in pi.items():
         assert sum(pi[r.i] * r.p for r in own if r.j == node) == pytest.approx(mass, abs=5e-8)
     mu = {r.i: r.mu for r in chains.event_rates(spark, SF).collect()}
     held = sum(v / mu[k] for k, v in pi.items())
-    assert {r.node: r.flux for r in catalogue.QUERIES["departure_flux_full"](spark, SF).collect()} == {k: pytest.approx(v / held, rel=1e-6) for k, v in pi.items()}
+    assert {r.node: r.flux for r in catalogue.QUERIES["departure_flux"](spark, SF).collect()} == {k: pytest.approx(v / held, rel=1e-6) for k, v in pi.items()}
     # periodic, and with two ends that are never left
     assert chain.cesaro_limit(np.roll(np.eye(3), 1, 1)) == pytest.approx(np.full((3, 3), 1 / 3))
     assert chain.cesaro_limit(np.array([[0.5, 0.3, 0.2], [0, 1, 0], [0, 0, 1]]))[0] == pytest.approx([0, 0.6, 0.4])
@@ -80,7 +83,7 @@ def test_stationary_law_is_the_limit(spark):
 
 def test_gravity_is_balanced(spark):
     larger = "/root/testdata/sf0.01"
-    own = catalogue.QUERIES["gravity_ipf_k_all"](spark, larger).collect()
+    own = catalogue.QUERIES["gravity_ipf"](spark, larger).collect()
     for r in demand.origins(spark, larger).collect():
         assert sum(x.w for x in own if x.o == r.o) == pytest.approx(r.made, rel=1e-6)
 
@@ -109,7 +112,7 @@ def test_stopped_runs_are_refused(spark):
 
 def test_hub_class_of_all_customers(spark):
     names = {r[0] for r in spark.read.parquet(f"{SF}/customer.parquet").select("c_nationkey").distinct().collect()}
-    assert {r.hub for r in catalogue.QUERIES["hub_class_all"](spark, SF).collect()} == names
+    assert {r.hub for r in catalogue.QUERIES["hub_class"](spark, SF).collect()} == names
 
 
 def test_greedy_links_has_no_prescreen(spark, monkeypatch):

@@ -207,7 +207,7 @@ def candidate_links(spark, sf_dir):
     return link_candidates(spark, sf_dir, links, times_of(links)).select("a", "b", R("c"), R("m", 4))
 
 
-INSERTED = ", fu AS (SELECT * FROM tt UNION ALL SELECT DISTINCT o, o, 0.0 FROM (SELECT o FROM tt UNION SELECT d FROM tt)), bo AS (SELECT a, b, a AS p, b AS q, c FROM cd UNION ALL SELECT a, b, b, a, c FROM cd), nt AS (SELECT a, b, o, d, min(t) AS t FROM (SELECT bo.a, bo.b, f.o, g.d, f.t + bo.c + g.t AS t FROM bo JOIN fu f ON f.d = bo.p JOIN fu g ON g.o = bo.q WHERE f.o <> g.d UNION ALL SELECT cd.a, cd.b, o, d, t FROM tt, cd) GROUP BY a, b, o, d)"
+INSERTED = ", fu AS (SELECT * FROM tt UNION ALL SELECT DISTINCT o, o, 0.0 FROM (SELECT o FROM tt UNION SELECT d FROM tt UNION SELECT a FROM cd UNION SELECT b FROM cd)), bo AS (SELECT a, b, a AS p, b AS q, c FROM cd UNION ALL SELECT a, b, b, a, c FROM cd), nt AS (SELECT a, b, o, d, min(t) AS t FROM (SELECT bo.a, bo.b, f.o, g.d, f.t + bo.c + g.t AS t FROM bo JOIN fu f ON f.d = bo.p JOIN fu g ON g.o = bo.q WHERE f.o <> g.d UNION ALL SELECT cd.a, cd.b, o, d, t FROM tt, cd) GROUP BY a, b, o, d)"
 
 
 @Q.add(f"WITH RECURSIVE {RSP}{ODW}{CAND}{INSERTED} SELECT a, b, round(sum(w / t) / (SELECT sum(w) FROM ow), 10) AS e FROM nt JOIN ow USING (o, d) GROUP BY a, b")
@@ -225,7 +225,7 @@ def line_stations(spark, sf_dir):
     return table(spark, sf_dir, "nation").select("n_regionkey", F.col("n_nationkey").alias("hub"), (2.0 * F.row_number().over(w)).alias("cum"))
 
 
-LINES = ", fu AS (SELECT * FROM tt UNION ALL SELECT DISTINCT o, o, 0.0 FROM (SELECT o FROM tt UNION SELECT d FROM tt)), st AS (SELECT n_regionkey AS r, n_nationkey AS hub, 2.0 * row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS cum FROM nation), ll AS (SELECT x.r, x.hub AS a, y.hub AS b, 1.5 + abs(x.cum - y.cum) AS c FROM st x JOIN st y ON x.r = y.r WHERE x.hub <> y.hub), nt AS (SELECT r, o, d, min(t) AS t FROM (SELECT r, tt.* FROM tt, (SELECT DISTINCT r FROM st) UNION ALL SELECT ll.r, f.o, g.d, f.t + ll.c + g.t FROM ll JOIN fu f ON f.d = ll.a JOIN fu g ON g.o = ll.b WHERE f.o <> g.d) GROUP BY r, o, d), e0 AS (SELECT sum(w / t) AS e FROM tt JOIN ow USING (o, d)), gn AS (SELECT r, sum(w / t) / (SELECT e FROM e0) - 1 AS gain FROM nt JOIN ow USING (o, d) GROUP BY r)"
+LINES = ", fu AS (SELECT * FROM tt UNION ALL SELECT DISTINCT o, o, 0.0 FROM (SELECT o FROM tt UNION SELECT d FROM tt UNION SELECT n_nationkey FROM nation)), st AS (SELECT n_regionkey AS r, n_nationkey AS hub, 2.0 * row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS cum FROM nation), ll AS (SELECT x.r, x.hub AS a, y.hub AS b, 1.5 + abs(x.cum - y.cum) AS c FROM st x JOIN st y ON x.r = y.r WHERE x.hub <> y.hub), nt AS (SELECT r, o, d, min(t) AS t FROM (SELECT r, tt.* FROM tt, (SELECT DISTINCT r FROM st) UNION ALL SELECT ll.r, f.o, g.d, f.t + ll.c + g.t FROM ll JOIN fu f ON f.d = ll.a JOIN fu g ON g.o = ll.b WHERE f.o <> g.d) GROUP BY r, o, d), e0 AS (SELECT sum(w / t) AS e FROM tt JOIN ow USING (o, d)), gn AS (SELECT r, sum(w / t) / (SELECT e FROM e0) - 1 AS gain FROM nt JOIN ow USING (o, d) GROUP BY r)"
 
 
 @Q.add(f"WITH RECURSIVE {SP}{ODW}{TIMES}{LINES} SELECT round(gain, 9) AS gain FROM gn WHERE r = 0")
@@ -287,10 +287,9 @@ def link_scorer(spark, sf_dir):
     names = sorted(r[0] for r in t.nation_points(spark, sf_dir).select("node").collect())  # places without edges may get links too
     at = {n: k for k, n in enumerate(names)}
     dense, w = dense_times(base, names, weights(spark, sf_dir))
-    own = {}
+    own = {at[r["i"]]: np.full_like(dense, np.inf) for r in links.select("i").union(links.select("j")).distinct().collect()}
     for r in failed.collect():  # a number for each pair and each of the nations
-        m = own.setdefault(at[r["closed"]], np.full_like(dense, np.inf))
-        m[at[r["o"]], at[r["d"]]] = r["t"]
+        own[at[r["closed"]]][at[r["o"]], at[r["d"]]] = r["t"]
     for m in own.values():
         np.fill_diagonal(m, 0)
     tried = [(at[r["a"]], at[r["b"]], r["c"]) for r in link_candidates(spark, sf_dir, links, base).orderBy("a", "b").collect()]
@@ -305,7 +304,7 @@ def greedy_links(spark, sf_dir):
     return spark.createDataFrame([(n, names[a], names[b], float(c), float(j)) for n, ((a, b, c), j) in enumerate(picked)], "step int, a int, b int, c double, j double")
 
 
-RISKS = f"{RSP}{ODW}{FAILED}, {t.NP}{LACKING}{INSERTED}, ff AS (SELECT * FROM ft UNION ALL SELECT DISTINCT closed, o, o, 0.0 FROM ft), fn AS (SELECT a, b, closed, o, d, min(t) AS t FROM (SELECT bo.a, bo.b, f.closed, f.o, g.d, f.t + bo.c + g.t AS t FROM bo JOIN ff f ON f.d = bo.p JOIN ff g ON g.o = bo.q AND g.closed = f.closed WHERE f.o <> g.d AND f.closed NOT IN (bo.a, bo.b) UNION ALL SELECT cd.a, cd.b, closed, o, d, t FROM ft, cd) GROUP BY a, b, closed, o, d), aw AS (SELECT a, b, closed AS k, sum(w / t) AS n FROM fn JOIN ow USING (o, d) GROUP BY a, b, closed), bw AS (SELECT a, b, k, sum(w / t) AS n FROM nt JOIN ow USING (o, d), nd WHERE o <> k AND d <> k GROUP BY a, b, k), vv AS (SELECT a, b, k, 1 - coalesce(aw.n / bw.n, 0) AS v FROM bw LEFT JOIN aw USING (a, b, k)), js AS (SELECT a, b, 0.5 * avg(v) + 0.5 * max(v) AS j FROM vv GROUP BY a, b)"
+RISKS = f"{RSP}{ODW}{FAILED}, {t.NP}{LACKING}{INSERTED}, ff AS (SELECT * FROM ft UNION ALL SELECT k, o, o, 0.0 FROM nd, (SELECT DISTINCT o FROM fu) WHERE o <> k), fn AS (SELECT a, b, closed, o, d, min(t) AS t FROM (SELECT bo.a, bo.b, f.closed, f.o, g.d, f.t + bo.c + g.t AS t FROM bo JOIN ff f ON f.d = bo.p JOIN ff g ON g.o = bo.q AND g.closed = f.closed WHERE f.o <> g.d AND f.closed NOT IN (bo.a, bo.b) UNION ALL SELECT cd.a, cd.b, closed, o, d, t FROM ft, cd) GROUP BY a, b, closed, o, d), aw AS (SELECT a, b, closed AS k, sum(w / t) AS n FROM fn JOIN ow USING (o, d) GROUP BY a, b, closed), bw AS (SELECT a, b, k, sum(w / t) AS n FROM nt JOIN ow USING (o, d), nd WHERE o <> k AND d <> k GROUP BY a, b, k), vv AS (SELECT a, b, k, 1 - coalesce(aw.n / bw.n, 0) AS v FROM bw LEFT JOIN aw USING (a, b, k)), js AS (SELECT a, b, 0.5 * avg(v) + 0.5 * max(v) AS j FROM vv GROUP BY a, b)"
 
 
 @Q.add(f"WITH RECURSIVE {RISKS} SELECT a, b, round(j, 8) AS j FROM js")

@@ -10,8 +10,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from railyard.fixpoint import NotConverged, cut, until_stable
 
@@ -114,16 +116,25 @@ def irreducible(edges: DataFrame) -> bool:
     return reached(edges, start).count() == n and reached(backward(edges), start).count() == n
 
 
-def shortest(edges: DataFrame, sources: DataFrame | None = None, carry: tuple[str, ...] = (), most: int = 10_000) -> DataFrame:
-    """(carry, source, node, t, via): least cost from each source, and the node before on the way (the smallest of equals).
+#: Edges of all graphs together that shortest() sends to all tasks; beyond that it relaxes tables by joins.
+MOST_EDGES = 2_000_000
 
-    Label correcting: only rows that got better are relaxed again. `carry` columns keep several graphs apart in one run (a
-    scenario for each closed hub, say).
+
+def shortest(edges: DataFrame, sources: DataFrame | None = None, carry: tuple[str, ...] = (), most: int = 10_000, most_edges: int = MOST_EDGES) -> DataFrame:
+    """(carry, source, node, t, via): least cost from each source, and the node before on the way (of equals the smallest, or the one found first).
+
+    `carry` columns keep several graphs apart in one run (a scenario for each closed hub, say). Graphs that fit a task go to
+    all of them and sources are dealt out; larger ones are label correcting joins, where only rows that got better are
+    relaxed again. Both relax until nothing changes, and add costs in the order of the way.
     """
     keys = [*carry, "source", "node"]
     edges = cut(edges.filter("i <> j").groupBy(*carry, "i", "j").agg(F.min("cost").alias("cost")))
     if sources is None:
         sources = edges.select(*carry, F.col("i").alias("source")).union(edges.select(*carry, "j")).distinct()
+    plain = isinstance(edges.schema["i"].dataType, (T.IntegralType, T.StringType))
+    size = edges.agg(F.count(F.lit(1)).alias("n"), F.min("cost").alias("least"), *(F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in carry)).first()
+    if plain and 0 < size["n"] <= most_edges and size["least"] > 0 and not any(size[f"null_{c}"] for c in carry):
+        return _shortest_in_tasks(edges, sources, carry, most)
     node = edges.schema["i"].dataType
     best = front = cut(sources.select(*carry, "source", F.col("source").alias("node"), F.lit(0.0).alias("t"), F.lit(None).cast(node).alias("via")))
     for _ in range(most):
@@ -137,6 +148,65 @@ def shortest(edges: DataFrame, sources: DataFrame | None = None, carry: tuple[st
     raise NotConverged(f"times still getting better after {most} rounds")
 
 
+def _arranged(rows: pd.DataFrame) -> tuple:
+    """(names, tails, costs, heads, first edge of each head, head of each edge) of a graph, edges by head."""
+    names = np.array(sorted(set(rows["i"]) | set(rows["j"])), dtype=object)
+    at = {x: k for k, x in enumerate(names)}
+    a, b = (rows[c].map(at).to_numpy(np.int64) for c in "ij")
+    order = np.lexsort((a, b))
+    a, b = a[order], b[order]
+    heads, starts = np.unique(b, return_index=True)
+    return names, a, rows["cost"].to_numpy(float)[order], heads, starts, b
+
+
+def _shortest_in_tasks(edges: DataFrame, sources: DataFrame, carry: tuple[str, ...], most: int, at_once: int = 4_000_000) -> DataFrame:
+    """Blocks of sources, relaxed over all edges of their graph at a time until nothing changes."""
+    spark, node = edges.sparkSession, edges.schema["i"]
+    table = edges.toArrow().to_pandas()
+    graphs = {key if isinstance(key, tuple) else (key,): _arranged(own) for key, own in table.groupby(list(carry))} if carry else {(): _arranged(table)}
+    shared = spark.sparkContext.broadcast(graphs)
+    schema = T.StructType([*(edges.schema[c] for c in carry), T.StructField("source", node.dataType), T.StructField("node", node.dataType), T.StructField("t", T.DoubleType()), T.StructField("via", node.dataType)])
+
+    def solved(own: tuple | None, wanted: list) -> Iterator[tuple[list, list, np.ndarray, list]]:
+        names, tails, costs, heads, starts, ends = own or (np.array([], dtype=object), *[np.array([], dtype=np.int64)] * 5)
+        known = {x: k for k, x in enumerate(names)}
+        if lost := [x for x in wanted if x not in known]:
+            yield lost, lost, np.zeros(len(lost)), [None] * len(lost)
+        wanted = [x for x in wanted if x in known]
+        size = max(1, at_once // max(1, len(tails)))
+        for at in range(0, len(wanted), size):
+            block = np.array([known[x] for x in wanted[at : at + size]])
+            t = np.full((len(block), len(names)), np.inf)
+            t[np.arange(len(block)), block] = 0
+            for _ in range(most):
+                found = t[:, tails] + costs
+                better = np.minimum(t[:, heads], np.minimum.reduceat(found, starts, axis=1))
+                if (better == t[:, heads]).all():
+                    break
+                t[:, heads] = better
+            else:
+                raise NotConverged(f"times still getting better after {most} rounds")
+            via = np.full(t.shape, len(names))
+            via[:, heads] = np.minimum.reduceat(np.where(found == t[:, ends], tails, len(names)), starts, axis=1)
+            via[np.arange(len(block)), block] = len(names)
+            row, column = np.nonzero(np.isfinite(t))
+            named = np.append(names, None)
+            yield names[block[row]].tolist(), names[column].tolist(), t[row, column], named[via[row, column]].tolist()
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            asked: dict[tuple, list] = {}
+            for *key, x in zip(*(batch.column(c).to_pylist() for c in [*carry, "source"]), strict=True):
+                asked.setdefault(tuple(key), []).append(x)
+            for key, wanted in asked.items():
+                for source, target, t, via in solved(shared.value.get(key), wanted):
+                    kind = batch.schema.field("source").type
+                    yield pa.RecordBatch.from_arrays([*(pa.array([x] * len(t), batch.schema.field(c).type) for c, x in zip(carry, key, strict=True)), pa.array(source, kind), pa.array(target, kind), pa.array(t), pa.array(via, kind)], names=schema.names)
+
+    asked = sources.select(*carry, F.col("source").cast(node.dataType).alias("source")).distinct()
+    return asked.repartition(spark.sparkContext.defaultParallelism, *carry, "source").mapInArrow(kernel, schema)
+
+
 def path(times: DataFrame, source, target) -> list:
     """Nodes of the way from shortest(), [] if there is none; `via` of one source only is read."""
     own = {r["node"]: r["via"] for r in times.filter(F.col("source") == F.lit(source)).select("node", "via").collect()}

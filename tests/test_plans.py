@@ -161,9 +161,30 @@ def test_largest_eigenvalues_and_failing_loops(spark):
     few = chain.stochastic(np.ones((400, 400)) + 50 * np.eye(400)[::-1])
     assert chain.kemeny(few, chain.spectrum(few, dense=100)) == pytest.approx(chain.kemeny(few), rel=0.2)
     line = spark.createDataFrame([(k, k + 1, 1.0) for k in range(6)], "i int, j int, cost double")
-    for loop in (lambda: graph.hops(line, most=3), lambda: graph.shortest(line, most=3)):
+    for loop in (lambda: graph.hops(line, most=3), lambda: graph.shortest(line, most=3, most_edges=0)):
         with pytest.raises(NotConverged):
             loop()
+    with pytest.raises(Exception, match="still getting better"):
+        graph.shortest(line, most=3).collect()
+
+
+@pytest.mark.parametrize("kind", ["int", "string"])
+def test_both_ways_to_shortest_times_agree(spark, kind):
+    rng = np.random.default_rng(6)
+    name = (lambda k: int(k)) if kind == "int" else (lambda k: f"n{k:03}")
+    rows = [(g, name(a), name(b), float(c)) for g in "xy" for a, b, c in zip(rng.integers(0, 40, 130), rng.integers(0, 40, 130), rng.integers(1, 9, 130), strict=True)]
+    edges = spark.createDataFrame(rows, f"g string, i {kind}, j {kind}, cost double")
+    starts = spark.createDataFrame([(g, name(k)) for g in "xyz" for k in (0, 3, 7, 99)], f"g string, source {kind}")
+    for own, asked, carry in ((edges, starts, ("g",)), (edges.drop("g"), None, ())):
+        fast, slow = (graph.shortest(own, asked, carry, most_edges=m) for m in (10**6, 0))
+        t = lambda df: {tuple(r[c] for c in (*carry, "source", "node")): r.t for r in df.collect()}
+        assert t(fast) == t(slow) and len(t(fast)) > 200
+        cost, times = {}, t(fast)
+        for g, a, b, c in rows:
+            cost[(g,) * len(carry) + (a, b)] = min(c, cost.get((g,) * len(carry) + (a, b), c))
+        for r in fast.filter("node <> source").collect():
+            g = (r["g"],) if carry else ()
+            assert times[*g, r.source, r.via] + cost[*g, r.via, r.node] == r.t
 
 
 def test_strong_components_and_breaking_nodes(spark):

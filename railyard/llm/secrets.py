@@ -7,8 +7,8 @@ span of kind `markov` if the sum reaches `threshold`, also where a base span cov
 
 train() takes the ordinary words from a bounded sample of the documents themselves, so that the models know their languages.
 Lower-case hex is no part of the random sample: runs of 24 and more are base spans, shorter ones stand in UUIDs, digests and
-version names, which are ordinary. Tokens shorter than 16 characters are left to the patterns: a first-order model can't
-tell a random string of that length from a rare word (README has figures).
+version names, which are ordinary. Tokens shorter than 12 characters are left to the patterns: a first-order model can't
+tell a random string of that length from a rare word (README has recall by length).
 
 Spans are in code points, end exclusive. They are found natively: a pattern's matches and the pieces between them
 (regexp_extract_all and split) give the lengths whose running sums are the positions. Running sums are made in blocks, so
@@ -40,7 +40,7 @@ ASSIGN_CHARS = 6
 KINDS = ("assign", "access", "hex", "markov")
 
 #: Tokens that the models look at, and the log-likelihood ratio (nats) from which one is a secret.
-TOKEN = r"[A-Za-z0-9+/_=-]{16,}"
+TOKEN = r"[A-Za-z0-9+/_=-]{12,}"
 THRESHOLD = 15.0
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 LOWER, UPPER, DIGITS = ALPHABET[:26], ALPHABET[26:52], ALPHABET[52:62]

@@ -17,7 +17,7 @@ def base(text):
 
 def full(text, models=None, threshold=secrets.THRESHOLD):
     models = models or secrets.default_models()
-    return sorted(base(text) + [(m.start(), 3, m.end()) for m in re.finditer("[A-Za-z0-9+/_=-]{16,}", text or "") if models.score(m[0]) >= threshold])
+    return sorted(base(text) + [(m.start(), 3, m.end()) for m in re.finditer("[A-Za-z0-9+/_=-]{12,}", text or "") if models.score(m[0]) >= threshold])
 
 
 def texts():
@@ -82,7 +82,7 @@ def test_trained_on_documents(spark):
     held = [word() for _ in range(2000)]
     keys = ["".join(rnd.choices(secrets.ALPHABET[:62], k=rnd.randint(20, 40))) for _ in range(2000)]
     assert sum(secrets.default_models().score(w) >= secrets.THRESHOLD for w in held if len(w) >= 16) > 500
-    assert sum(models.score(w) >= secrets.THRESHOLD for w in held if len(w) >= 16) == 0
+    assert sum(models.score(w) >= secrets.THRESHOLD for w in held) == 0
     assert sum(models.score(k) >= secrets.THRESHOLD for k in keys) > 0.95 * len(keys)
     assert models.ratio == secrets.train(df.repartition(5), sample_docs=200).ratio
     assert secrets.train(df.limit(0)).score("q8ZrT1vX0pLm3NsW9yKd7BhG") > secrets.THRESHOLD

@@ -138,8 +138,8 @@ class Matcher:
 
 
 def blocks(benchmark: DataFrame, item_col: str, text_col: str, block_chars: int) -> Iterator[list[tuple[object, str]]]:
-    """The different items in blocks of at most block_chars characters (a longer item is a block of its own)."""
-    given = benchmark.select(F.col(item_col).alias("item"), F.col(text_col).alias("text")).dropna().distinct()
+    """The different items in blocks of at most block_chars characters (a longer item is a block of its own); blank ones, which cost none, stay out."""
+    given = benchmark.select(F.col(item_col).alias("item"), F.col(text_col).alias("text")).dropna().filter(F.trim("text") != "").distinct()
     if (given.agg(F.sum(F.char_length("text"))).first()[0] or 0) <= block_chars:
         yield [(r[0], r[1]) for r in given.collect()]
         return

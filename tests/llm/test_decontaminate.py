@@ -82,3 +82,9 @@ def test_empty(spark):
     assert de.find(frame.limit(0), bench).count() == 0
     assert de.find(frame, bench.limit(0)).count() == 0
     assert de.clean(frame, bench.limit(0)).count() == len(docs)
+
+
+def test_blank_items_are_in_no_block(spark):
+    items = spark.createDataFrame([(k, x) for k, x in enumerate(["", " ", "   ", None, "ab", "cd "])], "item_id long, text string")
+    for block_chars in (3, 100):
+        assert sorted(x for b in de.blocks(items, "item_id", "text", block_chars) for x in b) == [(4, "ab"), (5, "cd ")]

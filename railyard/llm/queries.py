@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from railyard.llm import bpe, chat, decontaminate, fingerprints, jaccard, licences, quality, secrets, sharding, wordpiece
+from railyard.llm import bpe, chat, decontaminate, fingerprints, jaccard, licences, linededup, quality, secrets, sharding, spelling, wordpiece
 from railyard.llm.frames import table
 
 #: Where the pieces of op8 come from; a parameter of the operator.
@@ -67,6 +67,15 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_turns(chat.canonical_turns(given.unionByName(extra))))
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = linededup.dedupe(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return made.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_bpe_round_trip": op1_bpe_round_trip,
     "op2_ring_shards": op2_ring_shards,
@@ -78,7 +87,9 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_secret_scan": op9_secret_scan,
     "op10_chat_format": op10_chat_format,
+    "op11_line_dedup": op11_line_dedup,
+    "op12_spelling_variants": op12_spelling_variants,
 }
 
 #: DuckDB SQL of those that SQL can express.
-ORACLES: dict[str, str] = {"op3_licence_rules": licences.oracle()}
+ORACLES: dict[str, str] = {"op3_licence_rules": licences.oracle(), "op11_line_dedup": linededup.oracle(), "op12_spelling_variants": spelling.oracle()}

@@ -121,7 +121,7 @@ MOST_EDGES = 2_000_000
 
 
 def shortest(edges: DataFrame, sources: DataFrame | None = None, carry: tuple[str, ...] = (), most: int = 10_000, most_edges: int = MOST_EDGES) -> DataFrame:
-    """(carry, source, node, t, via): least cost from each source, and the node before on the way (of equals the smallest, or the one found first).
+    """(carry, source, node, t, via): least cost from each source, and the node before on the way: of equals the smallest (where costs of 0 or less are among them, the one found first, since ways could go in circles).
 
     `carry` columns keep several graphs apart in one run (a scenario for each closed hub, say). Graphs that fit a task go to
     all of them and sources are dealt out; larger ones are label correcting joins, where only rows that got better are
@@ -143,11 +143,20 @@ def shortest(edges: DataFrame, sources: DataFrame | None = None, carry: tuple[st
         old = best.select(*keys, F.col("t").alias("__old"))
         front = cut(found.join(old, keys, "left").filter(F.col("__old").isNull() | (F.col("t") < F.col("__old"))).drop("__old"))
         if front.isEmpty():
-            return best
+            return _smallest_via(best, edges, carry) if size["n"] and size["least"] > 0 else best
         best = cut(best.join(front.select(*keys), keys, "left_anti").unionByName(front))
     raise NotConverged(f"times still getting better after {most} rounds")
 
 
+def _smallest_via(best: DataFrame, edges: DataFrame, carry: tuple[str, ...]) -> DataFrame:
+    """Final times with the smallest of the nodes before that give them, as tasks find it."""
+    keys = [*carry, "source", "node"]
+    before = best.select(*carry, "source", F.col("node").alias("i"), F.col("t").alias("__before"))
+    ways = before.join(edges, [*carry, "i"]).select(*carry, "source", F.col("j").alias("node"), (F.col("__before") + F.col("cost")).alias("__t"), "i")
+    own = ways.join(best.select(*keys, "t"), keys).filter(F.col("__t") == F.col("t")).groupBy(*keys).agg(F.min("i").alias("__via"))
+    return best.join(own, keys, "left").select(*keys, "t", F.when(F.col("via").isNotNull(), F.col("__via")).alias("via"))
+
+
 def _arranged(rows: pd.DataFrame) -> tuple:
     """(names, tails, costs, heads, first edge of each head, head of each edge) of a graph, edges by head."""
     names = np.array(sorted(set(rows["i"]) | set(rows["j"])), dtype=object)

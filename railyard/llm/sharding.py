@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from railyard.llm.frames import checkpointed
+from railyard.llm.frames import checkpointed, fresh
 
 #: Virtual nodes of a shard, and the rows that one ranking window holds about.
 POINTS, SLICE_ROWS = 64, 50_000
@@ -110,25 +110,27 @@ def _point(key_hash: Column, hashes: list[int]) -> Column:
 def assign(df: DataFrame, n_shards: int, key: str = "doc_id", text_col: str = "text", points: int = POINTS, slack: float = 0.0, slice_rows: int = SLICE_ROWS, keep: Sequence[str] = ()) -> DataFrame:
     """One row for each of df: key, `keep`, size (bytes of text + 8), text_crc32, shard and slot (from 0 without gaps in each shard)."""
     spark, nodes = df.sparkSession, ring(n_shards, points)
+    keep = [c for c in keep if c.lower() not in (key.lower(), "size", "text_crc32", "shard", "slot")]
+    h, point, row, rank, slice_, n, before, p, first, last, start = (fresh(x, [key], keep, ("size", "text_crc32", "shard", "slot")) for x in ("__hash", "__point", "__row", "__rank", "__slice", "__n", "__before", "__p", "__from", "__to", "__slot"))
     body = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    keep = [c for c in keep if c not in (key, "size", "text_crc32", "shard", "slot")]
-    slim = df.select(F.col(key), *keep, (F.octet_length(body) + 8).cast("long").alias("size"), F.crc32(body).alias("text_crc32"), F.xxhash64(key).alias("__hash"))
-    slim = checkpointed(slim.withColumn("__point", _point(F.col("__hash"), [h for h, _ in nodes])).withColumn("__row", F.monotonically_increasing_id()))
-    counts = {r["__point"]: r["n"] for r in slim.groupBy("__point").agg(F.count(F.lit(1)).alias("n")).collect()}  # n_shards * points rows at most
+    slim = df.select(F.col(key), *keep, (F.octet_length(body) + 8).cast("long").alias("size"), F.crc32(body).alias("text_crc32"), F.xxhash64(key).alias(h))
+    slim = checkpointed(slim.withColumn(point, _point(F.col(h), [x for x, _ in nodes])).withColumn(row, F.monotonically_increasing_id()))
+    counts = {r[0]: r[1] for r in slim.groupBy(point).agg(F.count(F.lit(1)).alias(n)).collect()}  # n_shards * points rows at most
     ranges = walk(counts, [s for _, s in nodes], capacities(sum(counts.values()), n_shards, slack))
-    plan = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps([dict(zip(("__p", "__from", "__to", "shard", "__slot"), r, strict=True)) for r in ranges])), "array<struct<__p:int,__from:bigint,__to:bigint,shard:int,__slot:bigint>>")))
+    rows = [dict(zip(("p", "first", "last", "shard", "start"), r, strict=True)) for r in ranges]
+    plan = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), "array<struct<p:int,first:bigint,last:bigint,shard:int,start:bigint>>"))).toDF(p, first, last, "shard", start)
 
     slices = max(1, math.ceil(max(counts.values(), default=1) / slice_rows))
-    order = ["__hash", key, "text_crc32", "__row"]
+    order = [h, key, "text_crc32", row]
     if slices == 1:
-        ranked = slim.withColumn("__rank", F.row_number().over(Window.partitionBy("__point").orderBy(*order)) - 1)
+        ranked = slim.withColumn(rank, F.row_number().over(Window.partitionBy(point).orderBy(*order)) - 1)
     else:
-        # ranges of the whole order, so that ranks are those of one slice; __row only deals out rows that are alike
-        slim = checkpointed(slim.repartitionByRange(math.ceil(sum(counts.values()) / slice_rows), "__point", *order).withColumn("__slice", F.spark_partition_id()))
-        sizes = slim.groupBy("__point", "__slice").agg(F.count(F.lit(1)).alias("__n"))
-        before = Window.partitionBy("__point").orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
-        first = sizes.select("__point", "__slice", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-        within = F.row_number().over(Window.partitionBy("__point", "__slice").orderBy(*order)) - 1
-        ranked = slim.join(first, ["__point", "__slice"]).withColumn("__rank", within + F.col("__before"))
-    placed = ranked.join(F.broadcast(plan), (F.col("__point") == F.col("__p")) & (F.col("__rank") >= F.col("__from")) & (F.col("__rank") < F.col("__to")))
-    return placed.select(key, *keep, "size", "text_crc32", "shard", (F.col("__slot") + F.col("__rank") - F.col("__from")).cast("long").alias("slot"))
+        # ranges of the whole order, so that ranks are those of one slice; `row` only deals out rows that are alike
+        slim = checkpointed(slim.repartitionByRange(math.ceil(sum(counts.values()) / slice_rows), point, *order).withColumn(slice_, F.spark_partition_id()))
+        sizes = slim.groupBy(point, slice_).agg(F.count(F.lit(1)).alias(n))
+        earlier = Window.partitionBy(point).orderBy(slice_).rowsBetween(Window.unboundedPreceding, -1)
+        ahead = sizes.select(point, slice_, F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(before))
+        within = F.row_number().over(Window.partitionBy(point, slice_).orderBy(*order)) - 1
+        ranked = slim.join(ahead, [point, slice_]).withColumn(rank, within + F.col(before))
+    placed = ranked.join(F.broadcast(plan), (F.col(point) == F.col(p)) & (F.col(rank) >= F.col(first)) & (F.col(rank) < F.col(last)))
+    return placed.select(key, *keep, "size", "text_crc32", "shard", (F.col(start) + F.col(rank) - F.col(first)).cast("long").alias("slot"))

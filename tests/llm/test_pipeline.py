@@ -75,7 +75,7 @@ def test_redaction_changes_n_chars_only_there(spark):
     assert secrets.KINDS and jaccard.N_WORDS == 5
 
 
-CLASHING = ["found", "base", "p_good", "expected_grade", "key", "__key", "__hits", "hits", "before", "__token", "head", "set", "label", "ids", "grade", "Found_"]
+CLASHING = ["found", "base", "p_good", "expected_grade", "key", "__key", "__hits", "hits", "before", "__token", "head", "set", "label", "ids", "grade", "Found_", "__hash", "__Slot", "__row", "__point", "__rank", "__from", "__rest", "__hit0", "__hit1"]
 
 
 def test_columns_and_ids_of_any_kind_survive(spark, tmp_path):

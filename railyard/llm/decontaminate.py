@@ -7,8 +7,9 @@ Myers' bit-parallel algorithm for the smallest edit distance to any of its subst
 are hit more often; nothing is left out for that. Items of less than 1 / rate characters have no budget and must occur as
 they are.
 
-The items go to the workers in blocks of about `block_chars` characters, one pass over the documents for each block, with a
-checkpoint between two, so neither driver nor workers hold much more than a block. The result doesn't depend on the blocks.
+The items go to the workers in blocks of `block_chars` characters and less than one item more, as few as that takes: one pass
+over the documents for each block, with a checkpoint between two, so neither driver nor workers hold much more than a block.
+A worker keeps the matcher of its block from task to task. The result doesn't depend on the blocks.
 
 Cases: null texts, and items that have no id, no text or only white space, match nothing; items with the same text all
 match; several texts of one item id are matched each, and the best (distance, budget, end) counts; repeated documents are
@@ -19,6 +20,7 @@ side gives no matches.
 
 from __future__ import annotations
 
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -138,29 +140,40 @@ class Matcher:
 
 
 def blocks(benchmark: DataFrame, item_col: str, text_col: str, block_chars: int) -> Iterator[list[tuple[object, str]]]:
-    """The different items in blocks of at most block_chars characters (a longer item is a block of its own); blank ones, which cost none, stay out."""
+    """The different items in ceil(characters / block_chars) blocks at most: an item is in the block that its first character falls in, if all stand one behind the other; blank ones, which cost none, stay out."""
     given = benchmark.select(F.col(item_col).alias("item"), F.col(text_col).alias("text")).dropna().filter(F.trim("text") != "").distinct()
-    if (given.agg(F.sum(F.char_length("text"))).first()[0] or 0) <= block_chars:
+    total = given.agg(F.sum(F.char_length("text"))).first()[0] or 0
+    if total <= block_chars:
         yield [(r[0], r[1]) for r in given.collect()]
         return
-    part = F.pmod(F.xxhash64("item", "text"), F.lit(64))
-    before = F.sum(F.char_length("text")).over(Window.partitionBy("part").orderBy("item", "text"))
-    slices = checkpointed(given.withColumn("part", part).withColumn("slice", F.floor(before / block_chars)))
-    for r in slices.select("part", "slice").distinct().orderBy("part", "slice").collect():
-        yield [(x[0], x[1]) for x in slices.filter((F.col("part") == r[0]) & (F.col("slice") == r[1])).collect()]
+    # places within parts of about half a block, and the characters before each part
+    given = checkpointed(given.withColumn("part", F.pmod(F.xxhash64("item", "text"), F.lit(-(-2 * total // block_chars)))).withColumn("n", F.char_length("text")))
+    sizes = given.groupBy("part").agg(F.sum("n").alias("n"))
+    ahead = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("ahead"))  # two rows for each block
+    place = F.sum("n").over(Window.partitionBy("part").orderBy("item", "text")) - F.col("n") + F.col("ahead")
+    placed = checkpointed(given.join(F.broadcast(ahead), "part").withColumn("block", F.floor(place / block_chars)))
+    for r in placed.select("block").distinct().orderBy("block").collect():
+        yield [(x[0], x[1]) for x in placed.filter(F.col("block") == r[0]).select("item", "text").collect()]
+
+
+#: The matcher of this Python worker's block.
+_MATCHERS: dict[str, Matcher] = {}
 
 
 def _mark(docs: DataFrame, items: list[tuple[object, str]], kind: T.DataType, text_col: str, into: str, rate: float) -> DataFrame:
     """Adds the matches of one block of items, whose ids are of the kind: an array of (item_id, distance, budget, end)."""
-    shared = docs.sparkSession.sparkContext.broadcast(items)
+    shared, token = docs.sparkSession.sparkContext.broadcast(items), uuid.uuid4().hex
     at = docs.columns.index(text_col)
     match = T.StructType([T.StructField("item_id", kind), *(T.StructField(c, T.LongType()) for c in ("distance", "budget", "end"))])
     schema = T.StructType([*docs.schema.fields, T.StructField(into, T.ArrayType(match))])
     arrow = to_arrow_type(T.ArrayType(match))
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Matcher(shared.value, rate)
-        sole_cache()
+        sole_cache(_MATCHERS)
+        if token not in _MATCHERS:
+            _MATCHERS.clear()
+            _MATCHERS[token] = Matcher(shared.value, rate)
+        own = _MATCHERS[token]
         for batch in batches:
             hits = [[dict(zip(match.names, m, strict=True)) for m in own.matches(x)] for x in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hits, arrow)], names=schema.names)

@@ -88,3 +88,15 @@ def test_blank_items_are_in_no_block(spark):
     items = spark.createDataFrame([(k, x) for k, x in enumerate(["", " ", "   ", None, "ab", "cd "])], "item_id long, text string")
     for block_chars in (3, 100):
         assert sorted(x for b in de.blocks(items, "item_id", "text", block_chars) for x in b) == [(4, "ab"), (5, "cd ")]
+
+
+def test_as_few_blocks_as_it_takes(spark):
+    rnd = random.Random(4)
+    texts = ["".join(rnd.choices("abcdef ", k=rnd.randint(5, 80))) + "x" for _ in range(1000)]
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    total = sum(map(len, texts))
+    for block_chars in (total, total - 1, total // 2, total // 5, 300):
+        found = list(de.blocks(items, "item_id", "text", block_chars))
+        assert len(found) <= -(-total // block_chars)
+        assert all(sum(len(t) for _, t in b) < block_chars + 81 for b in found)
+        assert sorted(x for b in found for x in b) == sorted(enumerate(texts))

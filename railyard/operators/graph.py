@@ -57,18 +57,40 @@ def efficiency(distances: DataFrame, n: int) -> DataFrame:
     return distances.filter("d > 0").agg((F.coalesce(F.sum(1 / F.col("d")), F.lit(0.0)) / (n * (n - 1))).alias("efficiency"))
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, label): smallest node of each weakly connected component, by minimum labels with pointer jumping."""
-    both = cut(edges.select("i", "j").union(edges.select("j", "i")).distinct())
-    start = both.groupBy(F.col("i").alias("node")).agg(F.least(F.col("i"), F.min("j")).alias("label"))
+#: Rows of one key beyond which spread_join() doesn't send them to one task.
+HOT = 200_000
 
-    def one(state: DataFrame) -> DataFrame:
-        near = both.join(state.select(F.col("node").alias("j"), "label"), "j").groupBy(F.col("i").alias("node")).agg(F.min("label").alias("near"))
-        best = state.join(near, "node").select("node", F.least("label", "near").alias("label"))
-        further = best.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        return best.join(further, "label", "left").select("node", F.least("label", "next").alias("label"))
 
-    return until_stable(start, one, lambda a, b: a.join(b, ["node", "label"], "left_anti"))
+def spread_join(rows: DataFrame, one: DataFrame, key: str, how: str = "left", most: int = HOT) -> DataFrame:
+    """rows joined by key with a table that has one row for each key, however many rows a key has: rows of hot keys stay where they are and get theirs from a broadcast, of at most rows / most of them."""
+    hot = cut(rows.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > most).select(key))
+    if hot.isEmpty():
+        return rows.join(one, key, how)
+    told = rows.join(F.broadcast(hot.withColumn("__hot", F.lit(True))), key, "left")
+    spread = told.filter("__hot").drop("__hot").join(F.broadcast(one.join(F.broadcast(hot), key, "left_semi")), key, how)
+    return spread.unionByName(told.filter("__hot is null").drop("__hot").join(one, key, how))
+
+
+def components(edges: DataFrame, most: int = 10_000, hot: int = HOT) -> DataFrame:
+    """(node, label): smallest node of each weakly connected component, by stars in turn.
+
+    Edges lead from a larger node v to a smaller one p. Large stars: v goes to the smallest node next to p instead. Small
+    stars: v and all its p go to the smallest p. Neither changes what is connected, and when neither changes anything, each
+    component is a star around its smallest node. There are never more edges than at the start, and rows of one centre aren't
+    joined in one task.
+    """
+    ends = cut(edges.select(F.greatest("i", "j").alias("v"), F.least("i", "j").alias("p")).distinct())
+    nodes = ends.select(F.col("v").alias("node")).union(ends.select("p")).distinct()
+    least = lambda x, name: x.groupBy(F.col("v").alias(name)).agg(F.min("p").alias("m"))
+    state = cut(ends.filter("v > p"))
+    for _ in range(most):
+        large = cut(spread_join(state, least(state, "p"), "p", "left", hot).select("v", F.coalesce("m", "p").alias("p")).distinct())
+        told = spread_join(large, least(large, "v"), "v", "inner", hot)
+        new = cut(told.select("v", "m").union(told.filter("p > m").select("p", "m")).toDF("v", "p").distinct())
+        if new.count() == state.count() and state.join(new, ["v", "p"], "left_anti").isEmpty():
+            return nodes.join(state.withColumnRenamed("v", "node"), "node", "left").select("node", F.coalesce("p", "node").alias("label"))
+        state = new
+    raise NotConverged(f"components still changing after {most} rounds")
 
 
 def giant(edges: DataFrame) -> DataFrame:
@@ -216,6 +238,41 @@ def _shortest_in_tasks(edges: DataFrame, sources: DataFrame, carry: tuple[str, .
     return asked.repartition(spark.sparkContext.defaultParallelism, *carry, "source").mapInArrow(kernel, schema)
 
 
+def failures(edges: DataFrame, times: DataFrame, most: int = 10_000) -> DataFrame:
+    """(removed, source, node, before, t): the pairs whose way in shortest() goes through a node, with their times before and without it (null: there is no way). All other pairs of other nodes keep theirs.
+
+    times: shortest() of the edges (i, j, cost), with costs above 0. Pairs are found by going up the trees of ways, so there
+    are as many rows as the ways have nodes inside. They start from the border, ends of edges whose way is still there, and
+    are relaxed among themselves until nothing gets better.
+    """
+    edges = cut(edges.filter("i <> j").groupBy("i", "j").agg(F.min("cost").alias("cost")))
+    tree = times.filter("via is not null").select("source", "node", "via")
+    lost = front = cut(tree.filter("via <> source").withColumnRenamed("via", "removed"))
+    up = tree.select("source", F.col("node").alias("removed"), F.col("via").alias("next")).filter("next <> source")
+    d = 0
+    while not front.isEmpty():
+        d += 1
+        front = cut(front.join(up, ["source", "removed"]).select("source", "node", F.col("next").alias("removed")))
+        lost = cut(lost.unionByName(front)) if d % 8 == 0 else lost.unionByName(front)
+    lost = cut(lost)
+
+    keys = ["removed", "source", "node"]
+    ends = lost.join(edges.withColumnRenamed("j", "node"), "node").filter("i <> removed")
+    kept = ends.join(lost.select("removed", "source", F.col("node").alias("i")), ["removed", "source", "i"], "left_anti")
+    known = times.select("source", F.col("node").alias("i"), F.col("t").alias("from"))
+    best = front = cut(kept.join(known, ["source", "i"]).groupBy(*keys).agg(F.min(F.col("from") + F.col("cost")).alias("t")))
+    for _ in range(most):
+        if front.isEmpty():
+            before = times.select("source", "node", F.col("t").alias("before"))
+            return lost.join(before, ["source", "node"]).join(best, keys, "left").select(*keys, "before", "t")
+        further = front.withColumnRenamed("node", "i").join(edges, "i").select("removed", "source", F.col("j").alias("node"), (F.col("t") + F.col("cost")).alias("t"))
+        further = further.groupBy(*keys).agg(F.min("t").alias("t")).join(lost, keys, "left_semi")
+        old = best.select(*keys, F.col("t").alias("__old"))
+        front = cut(further.join(old, keys, "left").filter("__old is null or t < __old").drop("__old"))
+        best = cut(best.join(front, keys, "left_anti").unionByName(front))
+    raise NotConverged(f"times still getting better after {most} rounds")
+
+
 def path(times: DataFrame, source, target) -> list:
     """Nodes of the way from shortest(), [] if there is none; `via` of one source only is read."""
     own = {r["node"]: r["via"] for r in times.filter(F.col("source") == F.lit(source)).select("node", "via").collect()}

@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from railyard.functions import scalar
 from railyard.operators import edges, graph
 from railyard.fixpoint import cut
-from railyard.plans import chain, demand, layers, linenet, scenario, simulate
+from railyard.plans import chain, demand, layers, linenet, links, scenario, simulate
 from railyard.queries import tables as t
 from railyard.queries.chains import EQ, SP, WALK, event_chain, event_rates
 from railyard.queries.demand import times
@@ -127,19 +127,19 @@ def times_of(links):
     return cut(graph.shortest(links).filter("source <> node").select(F.col("source").alias("o"), F.col("node").alias("d"), "t"))
 
 
-def failed_times(links):
-    """(closed, o, d, t) without each of the hubs, all in one label-correcting run."""
-    nodes = links.select(F.col("i").alias("closed")).union(links.select("j")).distinct()
-    left = links.crossJoin(nodes).filter("i <> closed and j <> closed")
-    starts = nodes.crossJoin(nodes.select(F.col("closed").alias("source"))).filter("source <> closed")
-    return graph.shortest(left, starts, carry=("closed",)).filter("source <> node").select("closed", F.col("source").alias("o"), F.col("node").alias("d"), "t")
+def failure_sums(links, od):
+    """(o, d, t), and (k, before, after): sums of w / t over the pairs that don't touch a hub, with it and without it."""
+    tree = cut(graph.shortest(links))
+    base = tree.filter("source <> node").select(F.col("source").alias("o"), F.col("node").alias("d"), "t")
+    return base, scenario.after_failures(base, graph.failures(links, tree), od)
 
 
 @Q.add(f"WITH RECURSIVE {FAIL}, e0 AS (SELECT sum(w / t) / (SELECT sum(w) FROM ow) AS e FROM tt JOIN ow USING (o, d)), a AS (SELECT closed, sum(w / t) / (SELECT sum(w) FROM ow) AS e, sum(CASE WHEN o <> closed AND d <> closed THEN w / t END) AS n FROM ft JOIN ow USING (o, d) GROUP BY closed), b AS (SELECT k AS closed, sum(CASE WHEN o <> k AND d <> k THEN w / t END) AS n FROM tt JOIN ow USING (o, d), nd GROUP BY k) SELECT a.closed, round(1 - a.e / e0.e, 8) AS loss, round(1 - a.n / b.n, 8) AS network_loss FROM a JOIN b USING (closed), e0")
 def closure_loss(spark, sf_dir):
-    links = t.hub_graph(spark, sf_dir)
-    failed = failed_times(links).withColumn("scenario", F.lit("failure"))
-    return linenet.closure_loss(times_of(links), failed, weights(spark, sf_dir)).select("closed", R("loss"), R("network_loss"))
+    links, od = t.hub_graph(spark, sf_dir), weights(spark, sf_dir)
+    base, sums = failure_sums(links, od)
+    sums = sums.crossJoin(F.broadcast(base.join(od, ["o", "d"]).agg(F.sum(F.col("w") / F.col("t")).alias("all"))))
+    return sums.select(F.col("k").alias("closed"), F.round(1 - F.col("after") / F.col("all"), 8).alias("loss"), F.round(1 - F.col("after") / F.col("before"), 8).alias("network_loss"))
 
 
 # closed hubs of the open network: vehicles pass without stopping for passengers, or don't run there at all
@@ -166,7 +166,7 @@ VUL = FAIL + ", a AS (SELECT closed AS k, sum(w / t) AS n FROM ft JOIN ow USING
 
 def hub_vulnerability(spark, sf_dir, od=None):
     links = t.hub_graph(spark, sf_dir)
-    return scenario.vulnerability(times_of(links), failed_times(links).withColumnRenamed("closed", "k"), od if od is not None else weights(spark, sf_dir))
+    return scenario.vulnerability_of(failure_sums(links, od if od is not None else weights(spark, sf_dir))[1])
 
 
 @Q.add(f"WITH RECURSIVE {VUL} SELECT k, round(v, 8) AS v FROM v")
@@ -281,26 +281,23 @@ def corridor_candidates(spark, sf_dir):
 
 
 def link_scorer(spark, sf_dir):
-    """Links of the regional network with its candidates, as places in the list of nations."""
-    links = t.regional_graph(spark, sf_dir)
-    base, failed = times_of(links), failed_times(links)
+    """A scorer of the regional network's links with its candidates, as places in the list of nations."""
+    edges_ = t.regional_graph(spark, sf_dir)
+    tree = cut(graph.shortest(edges_))
+    base = tree.filter("source <> node").select(F.col("source").alias("o"), F.col("node").alias("d"), "t")
     names = sorted(r[0] for r in t.nation_points(spark, sf_dir).select("node").collect())  # places without edges may get links too
     at = {n: k for k, n in enumerate(names)}
     dense, w = dense_times(base, names, weights(spark, sf_dir))
-    own = {at[r["i"]]: np.full_like(dense, np.inf) for r in links.select("i").union(links.select("j")).distinct().collect()}
-    for r in failed.collect():  # a number for each pair and each of the nations
-        own[at[r["closed"]]][at[r["o"]], at[r["d"]]] = r["t"]
-    for m in own.values():
-        np.fill_diagonal(m, 0)
-    tried = [(at[r["a"]], at[r["b"]], r["c"]) for r in link_candidates(spark, sf_dir, links, base).orderBy("a", "b").collect()]
-    return scenario.Links(dense, own, w), tried, names
+    nodes = edges_.select(F.explode(F.array("i", "j")).alias("node")).distinct()
+    tried = [(at[r["a"]], at[r["b"]], r["c"]) for r in link_candidates(spark, sf_dir, edges_, base).orderBy("a", "b").collect()]
+    return links.Scorer(names, dense, w, cut(graph.failures(edges_, tree)), nodes), tried, names
 
 
 @Q.add()
 def greedy_links(spark, sf_dir):
-    """The three links that lower the regional network's risk most; each step's candidates are scored in tasks."""
+    """The three links that lower the regional network's risk most, one after the other."""
     scorer, tried, names = link_scorer(spark, sf_dir)
-    picked = scorer.greedy(tried, 3, scored_by=scenario.scorer_in_tasks(spark, scorer))
+    picked = scorer.best(tried, 3)
     return spark.createDataFrame([(n, names[a], names[b], float(c), float(j)) for n, ((a, b, c), j) in enumerate(picked)], "step int, a int, b int, c double, j double")
 
 
@@ -312,7 +309,7 @@ def link_risks(spark, sf_dir):
     """The risk of the regional network with each candidate, scored in tasks: its least is the first step of greedy_links."""
     scorer, tried, names = link_scorer(spark, sf_dir)
     rows = spark.createDataFrame([(n, names[a], names[b]) for n, (a, b, _) in enumerate(tried)], "id long, a int, b int")
-    return scenario.link_scores(spark, scorer, tried).join(rows, "id").select("a", "b", R("j"))
+    return scorer.singles(tried).join(rows, "id").select("a", "b", R("j"))
 
 
 @Q.add()
@@ -320,7 +317,7 @@ def link_pairs(spark, sf_dir):
     """The risk with each pair of candidates."""
     scorer, tried, names = link_scorer(spark, sf_dir)
     named = spark.createDataFrame([(n, f"{names[a]}-{names[b]}") for n, (a, b, _) in enumerate(tried)], "id long, link string")
-    pairs = scenario.pair_scores(spark, scorer, tried)
+    pairs = scorer.pairs(tried)
     return pairs.join(named.withColumnsRenamed({"id": "m", "link": "first"}), "m").join(named.withColumnsRenamed({"id": "n", "link": "second"}), "n").select("first", "second", R("j"))
 
 

@@ -112,28 +112,6 @@ def test_shortest_and_paths(spark):
     assert sorted(r.node for r in graph.giant(pieces).collect()) == [1, 2, 3]
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_links_are_what_recomputing_says(seed):
-    w = planar(10, seed)
-    base = floyd(w)
-    failed = {}
-    for k in range(10):
-        cut = w.copy()
-        cut[k], cut[:, k] = np.inf, np.inf
-        failed[k] = floyd(cut)
-        failed[k][k], failed[k][:, k], failed[k][k, k] = np.inf, np.inf, 0
-    mass = np.random.default_rng(seed).random(10)
-    own = scenario.Links(base, failed, np.outer(mass, mass))
-    more = w.copy()
-    more[1, 7] = more[7, 1] = min(w[1, 7], 5.0)
-    assert scenario.Links.add(base, 1, 7, 5.0) == pytest.approx(floyd(more))
-    links = [(a, b, 20.0) for a in range(10) for b in range(a + 1, 10) if not np.isfinite(w[a, b])][:8]
-    steps = own.greedy(links, 3)
-    js = [own.scores([])["j"], *(j for _, j in steps)]
-    assert all(b <= a + 1e-12 for a, b in zip(js, js[1:], strict=False))
-    assert own.pairs(links)[0] <= steps[1][1] + 1e-12
-
-
 def test_first_gains_and_lazy_greedy(spark):
     w = planar(12, 5)
     own = scenario.MinPlus(floyd(w), np.ones(12))

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from railyard import catalogue
-from railyard.plans import chain, linenet, simulate
+from railyard.plans import chain, linenet, links, simulate
 from railyard.queries import chains, demand, plans
 from railyard.queries import tables as t
 
@@ -119,13 +119,12 @@ def test_hub_class_of_all_customers(spark):
     assert {r.hub for r in catalogue.QUERIES["hub_class"](spark, SF).collect()} == names
 
 
-def test_greedy_links_has_no_prescreen(spark, monkeypatch):
-    from railyard.plans import scenario
-
-    asked, real = [], scenario.Links.greedy
-    monkeypatch.setattr(scenario.Links, "greedy", lambda self, rows, budget, prescreen=None, **more: asked.append(prescreen) or real(self, rows, budget, prescreen, **more))
-    catalogue.QUERIES["greedy_links"](spark, SF).collect()
-    assert asked == [None]
+def test_greedy_links_tries_every_candidate(spark, monkeypatch):
+    asked, real = [], links.Scorer.singles
+    monkeypatch.setattr(links.Scorer, "singles", lambda self, tried, fixed=(): asked.append(len(tried)) or real(self, tried, fixed))
+    steps = catalogue.QUERIES["greedy_links"](spark, SF).collect()
+    n = catalogue.QUERIES["link_risks"](spark, SF).count()
+    assert asked[:3] == [n, n - 1, n - 2] and [r.step for r in steps] == [0, 1, 2]
 
 
 def test_entry_without_a_dependency_of_the_training_data_part():

@@ -10,6 +10,7 @@ from railyard.functions import scalar
 from railyard.operators import edges, graph
 from railyard.fixpoint import cut
 from railyard.plans import chain, demand, layers, linenet, links, scenario, simulate
+from railyard.plans import lines as lines_of
 from railyard.queries import tables as t
 from railyard.queries.chains import EQ, SP, WALK, event_chain, event_rates
 from railyard.queries.demand import times
@@ -242,14 +243,20 @@ def dense_times(base, names, od):
     return scenario.matrix(base, names), w
 
 
-def line_gains(spark, sf_dir):
-    """(r, gain) of the regions' lines, each alone, from tasks that share the matrix."""
+def region_lines(spark, sf_dir):
+    """The network, and the regions' lines as candidates with prices."""
     base, od = times_of(t.hub_graph(spark, sf_dir)), weights(spark, sf_dir)
     names = sorted(r[0] for r in t.nation_points(spark, sf_dir).select("node").collect())
     at = F.element_at(F.create_map(*(F.lit(x) for pair in ((n, k) for k, n in enumerate(names)) for x in pair)), F.col("hub"))
     lines = line_stations(spark, sf_dir).groupBy("n_regionkey").agg(F.array_sort(F.collect_list(F.struct("cum", at.alias("at")))).alias("s"))
     lines = lines.select(F.col("n_regionkey").cast("long").alias("id"), F.transform("s", lambda x: x["at"]).alias("stations"), F.transform(F.slice("s", 1, F.size("s") - 1), lambda x: F.lit(2.0)).alias("seconds"), F.lit(3.0).alias("headway"))
-    return scenario.first_gains(scenario.MinPlus(*dense_times(base, names, od)), lines)
+    price = (5.0 + F.col("id")) * F.when(F.col("id") % 2 == 0, 10).otherwise(1)
+    return lines_of.Network(*dense_times(base, names, od)), lines.withColumn("price", price)
+
+
+def line_gains(spark, sf_dir):
+    """(id, gain) of the regions' lines, each alone, from tasks that share the matrix."""
+    return lines_of.gains(*region_lines(spark, sf_dir))
 
 
 @Q.add(f"WITH RECURSIVE {SP}{ODW}{TIMES}{LINES} SELECT CAST(r AS BIGINT) AS id, round(gain, 9) AS gain FROM gn")
@@ -268,6 +275,19 @@ def reranked_lines(spark, sf_dir):
     return layers.reranked(cut(own), [5.0, 20.0], 2)
 
 
+PICKED = """, p1 AS (SELECT r, gain FROM gn ORDER BY gain / ((5.0 + r) * CASE WHEN r % 2 = 0 THEN 10 ELSE 1 END) DESC, r LIMIT 1), t1 AS (SELECT o, d, t FROM nt JOIN p1 USING (r)), f1 AS (SELECT * FROM t1 UNION ALL SELECT DISTINCT o, o, 0.0 FROM (SELECT o FROM t1 UNION SELECT d FROM t1 UNION SELECT n_nationkey FROM nation)),
+n2 AS (SELECT r, o, d, min(t) AS t FROM (SELECT r, t1.* FROM t1, (SELECT DISTINCT r FROM st) UNION ALL SELECT ll.r, f.o, g.d, f.t + ll.c + g.t FROM ll JOIN f1 f ON f.d = ll.a JOIN f1 g ON g.o = ll.b WHERE f.o <> g.d) WHERE r NOT IN (SELECT r FROM p1) GROUP BY r, o, d),
+g2 AS (SELECT r, sum(w / t) / (SELECT e FROM e0) - 1 - (SELECT gain FROM p1) AS gain FROM n2 JOIN ow USING (o, d) GROUP BY r), p2 AS (SELECT r, gain FROM g2 ORDER BY gain / ((5.0 + r) * CASE WHEN r % 2 = 0 THEN 10 ELSE 1 END) DESC, r LIMIT 1)"""
+
+
+@Q.add(f"WITH RECURSIVE {SP}{ODW}{TIMES}{LINES}{PICKED} SELECT 0 AS step, CAST(r AS BIGINT) AS id, round(gain, 9) AS marginal, round(gain, 9) AS total FROM p1 UNION ALL SELECT 1, CAST(p2.r AS BIGINT), round(p2.gain, 9), round(p1.gain + p2.gain, 9) FROM p2, p1")
+def greedy_lines(spark, sf_dir):
+    """The two lines of most gain for their price, the second given the first."""
+    steps = lines_of.best_lines(*region_lines(spark, sf_dir), 2)
+    made = spark.createDataFrame([(x["step"], x["id"], x["marginal"], x["total"]) for x in steps], "step int, id long, marginal double, total double")
+    return made.select("step", "id", R("marginal", 9), R("total", 9))
+
+
 CORRIDOR_POINTS = f"{t.NP}, pt AS (SELECT node AS hub, radians(lon) * 6371000.0 * cos(radians(47.5)) AS x, radians(lat) * 6371000.0 AS y, n::DOUBLE AS weight FROM np JOIN (SELECT c_nationkey, count(*) AS n FROM customer GROUP BY c_nationkey) ON c_nationkey = node)"
 
 

@@ -112,24 +112,6 @@ def test_shortest_and_paths(spark):
     assert sorted(r.node for r in graph.giant(pieces).collect()) == [1, 2, 3]
 
 
-def test_first_gains_and_lazy_greedy(spark):
-    w = planar(12, 5)
-    own = scenario.MinPlus(floyd(w), np.ones(12))
-    lines = [((0, 5, 9), [60.0, 60.0]), ((1, 2), [30.0]), ((3, 8, 11), [20.0, 25.0]), ((4, 10), [15.0])]
-    frame = spark.createDataFrame([(n, list(s), t, 30.0) for n, (s, t) in enumerate(lines)], "id long, stations array<int>, seconds array<double>, headway double")
-    gains = {r.id: r.gain for r in scenario.first_gains(own, frame).collect()}
-    dense = [(s, scenario.line_costs(t, 30.0)) for s, t in lines]
-    assert [gains[n] for n in range(4)] == pytest.approx([own.gain(*x) for x in dense])
-    picked = scenario.greedy(own, dense, [1.0] * 4, 2)
-    fresh, best = scenario.MinPlus(floyd(w), np.ones(12)), []
-    for _ in range(2):
-        n = max((m for m in range(4) if m not in best), key=lambda m: fresh.gain(*dense[m]))
-        fresh.t = fresh.updated(*dense[n])
-        best.append(n)
-    assert [x["line"] for x in picked] == best and picked[-1]["total"] == pytest.approx(sum(x["marginal"] for x in picked))
-    assert len(scenario.greedy(scenario.MinPlus(floyd(w), np.ones(12)), dense, [1.0] * 4, 4, key=lambda n: n % 2)) == 2
-
-
 def test_largest_eigenvalues_and_failing_loops(spark):
     rng = np.random.default_rng(4)
     p = rng.random((300, 300)) ** 6 + 30 * np.eye(300)[rng.permutation(300)]

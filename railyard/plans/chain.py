@@ -234,25 +234,6 @@ def reachable(adjacent: np.ndarray, start: int = 0) -> np.ndarray:
     return seen
 
 
-def cesaro_limit(p: np.ndarray, doublings: int = 50) -> np.ndarray:
-    """Limit of the mean of I, P, P^2, ...: the mean over 2n powers is that over n, halved, and P^n times it. Rows are kept at 1."""
-    power, mean = stochastic(p), np.eye(len(p))
-    for _ in range(doublings):
-        mean, power = stochastic((mean + power @ mean) / 2), stochastic(power @ power)
-    return mean
-
-
-def stationary_limit(chain: DataFrame) -> DataFrame:
-    """(mode, node, pi): what stationary() tends to, also of periodic and reducible chains. One task for each mode."""
-    kinds = {c: chain.schema[c].dataType.simpleString() for c in ("mode", "i")}
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        p, names = dense(pdf)
-        return pd.DataFrame({"mode": pdf["mode"].iloc[0], "node": names, "pi": cesaro_limit(p).mean(0)})
-
-    return chain.select("mode", "i", "j", "p").groupBy("mode").applyInPandas(one, f"mode {kinds['mode']}, node {kinds['i']}, pi double")
-
-
 def irreducible(p: np.ndarray) -> bool:
     if len(p) <= 1:
         return True

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from railyard.operators import graph
-from railyard.plans import chain
+from railyard.plans import chain, stationary
 from railyard.queries import tables as t
 from railyard.registry import Registry
 
@@ -68,12 +68,12 @@ LIMIT = EK + limit_sql()
 
 @Q.add(f"WITH {LIMIT} SELECT node, round(pi, 8) AS pi FROM pi")
 def stationary_cesaro(spark, sf_dir):
-    return chain.stationary_limit(event_chain(spark, sf_dir)).select("node", R("pi"))
+    return stationary.limit(event_chain(spark, sf_dir)).select("node", R("pi"))
 
 
 @Q.add(f"WITH {LIMIT}{EM} SELECT node, round(pi / sum(pi / mu) OVER (), 8) AS flux FROM pi JOIN em ON node = em.i")
 def departure_flux(spark, sf_dir):
-    return chain.departure_flux(chain.stationary_limit(event_chain(spark, sf_dir)), event_rates(spark, sf_dir)).select("node", R("flux"))
+    return chain.departure_flux(stationary.limit(event_chain(spark, sf_dir)), event_rates(spark, sf_dir)).select("node", R("flux"))
 
 
 @Q.add(f"WITH {t.LV}, served AS (SELECT DISTINCT mode, stop FROM lv), pop AS (SELECT c_nationkey, sum(c_acctbal) AS n FROM customer GROUP BY c_nationkey) SELECT mode, stop AS node, round(coalesce(n, 0) / count(*) OVER (PARTITION BY stop), 6) AS n FROM served LEFT JOIN pop ON c_nationkey = stop")

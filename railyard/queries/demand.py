@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
+from railyard.fixpoint import cut
 from railyard.functions import scalar
 from railyard.operators import graph, order, spatial, stats
 from railyard.plans import demand
@@ -159,6 +160,24 @@ def mean_od_time(spark, sf_dir, links=t.hub_graph):
     return demand.mean_time(demand.production(tt, origins(spark, sf_dir).drop("k"), attractions(spark, sf_dir).drop("l"), 0.02), tt).select(R("mean"))
 
 
+def _mean_sql(beta: str, more: str = "", keys: str = "") -> str:
+    """Mean time of the production model; keys are carried along."""
+    return f"SELECT {keys}sum(made * m) / sum(made) AS m FROM (SELECT {keys}o, made, sum(drawn * exp(-{beta} * t) * t) / sum(drawn * exp(-{beta} * t)) AS m FROM pr{more} GROUP BY {keys}o, made)" + (f" GROUP BY {keys[:-2]}" if keys else "")
+
+
+BISECTED = OD + f""", pr AS MATERIALIZED (SELECT o, d, t, made, drawn FROM tt JOIN ad USING (d) JOIN og USING (o)), tg AS MATERIALIZED (SELECT (a.m + b.m) / 2 AS target FROM ({_mean_sql('1e-5::DOUBLE')}) a, ({_mean_sql('0.02::DOUBLE')}) b),
+bs AS (SELECT 0 AS k, ln(1e-5::DOUBLE) AS a, ln(0.02::DOUBLE) AS b UNION ALL SELECT k + 1, CASE WHEN m > target THEN (a + b) / 2 ELSE a END, CASE WHEN m > target THEN b ELSE (a + b) / 2 END FROM ({_mean_sql('exp((a + b) / 2)', ', bs', 'k, a, b, ')}), tg WHERE k < 44)"""
+
+
+@Q.add(f"WITH RECURSIVE {BISECTED} SELECT round(target, 6) AS target, round(exp((a + b) / 2), 10) AS beta FROM bs, tg WHERE k = 44")
+def calibrated_beta(spark, sf_dir, links=t.hub_graph):
+    """The deterrence for which the mean time is half way between those of nearly none and of a strong one."""
+    tt, og, ad = cut(times(spark, sf_dir, links)), cut(origins(spark, sf_dir).drop("k")), cut(attractions(spark, sf_dir).drop("l"))
+    target = sum(demand.mean_times(tt, og, ad, [1e-5, 0.02])) / 2
+    beta = demand.calibrate_beta(tt, og, ad, target, steps=44)
+    return spark.createDataFrame([(target, beta)], "target double, beta double").select(R("target"), R("beta", 10))
+
+
 @Q.add("WITH v AS (SELECT c_nationkey AS node, count(*)::DOUBLE AS w FROM customer GROUP BY c_nationkey), od AS (SELECT a.node AS o, b.node AS d, a.w * b.w AS w FROM v a, v b WHERE a.node <> b.node), e AS (SELECT o AS node, w / 2 AS w FROM od UNION ALL SELECT d, w / 2 FROM od) SELECT node, round(sum(w), 4) AS w FROM e GROUP BY node")
 def od_normal_form(spark, sf_dir):
     v = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("node")).agg(F.count(F.lit(1)).cast("double").alias("w"))

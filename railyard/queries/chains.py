@@ -185,11 +185,22 @@ def removal_scores(spark, sf_dir):
     return chain.removals(event_chain(spark, sf_dir))
 
 
-@Q.add()
+def gap_sql(squarings: int = 20, doublings: int = 30) -> str:
+    """gp: 1 less the second modulus of each mode's hub chain lk. Rows of a high power are the law pi; without them (d = p - pi), norms of powers grow by that modulus. Powers are squared and kept at a largest entry of 1, whose logarithm is carried in s."""
+    out = t.LE + ", lw AS (SELECT mode, i, j, exp(-(tau_s - min(tau_s) OVER (PARTITION BY mode, i)) / 24) AS w FROM le), lk AS MATERIALIZED (SELECT mode, i, j, w / sum(w) OVER (PARTITION BY mode, i) AS p FROM lw), ln AS (SELECT mode, i AS node FROM lk UNION SELECT mode, j FROM lk), q0 AS (SELECT * FROM lk)"
+    for k in range(squarings):
+        out += f", q{k + 1} AS MATERIALIZED (SELECT mode, i, j, s / sum(s) OVER (PARTITION BY mode, i) AS p FROM (SELECT a.mode, a.i, b.j, sum(a.p * b.p) AS s FROM q{k} a JOIN q{k} b ON a.mode = b.mode AND a.j = b.i GROUP BY a.mode, a.i, b.j))"
+    out += f", lp2 AS (SELECT mode, j, avg(p) AS pi FROM q{squarings} GROUP BY mode, j), d0 AS MATERIALIZED (SELECT a.mode, a.node AS i, b.node AS j, coalesce(p, 0) - coalesce(pi, 0) AS x, 0.0::DOUBLE AS s FROM ln a JOIN ln b ON a.mode = b.mode LEFT JOIN lk ON lk.mode = a.mode AND lk.i = a.node AND lk.j = b.node LEFT JOIN lp2 ON lp2.mode = b.mode AND lp2.j = b.node)"
+    for k in range(doublings):
+        out += f", d{k + 1} AS MATERIALIZED (SELECT mode, i, j, x / c AS x, 2 * s + ln(c) AS s FROM (SELECT *, max(abs(x)) OVER (PARTITION BY mode) AS c FROM (SELECT a.mode, a.i, b.j, sum(a.x * b.x) AS x, max(a.s) AS s FROM d{k} a JOIN d{k} b ON a.mode = b.mode AND a.j = b.i GROUP BY a.mode, a.i, b.j)))"
+    return out + f", gp AS (SELECT mode, 1 - exp(max(s) / {2**doublings}.0::DOUBLE) AS gap FROM d{doublings} GROUP BY mode)"
+
+
+@Q.add(f"WITH {gap_sql()} SELECT mode, round(gap, 7) AS gap FROM gp")
 def chain_gaps(spark, sf_dir):
     """Spectral gap of each mode's hub chain."""
     edges = t.line_edges(spark, sf_dir).withColumn("cost", F.col("tau_s"))
-    return chain.diagnostics(chain.kernel(edges, 1 / 24)).select("mode", "gap")
+    return chain.diagnostics(chain.kernel(edges, 1 / 24)).select("mode", R("gap", 7))
 
 
 GRID = [0.25, 0.5, 1.0]

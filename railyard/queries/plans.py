@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -313,15 +315,27 @@ def link_scorer(spark, sf_dir):
     return links.Scorer(names, dense, w, cut(graph.failures(edges_, tree)), nodes), tried, names
 
 
-@Q.add()
+RISKS = f"{RSP}{ODW}{FAILED}, {t.NP}{LACKING}{INSERTED}, ff AS (SELECT * FROM ft UNION ALL SELECT k, o, o, 0.0 FROM nd, (SELECT DISTINCT o FROM fu) WHERE o <> k), fn AS (SELECT a, b, closed, o, d, min(t) AS t FROM (SELECT bo.a, bo.b, f.closed, f.o, g.d, f.t + bo.c + g.t AS t FROM bo JOIN ff f ON f.d = bo.p JOIN ff g ON g.o = bo.q AND g.closed = f.closed WHERE f.o <> g.d AND f.closed NOT IN (bo.a, bo.b) UNION ALL SELECT cd.a, cd.b, closed, o, d, t FROM ft, cd) GROUP BY a, b, closed, o, d), aw AS (SELECT a, b, closed AS k, sum(w / t) AS n FROM fn JOIN ow USING (o, d) GROUP BY a, b, closed), bw AS (SELECT a, b, k, sum(w / t) AS n FROM nt JOIN ow USING (o, d), nd WHERE o <> k AND d <> k GROUP BY a, b, k), vv AS (SELECT a, b, k, 1 - coalesce(aw.n / bw.n, 0) AS v FROM bw LEFT JOIN aw USING (a, b, k)), js AS (SELECT a, b, 0.5 * avg(v) + 0.5 * max(v) AS j FROM vv GROUP BY a, b)"
+
+
+def greedy_sql(steps: int) -> str:
+    """The best of all candidates, put into the times of the whole network and of each failure; then the best of those left, and so on."""
+    begin = RISKS.index(INSERTED)
+    out, told = RISKS[:begin], []
+    for k in range(steps):
+        own = re.sub(r"\b(fu|bo|nt|ff|fn|aw|bw|vv|js|tt|ft|cd)\b", rf"\g<1>{k or ''}", RISKS[begin:])
+        at = k or ""
+        out += f"{own}, be{k} AS (SELECT a, b, c, j FROM js{at} JOIN cd{at} USING (a, b) ORDER BY round(j, 12), a, b LIMIT 1), tt{k + 1} AS (SELECT o, d, t FROM nt{at} JOIN be{k} USING (a, b)), ft{k + 1} AS (SELECT closed, o, d, t FROM fn{at} JOIN be{k} USING (a, b)), cd{k + 1} AS (SELECT cd{at}.* FROM cd{at} ANTI JOIN be{k} USING (a, b))"
+        told.append(f"SELECT {k} AS step, a, b, round(c, 8) AS c, round(j, 8) AS j FROM be{k}")
+    return f"{out} {' UNION ALL '.join(told)}"
+
+
+@Q.add(f"WITH RECURSIVE {greedy_sql(3)}")
 def greedy_links(spark, sf_dir):
     """The three links that lower the regional network's risk most, one after the other."""
     scorer, tried, names = link_scorer(spark, sf_dir)
     picked = scorer.best(tried, 3)
-    return spark.createDataFrame([(n, names[a], names[b], float(c), float(j)) for n, ((a, b, c), j) in enumerate(picked)], "step int, a int, b int, c double, j double")
-
-
-RISKS = f"{RSP}{ODW}{FAILED}, {t.NP}{LACKING}{INSERTED}, ff AS (SELECT * FROM ft UNION ALL SELECT k, o, o, 0.0 FROM nd, (SELECT DISTINCT o FROM fu) WHERE o <> k), fn AS (SELECT a, b, closed, o, d, min(t) AS t FROM (SELECT bo.a, bo.b, f.closed, f.o, g.d, f.t + bo.c + g.t AS t FROM bo JOIN ff f ON f.d = bo.p JOIN ff g ON g.o = bo.q AND g.closed = f.closed WHERE f.o <> g.d AND f.closed NOT IN (bo.a, bo.b) UNION ALL SELECT cd.a, cd.b, closed, o, d, t FROM ft, cd) GROUP BY a, b, closed, o, d), aw AS (SELECT a, b, closed AS k, sum(w / t) AS n FROM fn JOIN ow USING (o, d) GROUP BY a, b, closed), bw AS (SELECT a, b, k, sum(w / t) AS n FROM nt JOIN ow USING (o, d), nd WHERE o <> k AND d <> k GROUP BY a, b, k), vv AS (SELECT a, b, k, 1 - coalesce(aw.n / bw.n, 0) AS v FROM bw LEFT JOIN aw USING (a, b, k)), js AS (SELECT a, b, 0.5 * avg(v) + 0.5 * max(v) AS j FROM vv GROUP BY a, b)"
+    return spark.createDataFrame([(n, names[a], names[b], float(c), float(j)) for n, ((a, b, c), j) in enumerate(picked)], "step int, a int, b int, c double, j double").select("step", "a", "b", R("c"), R("j"))
 
 
 @Q.add(f"WITH RECURSIVE {RISKS} SELECT a, b, round(j, 8) AS j FROM js")

@@ -150,3 +150,20 @@ def package_effect(evaluate: Callable[[Sequence], float], lines: Sequence) -> di
     alone = [evaluate([x]) - base for x in lines]
     together = evaluate(list(lines)) - base
     return {"together": together, "alone": alone, "interaction": together / sum(alone) if sum(alone) else float("nan")}
+
+
+def evaluation(base: DataFrame, alone: DataFrame, package: DataFrame, od: DataFrame) -> DataFrame:
+    """(variant, line, gain, rank, worst, together, interaction) of the lines of a plan under each way to weigh pairs.
+
+    gain: what the line alone adds to the efficiency; rank: its place by that under the variant, worst: its last place under
+    any; together: what all lines add, interaction: that over the sum of their gains (above 1: they help one another).
+    base, package: (o, d, t) without lines and with all of them; alone: (line, o, d, t); od: (variant, o, d, w).
+    """
+    value = lambda times, *keys: times.join(od, ["o", "d"]).groupBy("variant", *keys).agg(F.sum(F.try_divide(F.col("w"), F.col("t"))).alias("e"))
+    now, then = value(base).withColumnRenamed("e", "e0"), value(package).withColumnRenamed("e", "all")
+    own = value(alone, "line").join(now, "variant").withColumn("gain", F.col("e") / F.col("e0") - 1)
+    ranked = own.withColumn("rank", F.row_number().over(Window.partitionBy("variant").orderBy(F.desc(F.round("gain", 12)), "line")))  # a row for each line of the plan; gains alike but for rounding are ties
+    worst = ranked.groupBy("line").agg(F.max("rank").alias("worst"))
+    sums = own.groupBy("variant").agg(F.sum("gain").alias("__sum")).join(then, "variant").join(now, "variant")
+    sums = sums.select("variant", (F.col("all") / F.col("e0") - 1).alias("together"), F.try_divide(F.col("all") / F.col("e0") - 1, F.col("__sum")).alias("interaction"))
+    return ranked.join(worst, "line").join(sums, "variant").select("variant", "line", "gain", "rank", "worst", "together", "interaction")

@@ -277,6 +277,30 @@ def reranked_lines(spark, sf_dir):
     return layers.reranked(cut(own), [5.0, 20.0], 2)
 
 
+VARIANTS = ", vw AS (SELECT 'customers' AS variant, c_nationkey AS node, count(*)::DOUBLE AS w FROM customer GROUP BY c_nationkey UNION ALL SELECT 'suppliers', s_nationkey, count(*) FROM supplier GROUP BY s_nationkey UNION ALL SELECT 'alike', n_nationkey, 1 FROM nation), vo AS (SELECT a.variant, a.node AS o, b.node AS d, a.w * b.w AS w FROM vw a JOIN vw b ON a.variant = b.variant AND a.node <> b.node), u0 AS (SELECT * FROM tt)"
+for _r in range(5):  # one line after the other
+    VARIANTS += f", f{_r} AS (SELECT * FROM u{_r} UNION ALL SELECT n_nationkey, n_nationkey, 0.0 FROM nation), u{_r + 1} AS MATERIALIZED (SELECT o, d, min(t) AS t FROM (SELECT * FROM u{_r} UNION ALL SELECT f.o, g.d, f.t + ll.c + g.t FROM ll JOIN f{_r} f ON f.d = ll.a JOIN f{_r} g ON g.o = ll.b WHERE f.o <> g.d AND ll.r = {_r}) GROUP BY o, d)"
+VARIANTS += ", v0 AS (SELECT variant, sum(w / t) AS e0 FROM tt JOIN vo USING (o, d) GROUP BY variant), v1 AS (SELECT variant, r AS line, sum(w / t) / max(e0) - 1 AS gain FROM nt JOIN vo USING (o, d) JOIN v0 USING (variant) GROUP BY variant, r), v2 AS (SELECT *, row_number() OVER (PARTITION BY variant ORDER BY round(gain, 12) DESC, line) AS rank FROM v1), v3 AS (SELECT variant, sum(w / t) / max(e0) - 1 AS together FROM u5 JOIN vo USING (o, d) JOIN v0 USING (variant) GROUP BY variant)"
+
+
+@Q.add(f"WITH RECURSIVE {SP}{ODW}{TIMES}{LINES}{VARIANTS} SELECT variant, line, round(gain, 9) AS gain, CAST(rank AS INTEGER) AS rank, CAST(max(rank) OVER (PARTITION BY line) AS INTEGER) AS worst, round(together, 9) AS together, round(together / sum(gain) OVER (PARTITION BY variant), 7) AS interaction FROM v2 JOIN v3 USING (variant)")
+def plan_evaluation(spark, sf_dir):
+    """The regions' lines alone and together, with pairs weighed by customers, by suppliers and alike."""
+    links_ = cut(scenario.line_links(line_stations(spark, sf_dir).withColumnRenamed("n_regionkey", "line"), 3.0, ["line"]))
+    base = times_of(t.hub_graph(spark, sf_dir))
+    package = base
+    for line in sorted(r[0] for r in links_.select("line").distinct().collect()):  # the lines of the plan
+        package = cut(scenario.insert_line(package, links_.filter(F.col("line") == line).drop("line")))
+    count = lambda name, key: table(spark, sf_dir, name).groupBy(F.col(key).alias("node")).agg(F.count(F.lit(1)).cast("double").alias("w"))
+    weighed = {"customers": count("customer", "c_nationkey"), "suppliers": count("supplier", "s_nationkey"), "alike": t.nation_points(spark, sf_dir).select("node", F.lit(1.0).alias("w"))}
+    od = None
+    for name, vector in weighed.items():
+        own = demand.od_from_vector(vector).withColumn("variant", F.lit(name))
+        od = own if od is None else od.unionByName(own)
+    made = layers.evaluation(base, scenario.insert_line(base, links_, ["line"]), package, cut(od))
+    return made.select("variant", "line", R("gain", 9), "rank", "worst", R("together", 9), R("interaction", 7))
+
+
 PICKED = """, p1 AS (SELECT r, gain FROM gn ORDER BY gain / ((5.0 + r) * CASE WHEN r % 2 = 0 THEN 10 ELSE 1 END) DESC, r LIMIT 1), t1 AS (SELECT o, d, t FROM nt JOIN p1 USING (r)), f1 AS (SELECT * FROM t1 UNION ALL SELECT DISTINCT o, o, 0.0 FROM (SELECT o FROM t1 UNION SELECT d FROM t1 UNION SELECT n_nationkey FROM nation)),
 n2 AS (SELECT r, o, d, min(t) AS t FROM (SELECT r, t1.* FROM t1, (SELECT DISTINCT r FROM st) UNION ALL SELECT ll.r, f.o, g.d, f.t + ll.c + g.t FROM ll JOIN f1 f ON f.d = ll.a JOIN f1 g ON g.o = ll.b WHERE f.o <> g.d) WHERE r NOT IN (SELECT r FROM p1) GROUP BY r, o, d),
 g2 AS (SELECT r, sum(w / t) / (SELECT e FROM e0) - 1 - (SELECT gain FROM p1) AS gain FROM n2 JOIN ow USING (o, d) GROUP BY r), p2 AS (SELECT r, gain FROM g2 ORDER BY gain / ((5.0 + r) * CASE WHEN r % 2 = 0 THEN 10 ELSE 1 END) DESC, r LIMIT 1)"""

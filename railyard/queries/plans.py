@@ -36,17 +36,18 @@ SOURCE = ", so AS (SELECT 'H' || i AS state, sum(freq) / sum(sum(freq)) OVER ()
 
 def line_network(spark, sf_dir) -> linenet.LineNetwork:
     mode = F.expr("CAST(substr(mode, 1, 1) AS INT)")
-    visits = t.line_visits(spark, sf_dir).withColumn("mode", mode)
-    pairs = edges.consecutive(visits, t.LINE_ORDER)
+    visits = cut(t.line_visits(spark, sf_dir).withColumn("mode", mode).repartition("trip"))  # read, joined and dealt by trip once
+    pairs = cut(edges.consecutive(visits, t.LINE_ORDER))
     key = ["mode", "i", "j"]
     stats = pairs.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.greatest(F.median("tau_s"), F.lit(20.0)).alias("tau_s"), F.greatest(F.median("dist_m") * 100, F.lit(50.0)).alias("dist_m"))
     cv2 = edges.headway_irregularity(pairs, key).select(*key, "cv2")
     place = t.nation_points(spark, sf_dir)
     at = lambda end: place.select(F.col("node").alias(end), F.col("lat").alias(f"lat_{end}"), F.col("lon").alias(f"lon_{end}"))
     own = stats.join(cv2, key).join(F.broadcast(at("i")), "i").join(F.broadcast(at("j")), "j")
-    segments = own.select(F.concat_ws("|", *key).alias("seg"), F.col("mode").cast("string").alias("route"), "mode", F.col("i").alias("from_hub"), F.col("j").alias("to_hub"), "lat_i", "lon_i", "lat_j", "lon_j", "n", (F.col("n") / 7200.0).alias("freq"), "cv2", "tau_s", "dist_m")
+    segments = cut(own.select(F.concat_ws("|", *key).alias("seg"), F.col("mode").cast("string").alias("route"), "mode", F.col("i").alias("from_hub"), F.col("j").alias("to_hub"), "lat_i", "lon_i", "lat_j", "lon_j", "n", (F.col("n") / 7200.0).alias("freq"), "cv2", "tau_s", "dist_m"))
     going = edges.continuation(visits, t.LINE_ORDER).filter("k is not null")
     succ = going.select(F.concat_ws("|", "route", "i", "j").alias("seg"), F.concat_ws("|", "route", "j", "k").alias("next"), "share").join(segments.select(F.col("seg").alias("next")), "next", "left_semi").select("seg", "next", "share")
+    succ = cut(succ)
     hubs = place.join(pairs.select(F.explode(F.array("i", "j")).alias("node")).distinct(), "node", "left_semi").select(F.col("node").alias("hub"), F.col("node").cast("string").alias("name"), "lat", "lon")
     return linenet.LineNetwork(hubs, segments, succ, 7200.0)
 

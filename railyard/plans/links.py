@@ -24,11 +24,12 @@ Link = tuple[int, int, float]
 
 def shortened(t: np.ndarray, link: Link) -> Iterator[tuple[tuple, np.ndarray]]:
     """(places, new times) of the parts of a matrix in which the link can shorten a way; no pair is in both."""
+    c = link[2]
     for a, b in (link[:2], link[1::-1]):
-        rows, columns = np.flatnonzero(t[:, a] + link[2] < t[:, b]), np.flatnonzero(t[b] + link[2] < t[a])
-        if len(rows) and len(columns):
-            at = np.ix_(rows, columns)
-            yield at, np.minimum(t[at], t[rows, a, None] + link[2] + t[None, b, columns])
+        rows = (t[:, a] + c < t[:, b]).nonzero()[0]
+        if len(rows) and len(columns := (t[b] + c < t[a]).nonzero()[0]):
+            at = rows[:, None], columns
+            yield at, np.minimum(t[at], (t[rows, a] + c)[:, None] + t[b, columns])
 
 
 def with_link(t: np.ndarray, link: Link) -> np.ndarray:
@@ -38,17 +39,17 @@ def with_link(t: np.ndarray, link: Link) -> np.ndarray:
     return out
 
 
-def value(t: np.ndarray, w: np.ndarray) -> float:
-    return float(np.divide(w, t, out=np.zeros_like(w), where=t > 0).sum())
+def values(t: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """w / t, 0 where there is no time."""
+    return np.divide(w, t, out=np.zeros_like(w), where=t > 0)
 
 
-def gain(t: np.ndarray, w: np.ndarray, link: Link) -> float:
-    """What the link adds to value(t, w)."""
+def gain(t: np.ndarray, w: np.ndarray, now: np.ndarray, link: Link) -> float:
+    """What the link adds to the sum of values(t, w), which are `now`."""
     total = 0.0
     for at, new in shortened(t, link):
-        part = w[at]
-        total += value(new, part) - value(t[at], part)
-    return total
+        total += values(new, w[at]).sum() - now[at].sum()
+    return float(total)
 
 
 class Node:
@@ -58,15 +59,16 @@ class Node:
         w = w.copy()
         w[k], w[:, k] = 0, 0
         self.k, self.t, self.m, self.w = k, t, without, w
-        self.before, self.after = value(t, w), value(without, w)
+        self.now, self.then = values(t, w), values(without, w)
+        self.before, self.after = float(self.now.sum()), float(self.then.sum())
 
     def given(self, link: Link) -> Node:
         """With the link there; one of the failed node goes with it."""
         return Node(self.k, with_link(self.t, link), self.m if self.k in link[:2] else with_link(self.m, link), self.w)
 
     def v(self, link: Link) -> float:
-        before = self.before + gain(self.t, self.w, link)
-        after = self.after + (0.0 if self.k in link[:2] else gain(self.m, self.w, link))
+        before = self.before + gain(self.t, self.w, self.now, link)
+        after = self.after + (0.0 if self.k in link[:2] else gain(self.m, self.w, self.then, link))
         return 1 - after / before if before > 0 else 1.0
 
 

@@ -112,7 +112,10 @@ class Scorer:
                 out.append(pd.DataFrame({"m": a, "n": np.arange(a + 1, len(links)), "v": [with_first.v(x) for x in links[a + 1 :]]}, columns=["m", "n", "v"]))
             return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"m": np.zeros(0, int), "n": np.zeros(0, int), "v": np.zeros(0)})
 
-        rows = self.nodes.select("node").distinct().groupBy("node").cogroup(self.changes.select("removed", "source", F.col("node").alias("node"), "t").groupBy("removed"))
+        # a count of partitions that is given: adaptive execution would gather these few rows, which are a lot of work, in one task
+        parts = 4 * self.nodes.sparkSession.sparkContext.defaultParallelism
+        changes = self.changes.select("removed", "source", F.col("node").alias("node"), "t").repartition(parts, "removed")
+        rows = self.nodes.select("node").distinct().repartition(parts, "node").groupBy("node").cogroup(changes.groupBy("removed"))
         return rows.applyInPandas(one, "m long, n long, v double").groupBy("m", "n").agg((self.alpha * F.avg("v") + (1 - self.alpha) * F.max("v")).alias("j"))
 
     def singles(self, links: Sequence[Link], fixed: Sequence[Link] = ()) -> DataFrame:

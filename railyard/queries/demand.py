@@ -88,8 +88,7 @@ def hubs(spark, sf_dir):
 
 
 def candidates(spark, sf_dir):
-    pairs = spatial.within(cells(spark, sf_dir), hubs(spark, sf_dir), 300.0, ["cell", "people"], ["hub", "class"])
-    return spatial.nearest(pairs, "cell", 3, "hub", ["class"])
+    return spatial.nearest_within(cells(spark, sf_dir), hubs(spark, sf_dir), 300.0, "cell", 3, "hub", ["people"], ["class"])
 
 
 @Q.add(f"WITH {CELLS} SELECT cell, hub, class, CAST(rank AS INTEGER) AS rank, round(dist, 6) AS dist FROM knn")

@@ -108,7 +108,9 @@ def logit_access(spark, sf_dir):
 
 @Q.add(f"WITH {CELLS} SELECT round(coalesce(sum(people), 0.0), 4) AS uncovered FROM cells WHERE cell NOT IN (SELECT cell FROM knn)")
 def uncovered_people(spark, sf_dir):
-    return demand.uncovered(cells(spark, sf_dir), candidates(spark, sf_dir)).select(R("uncovered", 4))
+    own = cells(spark, sf_dir)
+    one = spatial.nearest_within(own, hubs(spark, sf_dir), 300.0, "cell", 1, "hub")  # of any class
+    return demand.uncovered(own, one).select(R("uncovered", 4))
 
 
 OD = SP + ", tt AS (SELECT source AS o, node AS d, t FROM sp WHERE source <> node), og AS (SELECT c_nationkey AS o, sum(greatest(c_acctbal, 0.0)) / 1000 AS made, min(n_regionkey) AS k FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY c_nationkey), ad AS (SELECT s_nationkey AS d, sum(greatest(s_acctbal, 0.0)) / 1000 AS drawn, min(n_regionkey) AS l FROM supplier JOIN nation ON n_nationkey = s_nationkey GROUP BY s_nationkey)"

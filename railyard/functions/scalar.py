@@ -74,9 +74,13 @@ def hungarian_grid(lat, lon) -> tuple[Column, Column]:
 
 def seconds_of(time) -> Column:
     """Seconds of HH:MM:SS, hours beyond 24 included; null if it isn't one."""
-    parts = F.split(F.trim(_c(time)), ":")
-    value = [F.get(parts, F.lit(k)).try_cast("double") for k in range(3)]
-    return F.when(F.size(parts) == 3, value[0] * 3600 + value[1] * 60 + value[2])
+
+    def seconds(parts: Column) -> Column:
+        value = [F.get(parts, F.lit(k)).try_cast("double") for k in range(3)]
+        return F.when(F.size(parts) == 3, value[0] * 3600 + value[1] * 60 + value[2])
+
+    # the text may be an expression that costs much: it stands here once
+    return F.get(F.transform(F.array(F.split(F.trim(_c(time)), ":")), seconds), F.lit(0))
 
 
 def parent_or_self(stop, parent) -> Column:

@@ -52,7 +52,8 @@ def build(feed: Feed, window: tuple[float, float] = (25200.0, 32400.0), kappa: d
     visits = visits.dropna(subset=["dep_s"]).join(feed["trips"].select("trip_id", "route_id"), "trip_id").join(routes, "route_id")
     parent = F.col("parent_station") if "parent_station" in feed["stops"].columns else F.lit(None).cast("string")
     stops = feed["stops"].select("stop_id", scalar.parent_or_self("stop_id", parent).alias("station"), F.col("stop_lat").cast("double").alias("lat"), F.col("stop_lon").cast("double").alias("lon"))
-    visits = visits.join(stops.select("stop_id", "station"), "stop_id", "left").withColumn("station", F.coalesce("station", "stop_id"))
+    visits = visits.join(stops.select("stop_id", "station"), "stop_id", "left").select("mode", "trip_id", "seq", "arr_s", "dep_s", "dist", F.coalesce("station", "stop_id").alias("station"))
+    visits = cut(visits)  # for edges and for rates
 
     w = Window.partitionBy("trip_id").orderBy("seq")
     nxt = visits.select("mode", F.col("station").alias("i"), F.lead("station").over(w).alias("j"), "dep_s", F.lead("arr_s").over(w).alias("arr_j"), "seq", F.lead("seq").over(w).alias("seq_j"), (F.lead("dist").over(w) - F.col("dist")).alias("step"))

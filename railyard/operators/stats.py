@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -71,6 +71,29 @@ def shares(df: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFra
     return own.crossJoin(F.broadcast(total)).select(*keys, value, F.try_divide(F.col(value), F.col("__all")).alias(name))
 
 
+def quantiles(df: DataFrame, keys: Sequence[str], value: str, shares: Mapping[str, float], ranges: int = order.RANGES) -> DataFrame:
+    """(keys, a column for each share): exact quantiles, straight between neighbours, as percentile() gives them, for few and large groups.
+
+    Values are counted, and the counts summed up inside ranges of the value, so no task holds the values of a group.
+    """
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("__v")).agg(F.count(F.lit(1)).alias("__k"))
+    own = counts.withColumn("__range", order.range_of(F.col("__v"), order.bounds_of(df, value, ranges)))
+    w = Window.partitionBy(*keys)
+    totals = own.groupBy(*keys, "__range").agg(F.sum("__k").alias("__n"))  # a row for each group and range
+    totals = totals.select(*keys, "__range", (F.sum("__n").over(w.orderBy("__range")) - F.col("__n")).alias("__earlier"), F.sum("__n").over(w).alias("__all"))
+    totals = totals.withColumnsRenamed({c: f"__of_{c}" for c in (*keys, "__range")})
+    same = [F.col(c).eqNullSafe(F.col(f"__of_{c}")) for c in (*keys, "__range")]
+    upto = F.sum("__k").over(Window.partitionBy(*keys, "__range").orderBy("__v"))
+    placed = own.join(totals, same).withColumn("__end", F.col("__earlier") + upto).withColumn("__begin", F.col("__end") - F.col("__k"))
+    found, out = [], []
+    for k, (name, q) in enumerate(shares.items()):
+        at = F.lit(float(q)) * (F.col("__all") - 1)
+        here = lambda p: F.max(F.when((F.col("__begin") <= p) & (F.col("__end") > p), F.col("__v")))
+        found += [here(F.floor(at)).alias(f"__low{k}"), here(F.ceil(at)).alias(f"__high{k}"), F.max(at - F.floor(at)).alias(f"__part{k}")]
+        out.append(((1 - F.col(f"__part{k}")) * F.col(f"__low{k}") + F.col(f"__part{k}") * F.col(f"__high{k}")).alias(name))
+    return placed.groupBy(*keys).agg(*found).select(*keys, *out)
+
+
 def largest_remainder(df: DataFrame, keys: Sequence[str], value: str, tie: str) -> DataFrame:
     """Whole numbers that add up to the rounded (half to even) total of each group."""
     w = Window.partitionBy(*keys)

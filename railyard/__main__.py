@@ -37,8 +37,7 @@ def main(args: list[str] | None = None) -> None:
     start = chain.allocate(prior, net.nodes.select("mode", F.col("stop").alias("node")))
     q = net.generator()
     if given.method == "law":
-        top = q.filter("i = j").agg(F.max(-F.col("q"))).first()[0] or 0.0
-        out = chain.transient(q, start.withColumnRenamed("n", "v"), given.horizon, max(1, chain.terms_for(top * given.horizon)))
+        out = chain.transient(q, start.withColumnRenamed("n", "v"), given.horizon)
     elif given.method == "events":
         out = simulate.event_ensemble(q, start, given.horizon, given.runs)
     else:

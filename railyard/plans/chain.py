@@ -7,6 +7,7 @@ For graphs of up to a few thousand nodes the spectral quantities come from NumPy
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from railyard.fixpoint import cut, rounds, until_stable
+from railyard.fixpoint import cut, rounds, shared_folder, until_stable
 
 #: Default sensitivity to cost (per second).
 LAMBDA = 1 / 300
@@ -127,27 +128,88 @@ def allocate(population: DataFrame, nodes: DataFrame) -> DataFrame:
 
 #: Largest rate times time of one series: e to the minus that is far from underflow.
 SERIES = 200.0
+#: Entries up to which the matrix is squared instead (one mode of 250 nodes, and where people go that leave); it is broadcast.
+MOST_SQUARED = 251**2
+#: Products of entries for a task.
+TASK_PRODUCTS = 500_000
+#: Rate times time of the step that is squared, and the terms of its series: what they leave out is below 1e-17 of an entry.
+SHORT, SHORT_TERMS = 1 / 64, 7
 
 
-def transient(q: DataFrame, start: DataFrame, t: float, terms: int | None = None, conserve: bool = True) -> DataFrame:
-    """N(t) = N0 e^{Qt} by uniformization; start (mode, node, v).
+def transient(q: DataFrame, start: DataFrame, t: float, terms: int | None = None, conserve: bool = True, most_squared: int = MOST_SQUARED) -> DataFrame:
+    """N(t) = N0 e^{Qt} by uniformization; start (mode, node, v). Nodes without rates stay where they are.
 
-    terms: so many of one series; by default as many as leave out less than 1e-12, in steps of time that keep the first
-    weight from underflow. conserve: what the series leaves out is scaled back in, so mass is kept.
+    terms: so many of one series. By default small chains square the matrix of a short step, which takes the logarithm of
+    rate times time in rounds; larger ones take as many terms as leave out less than 1e-12, in steps of time that keep the
+    first weight from underflow. conserve: what the series leaves out is scaled back in, so mass is kept.
     """
-    q = cut(q)
+    start = cut(start.select("mode", "node", "v"))
+    q = cut(_with_diagonal(q, start))
     if terms is None:
-        fastest = q.filter("i = j").agg(F.max(-F.col("q"))).first()[0] or 0.0
+        sizes = q.filter("i = j").groupBy("mode").agg(F.max(-F.col("q")).alias("rate"), (F.count(F.lit(1)) + 1).cast("double").alias("n"))
+        found = sizes.agg(F.max("rate"), F.sum(F.pow("n", F.lit(2.0))), F.sum(F.pow("n", F.lit(3.0)))).first()
+        fastest, entries, products = (x or 0.0 for x in found)
         steps = max(1, math.ceil(fastest * t / SERIES))
         terms = terms_for(fastest * t / steps)
+        halvings = max(0, math.ceil(math.log2(fastest * t / SHORT))) if fastest * t > 0 else 0
+        if entries <= most_squared and SHORT_TERMS + halvings < steps * terms:
+            return _squared(q, start, fastest, t / 2**halvings, halvings, 1 + int(products) // TASK_PRODUCTS)
         for _ in range(steps - 1):
             start = _series(q, start, t / steps, terms, conserve).withColumnRenamed("n", "v")
         return _series(q, start, t / steps, terms, conserve)
     return _series(q, start, t, terms, conserve)
 
 
+def _with_diagonal(q: DataFrame, start: DataFrame) -> DataFrame:
+    """q with a rate of 0 on the diagonal for nodes that have none."""
+    nodes = nodes_of(q).union(start.select("mode", "node")).distinct()
+    known = q.filter("i = j").select("mode", F.col("i").alias("node"))
+    return q.unionByName(nodes.join(known, ["mode", "node"], "left_anti").select("mode", F.col("node").alias("i"), F.col("node").alias("j"), F.lit(0.0).alias("q")))
+
+
+def _squared(q: DataFrame, start: DataFrame, rate: float, h: float, halvings: int, tasks: int) -> DataFrame:
+    """N0 P^(2^halvings), P the matrix of the step h; its rows are dealt to so many tasks.
+
+    What leaves a sub-generator goes to a node without a name, so rows add up to 1 and are kept there: rounding, which
+    squares would double, neither loses nor adds mass. No entry is negative, so nothing cancels.
+    """
+    row = q.groupBy("mode", "i").agg(F.sum("q").alias("s"), F.max(F.abs("q")).alias("top"))
+    nobody = F.lit(None).cast(q.schema["j"].dataType)
+    leaves = row.filter(F.col("s") < -1e-12 * F.col("top")).select("mode", "i", nobody.alias("j"), (-F.col("s")).alias("q"))
+    gone = q.select("mode", nobody.alias("i"), nobody.alias("j"), F.lit(0.0).alias("q")).distinct()
+    jump = q.unionByName(leaves).unionByName(gone).select("mode", "i", "j", (F.when(F.col("i").eqNullSafe(F.col("j")), 1.0).otherwise(0.0) + F.col("q") / rate).alias("p"))
+    folder = f"{shared_folder(q.sparkSession).rstrip('/')}/squared-{uuid.uuid4().hex}"
+
+    def table(x: DataFrame, name: str) -> DataFrame:
+        """A table and not a checkpoint: that would keep the estimate of its size, which squares from round to round."""
+        x.write.parquet(f"{folder}/{name}")
+        return q.sparkSession.read.schema(x.schema).parquet(f"{folder}/{name}").repartition(tasks, "mode", "i")
+
+    jump = table(jump.repartition(tasks, "mode", "i"), "jump")
+    w = Window.partitionBy("mode", "i")
+
+    def times(x: DataFrame, y: DataFrame) -> DataFrame:
+        """x y; a row of the result is made where the row of x is."""
+        right = y.select(F.col("mode").alias("__mode"), F.col("i").alias("__via"), F.col("j").alias("__to"), F.col("p").alias("__p"))
+        both = x.join(F.broadcast(right), (F.col("mode") == F.col("__mode")) & F.col("j").eqNullSafe(F.col("__via")))
+        return both.groupBy("mode", "i", F.col("__to").alias("j")).agg(F.sum(F.col("p") * F.col("__p")).alias("p"))
+
+    kept = lambda x: x.select("mode", "i", "j", (F.col("p") / F.sum("p").over(w)).alias("p"))
+    # 1 + aJ/1 (1 + aJ/2 (1 + ...)) from inside; the entry on the diagonal is always there
+    begin = lambda x, k: x.select("mode", "i", "j", (F.col("p") * rate * h / k + F.when(F.col("i").eqNullSafe(F.col("j")), 1.0).otherwise(0.0)).alias("p"))
+    power = begin(jump, SHORT_TERMS)
+    for k in range(SHORT_TERMS - 1, 0, -1):
+        power = begin(times(power, jump), k)
+    power = table(kept(power), "0")
+    for k in range(1, halvings + 1):
+        power = table(kept(times(power, power)), str(k))
+    moves = power.filter("j is not null").select("mode", F.col("i").alias("node"), F.col("j").alias("__to"), "p")
+    return start.join(moves, ["mode", "node"]).groupBy("mode", F.col("__to").alias("node")).agg(F.sum(F.col("v") * F.col("p")).alias("n"))
+
+
 def _series(q: DataFrame, start: DataFrame, t: float, terms: int, conserve: bool) -> DataFrame:
     top = q.filter("i = j").groupBy("mode").agg(F.max(-F.col("q")).alias("rate"))  # a row for each mode
+    top = top.withColumn("rate", F.when(F.col("rate") > 0, F.col("rate")).otherwise(1.0))
     jump = q.join(F.broadcast(top), "mode").select("mode", "i", "j", (F.when(F.col("i") == F.col("j"), 1.0).otherwise(0.0) + F.col("q") / F.col("rate")).alias("p"))
     begin = start.join(F.broadcast(top), "mode").select("mode", "node", "v", (F.col("v") * F.exp(-F.col("rate") * t)).alias("out"), F.exp(-F.col("rate") * t).alias("weight"), F.exp(-F.col("rate") * t).alias("used"), "rate", F.lit(0).alias("k"))
 

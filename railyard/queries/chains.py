@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from railyard.fixpoint import cut
 from railyard.operators import graph
 from railyard.plans import chain, stationary
 from railyard.queries import tables as t
@@ -87,7 +88,7 @@ def modal_allocation(spark, sf_dir):
 
 @Q.add(f"WITH RECURSIVE {EQ}, r AS (SELECT max(-q) AS rate FROM eq WHERE i = j), j AS (SELECT i, j, CASE WHEN i = j THEN 1.0 ELSE 0.0 END + q / rate AS p FROM eq, r), s AS (SELECT i AS node, 100.0::DOUBLE * (row_number() OVER (ORDER BY i)) AS v FROM (SELECT DISTINCT i FROM ek)), x AS (SELECT node, v, 0 AS k, exp(-rate * 0.5) AS w FROM s, r UNION ALL SELECT j.j, sum(x.v * j.p), x.k + 1, max(x.w * rate * 0.5 / (x.k + 1)) FROM x JOIN j ON x.node = j.i, r WHERE x.k < 300 GROUP BY j.j, x.k + 1), u AS (SELECT sum(w) AS used FROM (SELECT DISTINCT k, w FROM x)) SELECT node, round(sum(w * v) / (SELECT used FROM u), 6) AS n FROM x GROUP BY node")
 def transient_law(spark, sf_dir):
-    own = event_chain(spark, sf_dir)
+    own = cut(event_chain(spark, sf_dir))
     names = chain.nodes_of(own).select("mode", "node", (100.0 * F.row_number().over(Window.partitionBy("mode").orderBy("node"))).alias("v"))
     return chain.transient(chain.generator(own, event_rates(spark, sf_dir)), names, 0.5).select("node", R("n", 6))
 
@@ -209,6 +210,6 @@ GRID = [0.25, 0.5, 1.0]
 @Q.add(" UNION ALL ".join(["SELECT * FROM (WITH RECURSIVE " + EQ + f", r AS (SELECT max(-q) AS rate FROM eq WHERE i = j), j AS (SELECT i, j, CASE WHEN i = j THEN 1.0 ELSE 0.0 END + q / rate AS p FROM eq, r), s AS (SELECT i AS node, 100.0::DOUBLE * (row_number() OVER (ORDER BY i)) AS v FROM (SELECT DISTINCT i FROM ek)), x AS (SELECT node, v, 0 AS k, exp(-rate * {x}) AS w FROM s, r UNION ALL SELECT j.j, sum(x.v * j.p), x.k + 1, max(x.w * rate * {x} / (x.k + 1)) FROM x JOIN j ON x.node = j.i, r WHERE x.k < 300 GROUP BY j.j, x.k + 1) SELECT {x}::DOUBLE AS t, node, round(sum(w * v), 6) AS n FROM x GROUP BY node)" for x in GRID]))
 def transient_grid(spark, sf_dir):
     """The law of the event chain at several times, each going on from the one before."""
-    own = event_chain(spark, sf_dir)
+    own = cut(event_chain(spark, sf_dir))
     names = chain.nodes_of(own).select("mode", "node", (100.0 * F.row_number().over(Window.partitionBy("mode").orderBy("node"))).alias("v"))
     return chain.transient_grid(chain.generator(own, event_rates(spark, sf_dir)), names, GRID).select("t", "node", R("n", 6))

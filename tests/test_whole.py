@@ -104,6 +104,27 @@ def test_transient_takes_the_terms_it_needs(spark, rate):
     assert got == {"a": pytest.approx(want, rel=1e-8), "b": pytest.approx(100 - want, rel=1e-8)}
 
 
+@pytest.mark.parametrize("rate", [201.0, 20_000.0])
+def test_fast_small_chains_take_no_series(spark, monkeypatch, rate):
+    """Rate times time of the largest of these would be 100 series of about 300 rounds."""
+    q, start = two_states(spark, rate)
+    monkeypatch.setattr(chain, "rounds", lambda *_, **__: pytest.fail("a series"))
+    k = rate + 0.25
+    want = 100 * (0.25 + rate * np.exp(-k)) / k
+    got = {r.node: r.n for r in chain.transient(q, start, 1.0).collect()}
+    assert got == {"a": pytest.approx(want, rel=1e-11), "b": pytest.approx(100 - want, rel=1e-11)}
+
+
+@pytest.mark.parametrize("most_squared", [0, chain.MOST_SQUARED])
+def test_people_stay_at_nodes_without_rates(spark, most_squared):
+    """From a to c, which has no row, or out of the chain; nobody gets to d. The series and the squares agree."""
+    q = spark.createDataFrame([("m", "a", "c", 20.0), ("m", "a", "a", -25.0)], "mode string, i string, j string, q double")
+    start = spark.createDataFrame([("m", "a", 100.0), ("m", "d", 7.0)], "mode string, node string, v double")
+    got = {r.node: r.n for r in chain.transient(q, start, 0.1, conserve=False, most_squared=most_squared).collect()}
+    left = np.exp(-2.5)
+    assert got == {"a": pytest.approx(100 * left, rel=1e-9), "c": pytest.approx(80 * (1 - left), rel=1e-9), "d": pytest.approx(7.0, rel=1e-9)}
+
+
 def test_stopped_runs_are_refused(spark):
     q, start = two_states(spark, 31.0)
     start = start.withColumnRenamed("v", "n")

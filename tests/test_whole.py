@@ -125,6 +125,20 @@ def test_people_stay_at_nodes_without_rates(spark, most_squared):
     assert got == {"a": pytest.approx(100 * left, rel=1e-9), "c": pytest.approx(80 * (1 - left), rel=1e-9), "d": pytest.approx(7.0, rel=1e-9)}
 
 
+def test_runs_are_simulated_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def one(batches):
+        for pdf in batches:
+            made.add(len(pdf))
+            yield pdf
+
+    runs = spark.createDataFrame([(k, "m", "a", k % 3) for k in range(6)], "run long, mode string, node string, n long")
+    law = spark.createDataFrame([("m", "a", 1.0)], "mode string, node string, n double")
+    assert simulate.against_mean(runs.mapInPandas(one, runs.schema), law).first().mean == 1.0
+    assert made.value == 6
+
+
 def test_stopped_runs_are_refused(spark):
     q, start = two_states(spark, 31.0)
     start = start.withColumnRenamed("v", "n")

@@ -95,9 +95,9 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, shares: Mapping[st
 
 
 def largest_remainder(df: DataFrame, keys: Sequence[str], value: str, tie: str) -> DataFrame:
-    """Whole numbers that add up to the rounded (half to even) total of each group."""
+    """Whole numbers that add up to the rounded (half to even) total of each group. Decimals are exact, so equal remainders tie."""
     w = Window.partitionBy(*keys)
     floor = F.floor(value)
-    left = F.rint(F.sum(value).over(w)) - F.sum(floor).over(w)
+    left = F.bround(F.sum(value).over(w), 0) - F.sum(floor).over(w)
     rank = F.row_number().over(w.orderBy(F.desc(F.col(value) - floor), tie))
     return df.withColumn("whole", (floor + F.when(rank <= left, 1).otherwise(0)).cast("long"))

@@ -30,3 +30,10 @@ def test_remainders_of_equal_totals_go_to_the_smaller_key(spark, tmp_path):
     spark.read.parquet(f"{tmp_path}/customer.parquet").write.parquet(f"{tmp_path}/flipped/customer.parquet")
     own = [{r.o_custkey: r.whole for r in network.largest_remainder(spark, f"{tmp_path}{x}").collect()} for x in ("", "/flipped")]
     assert own == [{1: 2, 2: 1}] * 2
+
+
+def test_equal_remainders_of_different_totals_go_to_the_smaller_key(spark, tmp_path):
+    """In doubles the remainder of the second one is larger by the last bits."""
+    spark.createDataFrame([(1, 1, 812300.0), (2, 2, 33300.0)], "o_orderkey long, o_custkey long, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(1, 0, "X"), (2, 0, "X")], "c_custkey long, c_nationkey int, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
+    assert {r.o_custkey: r.whole for r in network.largest_remainder(spark, str(tmp_path)).collect()} == {1: 813, 2: 33}
